@@ -122,3 +122,22 @@ SQL["raster_self_add_count"] = with_grids(
 
 SQL["raster_add_n"] = with_grids("""SELECT a.x, a.y, a.v + b.v + a2.v AS v
 FROM a JOIN b ON a.x = b.x AND a.y = b.y JOIN a AS a2 ON a.x = a2.x AND a.y = a2.y""", "A", "B")
+
+# ------------------------------------------------------------------ focal
+
+
+def _focal(same_tile: bool) -> str:
+    tile = (f" AND floor(q.x / {N}) = floor(p.x / {N}) AND floor(q.y / {N}) = floor(p.y / {N})"
+            if same_tile else "")
+    return f"""SELECT p.x, p.y, CAST(sum(q.v) AS DOUBLE) / CAST(nullif(count(q.v), 0) AS DOUBLE) AS v
+FROM a p JOIN a q ON q.x BETWEEN p.x - 1 AND p.x + 1 AND q.y BETWEEN p.y - 1 AND p.y + 1{tile}
+GROUP BY p.x, p.y"""
+
+
+SQL["focal_mean_tile"] = with_grids(_focal(True), "A")
+SQL["focal_mean_halo"] = with_grids(_focal(False), "A")
+SQL["focal_mean_count"] = with_grids(f"SELECT count(*) AS n FROM ({_focal(True)}) f WHERE trunc(v) = {V}", "A")
+SQL["focal_mean_count_halo"] = with_grids(
+    f"SELECT count(*) AS n FROM ({_focal(False)}) f WHERE trunc(v) = {V}", "A")
+SQL["corner_sample"] = with_grids(f"""SELECT CAST(x // {N} AS INTEGER) AS tc, CAST(y // {N} AS INTEGER) AS tr, v
+FROM ({_focal(True)}) f WHERE x % {N} = 0 AND y % {N} = 0 ORDER BY tr, tc LIMIT 5""", "A")

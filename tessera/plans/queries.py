@@ -12,7 +12,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..operators import layout, local
+from ..operators import focal, layout, local
 from ..sources.grids import grid_a, grid_b, grid_c
 
 # The class value searched for and its replacement (the glc
@@ -159,3 +159,35 @@ def raster_self_add_count(spark, sf):
 @query("raster_add_n")
 def raster_add_n(spark, sf):
     return local.add_n([grid_a(spark, sf), grid_b(spark, sf), grid_a(spark, sf)]).df
+
+
+# ------------------------------------------------------------ focal
+
+# Block size of the seamless (halo) plan; a partitioning device only, chosen
+# unlike the tile size so the halo exchange is exercised at test scale.
+HALO_BLOCK = 32
+
+
+@query("focal_mean_tile")
+def focal_mean_tile(spark, sf):
+    return focal.focal_mean(grid_a(spark, sf), 1, "tile", tile_size=TILE).df
+
+
+@query("focal_mean_halo")
+def focal_mean_halo(spark, sf):
+    return focal.focal_mean(grid_a(spark, sf), 1, "halo", block=HALO_BLOCK).df
+
+
+@query("focal_mean_count")
+def focal_mean_count(spark, sf):
+    return focal.count_truncated(focal.focal_mean(grid_a(spark, sf), 1, "tile", tile_size=TILE), VALUE)
+
+
+@query("focal_mean_count_halo")
+def focal_mean_count_halo(spark, sf):
+    return focal.count_truncated(focal.focal_mean(grid_a(spark, sf), 1, "halo", block=HALO_BLOCK), VALUE)
+
+
+@query("corner_sample")
+def corner_sample(spark, sf):
+    return focal.corner_sample(focal.focal_mean(grid_a(spark, sf), 1, "tile", tile_size=TILE), TILE, 5)
