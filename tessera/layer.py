@@ -86,14 +86,25 @@ class Layer:
     df: DataFrame
     name: str = "raster"
     georef: Georef = field(default_factory=Georef)
+    known_dims: tuple[int, int] | None = None
     _meta: LayerMeta | None = field(default=None, repr=False)
 
     @property
     def value_type(self) -> str:
         return self.df.schema["v"].dataType.simpleString()
 
+    @property
+    def dims(self) -> tuple[int, int] | None:
+        """(cols, rows) when known without a job (from a source header or a
+        metadata pass already run), else None."""
+        if self.known_dims is not None:
+            return self.known_dims
+        if self._meta is not None:
+            return (self._meta.cols, self._meta.rows)
+        return None
+
     def with_df(self, df: DataFrame, name: str | None = None) -> "Layer":
-        return Layer(df, name or self.name, self.georef)
+        return Layer(df, name or self.name, self.georef, self.known_dims)
 
     def metadata(self) -> DataFrame:
         return metadata_df(self.df)

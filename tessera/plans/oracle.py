@@ -7,8 +7,10 @@ crossing parity instead of scanline runs.
 
 from __future__ import annotations
 
+import json
+
 from . import queries as q
-from .sql_fixtures import with_grids
+from .sql_fixtures import with_ctes, with_grids
 
 V, NEW, N, CH, MT = q.VALUE, q.NEW_VALUE, q.TILE, q.CHUNK, q.MAX_TILE
 X0, Y0, DX, DY, SRID = -180.0, 90.0, 0.1, 0.1, 4326
@@ -141,3 +143,76 @@ SQL["focal_mean_count_halo"] = with_grids(
     f"SELECT count(*) AS n FROM ({_focal(False)}) f WHERE trunc(v) = {V}", "A")
 SQL["corner_sample"] = with_grids(f"""SELECT CAST(x // {N} AS INTEGER) AS tc, CAST(y // {N} AS INTEGER) AS tr, v
 FROM ({_focal(True)}) f WHERE x % {N} = 0 AND y % {N} = 0 ORDER BY tr, tc LIMIT 5""", "A")
+
+# ------------------------------------------------------------------ zonal
+
+
+def _zone_values() -> tuple[str, str]:
+    """Zone keys and ring edges of the fixture as SQL VALUES lists."""
+    with open(q.ZONES_PATH) as f:
+        fc = json.load(f)
+    keys, edges = [], []
+    for feat in fc["features"]:
+        g = feat["geometry"]
+        parts = [g["coordinates"]] if g["type"] == "Polygon" else g["coordinates"]
+        p = feat["properties"]
+        keys.append(f"('{feat['id']}', '{p['NAME']}', {int(p['ID'])}, '{g['type']}')")
+        for part in parts:
+            for ring in part:
+                if ring[0] != ring[-1]:
+                    ring = ring + [ring[0]]
+                for (x1, y1), (x2, y2) in zip(ring[:-1], ring[1:]):
+                    edges.append(f"('{feat['id']}', {float(x1)!r}::DOUBLE, {float(y1)!r}::DOUBLE, "
+                                 f"{float(x2)!r}::DOUBLE, {float(y2)!r}::DOUBLE)")
+    return ",\n  ".join(keys), ",\n  ".join(edges)
+
+
+_KEYS, _EDGES = _zone_values()
+
+# Brute-force parity: a cell is inside a zone when an odd number of the zone's
+# edges cross its row centre at or left of its centre.
+_INSIDE = """SELECT e.zone_id, c.x, c.y, c.v
+FROM a c JOIN edges e
+  ON (e.y1 > c.y + 0.5::DOUBLE) <> (e.y2 > c.y + 0.5::DOUBLE)
+ AND c.x + 0.5::DOUBLE >= e.x1 + (c.y + 0.5::DOUBLE - e.y1) * (e.x2 - e.x1) / (e.y2 - e.y1)
+GROUP BY e.zone_id, c.x, c.y, c.v HAVING count(*) % 2 = 1"""
+
+_HIST = "SELECT zone_id, v, count(*) AS n FROM inside WHERE v IS NOT NULL GROUP BY zone_id, v"
+
+_STATS = """SELECT k.zone_id, k.name, k.zid, coalesce(s.n, 0) AS n, s.min, s.max, s.mean, s.median, s.mode, s.stddev
+FROM zkeys k LEFT JOIN (
+  SELECT h.zone_id, CAST(sum(n) AS BIGINT) AS n, min(v) AS min, max(v) AS max,
+    CAST(sum(CAST(v AS BIGINT) * n) AS DOUBLE) / CAST(sum(n) AS DOUBLE) AS mean,
+    CAST(quantile_cont(v, 0.5) AS DOUBLE) AS median,
+    sqrt(CAST(CAST(sum(n) AS HUGEINT) * sum(CAST(v AS HUGEINT) * v * n) - CAST(sum(CAST(v AS BIGINT) * n) AS HUGEINT) * sum(CAST(v AS BIGINT) * n) AS DOUBLE)
+         / (CAST(sum(n) AS DOUBLE) * CAST(sum(n) AS DOUBLE))) AS stddev,
+    arg_min(v, (-n, v)) AS mode
+  FROM hist h GROUP BY h.zone_id) s ON k.zone_id = s.zone_id{where}"""
+
+
+def _zonal(body: str, types: tuple[str, ...] = ("Polygon", "MultiPolygon")) -> str:
+    tlist = ", ".join(f"'{t}'" for t in types)
+    return with_ctes(body, ("A",), [
+        ("zkeys", f"SELECT * FROM (VALUES\n  {_KEYS}) t(zone_id, name, zid, geom_type) WHERE geom_type IN ({tlist})"),
+        ("edges", f"SELECT e.* FROM (VALUES\n  {_EDGES}) e(zone_id, x1, y1, x2, y2) "
+                  f"JOIN zkeys USING (zone_id)"),
+        ("inside", _INSIDE),
+        ("hist", _HIST),
+    ])
+
+
+def _stats_sql(types=("Polygon", "MultiPolygon"), cols: str | None = None) -> str:
+    body = _STATS.format(where="")
+    if cols:
+        body = f"SELECT {cols} FROM ({body}) st"
+    else:
+        body = f"SELECT 'zones' AS zone_set, st.* FROM ({body}) st"
+    return _zonal(body, types)
+
+
+SQL["zonal_histogram"] = _zonal("SELECT 'zones' AS zone_set, zone_id, v, n FROM hist")
+SQL["zonal_statistics"] = _stats_sql()
+SQL["zonal_statistics_polygons"] = _stats_sql(("Polygon",))
+SQL["zonal_statistics_multipolygons"] = _stats_sql(("MultiPolygon",))
+SQL["zonal_min_max_mean"] = _stats_sql(cols="'zones' AS zone_set, zone_id, min, max, mean")
+SQL["zonal_cells"] = _zonal("SELECT 'zones' AS zone_set, zone_id, x, y, v FROM inside")

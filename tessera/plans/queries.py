@@ -7,13 +7,16 @@ collects. ``tessera.plans.oracle`` holds the matching DuckDB SQL.
 
 from __future__ import annotations
 
+import os
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..operators import focal, layout, local
-from ..sources.grids import grid_a, grid_b, grid_c
+from ..layer import Georef, Layer
+from ..operators import focal, layout, local, zonal
+from ..sources.geojson import ZoneSet, read_zones
+from ..sources.grids import GEOREF_A, grid_a, grid_b, grid_c
 
 # The class value searched for and its replacement (the glc
 # dataset of the reference: pixel value 16, new value 1), the tile size of the
@@ -191,3 +194,49 @@ def focal_mean_count_halo(spark, sf):
 @query("corner_sample")
 def corner_sample(spark, sf):
     return focal.corner_sample(focal.focal_mean(grid_a(spark, sf), 1, "tile", tile_size=TILE), TILE, 5)
+
+
+# ------------------------------------------------------------ zonal
+
+ZONES_PATH = os.path.join(os.path.dirname(os.path.abspath(__file__)), "zones.geojson")
+
+
+def fixture_zones(spark) -> ZoneSet:
+    """The zone fixture; coordinates are in grid A's cell units."""
+    return read_zones(spark, ZONES_PATH, "zones", srid=GEOREF_A.srid)
+
+
+def zonal_grid(spark, sf) -> Layer:
+    """Grid A georeferenced in cell units (the zones' coordinate system)."""
+    a = grid_a(spark, sf)
+    return Layer(a.df, a.name, Georef.pixel(GEOREF_A.srid))
+
+
+@query("zonal_histogram")
+def zonal_histogram(spark, sf):
+    return zonal.histogram(zonal_grid(spark, sf), fixture_zones(spark))
+
+
+@query("zonal_statistics")
+def zonal_statistics(spark, sf):
+    return zonal.statistics(zonal_grid(spark, sf), fixture_zones(spark))
+
+
+@query("zonal_statistics_polygons")
+def zonal_statistics_polygons(spark, sf):
+    return zonal.statistics(zonal_grid(spark, sf), fixture_zones(spark).polygons())
+
+
+@query("zonal_statistics_multipolygons")
+def zonal_statistics_multipolygons(spark, sf):
+    return zonal.statistics(zonal_grid(spark, sf), fixture_zones(spark).multipolygons())
+
+
+@query("zonal_min_max_mean")
+def zonal_min_max_mean(spark, sf):
+    return zonal.min_max_mean(zonal_grid(spark, sf), fixture_zones(spark))
+
+
+@query("zonal_cells")
+def zonal_cells(spark, sf):
+    return zonal.zone_cells(zonal_grid(spark, sf), fixture_zones(spark))
