@@ -10,6 +10,7 @@ from __future__ import annotations
 import json
 
 from . import queries as q
+from ..operators.sweep import REFERENCE_TILE_SIZES
 from .sql_fixtures import with_ctes, with_grids
 
 V, NEW, N, CH, MT = q.VALUE, q.NEW_VALUE, q.TILE, q.CHUNK, q.MAX_TILE
@@ -216,3 +217,13 @@ SQL["zonal_statistics_polygons"] = _stats_sql(("Polygon",))
 SQL["zonal_statistics_multipolygons"] = _stats_sql(("MultiPolygon",))
 SQL["zonal_min_max_mean"] = _stats_sql(cols="'zones' AS zone_set, zone_id, min, max, mean")
 SQL["zonal_cells"] = _zonal("SELECT 'zones' AS zone_set, zone_id, x, y, v FROM inside")
+
+# ------------------------------------------------------------------ sweep
+
+_SIZES = ", ".join(f"({s})" for s in REFERENCE_TILE_SIZES)
+SQL["tile_size_sweep"] = with_grids(f"""SELECT tile_size, count(*) AS n_tiles,
+  CAST(sum(nv) AS BIGINT) AS n_value, CAST(sum(nd) AS BIGINT) AS data_cells
+FROM (SELECT s.tile_size, floor(x / s.tile_size) AS tc, floor(y / s.tile_size) AS tr,
+        count(*) FILTER (WHERE v = {V}) AS nv, count(v) AS nd
+      FROM a, (VALUES {_SIZES}) s(tile_size) GROUP BY 1, 2, 3) t
+GROUP BY tile_size""", "A")

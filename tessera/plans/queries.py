@@ -14,7 +14,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..layer import Georef, Layer
-from ..operators import focal, layout, local, zonal
+from ..operators import focal, layout, local, sweep, zonal
 from ..sources.geojson import ZoneSet, read_zones
 from ..sources.grids import GEOREF_A, grid_a, grid_b, grid_c
 
@@ -240,3 +240,10 @@ def zonal_min_max_mean(spark, sf):
 @query("zonal_cells")
 def zonal_cells(spark, sf):
     return zonal.zone_cells(zonal_grid(spark, sf), fixture_zones(spark))
+
+
+# ------------------------------------------------------------ sweep
+
+@query("tile_size_sweep")
+def tile_size_sweep(spark, sf):
+    return sweep.tile_size_sweep(grid_a(spark, sf), VALUE)

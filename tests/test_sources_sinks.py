@@ -1,0 +1,58 @@
+"""Catalogs, sinks, cache control."""
+
+from pyspark.sql import functions as F
+
+from conftest import SF0001
+from tessera import sinks
+from tessera.sources import catalog
+from tessera.sources.grids import grid_a, read_cells
+
+
+def test_raster_catalog_default_srid(spark):
+    r = catalog.raster_catalog(spark, [catalog.RasterRecord("glc", "/d/glc.tif", 16, 1),
+                                       ("nlcd", "/d/nlcd.tif", 21, 1, 5070)])
+    got = {x.name: x.srid for x in r.collect()}
+    assert got == {"glc": 4326, "nlcd": 5070}
+
+
+def test_vector_path_by_srid(spark):
+    v = catalog.vector_catalog(spark, [catalog.VectorRecord("states", "/shp", "states_2.geojson")])
+    p = catalog.vector_paths_for(v, 5070).first()
+    assert p.path == "/shp/5070/states_2.geojson"
+    assert catalog.vector_path(catalog.VectorRecord("c", "/b", "c.geojson"),
+                               catalog.RasterRecord("r", "/r", 1, 2, 4326)) == "/b/4326/c.geojson"
+
+
+def test_tile_reports_written(spark, scratch):
+    a = grid_a(spark, SF0001)
+    counts = sinks.write_tile_reports(a, a.to_tiles(25), 30, f"{scratch}/rep")
+    assert counts["layout_extent_size"] == 4
+    assert counts["chunk_dims"] == 4 * 1
+    lines = spark.read.text(f"{scratch}/rep/layout_extent_size").collect()
+    assert all(r.value.startswith("Extent(") and r.value.endswith(",625") for r in lines)
+    dims = sorted(r.value for r in spark.read.text(f"{scratch}/rep/chunk_dims").collect())
+    assert dims == ["10,15", "30,15", "30,15", "30,15"]
+
+
+def test_csv_sink_round_trip(spark, scratch):
+    df = spark.createDataFrame([("count", "A", 25, 66)], "analytic string, dataset string, tilesize int, n long")
+    sinks.write_csv(df, f"{scratch}/out")
+    back = spark.read.option("header", True).csv(f"{scratch}/out").collect()
+    assert back[0].analytic == "count" and back[0].n == "66"
+
+
+def test_read_cells_parquet_pushdown(spark, scratch):
+    a = grid_a(spark, SF0001)
+    a.df.write.parquet(f"{scratch}/cells")
+    lay = read_cells(spark, f"{scratch}/cells", "A")
+    q = lay.df.where(F.col("v") == 16)
+    plan = q._jdf.queryExecution().executedPlan().toString()
+    assert "PushedFilters" in plan and "EqualTo(v,16)" in plan
+    assert q.count() == 66
+
+
+def test_cache_uncache(spark):
+    a = grid_a(spark, SF0001).cache()
+    assert a.df.is_cached
+    a.uncache()
+    assert not a.df.is_cached
