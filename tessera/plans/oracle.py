@@ -227,3 +227,9 @@ FROM (SELECT s.tile_size, floor(x / s.tile_size) AS tc, floor(y / s.tile_size) A
         count(*) FILTER (WHERE v = {V}) AS nv, count(v) AS nd
       FROM a, (VALUES {_SIZES}) s(tile_size) GROUP BY 1, 2, 3) t
 GROUP BY tile_size""", "A")
+SQL["zonal_histogram_tiles"] = SQL["zonal_histogram"]
+SQL["zonal_statistics_tiles"] = SQL["zonal_statistics"]
+SQL["focal_mean_count_tiles"] = SQL["focal_mean_count"]
+SQL["focal_mean_tiles"] = with_grids(f"SELECT * FROM ({_focal(True)}) f WHERE v IS NOT NULL", "A")
+SQL["focal_mean_tiles_halo"] = with_grids(f"SELECT * FROM ({_focal(False)}) f WHERE v IS NOT NULL", "A")
+SQL["focal_mean_count_tiles_halo"] = SQL["focal_mean_count_halo"]

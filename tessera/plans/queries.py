@@ -191,6 +191,30 @@ def focal_mean_count_halo(spark, sf):
     return focal.count_truncated(focal.focal_mean(grid_a(spark, sf), 1, "halo", block=HALO_BLOCK), VALUE)
 
 
+@query("focal_mean_count_tiles")
+def focal_mean_count_tiles(spark, sf):
+    a = grid_a(spark, sf)
+    return focal.count_truncated_tiles(focal.focal_mean_tiles(a.to_tiles(TILE), a.meta(), 1), VALUE)
+
+
+@query("focal_mean_tiles")
+def focal_mean_tiles(spark, sf):
+    a = grid_a(spark, sf)
+    return focal.focal_mean_tiles(a.to_tiles(TILE), a.meta(), 1).to_cells(keep_null=False).df
+
+
+@query("focal_mean_tiles_halo")
+def focal_mean_tiles_halo(spark, sf):
+    a = grid_a(spark, sf)
+    return focal.focal_mean_tiles_halo(a.to_tiles(TILE), a.meta(), 1).to_cells(keep_null=False).df
+
+
+@query("focal_mean_count_tiles_halo")
+def focal_mean_count_tiles_halo(spark, sf):
+    a = grid_a(spark, sf)
+    return focal.count_truncated_tiles(focal.focal_mean_tiles_halo(a.to_tiles(TILE), a.meta(), 1), VALUE)
+
+
 @query("corner_sample")
 def corner_sample(spark, sf):
     return focal.corner_sample(focal.focal_mean(grid_a(spark, sf), 1, "tile", tile_size=TILE), TILE, 5)
@@ -237,6 +261,16 @@ def zonal_min_max_mean(spark, sf):
     return zonal.min_max_mean(zonal_grid(spark, sf), fixture_zones(spark))
 
 
+@query("zonal_histogram_tiles")
+def zonal_histogram_tiles(spark, sf):
+    return zonal.histogram_tiles(zonal_grid(spark, sf).to_tiles(TILE), fixture_zones(spark))
+
+
+@query("zonal_statistics_tiles")
+def zonal_statistics_tiles(spark, sf):
+    return zonal.statistics_tiles(zonal_grid(spark, sf).to_tiles(TILE), fixture_zones(spark))
+
+
 @query("zonal_cells")
 def zonal_cells(spark, sf):
     return zonal.zone_cells(zonal_grid(spark, sf), fixture_zones(spark))
