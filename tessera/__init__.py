@@ -1 +1,5 @@
+"""tessera: raster map algebra as Spark DataFrame plans."""
 
+from .layer import Georef, Layer, LayerMeta, TileLayer
+
+__all__ = ["Georef", "Layer", "LayerMeta", "TileLayer"]

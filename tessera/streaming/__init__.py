@@ -1 +1,5 @@
+"""Streaming: intentionally empty.
 
+Every job of the reference is a bounded batch; it has no stream source,
+watermark or stateful operator, so none is built here.
+"""
