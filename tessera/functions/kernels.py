@@ -115,6 +115,37 @@ def halo_strips(n: int, r: int):
     return run
 
 
+def _place_strips(halo, pv: np.ndarray, pc: np.ndarray, n: int, r: int) -> None:
+    """Write every neighbour strip of a batch into the padded blocks.
+
+    ``halo`` is list<struct<ox, oy, s>> per tile; values and validity come
+    out of Arrow as flat numpy arrays, so the only Python loop is one slice
+    assignment per strip (at most 8 per tile).
+    """
+    import pyarrow as pa
+    if isinstance(halo, pa.ChunkedArray):
+        halo = pa.concat_arrays(halo.chunks)
+    lengths = np.asarray(halo.value_lengths().fill_null(0).to_numpy(zero_copy_only=False), dtype=np.int64)
+    if lengths.sum() == 0:
+        return
+    owner = np.repeat(np.arange(len(halo)), lengths)
+    st = halo.flatten()
+    ox = st.field("ox").to_numpy(zero_copy_only=False)
+    oy = st.field("oy").to_numpy(zero_copy_only=False)
+    s = st.field("s")
+    flat = s.flatten()
+    ok = ~np.asarray(flat.is_null().to_numpy(zero_copy_only=False), dtype=bool)
+    vals = np.asarray(flat.fill_null(0).to_numpy(zero_copy_only=False), dtype=pv.dtype)
+    offs = s.offsets.to_numpy()
+    offs = offs - offs[0]
+    for j in range(len(st)):
+        ys, xs = _place(int(oy[j]), n, r), _place(int(ox[j]), n, r)
+        shape = (ys.stop - ys.start, xs.stop - xs.start)
+        a, b = offs[j], offs[j + 1]
+        pv[owner[j], ys, xs] = vals[a:b].reshape(shape)
+        pc[owner[j], ys, xs] = ok[a:b].reshape(shape)
+
+
 def focal_mean_halo_batches(n: int, r: int, cols: int, rows: int):
     """mapInArrow function: (tc, tr, t, halo) -> (tc, tr, t mean) where halo
     is the list of neighbour strips of the tile (may be empty)."""
@@ -132,15 +163,7 @@ def focal_mean_halo_batches(n: int, r: int, cols: int, rows: int):
             pc = np.zeros((k, w, w), dtype=bool)
             pv[:, r:r + n, r:r + n] = np.where(valid, vals, 0)
             pc[:, r:r + n, r:r + n] = valid
-            halo = b.column("halo").to_pylist()
-            for i, strips in enumerate(halo):
-                for s in strips or ():
-                    ys, xs = _place(s["oy"], n, r), _place(s["ox"], n, r)
-                    hh, ww = ys.stop - ys.start, xs.stop - xs.start
-                    arr = np.array([0 if z is None else z for z in s["s"]], dtype=vals.dtype).reshape(hh, ww)
-                    ok = np.array([z is not None for z in s["s"]], dtype=bool).reshape(hh, ww)
-                    pv[i, ys, xs] = arr
-                    pc[i, ys, xs] = ok
+            _place_strips(b.column("halo"), pv, pc, n, r)
             pcnt = pc.astype(np.int64)
             hv = sum(pv[:, :, d:d + n] for d in range(2 * r + 1))
             hc = sum(pcnt[:, :, d:d + n] for d in range(2 * r + 1))

@@ -48,6 +48,14 @@ def _runs(g: Georef, dims, zones: ZoneSet) -> DataFrame:
     return geo.runs(cross, dims[0] if dims else None)
 
 
+def _size_and_bounds(runs: DataFrame, y: str, xa: str, xb: str):
+    """One small job over the run table: its row count (the broadcast bound)
+    and the bounding box of all runs (used to prune the raster scan)."""
+    r = runs.agg(F.count(F.lit(1)).alias("k"), F.min(y).alias("y0"), F.max(y).alias("y1"),
+                 F.min(xa).alias("x0"), F.max(xb).alias("x1")).first()
+    return r.k, (r.x0, r.y0, r.x1, r.y1)
+
+
 def zone_cells(layer: Layer, zones: ZoneSet, bin_width: int = BIN_WIDTH,
                broadcast_max_runs: int = BROADCAST_MAX_RUNS) -> DataFrame:
     """Cells of every zone: ``(zone_set, zone_id, x, y, v)``."""
@@ -55,10 +63,16 @@ def zone_cells(layer: Layer, zones: ZoneSet, bin_width: int = BIN_WIDTH,
     r = zone_runs(layer, zones)
     rb = r.select("zone_set", "zone_id", F.col("y").alias("ry"), "xa", "xb",
                   F.explode(F.sequence(F.floor(F.col("xa") / b).cast("int"),
-                                         F.floor(F.col("xb") / b).cast("int"))).alias("rbin"))
-    n_runs = rb.count()
+                                       F.floor(F.col("xb") / b).cast("int"))).alias("rbin"))
+    n_runs, (x0, y0, x1, y1) = _size_and_bounds(rb, "ry", "xa", "xb")
+    cells = layer.df
+    if n_runs == 0:
+        return (cells.limit(0).select(F.lit(None).cast("string").alias("zone_set"),
+                                      F.lit(None).cast("string").alias("zone_id"), "x", "y", "v"))
+    # prune to the zones' bounding box (reaches parquet row-group statistics)
+    cells = cells.where(F.col("y").between(y0, y1) & F.col("x").between(x0, x1))
     side = F.broadcast(rb) if n_runs <= broadcast_max_runs else rb
-    cells = layer.df.select("x", "y", "v", F.floor(F.col("x") / b).cast("int").alias("xbin"))
+    cells = cells.select("x", "y", "v", F.floor(F.col("x") / b).cast("int").alias("xbin"))
     cond = ((cells["y"] == side["ry"]) & (cells["xbin"] == side["rbin"])
             & (cells["x"] >= side["xa"]) & (cells["x"] <= side["xb"]))
     return cells.join(side, cond).select("zone_set", "zone_id", "x", "y", "v")
@@ -108,9 +122,45 @@ def statistics_from_histogram(hist: DataFrame, zones: ZoneSet) -> DataFrame:
 
 
 def statistics(layer: Layer, zones: ZoneSet, **kw) -> DataFrame:
+    """Zone statistics. Integer rasters: exact, from the histogram.
+    Floating-point rasters: from the cells with mergeable aggregates (see
+    ``statistics_float``), since their histograms do not shrink."""
+    vt = layer.df.schema["v"].dataType.typeName()
+    if vt in ("double", "float", "decimal"):
+        return statistics_float(layer, zones, **kw)
     return statistics_from_histogram(histogram(layer, zones, **kw), zones)
 
 
+# Relative accuracy parameter of the approximate median on floating-point
+# rasters (percentile_approx's ``accuracy``; error is about 1/accuracy).
+MEDIAN_ACCURACY = 10_000
+
+
+def statistics_float(layer: Layer, zones: ZoneSet, **kw) -> DataFrame:
+    """Statistics of a floating-point raster per zone.
+
+    Every aggregate has a partial (map-side) form with bounded state, so a
+    zone holding a third of the raster is never gathered into one task:
+    count/min/max/sum, ``stddev_pop`` (mergeable moments), ``percentile_approx``
+    (a mergeable quantile sketch) for the median, and the mode from
+    ``max_by`` over the (zone, value) histogram.
+    """
+    z = zone_cells(layer, zones, **kw).where(F.col("v").isNotNull() & ~F.isnan("v"))
+    agg = z.groupBy("zone_set", "zone_id").agg(
+        F.count(F.lit(1)).alias("n"), F.min("v").alias("min"), F.max("v").alias("max"),
+        F.avg("v").alias("mean"),
+        F.percentile_approx("v", 0.5, MEDIAN_ACCURACY).cast("double").alias("median"),
+        F.stddev_pop("v").alias("stddev"))
+    h = z.groupBy("zone_set", "zone_id", "v").agg(F.count(F.lit(1)).alias("c"))
+    mode = h.groupBy("zone_set", "zone_id").agg(F.max_by("v", F.struct("c", -F.col("v"))).alias("mode"))
+    stats = agg.join(mode, ["zone_set", "zone_id"])
+    keys = zones.df.select("zone_set", "zone_id", "name", "zid")
+    out = keys.join(stats, ["zone_set", "zone_id"], "left")
+    return out.select("zone_set", "zone_id", "name", "zid",
+                      F.coalesce(F.col("n"), F.lit(0)).cast("bigint").alias("n"),
+                      "min", "max", "mean", "median", "mode", "stddev")
+
+
 def min_max_mean(layer: Layer, zones: ZoneSet, **kw) -> DataFrame:
     """The (min, max, mean) triple per feature id."""
     return statistics(layer, zones, **kw).select("zone_set", "zone_id", "min", "max", "mean")
@@ -142,8 +192,12 @@ def histogram_tiles(tl: TileLayer, zones: ZoneSet,
     """
     n = tl.tile_size
     pieces = zone_tile_pieces(tl, zones)
-    side = F.broadcast(pieces) if pieces.count() <= broadcast_max_runs else pieces
-    j = tl.df.join(side, ["tc", "tr"])
+    k, (tc0, tr0, tc1, tr1) = _size_and_bounds(pieces, "tr", "tc", "tc")
+    if k == 0:
+        return hist_empty(tl.df.sparkSession)
+    tiles = tl.df.where(F.col("tr").between(tr0, tr1) & F.col("tc").between(tc0, tc1))
+    side = F.broadcast(pieces) if k <= broadcast_max_runs else pieces
+    j = tiles.join(side, ["tc", "tr"])
     start = (F.col("y") - F.col("tr") * n) * n + (F.col("pa") - F.col("tc") * n) + 1
     vals = F.slice(F.col("t"), start, F.col("pb") - F.col("pa") + 1)
     c = j.select("zone_set", "zone_id", F.explode(vals).alias("v")).where(F.col("v").isNotNull())
@@ -152,3 +206,7 @@ def histogram_tiles(tl: TileLayer, zones: ZoneSet,
 
 def statistics_tiles(tl: TileLayer, zones: ZoneSet, **kw) -> DataFrame:
     return statistics_from_histogram(histogram_tiles(tl, zones, **kw), zones)
+
+
+def hist_empty(spark) -> DataFrame:
+    return spark.createDataFrame([], "zone_set string, zone_id string, v int, n bigint")

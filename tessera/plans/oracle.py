@@ -173,7 +173,7 @@ _KEYS, _EDGES = _zone_values()
 # Brute-force parity: a cell is inside a zone when an odd number of the zone's
 # edges cross its row centre at or left of its centre.
 _INSIDE = """SELECT e.zone_id, c.x, c.y, c.v
-FROM a c JOIN edges e
+FROM {grid} c JOIN edges e
   ON (e.y1 > c.y + 0.5::DOUBLE) <> (e.y2 > c.y + 0.5::DOUBLE)
  AND c.x + 0.5::DOUBLE >= e.x1 + (c.y + 0.5::DOUBLE - e.y1) * (e.x2 - e.x1) / (e.y2 - e.y1)
 GROUP BY e.zone_id, c.x, c.y, c.v HAVING count(*) % 2 = 1"""
@@ -191,13 +191,13 @@ FROM zkeys k LEFT JOIN (
   FROM hist h GROUP BY h.zone_id) s ON k.zone_id = s.zone_id{where}"""
 
 
-def _zonal(body: str, types: tuple[str, ...] = ("Polygon", "MultiPolygon")) -> str:
+def _zonal(body: str, types: tuple[str, ...] = ("Polygon", "MultiPolygon"), grid: str = "A") -> str:
     tlist = ", ".join(f"'{t}'" for t in types)
-    return with_ctes(body, ("A",), [
+    return with_ctes(body, (grid,), [
         ("zkeys", f"SELECT * FROM (VALUES\n  {_KEYS}) t(zone_id, name, zid, geom_type) WHERE geom_type IN ({tlist})"),
         ("edges", f"SELECT e.* FROM (VALUES\n  {_EDGES}) e(zone_id, x1, y1, x2, y2) "
                   f"JOIN zkeys USING (zone_id)"),
-        ("inside", _INSIDE),
+        ("inside", _INSIDE.format(grid=grid.lower())),
         ("hist", _HIST),
     ])
 
@@ -233,3 +233,7 @@ SQL["focal_mean_count_tiles"] = SQL["focal_mean_count"]
 SQL["focal_mean_tiles"] = with_grids(f"SELECT * FROM ({_focal(True)}) f WHERE v IS NOT NULL", "A")
 SQL["focal_mean_tiles_halo"] = with_grids(f"SELECT * FROM ({_focal(False)}) f WHERE v IS NOT NULL", "A")
 SQL["focal_mean_count_tiles_halo"] = SQL["focal_mean_count_halo"]
+SQL["zonal_min_max_mean_float"] = _zonal("""SELECT 'zones' AS zone_set, k.zone_id, coalesce(s.n, 0) AS n,
+  s.min, s.max, round(s.mean, 6) AS mean
+FROM zkeys k LEFT JOIN (SELECT zone_id, count(*) AS n, min(v) AS min, max(v) AS max, avg(v) AS mean
+  FROM inside WHERE v IS NOT NULL AND NOT isnan(v) GROUP BY zone_id) s ON k.zone_id = s.zone_id""", grid="C")

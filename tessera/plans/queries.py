@@ -271,6 +271,13 @@ def zonal_statistics_tiles(spark, sf):
     return zonal.statistics_tiles(zonal_grid(spark, sf).to_tiles(TILE), fixture_zones(spark))
 
 
+@query("zonal_min_max_mean_float")
+def zonal_min_max_mean_float(spark, sf):
+    c = grid_c(spark, sf)
+    st = zonal.statistics(Layer(c.df, c.name, Georef.pixel(GEOREF_A.srid)), fixture_zones(spark))
+    return st.select("zone_set", "zone_id", "n", "min", "max", F.round("mean", 6).alias("mean"))
+
+
 @query("zonal_cells")
 def zonal_cells(spark, sf):
     return zonal.zone_cells(zonal_grid(spark, sf), fixture_zones(spark))

@@ -202,3 +202,24 @@ def test_float_grid_layout(spark):
     assert t.df.count() == 4 * 32  # 64 x 500 raster, 16 x 16 tiles
     back = t.to_cells(keep_null=False).df
     assert back.exceptAll(c.df).count() == 0
+
+
+def test_float_zone_statistics_close_to_exact(spark):
+    c = grid_c(spark, SF0001)
+    lay = Layer(c.df, "C", Georef.pixel(4326))
+    zones = fixture_zones(spark)
+    st = {r.zone_id: r for r in zonal.statistics(lay, zones).collect()}
+    cells = zonal.zone_cells(lay, zones)
+    exact = {r.zone_id: r for r in cells.groupBy("zone_id").agg(
+        F.median("v").alias("med"), F.stddev_pop("v").alias("sd"), F.count("v").alias("n")).collect()}
+    for zid in ("p1", "m1"):
+        assert st[zid].n == exact[zid].n
+        assert st[zid].stddev == pytest.approx(exact[zid].sd, rel=1e-9)
+        assert abs(st[zid].median - exact[zid].med) <= 0.01 * (st[zid].max - st[zid].min)
+    assert st["p0"].n == 0
+
+
+def test_zone_cells_pruned_to_zone_box(spark):
+    lay, zones = zonal_grid(spark, SF001), fixture_zones(spark)
+    plan = zonal.zone_cells(lay, zones)._jdf.queryExecution().optimizedPlan().toString()
+    assert "y#" in plan and ">=" in plan  # bounding-box filter on the scan side
