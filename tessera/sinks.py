@@ -56,3 +56,23 @@ def write_tile_reports(layer: Layer, tiles: TileLayer, window_size: int, base: s
 def show(df: DataFrame, n: int = 20) -> None:
     """Print the first rows (display only)."""
     df.show(n, truncate=False)
+
+
+def save_tiles(tl: TileLayer, table: str, buckets: int, path: str | None = None,
+               mode: str = "overwrite") -> None:
+    """Store a tile layer as a table bucketed and sorted on the tile key.
+
+    Two rasters saved with the same layout and bucket count join on
+    ``(tc, tr)`` without any exchange (co-located buckets), which is what a
+    tile-wise add of two stored rasters needs at scale.
+    """
+    w = tl.df.select("tc", "tr", "t").write.mode(mode).bucketBy(buckets, "tc", "tr").sortBy("tc", "tr")
+    if path:
+        w = w.option("path", path)
+    w.saveAsTable(table)
+
+
+def load_tiles(spark, table: str, tile_size: int, name: str | None = None, georef=None) -> TileLayer:
+    """Read a tile table written by ``save_tiles`` (bucketing is kept)."""
+    from .layer import Georef
+    return TileLayer(spark.table(table), tile_size, name or table, georef or Georef())

@@ -56,3 +56,24 @@ def test_cache_uncache(spark):
     assert a.df.is_cached
     a.uncache()
     assert not a.df.is_cached
+
+
+def test_bucketed_tiles_add_without_exchange(spark, scratch):
+    from tessera.operators import local
+    from tessera.sources.grids import grid_b
+    a, b = grid_a(spark, SF0001), grid_b(spark, SF0001)
+    sinks.save_tiles(a.to_tiles(25), "tiles_a", 4, path=f"{scratch}/ta")
+    sinks.save_tiles(b.to_tiles(25), "tiles_b", 4, path=f"{scratch}/tb")
+    ta = sinks.load_tiles(spark, "tiles_a", 25, georef=a.georef)
+    tb = sinks.load_tiles(spark, "tiles_b", 25, georef=b.georef)
+    prev = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        s = local.add_tiles(ta, tb)
+        plan = s.df._jdf.queryExecution().executedPlan().toString()
+        assert "SortMergeJoin" in plan and "Exchange" not in plan
+        assert local.count_value_tiles(s, 32).first().n == 24
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", prev)
+        spark.sql("DROP TABLE IF EXISTS tiles_a")
+        spark.sql("DROP TABLE IF EXISTS tiles_b")
