@@ -223,3 +223,45 @@ def test_zone_cells_pruned_to_zone_box(spark):
     lay, zones = zonal_grid(spark, SF001), fixture_zones(spark)
     plan = zonal.zone_cells(lay, zones)._jdf.queryExecution().optimizedPlan().toString()
     assert "y#" in plan and ">=" in plan  # bounding-box filter on the scan side
+
+
+def _random_layer(spark, w, h, seed, kind="int", p_null=0.2):
+    import numpy as np
+    rng = np.random.default_rng(seed)
+    rows = []
+    for y in range(h):
+        for x in range(w):
+            if rng.random() < p_null:
+                v = None
+            elif kind == "int":
+                v = int(rng.integers(-50, 50))
+            else:
+                v = float(rng.integers(-400, 400)) / 8.0  # exact binary fractions
+            rows.append((x, y, v))
+    return cells(spark, rows, "int" if kind == "int" else "double")
+
+
+@pytest.mark.parametrize("kind,r,n", [("int", 1, 7), ("int", 2, 5), ("float", 1, 6), ("float", 3, 8)])
+def test_tile_focal_equals_cell_focal(spark, kind, r, n):
+    lay = _random_layer(spark, 23, 17, seed=r * 10 + n, kind=kind)
+    meta = lay.meta()
+    tiles = lay.to_tiles(n)
+    t_tile = focal.focal_mean_tiles(tiles, meta, r).to_cells(keep_null=False).df
+    c_tile = focal.focal_mean(lay, r, "tile", tile_size=n).df.where(F.col("v").isNotNull())
+    assert t_tile.exceptAll(c_tile).count() == 0 and c_tile.exceptAll(t_tile).count() == 0
+    t_halo = focal.focal_mean_tiles_halo(tiles, meta, r).to_cells(keep_null=False).df
+    c_halo = focal.focal_mean(lay, r, "halo", block=n).df.where(F.col("v").isNotNull())
+    assert t_halo.exceptAll(c_halo).count() == 0 and c_halo.exceptAll(t_halo).count() == 0
+
+
+def test_zonal_tiles_equals_cells_random(spark, scratch):
+    lay = _random_layer(spark, 40, 30, seed=3)
+    feats = [_poly("a", [[[1.2, 0.5], [30.7, 3.3], [22.1, 27.9], [2.5, 20.0], [1.2, 0.5]],
+                         [[8, 8], [14, 8], [14, 14], [8, 14], [8, 8]]]),
+             _poly("b", [[[[20, 10], [39.5, 10], [39.5, 29.5], [20, 10]]], [[[0, 25], [5, 25], [5, 29], [0, 25]]]],
+                   kind="MultiPolygon")]
+    z = read_zones(spark, _zone_file(f"{scratch}/r.geojson", feats))
+    for n in (4, 9, 64):
+        a = zonal.histogram_tiles(lay.to_tiles(n), z, broadcast_max_runs=0 if n == 9 else 10**6)
+        b = zonal.histogram(lay, z, bin_width=5)
+        assert a.exceptAll(b).count() == 0 and b.exceptAll(a).count() == 0
