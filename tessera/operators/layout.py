@@ -72,8 +72,10 @@ def tile_extent(tl: TileLayer) -> DataFrame:
 
 
 def tile_extent_size_text(tl: TileLayer) -> DataFrame:
-    """``Extent(xmin,ymin,xmax,ymax),size`` per tile (one text line per tile)."""
-    e = tile_extent(tl).join(tl.df.select("tc", "tr", F.size("t").alias("size")), ["tc", "tr"])
+    """``Extent(xmin,ymin,xmax,ymax),size`` per tile (one text line per tile);
+    one projection over the tile table."""
+    ext = tile_extent_cols(F.col("tc"), F.col("tr"), tl.tile_size, tl.georef)
+    e = tl.df.select("tc", "tr", *ext, F.size("t").alias("size"))
     return e.select("tc", "tr", F.concat(
         F.lit("Extent("), F.concat_ws(",", *[F.col(c).cast("string") for c in ("xmin", "ymin", "xmax", "ymax")]),
         F.lit("),"), F.col("size").cast("string")).alias("line"))
@@ -102,6 +104,10 @@ def windows(layer: Layer, size: int, mode: str = "chunk") -> DataFrame:
     s = F.lit(size)
     w = m.select("cols", "rows",
                  F.explode(F.sequence(F.lit(0), F.ceil(F.col("cols") / s).cast("int") - 1)).alias("wc"))
+    # spread the window columns over tasks before the second explode, so no
+    # single task generates the whole window grid of a large raster
+    parts = max(1, layer.df.sparkSession.sparkContext.defaultParallelism)
+    w = w.repartition(parts, "wc")
     w = w.select("cols", "rows", "wc",
                  F.explode(F.sequence(F.lit(0), F.ceil(F.col("rows") / s).cast("int") - 1)).alias("wr"))
     win_x = F.col("wc") * size
