@@ -61,6 +61,11 @@ class LayerMeta:
     cells: int
     data_cells: int
 
+    @staticmethod
+    def from_dims(cols: int, rows: int) -> "LayerMeta":
+        """Metadata known from a file header (data cells not counted: -1)."""
+        return LayerMeta(0, cols - 1, 0, rows - 1, cols * rows, -1)
+
     @property
     def cols(self) -> int:
         return self.xmax + 1

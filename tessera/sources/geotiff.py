@@ -8,9 +8,11 @@ store paths work), decode them with numpy and yield Arrow record batches.
 
 Options:
 
-* ``form``: ``cells`` (default; ``x, y, v``) or ``windows``
+* ``form``: ``cells`` (default; ``x, y, v``), ``windows``
   (``win_x, win_y, cols, rows, t`` with ``t`` the row-major window cells,
-  the analogue of an untiled raster RDD of (extent, tile) pairs);
+  the analogue of an untiled raster RDD of (extent, tile) pairs), or
+  ``tiles`` with option ``tile_size`` n: ``tc, tr, t`` layout tiles of n x n
+  cells padded with NULL, read straight from the file (no retile shuffle);
 * ``chunk``: windows of at most chunk x chunk cells, clipped to the raster;
 * ``max_tile``: the same grid, but a raster with both sides within the limit
   is read whole;
@@ -202,6 +204,17 @@ class WindowGroup(InputPartition):
         self.path, self.header, self.windows, self.ox, self.oy = path, header, windows, ox, oy
 
 
+def check_tile_alignment(headers, offsets, mosaic, n: int) -> None:
+    """Tiles straight from files need every file to start on the n-grid and
+    to cover whole tiles except at the mosaic's right and bottom edge."""
+    cols, rows = mosaic[5], mosaic[6]
+    for h, (ox, oy) in zip(headers, offsets):
+        if ox % n or oy % n:
+            raise ValueError(f"{h.path}: offset ({ox}, {oy}) is not on the {n}-cell tile grid")
+        if (h.width % n and ox + h.width != cols) or (h.height % n and oy + h.height != rows):
+            raise ValueError(f"{h.path}: size {h.width}x{h.height} splits a {n}-cell tile")
+
+
 def mosaic_offsets(headers: list[TiffHeader]) -> tuple[list[tuple[int, int]], tuple]:
     """Cell offset of every file relative to the top-left file; all files
     must share cell size and srid. Returns offsets and (x0, y0, dx, dy, srid,
@@ -272,13 +285,17 @@ class GeoTiffReader(DataSourceReader):
         self.paths = _expand(options["path"])
         self.form = options.get("form", "cells")
         self.chunk = int(options["chunk"]) if "chunk" in options else None
+        if self.form == "tiles":
+            self.chunk = int(options["tile_size"])
         self.max_tile = int(options["max_tile"]) if "max_tile" in options else None
         self.schema = schema
 
     def partitions(self):
         parts = []
         headers = [read_header(p) for p in self.paths]
-        offsets, _ = mosaic_offsets(headers)
+        offsets, mosaic = mosaic_offsets(headers)
+        if self.form == "tiles":
+            check_tile_alignment(headers, offsets, mosaic, self.chunk)
         for p, h, (ox, oy) in zip(self.paths, headers, offsets):
             wins = window_grid(h, self.chunk, self.max_tile)
             group, cells = [], 0
@@ -301,7 +318,22 @@ class GeoTiffReader(DataSourceReader):
                 x, y, w, r = win
                 a = read_window(f, h, win, cache)
                 vals = _masked(h, a)
-                if self.form == "windows":
+                if self.form == "tiles":
+                    n = self.chunk
+                    if w != n or r != n:  # edge tile: pad to n x n with NoData
+                        full = np.zeros((n, n), dtype=a.dtype)
+                        full[:r, :w] = a
+                        a = full
+                        vals = _masked(h, a)
+                        pad = np.ones((n, n), dtype=bool)
+                        pad[:r, :w] = False
+                        vals = pa.array(vals.to_numpy(zero_copy_only=False), type=vals.type,
+                                        mask=np.asarray(vals.is_null().to_numpy(zero_copy_only=False)) | pad.reshape(-1))
+                    offs = pa.array([0, n * n], type=pa.int32())
+                    yield pa.RecordBatch.from_arrays(
+                        [pa.array([(x + part.ox) // n], pa.int32()), pa.array([(y + part.oy) // n], pa.int32()),
+                         pa.ListArray.from_arrays(offs, vals)], names=["tc", "tr", "t"])
+                elif self.form == "windows":
                     offs = pa.array([0, w * r], type=pa.int32())
                     t = pa.ListArray.from_arrays(offs, vals)
                     yield pa.RecordBatch.from_arrays(
@@ -352,6 +384,9 @@ class GeoTiffDataSource(DataSource):
     def schema(self):
         h = read_header(_expand(self.options["path"])[0])
         vt = h.spark_type()
+        if self.options.get("form", "cells") == "tiles":
+            return StructType([StructField("tc", IntegerType()), StructField("tr", IntegerType()),
+                               StructField("t", ArrayType(vt))])
         if self.options.get("form", "cells") == "windows":
             return StructType([StructField("path", StringType()), StructField("win_x", IntegerType()),
                                StructField("win_y", IntegerType()), StructField("cols", IntegerType()),
@@ -386,3 +421,16 @@ def read_geotiff(spark, path: str, name: str | None = None, chunk: int | None =
         return df
     _, (x0, y0, dx, dy, srid, cols, rows) = mosaic_offsets([read_header(p) for p in _expand(path)])
     return Layer(df, name or path.rstrip("/").split("/")[-1], Georef(x0, y0, dx, dy, srid), (cols, rows))
+
+
+def read_geotiff_tiles(spark, path: str, tile_size: int, name: str | None = None):
+    """GeoTIFF straight into a ``TileLayer`` on an n x n layout: each task
+    reads its aligned windows and pads edge tiles, so no shuffle is needed.
+    Returns (tile layer, layer metadata from the header: cols, rows)."""
+    from ..layer import Georef, LayerMeta, TileLayer
+    register(spark)
+    df = (spark.read.format("geotiff").option("form", "tiles").option("tile_size", str(tile_size))
+          .load(path))
+    _, (x0, y0, dx, dy, srid, cols, rows) = mosaic_offsets([read_header(p) for p in _expand(path)])
+    tl = TileLayer(df, tile_size, name or path.rstrip("/").split("/")[-1], Georef(x0, y0, dx, dy, srid))
+    return tl, LayerMeta.from_dims(cols, rows)

@@ -109,3 +109,32 @@ def test_grid_a_as_geotiff_matches_parquet(spark, scratch):
     f1 = focal.focal_mean(lay, 1, "tile", tile_size=25).df
     f2 = focal.focal_mean(a, 1, "tile", tile_size=25).df
     assert f1.exceptAll(f2).count() == 0 and f2.exceptAll(f1).count() == 0
+
+
+@pytest.mark.parametrize("n,kw", [(16, dict(tile=16, deflate=True)), (10, dict(rows_per_strip=7)),
+                                  (25, dict(tile=32))])
+def test_tiles_form_equals_retile(spark, scratch, arr, n, kw):
+    p = write_tiff(f"{scratch}/t.tif", arr, nodata=0, **kw)
+    tl, meta = gt.read_geotiff_tiles(spark, p, n)
+    assert (meta.cols, meta.rows) == (53, 37)
+    ref = gt.read_geotiff(spark, p).to_tiles(n).df
+    got = tl.df
+    assert got.exceptAll(ref).count() == 0 and ref.exceptAll(got).count() == 0
+    plan = local.count_value_tiles(tl, 5)
+    ex = plan._jdf.queryExecution().executedPlan().toString()
+    assert ex.count("Exchange") == 1  # only the final single-row aggregate
+    want = int((arr == 5).sum())
+    assert plan.first().n == want
+
+
+def test_tiles_form_mosaic_alignment(spark, scratch, arr):
+    import os
+    d = f"{scratch}/tm"
+    os.makedirs(d)
+    write_tiff(f"{d}/l.tif", arr[:, :32], georef=(0.0, 10.0, 1.0, 1.0), tile=16)
+    write_tiff(f"{d}/r.tif", arr[:, 32:], georef=(32.0, 10.0, 1.0, 1.0), rows_per_strip=5)
+    tl, meta = gt.read_geotiff_tiles(spark, d, 16)
+    ref = gt.read_geotiff(spark, d).to_tiles(16).df
+    assert tl.df.exceptAll(ref).count() == 0 and ref.exceptAll(tl.df).count() == 0
+    with pytest.raises(Exception, match="tile grid|splits"):
+        gt.read_geotiff_tiles(spark, d, 10)[0].df.count()
