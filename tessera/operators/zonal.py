@@ -88,6 +88,13 @@ def _dec(c: Column) -> Column:
     return c.cast("decimal(38,0)")
 
 
+def _zone_key_rows(zones: ZoneSet, value_type) -> DataFrame:
+    """One row per zone with no value (n = 0): unioned into per-zone
+    aggregates so zones without data cells survive without a join."""
+    return zones.df.select("zone_set", "zone_id", "name", "zid",
+                           F.lit(None).cast(value_type).alias("v"), F.lit(0).cast("bigint").alias("n"))
+
+
 def statistics_from_histogram(hist: DataFrame, zones: ZoneSet) -> DataFrame:
     """Per zone: n, min, max, mean, median, mode, stddev (population).
 
@@ -96,10 +103,16 @@ def statistics_from_histogram(hist: DataFrame, zones: ZoneSet) -> DataFrame:
     * mode: most frequent value, the smallest on ties;
     * stddev from integer moments: sqrt((n*S2 - S1^2) / n^2).
 
-    Zones with no data cell are kept with n = 0 and NULL statistics.
+    Zones with no data cell are kept with n = 0 and NULL statistics: their key
+    rows are unioned into the histogram, so one aggregate (no join) does it.
     """
+    vt = hist.schema["v"].dataType
+    h = hist.select("zone_set", "zone_id", F.lit(None).cast("string").alias("name"),
+                    F.lit(None).cast("int").alias("zid"), "v", F.col("n").cast("bigint").alias("n"))
+    u = h.unionByName(_zone_key_rows(zones, vt))
     v, n = F.col("v"), F.col("n")
-    s = hist.groupBy("zone_set", "zone_id").agg(
+    s = u.groupBy("zone_set", "zone_id").agg(
+        F.max("name").alias("name"), F.max("zid").alias("zid"),
         F.sum(n).alias("n"), F.min(v).alias("min"), F.max(v).alias("max"),
         F.sum(v.cast("bigint") * n).alias("s1"),
         F.sum(_dec(v) * _dec(v) * _dec(n)).alias("s2"),
@@ -108,17 +121,12 @@ def statistics_from_histogram(hist: DataFrame, zones: ZoneSet) -> DataFrame:
     )
     cnt = F.col("n")
     var_num = (_dec(cnt) * _dec(F.col("s2")) - _dec(F.col("s1")) * _dec(F.col("s1"))).cast("double")
-    stats = s.select(
-        "zone_set", "zone_id", "n", "min", "max",
-        (F.col("s1").cast("double") / cnt.cast("double")).alias("mean"),
+    return s.select(
+        "zone_set", "zone_id", "name", "zid", cnt.cast("bigint").alias("n"), "min", "max",
+        F.when(cnt > 0, F.col("s1").cast("double") / cnt.cast("double")).alias("mean"),
         F.col("median").cast("double").alias("median"), "mode",
-        F.sqrt(var_num / (cnt.cast("double") * cnt.cast("double"))).alias("stddev"),
+        F.when(cnt > 0, F.sqrt(var_num / (cnt.cast("double") * cnt.cast("double")))).alias("stddev"),
     )
-    keys = zones.df.select("zone_set", "zone_id", "name", "zid")
-    out = keys.join(stats, ["zone_set", "zone_id"], "left")
-    return out.select("zone_set", "zone_id", "name", "zid",
-                      F.coalesce(F.col("n"), F.lit(0)).cast("bigint").alias("n"),
-                      "min", "max", "mean", "median", "mode", "stddev")
 
 
 def statistics(layer: Layer, zones: ZoneSet, **kw) -> DataFrame:
@@ -141,9 +149,10 @@ def statistics_float(layer: Layer, zones: ZoneSet, **kw) -> DataFrame:
 
     Every aggregate has a partial (map-side) form with bounded state, so a
     zone holding a third of the raster is never gathered into one task:
-    count/min/max/sum, ``stddev_pop`` (mergeable moments), ``percentile_approx``
+    count/min/max/avg, ``stddev_pop`` (mergeable moments), ``percentile_approx``
     (a mergeable quantile sketch) for the median, and the mode from
-    ``max_by`` over the (zone, value) histogram.
+    ``max_by`` over the (zone, value) histogram. The per-zone results and
+    the zone keys are merged by one union + aggregate instead of joins.
     """
     z = zone_cells(layer, zones, **kw).where(F.col("v").isNotNull() & ~F.isnan("v"))
     agg = z.groupBy("zone_set", "zone_id").agg(
@@ -153,12 +162,19 @@ def statistics_float(layer: Layer, zones: ZoneSet, **kw) -> DataFrame:
         F.stddev_pop("v").alias("stddev"))
     h = z.groupBy("zone_set", "zone_id", "v").agg(F.count(F.lit(1)).alias("c"))
     mode = h.groupBy("zone_set", "zone_id").agg(F.max_by("v", F.struct("c", -F.col("v"))).alias("mode"))
-    stats = agg.join(mode, ["zone_set", "zone_id"])
+    cols = {"name": "string", "zid": "int", "n": "bigint", "min": "double", "max": "double",
+            "mean": "double", "median": "double", "mode": "double", "stddev": "double"}
+
+    def widen(df):
+        return df.select("zone_set", "zone_id", *[
+            (F.col(c).cast(t) if c in df.columns else F.lit(None).cast(t)).alias(c) for c, t in cols.items()])
+
     keys = zones.df.select("zone_set", "zone_id", "name", "zid")
-    out = keys.join(stats, ["zone_set", "zone_id"], "left")
-    return out.select("zone_set", "zone_id", "name", "zid",
-                      F.coalesce(F.col("n"), F.lit(0)).cast("bigint").alias("n"),
-                      "min", "max", "mean", "median", "mode", "stddev")
+    u = widen(agg).unionByName(widen(mode)).unionByName(widen(keys))
+    m = u.groupBy("zone_set", "zone_id").agg(*[F.max(c).alias(c) for c in cols])
+    return m.select("zone_set", "zone_id", "name", "zid",
+                    F.coalesce(F.col("n"), F.lit(0)).cast("bigint").alias("n"),
+                    "min", "max", "mean", "median", "mode", "stddev")
 
 
 def min_max_mean(layer: Layer, zones: ZoneSet, **kw) -> DataFrame:

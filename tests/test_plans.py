@@ -1,0 +1,28 @@
+"""Physical-plan checks over every registered query."""
+
+import pytest
+
+import __spark_entry__ as entry
+from conftest import SF001
+
+FORBIDDEN = ("CartesianProduct", "BroadcastNestedLoopJoin", "BatchEvalPython", "ArrowEvalPython")
+
+
+@pytest.mark.parametrize("name", list(entry.queries()))
+def test_no_nested_loop_or_row_udf(spark, name):
+    df = entry.queries()[name](spark, SF001)
+    plan = df._jdf.queryExecution().executedPlan().toString()
+    bad = [f for f in FORBIDDEN if f in plan]
+    assert not bad, f"{name}: {bad}"
+
+
+def test_focal_cell_plan_single_exchange(spark):
+    df = entry.queries()["focal_mean_halo"](spark, SF001)
+    plan = df._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("Exchange") == 1
+
+
+def test_zonal_histogram_partial_aggregation(spark):
+    df = entry.queries()["zonal_histogram"](spark, SF001)
+    plan = df._jdf.queryExecution().executedPlan().toString()
+    assert "partial_count" in plan and "BroadcastHashJoin" in plan
