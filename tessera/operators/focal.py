@@ -153,3 +153,8 @@ def count_truncated_tiles(tl: TileLayer, a: int) -> DataFrame:
     """Cells of a double tile layer whose truncated value equals ``a``."""
     per_tile = F.size(F.filter(F.col("t"), lambda m: m.cast("int") == F.lit(a)))
     return tl.df.agg(F.coalesce(F.sum(per_tile), F.lit(0)).cast("bigint").alias("n"))
+
+
+def corner_sample_tiles(tl: TileLayer, k: int = 5) -> DataFrame:
+    """Upper-left cell of each tile (``t[0]``), first k tiles by (tr, tc)."""
+    return tl.df.select("tc", "tr", F.element_at("t", 1).alias("v")).orderBy("tr", "tc").limit(k)

@@ -124,3 +124,20 @@ def add_tiles(a: TileLayer, b: TileLayer) -> TileLayer:
     r = b.df.select("tc", "tr", F.col("t").alias("tb"))
     j = l.join(r, ["tc", "tr"], "inner")
     return a.with_df(j.select("tc", "tr", tf.tile_add(F.col("ta"), F.col("tb")).alias("t")))
+
+
+def add_n_tiles(layers: list[TileLayer]) -> TileLayer:
+    """Tile-wise sum of n rasters in one shuffle: union, group by tile key,
+    fold the arrays element-wise. Tiles missing from any raster are dropped."""
+    if not layers:
+        raise ValueError("add_n_tiles needs at least one layer")
+    if len({l.tile_size for l in layers}) > 1:
+        raise ValueError("tile layouts differ")
+    if len({l.georef.srid for l in layers}) > 1:
+        raise ValueError("srid mismatch")
+    k = len(layers)
+    u = reduce(DataFrame.unionByName, [l.df.select("tc", "tr", "t") for l in layers])
+    g = u.groupBy("tc", "tr").agg(F.collect_list("t").alias("ts"))
+    summed = F.aggregate(F.slice("ts", 2, k), F.col("ts")[0], lambda acc, t: tf.tile_add(acc, t))
+    out = g.where(F.size("ts") == k).select("tc", "tr", summed.alias("t"))
+    return layers[0].with_df(out)

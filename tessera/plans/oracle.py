@@ -237,3 +237,6 @@ SQL["zonal_min_max_mean_float"] = _zonal("""SELECT 'zones' AS zone_set, k.zone_i
   s.min, s.max, round(s.mean, 6) AS mean
 FROM zkeys k LEFT JOIN (SELECT zone_id, count(*) AS n, min(v) AS min, max(v) AS max, avg(v) AS mean
   FROM inside WHERE v IS NOT NULL AND NOT isnan(v) GROUP BY zone_id) s ON k.zone_id = s.zone_id""", grid="C")
+SQL["raster_add_n_tiles"] = with_grids("""SELECT a.x, a.y, a.v + b.v + a.v AS v
+FROM a JOIN b ON a.x = b.x AND a.y = b.y WHERE a.v + b.v + a.v IS NOT NULL""", "A", "B")
+SQL["corner_sample_tiles"] = SQL["corner_sample"]

@@ -164,6 +164,13 @@ def raster_add_n(spark, sf):
     return local.add_n([grid_a(spark, sf), grid_b(spark, sf), grid_a(spark, sf)]).df
 
 
+@query("raster_add_n_tiles")
+def raster_add_n_tiles(spark, sf):
+    a, b = grid_a(spark, sf), grid_b(spark, sf)
+    s = local.add_n_tiles([a.to_tiles(TILE), b.to_tiles(TILE), a.to_tiles(TILE)])
+    return s.to_cells(keep_null=False).df
+
+
 # ------------------------------------------------------------ focal
 
 # Block size of the seamless (halo) plan; a partitioning device only, chosen
@@ -215,6 +222,12 @@ def focal_mean_count_tiles_halo(spark, sf):
     return focal.count_truncated_tiles(focal.focal_mean_tiles_halo(a.to_tiles(TILE), a.meta(), 1), VALUE)
 
 
+@query("corner_sample_tiles")
+def corner_sample_tiles(spark, sf):
+    a = grid_a(spark, sf)
+    return focal.corner_sample_tiles(focal.focal_mean_tiles(a.to_tiles(TILE), a.meta(), 1), 5)
+
+
 @query("corner_sample")
 def corner_sample(spark, sf):
     return focal.corner_sample(focal.focal_mean(grid_a(spark, sf), 1, "tile", tile_size=TILE), TILE, 5)

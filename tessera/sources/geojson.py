@@ -81,6 +81,10 @@ def read_zones(spark: SparkSession, path: str, zone_set: str = "zones", srid: in
                lines: bool = False, validate: bool = True) -> ZoneSet:
     """Scan a GeoJSON file (or folder of files) into a ``ZoneSet``.
 
+    Large vector sets are best stored one Feature per line (``lines=True``):
+    those files split across tasks, while a FeatureCollection file is parsed
+    whole by one task.
+
     ``validate`` runs one small job over the zone table: feature ids must be
     present and unique (a duplicate raises).
     """
@@ -89,6 +93,9 @@ def read_zones(spark: SparkSession, path: str, zone_set: str = "zones", srid: in
     else:
         coll = spark.read.schema(COLLECTION).option("multiLine", True).json(path)
         feats = coll.select(F.explode("features").alias("f")).select("f.*")
+        # a FeatureCollection file is parsed by one task; spread its features
+        # so edge and crossing generation run in parallel (one small shuffle)
+        feats = feats.repartition(max(1, spark.sparkContext.defaultParallelism))
     zones = ZoneSet(features_to_zones(feats, zone_set), zone_set, srid)
     if validate:
         check_ids(zones.df)

@@ -265,3 +265,15 @@ def test_zonal_tiles_equals_cells_random(spark, scratch):
         a = zonal.histogram_tiles(lay.to_tiles(n), z, broadcast_max_runs=0 if n == 9 else 10**6)
         b = zonal.histogram(lay, z, bin_width=5)
         assert a.exceptAll(b).count() == 0 and b.exceptAll(a).count() == 0
+
+
+def test_numeric_feature_ids_and_missing_ids(spark, scratch):
+    sq = [[[0, 0], [3, 0], [3, 3], [0, 3], [0, 0]]]
+    f1 = _poly("x", sq)
+    f1["id"] = 7
+    z = read_zones(spark, _zone_file(f"{scratch}/n.geojson", [f1]))
+    assert [r.zone_id for r in z.df.collect()] == ["7"]
+    f2 = _poly("y", sq)
+    del f2["id"]
+    with pytest.raises(ValueError, match="present and unique"):
+        read_zones(spark, _zone_file(f"{scratch}/m.geojson", [f2]))
