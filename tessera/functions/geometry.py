@@ -27,25 +27,29 @@ def closed(ring: Column) -> Column:
     return F.when(ring[0] == ring[F.size(ring) - 1], ring).otherwise(F.concat(ring, F.array(ring[0])))
 
 
-def zone_edges(zones: DataFrame, col_of, row_of) -> DataFrame:
+ZONE_KEYS = ("zone_set", "zone_id")
+
+
+def zone_edges(zones: DataFrame, col_of, row_of, keys=ZONE_KEYS) -> DataFrame:
     """One row per ring edge in cell space: zone keys + (x1, y1, x2, y2).
 
     ``col_of`` / ``row_of`` map map-X / map-Y columns to fractional cell
     column / row (the layer's inverse georeference).
     """
-    parts = zones.select("zone_set", "zone_id", F.explode("geom").alias("part"))
-    rings = parts.select("zone_set", "zone_id", F.explode("part").alias("ring"))
-    rings = rings.select("zone_set", "zone_id", closed(F.col("ring")).alias("ring"))
-    segs = rings.select("zone_set", "zone_id", F.explode(F.transform(
+    keys = list(keys)
+    parts = zones.select(*keys, F.explode("geom").alias("part"))
+    rings = parts.select(*keys, F.explode("part").alias("ring"))
+    rings = rings.select(*keys, closed(F.col("ring")).alias("ring"))
+    segs = rings.select(*keys, F.explode(F.transform(
         F.sequence(F.lit(0), F.size("ring") - 2),
         lambda i: F.struct(F.col("ring")[i][0].alias("X1"), F.col("ring")[i][1].alias("Y1"),
                            F.col("ring")[i + 1][0].alias("X2"), F.col("ring")[i + 1][1].alias("Y2")))).alias("s"))
-    return segs.select("zone_set", "zone_id",
+    return segs.select(*keys,
                        col_of(F.col("s.X1")).alias("x1"), row_of(F.col("s.Y1")).alias("y1"),
                        col_of(F.col("s.X2")).alias("x2"), row_of(F.col("s.Y2")).alias("y2"))
 
 
-def crossings(edges: DataFrame, rows: int | None = None) -> DataFrame:
+def crossings(edges: DataFrame, rows: int | None = None, keys=ZONE_KEYS) -> DataFrame:
     """(zone, y, xc): where each non-horizontal edge crosses row centre y+.5.
 
     Rows are limited to [0, rows) when the raster height is known, so the
@@ -58,25 +62,26 @@ def crossings(edges: DataFrame, rows: int | None = None) -> DataFrame:
     if rows is not None:
         hi = F.least(hi, F.lit(rows - 1))
     e = e.select("*", lo.cast("int").alias("ylo"), hi.cast("int").alias("yhi")).where(F.col("ylo") <= F.col("yhi"))
-    c = e.select("zone_set", "zone_id", "x1", "y1", "x2", "y2",
-                 F.explode(F.sequence("ylo", "yhi")).alias("y"))
+    keys = list(keys)
+    c = e.select(*keys, "x1", "y1", "x2", "y2", F.explode(F.sequence("ylo", "yhi")).alias("y"))
     yc = F.col("y") + F.lit(HALF)
     c = c.where((F.col("y1") > yc) != (F.col("y2") > yc))
     xc = F.col("x1") + (yc - F.col("y1")) * (F.col("x2") - F.col("x1")) / (F.col("y2") - F.col("y1"))
-    return c.select("zone_set", "zone_id", "y", xc.alias("xc"))
+    return c.select(*keys, "y", xc.alias("xc"))
 
 
-def runs(cross: DataFrame, cols: int | None = None) -> DataFrame:
+def runs(cross: DataFrame, cols: int | None = None, keys=ZONE_KEYS) -> DataFrame:
     """Pair sorted crossings per (zone, row) into inclusive cell runs [xa, xb]."""
-    w = Window.partitionBy("zone_set", "zone_id", "y").orderBy("xc")
-    p = cross.select("zone_set", "zone_id", "y", "xc",
+    keys = list(keys)
+    w = Window.partitionBy(*keys, "y").orderBy("xc")
+    p = cross.select(*keys, "y", "xc",
                      F.row_number().over(w).alias("k"), F.lead("xc").over(w).alias("xn"))
     p = p.where((F.col("k") % 2 == 1) & F.col("xn").isNotNull())
     xa = F.greatest(F.ceil(F.col("xc") - HALF), F.lit(0))
     xb = F.ceil(F.col("xn") - HALF) - 1
     if cols is not None:
         xb = F.least(xb, F.lit(cols - 1))
-    r = p.select("zone_set", "zone_id", "y", xa.cast("int").alias("xa"), xb.cast("int").alias("xb"))
+    r = p.select(*keys, "y", xa.cast("int").alias("xa"), xb.cast("int").alias("xb"))
     return r.where(F.col("xa") <= F.col("xb"))
 
 

@@ -37,25 +37,42 @@ COLLECTION = T.StructType([
     T.StructField("features", T.ArrayType(FEATURE)),
 ])
 
+# FeatureCollection files above this size get their features spread over tasks.
+SPREAD_BYTES = 64 << 20
+
 POLYGON = "array<array<array<double>>>"
 MULTIPOLYGON = "array<array<array<array<double>>>>"
 
 
 @dataclass
 class ZoneSet:
-    """Zones as a table: zone_set, zone_id, name, zid, geom_type, geom."""
+    """Zones as a table: zone_set, zone_id, zk, name, zid, geom_type, geom.
+
+    ``zk`` is a 64-bit hash of (zone_set, zone_id): the narrow key the raster
+    side joins and aggregates on (checked collision-free by ``check_ids``).
+    ``max_zones`` is an upper bound of the zone count when known (from the
+    validation job); it bounds what is broadcast per zone.
+    """
 
     df: DataFrame
     name: str = "zones"
     srid: int = 4326
+    max_zones: int | None = None
 
     def polygons(self) -> "ZoneSet":
         """Only the Polygon features."""
-        return ZoneSet(self.df.where(F.col("geom_type") == "Polygon"), self.name, self.srid)
+        return ZoneSet(self.df.where(F.col("geom_type") == "Polygon"), self.name, self.srid, self.max_zones)
 
     def multipolygons(self) -> "ZoneSet":
         """Only the MultiPolygon features."""
-        return ZoneSet(self.df.where(F.col("geom_type") == "MultiPolygon"), self.name, self.srid)
+        return ZoneSet(self.df.where(F.col("geom_type") == "MultiPolygon"), self.name, self.srid,
+                       self.max_zones)
+
+    def zone_count_bound(self) -> int:
+        """Upper bound of the zone count (one small job when not yet known)."""
+        if self.max_zones is None:
+            self.max_zones = self.df.count()
+        return self.max_zones
 
     def lookup(self, zone_id: str) -> DataFrame:
         """One feature by id (a filter, not a driver-side map)."""
@@ -71,6 +88,7 @@ def features_to_zones(features: DataFrame, zone_set: str) -> DataFrame:
     return (features.where(gtype.isin("Polygon", "MultiPolygon"))
             .select(F.lit(zone_set).alias("zone_set"),
                     F.col("id").alias("zone_id"),
+                    F.xxhash64(F.lit(zone_set), F.col("id")).alias("zk"),
                     F.col("properties.NAME").alias("name"),
                     F.col("properties.ID").alias("zid"),
                     gtype.alias("geom_type"),
@@ -93,18 +111,42 @@ def read_zones(spark: SparkSession, path: str, zone_set: str = "zones", srid: in
     else:
         coll = spark.read.schema(COLLECTION).option("multiLine", True).json(path)
         feats = coll.select(F.explode("features").alias("f")).select("f.*")
-        # a FeatureCollection file is parsed by one task; spread its features
-        # so edge and crossing generation run in parallel (one small shuffle)
-        feats = feats.repartition(max(1, spark.sparkContext.defaultParallelism))
+        # a FeatureCollection file is parsed by one task; when it is large,
+        # spread its features so edge and crossing generation run in parallel
+        if _total_bytes(path) > SPREAD_BYTES:
+            feats = feats.repartition(max(1, spark.sparkContext.defaultParallelism))
     zones = ZoneSet(features_to_zones(feats, zone_set), zone_set, srid)
     if validate:
-        check_ids(zones.df)
+        zones.max_zones = check_ids(zones.df)
     return zones
 
 
-def check_ids(zones: DataFrame) -> None:
-    bad = (zones.groupBy("zone_set", "zone_id").agg(F.count(F.lit(1)).alias("k"))
-           .where(F.col("zone_id").isNull() | (F.col("k") > 1)).limit(3).collect())
-    if bad:
-        raise ValueError(f"zone ids must be present and unique; offending: "
-                         f"{[(r.zone_id, r.k) for r in bad]}")
+def _total_bytes(path: str) -> int:
+    """Size of a file or of the files in a folder (metadata only)."""
+    from pyarrow import fs
+    f, p = fs.FileSystem.from_uri(path) if "://" in path else (fs.LocalFileSystem(), path)
+    info = f.get_file_info(p)
+    if info.type == fs.FileType.Directory:
+        return sum(i.size or 0 for i in f.get_file_info(fs.FileSelector(p, recursive=True)))
+    return info.size or 0
+
+
+def check_ids(zones: DataFrame) -> int:
+    """Feature ids must be present and unique, and their hash keys distinct.
+    One small job; returns the zone count."""
+    per_key = zones.groupBy("zk").agg(
+        F.count(F.lit(1)).alias("k"),
+        F.count_distinct("zone_set", "zone_id").alias("ids"),
+        F.count(F.when(F.col("zone_id").isNull(), 1)).alias("nulls"))
+    r = per_key.agg(F.sum("k").alias("total"), F.max("k").alias("maxk"),
+                    F.max("ids").alias("maxids"), F.sum("nulls").alias("nulls")).first()
+    if r.total is None:
+        return 0
+    if r.nulls or r.maxk > 1:
+        bad = (zones.groupBy("zone_set", "zone_id").agg(F.count(F.lit(1)).alias("k"))
+               .where(F.col("zone_id").isNull() | (F.col("k") > 1)).take(3))
+        if r.nulls or bad:
+            raise ValueError(f"zone ids must be present and unique; offending: "
+                             f"{[(b.zone_id, b.k) for b in bad]}")
+        raise ValueError("zone key hash collision; rename one of the colliding zones")
+    return int(r.total)

@@ -277,3 +277,12 @@ def test_numeric_feature_ids_and_missing_ids(spark, scratch):
     del f2["id"]
     with pytest.raises(ValueError, match="present and unique"):
         read_zones(spark, _zone_file(f"{scratch}/m.geojson", [f2]))
+
+
+def test_zone_key_collision_detected(spark):
+    from tessera.sources.geojson import check_ids
+    z = fixture_zones(spark).df
+    forced = z.withColumn("zk", F.lit(42).cast("bigint"))
+    with pytest.raises(ValueError, match="collision"):
+        check_ids(forced)
+    assert check_ids(z) == 3
