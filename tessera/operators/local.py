@@ -36,13 +36,6 @@ def reclassify(layer: Layer, old, new, other=tf.RECLASS_OTHER, keep_nodata: bool
     return layer.with_df(layer.df.select("x", "y", e.alias("v")))
 
 
-def value_counts(layer: Layer, values) -> DataFrame:
-    """One row with ``n_<value>`` columns: counts of several values in one pass."""
-    aggs = [F.count(F.when(F.col("v") == F.lit(val), 1)).alias(f"n_{str(val).replace('-', 'm')}")
-            for val in values]
-    return layer.df.agg(*aggs)
-
-
 def reclassify_count(layer: Layer, old, new, other=tf.RECLASS_OTHER) -> DataFrame:
     """Reclassify, then count the new value and the fallback value (one pass)."""
     r = reclassify(layer, old, new, other)

@@ -7,7 +7,7 @@ pre-projected copy per coordinate system; no reprojection is done).
 
 from __future__ import annotations
 
-from dataclasses import dataclass
+from dataclasses import astuple, dataclass, is_dataclass
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -49,8 +49,7 @@ class VectorRecord:
 
 
 def _catalog(spark: SparkSession, rows, schema: T.StructType) -> DataFrame:
-    df = spark.createDataFrame([tuple(r) if isinstance(r, (tuple, list)) else tuple(r.__dict__.values())
-                                for r in rows], schema)
+    df = spark.createDataFrame([astuple(r) if is_dataclass(r) else tuple(r) for r in rows], schema)
     return df.withColumn("srid", F.coalesce(F.col("srid"), F.lit(DEFAULT_SRID)))
 
 

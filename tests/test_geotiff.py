@@ -38,6 +38,8 @@ def arr():
     dict(tile=16, deflate=True, predictor=2),
     dict(tile=16, big_endian=True),
     dict(rows_per_strip=3, deflate=True, predictor=2, big_endian=True),
+    dict(tile=16, deflate=True, bigtiff=True),
+    dict(rows_per_strip=6, bigtiff=True, big_endian=True),
 ])
 def test_encodings(spark, scratch, arr, kw):
     p = write_tiff(f"{scratch}/a.tif", arr, nodata=0, georef=(10.0, 50.0, 0.5, 0.25), epsg=5070, **kw)

@@ -7,7 +7,7 @@ import numpy as np
 
 
 def write_tiff(path, a, *, tile=None, rows_per_strip=None, deflate=False, predictor=1,
-               nodata=None, georef=None, epsg=None, big_endian=False, compression=None):
+               nodata=None, georef=None, epsg=None, big_endian=False, compression=None, bigtiff=False):
     a = np.asarray(a)
     h, w = a.shape
     bo = ">" if big_endian else "<"
@@ -46,18 +46,19 @@ def write_tiff(path, a, *, tile=None, rows_per_strip=None, deflate=False, predic
         tags[33922] = (12, [0.0, 0.0, 0.0, x0, y0, 0.0])
     if epsg:
         tags[34735] = (3, [1, 1, 0, 1, 3072, 0, 1, epsg])
-    data_off = 8
+    data_off = 16 if bigtiff else 8
     offsets = []
     for b in blobs:
         offsets.append(data_off)
         data_off += len(b)
-    tags[324 if tile else 273] = (4, offsets)
-    tags[325 if tile else 279] = (4, [len(b) for b in blobs])
-    fmt = {2: "s", 3: "H", 4: "I", 12: "d"}
-    size = {2: 1, 3: 2, 4: 4, 12: 8}
+    off_type = 16 if bigtiff else 4
+    tags[324 if tile else 273] = (off_type, offsets)
+    tags[325 if tile else 279] = (off_type, [len(b) for b in blobs])
+    fmt = {2: "s", 3: "H", 4: "I", 12: "d", 16: "Q"}
+    ent, cnt_fmt, inline, nfmt = (20, "Q", 8, "Q") if bigtiff else (12, "I", 4, "H")
     ifd_off = data_off + (data_off % 2)
     entries, extra = [], b""
-    extra_off = ifd_off + 2 + 12 * len(tags) + 4
+    extra_off = ifd_off + struct.calcsize(bo + nfmt) + ent * len(tags) + inline
     for tag in sorted(tags):
         typ, vals = tags[tag]
         if typ == 2:
@@ -66,16 +67,19 @@ def write_tiff(path, a, *, tile=None, rows_per_strip=None, deflate=False, predic
         else:
             payload = struct.pack(bo + fmt[typ] * len(vals), *vals)
             cnt = len(vals)
-        if len(payload) <= 4:
-            field = payload.ljust(4, b"\0")
+        if len(payload) <= inline:
+            field = payload.ljust(inline, b"\0")
         else:
-            field = struct.pack(bo + "I", extra_off + len(extra))
+            field = struct.pack(bo + cnt_fmt, extra_off + len(extra))
             extra += payload + (b"\0" if len(payload) % 2 else b"")
-        entries.append(struct.pack(bo + "HHI", tag, typ, cnt) + field)
+        entries.append(struct.pack(bo + "HH" + cnt_fmt, tag, typ, cnt) + field)
     with open(path, "wb") as f:
-        f.write((b"MM" if big_endian else b"II") + struct.pack(bo + "HI", 42, ifd_off))
+        if bigtiff:
+            f.write((b"MM" if big_endian else b"II") + struct.pack(bo + "HHHQ", 43, 8, 0, ifd_off))
+        else:
+            f.write((b"MM" if big_endian else b"II") + struct.pack(bo + "HI", 42, ifd_off))
         for b in blobs:
             f.write(b)
         f.write(b"\0" * (ifd_off - data_off))
-        f.write(struct.pack(bo + "H", len(tags)) + b"".join(entries) + struct.pack(bo + "I", 0) + extra)
+        f.write(struct.pack(bo + nfmt, len(tags)) + b"".join(entries) + struct.pack(bo + cnt_fmt, 0) + extra)
     return path
