@@ -51,6 +51,7 @@ COMPRESSION_NONE, COMPRESSION_DEFLATE = (1,), (8, 32946)
 DEFAULT_SRID = 4326
 HEADER_PROBE = 1 << 16
 TARGET_CELLS_PER_PARTITION = 1 << 24
+SEGMENT_CACHE_BYTES = 256 << 20
 
 
 def _open(path: str):
@@ -251,7 +252,25 @@ def _decode(h: TiffHeader, buf: bytes) -> np.ndarray:
     return a
 
 
-def read_window(f, h: TiffHeader, win, cache: dict) -> np.ndarray:
+class SegmentCache:
+    """Decoded segments of one task, oldest evicted beyond a byte budget, so
+    windows narrower than a strip do not decode the same strip again."""
+
+    def __init__(self, budget: int = SEGMENT_CACHE_BYTES):
+        self.budget, self.used, self.items = budget, 0, {}
+
+    def get(self, idx):
+        return self.items.get(idx)
+
+    def put(self, idx, seg: np.ndarray) -> None:
+        self.items[idx] = seg
+        self.used += seg.nbytes
+        while self.used > self.budget and len(self.items) > 1:
+            old = next(iter(self.items))
+            self.used -= self.items.pop(old).nbytes
+
+
+def read_window(f, h: TiffHeader, win, cache: SegmentCache) -> np.ndarray:
     """Cells of one window as a 2-D array (rows, cols), native dtype."""
     x, y, w, r = win
     out = np.empty((r, w), dtype=np.dtype(h.dtype).newbyteorder("="))
@@ -259,8 +278,7 @@ def read_window(f, h: TiffHeader, win, cache: dict) -> np.ndarray:
         seg = cache.get(idx)
         if seg is None:
             seg = _decode(h, f.read_at(h.counts[idx], h.offsets[idx]))
-            cache.clear()  # keep one segment: windows are visited in order
-            cache[idx] = seg
+            cache.put(idx, seg)
         ys, ye = max(y, sy0), min(y + r, sy0 + seg.shape[0], h.height)
         xs, xe = max(x, sx0), min(x + w, sx0 + h.seg_w, h.width)
         out[ys - y:ye - y, xs - x:xe - x] = seg[ys - sy0:ye - sy0, xs - sx0:xe - sx0]
@@ -289,6 +307,24 @@ class GeoTiffReader(DataSourceReader):
             self.chunk = int(options["tile_size"])
         self.max_tile = int(options["max_tile"]) if "max_tile" in options else None
         self.schema = schema
+        self.target = int(options.get("cells_per_partition", TARGET_CELLS_PER_PARTITION))
+        self.bounds: dict[str, list] = {}
+
+    def _keep(self, win, ox: int, oy: int) -> bool:
+        """Window overlaps the pushed ranges (cell or tile coordinates)."""
+        if not self.bounds:
+            return True
+        x, y, w, r = win
+        if self.form == "tiles":
+            n = self.chunk
+            spans = {"tc": ((x + ox) // n, (x + ox) // n), "tr": ((y + oy) // n, (y + oy) // n)}
+        else:
+            spans = {"x": (x + ox, x + ox + w - 1), "y": (y + oy, y + oy + r - 1)}
+        for c, (lo, hi) in self.bounds.items():
+            a, b = spans.get(c, (lo, hi))
+            if (lo is not None and b < lo) or (hi is not None and a > hi):
+                return False
+        return True
 
     def partitions(self):
         parts = []
@@ -297,12 +333,12 @@ class GeoTiffReader(DataSourceReader):
         if self.form == "tiles":
             check_tile_alignment(headers, offsets, mosaic, self.chunk)
         for p, h, (ox, oy) in zip(self.paths, headers, offsets):
-            wins = window_grid(h, self.chunk, self.max_tile)
+            wins = [w for w in window_grid(h, self.chunk, self.max_tile) if self._keep(w, ox, oy)]
             group, cells = [], 0
             for win in wins:
                 group.append(win)
                 cells += win[2] * win[3]
-                if cells >= TARGET_CELLS_PER_PARTITION:
+                if cells >= self.target:
                     parts.append(WindowGroup(p, _slim(h, group), group, ox, oy))
                     group, cells = [], 0
             if group:
@@ -312,7 +348,7 @@ class GeoTiffReader(DataSourceReader):
     def read(self, part: WindowGroup):
         import pyarrow as pa
         h = part.header
-        cache: dict = {}
+        cache = SegmentCache()
         with _open(part.path) as f:
             for win in part.windows:
                 x, y, w, r = win
@@ -348,6 +384,29 @@ class GeoTiffReader(DataSourceReader):
                         [pa.array(xs), pa.array(ys), vals], names=["x", "y", "v"])
 
 
+class GeoTiffPushdownReader(GeoTiffReader):
+    """Reader that also takes range filters on x / y (cells) or tc / tr
+    (tiles) to skip windows at planning time. Every filter is handed back to
+    Spark as well, so the pushdown only prunes and never decides results.
+    Used when the session enables ``spark.sql.python.filterPushdown.enabled``."""
+
+    def pushFilters(self, filters):
+        from pyspark.sql.datasource import (EqualTo, GreaterThan, GreaterThanOrEqual, LessThan,
+                                            LessThanOrEqual)
+        cols = ("tc", "tr") if self.form == "tiles" else ("x", "y")
+        for f in filters:
+            a = getattr(f, "attribute", None)
+            v = getattr(f, "value", None)
+            if a and len(a) == 1 and a[0] in cols and isinstance(v, (int, float)) and not isinstance(v, bool):
+                lo, hi = self.bounds.setdefault(a[0], [None, None])
+                if isinstance(f, (GreaterThan, GreaterThanOrEqual, EqualTo)):
+                    lo = v if lo is None else max(lo, v)
+                if isinstance(f, (LessThan, LessThanOrEqual, EqualTo)):
+                    hi = v if hi is None else min(hi, v)
+                self.bounds[a[0]] = [lo, hi]
+        return list(filters)
+
+
 def _slim(h: TiffHeader, windows) -> TiffHeader:
     """Header copy with only the segment offsets the windows need."""
     need = sorted({i for win in windows for i, _, _ in _segments(h, win)})
@@ -395,9 +454,16 @@ class GeoTiffDataSource(DataSource):
                            StructField("v", vt)])
 
     def reader(self, schema: StructType):
+        if self.options.get("pushdown", "false") == "true" and self.options.get("form", "cells") != "windows":
+            return GeoTiffPushdownReader(self.options, schema)
         return GeoTiffReader(self.options, schema)
 
 
+def _pushdown(spark) -> str:
+    on = str(spark.conf.get("spark.sql.python.filterPushdown.enabled", "false")).lower() == "true"
+    return "true" if on else "false"
+
+
 def register(spark) -> None:
     spark.dataSource.register(GeoTiffDataSource)
 
@@ -411,7 +477,7 @@ def read_geotiff(spark, path: str, name: str | None = None, chunk: int | None =
     """
     from ..layer import Georef, Layer
     register(spark)
-    r = spark.read.format("geotiff").option("form", form)
+    r = spark.read.format("geotiff").option("form", form).option("pushdown", _pushdown(spark))
     if chunk:
         r = r.option("chunk", str(chunk))
     if max_tile:
@@ -430,7 +496,7 @@ def read_geotiff_tiles(spark, path: str, tile_size: int, name: str | None = None
     from ..layer import Georef, LayerMeta, TileLayer
     register(spark)
     df = (spark.read.format("geotiff").option("form", "tiles").option("tile_size", str(tile_size))
-          .load(path))
+          .option("pushdown", _pushdown(spark)).load(path))
     _, (x0, y0, dx, dy, srid, cols, rows) = mosaic_offsets([read_header(p) for p in _expand(path)])
     tl = TileLayer(df, tile_size, name or path.rstrip("/").split("/")[-1], Georef(x0, y0, dx, dy, srid))
     return tl, LayerMeta.from_dims(cols, rows)

@@ -140,3 +140,25 @@ def test_tiles_form_mosaic_alignment(spark, scratch, arr):
     assert tl.df.exceptAll(ref).count() == 0 and ref.exceptAll(tl.df).count() == 0
     with pytest.raises(Exception, match="tile grid|splits"):
         gt.read_geotiff_tiles(spark, d, 10)[0].df.count()
+
+
+def test_window_pruning_with_pushdown(spark, scratch, arr):
+    p = write_tiff(f"{scratch}/pr.tif", arr, tile=16, deflate=True)
+    key = "spark.sql.python.filterPushdown.enabled"
+    prev = spark.conf.get(key, "false")
+    try:
+        for flag in ("false", "true"):
+            spark.conf.set(key, flag)
+            gt.register(spark)
+            df = (spark.read.format("geotiff").option("chunk", "8").option("cells_per_partition", "1")
+                  .option("pushdown", gt._pushdown(spark)).load(p))
+            q = df.where((F.col("y") >= 9) & (F.col("y") <= 15) & (F.col("x") < 8))
+            got = {(r.x, r.y): r.v for r in q.collect()}
+            want = {k: v for k, v in _expect(arr).items() if 9 <= k[1] <= 15 and k[0] < 8}
+            assert got == want
+            parts = q.rdd.getNumPartitions()
+            assert parts == (2 if flag == "true" else 7 * 5)  # windows 8x8 of a 53x37 raster
+        tl, _ = gt.read_geotiff_tiles(spark, p, 16)
+        assert tl.df.where(F.col("tr") == 1).count() == 4
+    finally:
+        spark.conf.set(key, prev)
