@@ -74,8 +74,8 @@ class TiffHeader:
     seg_w: int                 # segment (tile or strip) width
     seg_h: int                 # segment height
     tiled: bool
-    offsets: list[int] = field(repr=False)
-    counts: list[int] = field(repr=False)
+    offsets: list[int] | dict[int, int] = field(repr=False)   # by segment index
+    counts: list[int] | dict[int, int] = field(repr=False)
     nodata: float | None = None
     x0: float = 0.0
     y0: float = 0.0
@@ -285,17 +285,29 @@ def read_window(f, h: TiffHeader, win, cache: SegmentCache) -> np.ndarray:
     return out
 
 
-def _masked(h: TiffHeader, a: np.ndarray):
+def _arrow_type(a: np.ndarray):
     import pyarrow as pa
-    t = pa.float64() if a.dtype.kind == "f" else (pa.int64() if a.dtype == np.uint32 else pa.int32())
-    flat = a.reshape(-1)
-    mask = None
-    if h.nodata is not None:
-        mask = flat == np.asarray(h.nodata).astype(flat.dtype) if a.dtype.kind != "f" else np.isclose(flat, h.nodata)
+    return pa.float64() if a.dtype.kind == "f" else (pa.int64() if a.dtype == np.uint32 else pa.int32())
+
+
+def _nodata_mask(h: TiffHeader, a: np.ndarray) -> np.ndarray:
+    """True where a cell is NoData (the file's nodata value, or NaN)."""
     if a.dtype.kind == "f":
-        nan = np.isnan(flat)
-        mask = nan if mask is None else (mask | nan)
-    return pa.array(flat.astype(t.to_pandas_dtype()), type=t, mask=mask)
+        m = np.isnan(a)
+        if h.nodata is not None:
+            m |= np.isclose(a, h.nodata)
+        return m
+    if h.nodata is not None:
+        return a == np.asarray(h.nodata).astype(a.dtype)
+    return np.zeros(a.shape, dtype=bool)
+
+
+def _masked(h: TiffHeader, a: np.ndarray, mask: np.ndarray | None = None):
+    """Arrow array of a window's cells with NoData as null."""
+    import pyarrow as pa
+    t = _arrow_type(a)
+    m = _nodata_mask(h, a) if mask is None else mask
+    return pa.array(a.reshape(-1).astype(t.to_pandas_dtype()), type=t, mask=m.reshape(-1))
 
 
 class GeoTiffReader(DataSourceReader):
@@ -353,25 +365,20 @@ class GeoTiffReader(DataSourceReader):
             for win in part.windows:
                 x, y, w, r = win
                 a = read_window(f, h, win, cache)
-                vals = _masked(h, a)
                 if self.form == "tiles":
                     n = self.chunk
-                    if w != n or r != n:  # edge tile: pad to n x n with NoData
-                        full = np.zeros((n, n), dtype=a.dtype)
-                        full[:r, :w] = a
-                        a = full
-                        vals = _masked(h, a)
-                        pad = np.ones((n, n), dtype=bool)
-                        pad[:r, :w] = False
-                        vals = pa.array(vals.to_numpy(zero_copy_only=False), type=vals.type,
-                                        mask=np.asarray(vals.is_null().to_numpy(zero_copy_only=False)) | pad.reshape(-1))
+                    full = np.zeros((n, n), dtype=a.dtype)
+                    full[:r, :w] = a
+                    mask = np.ones((n, n), dtype=bool)  # padding beyond the raster is NoData
+                    mask[:r, :w] = _nodata_mask(h, a)
+                    vals = _masked(h, full, mask)
                     offs = pa.array([0, n * n], type=pa.int32())
                     yield pa.RecordBatch.from_arrays(
                         [pa.array([(x + part.ox) // n], pa.int32()), pa.array([(y + part.oy) // n], pa.int32()),
                          pa.ListArray.from_arrays(offs, vals)], names=["tc", "tr", "t"])
                 elif self.form == "windows":
                     offs = pa.array([0, w * r], type=pa.int32())
-                    t = pa.ListArray.from_arrays(offs, vals)
+                    t = pa.ListArray.from_arrays(offs, _masked(h, a))
                     yield pa.RecordBatch.from_arrays(
                         [pa.array([part.path]), pa.array([x + part.ox], pa.int32()),
                          pa.array([y + part.oy], pa.int32()),
@@ -381,7 +388,7 @@ class GeoTiffReader(DataSourceReader):
                     xs = np.tile(np.arange(x + part.ox, x + part.ox + w, dtype=np.int32), r)
                     ys = np.repeat(np.arange(y + part.oy, y + part.oy + r, dtype=np.int32), w)
                     yield pa.RecordBatch.from_arrays(
-                        [pa.array(xs), pa.array(ys), vals], names=["x", "y", "v"])
+                        [pa.array(xs), pa.array(ys), _masked(h, a)], names=["x", "y", "v"])
 
 
 class GeoTiffPushdownReader(GeoTiffReader):
@@ -408,13 +415,11 @@ class GeoTiffPushdownReader(GeoTiffReader):
 
 
 def _slim(h: TiffHeader, windows) -> TiffHeader:
-    """Header copy with only the segment offsets the windows need."""
-    need = sorted({i for win in windows for i, _, _ in _segments(h, win)})
-    offs = [0] * (max(need) + 1)
-    cnts = [0] * (max(need) + 1)
-    for i in need:
-        offs[i], cnts[i] = h.offsets[i], h.counts[i]
-    return TiffHeader(**{**h.__dict__, "offsets": offs, "counts": cnts})
+    """Header copy with only the segment offsets the windows need (a dict by
+    segment index, so a partition carries a few entries, not the file's)."""
+    need = {i for win in windows for i, _, _ in _segments(h, win)}
+    return TiffHeader(**{**h.__dict__, "offsets": {i: h.offsets[i] for i in need},
+                         "counts": {i: h.counts[i] for i in need}})
 
 
 def _expand(path: str) -> list[str]:
