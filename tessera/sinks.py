@@ -76,3 +76,18 @@ def load_tiles(spark, table: str, tile_size: int, name: str | None = None, geore
     """Read a tile table written by ``save_tiles`` (bucketing is kept)."""
     from .layer import Georef
     return TileLayer(spark.table(table), tile_size, name or table, georef or Georef())
+
+
+def save_cells(layer: Layer, path: str, partitions: int | None = None, mode: str = "overwrite") -> None:
+    """Store a cell table range-partitioned and sorted by (y, x).
+
+    Each file then covers a band of rows and each parquet row group a narrow
+    y range, so filters on y (a zonal query's bounding box, a window) skip
+    files and row groups from their min/max statistics.
+    """
+    df = layer.df.select("x", "y", "v")
+    if partitions:
+        df = df.repartitionByRange(partitions, "y", "x")
+    else:
+        df = df.repartitionByRange("y", "x")
+    df.sortWithinPartitions("y", "x").write.mode(mode).parquet(path)

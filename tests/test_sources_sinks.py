@@ -77,3 +77,25 @@ def test_bucketed_tiles_add_without_exchange(spark, scratch):
         spark.conf.set("spark.sql.autoBroadcastJoinThreshold", prev)
         spark.sql("DROP TABLE IF EXISTS tiles_a")
         spark.sql("DROP TABLE IF EXISTS tiles_b")
+
+
+def test_save_cells_sorted_row_groups(spark, scratch):
+    import glob
+
+    import pyarrow.parquet as pq
+    a = grid_a(spark, "/root/testdata/sf0.01")
+    sinks.save_cells(a, f"{scratch}/cells", partitions=4)
+    files = sorted(glob.glob(f"{scratch}/cells/*.parquet"))
+    ranges = []
+    for f in files:
+        md = pq.ParquetFile(f).metadata
+        col = [i for i in range(md.num_columns) if md.schema.column(i).name == "y"][0]
+        for g in range(md.num_row_groups):
+            s = md.row_group(g).column(col).statistics
+            ranges.append((s.min, s.max))
+    ranges.sort()
+    # files cover disjoint row bands
+    assert all(ranges[i][1] <= ranges[i + 1][0] for i in range(len(ranges) - 1))
+    lay = read_cells(spark, f"{scratch}/cells", "A")
+    assert lay.df.count() == 15000
+    assert lay.df.where("y between 20 and 30").count() == 1100
