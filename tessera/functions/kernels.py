@@ -44,12 +44,20 @@ def box_sums(vals: np.ndarray, valid: np.ndarray, r: int):
     return sv, sc
 
 
-def focal_mean_batches(n: int, r: int, cols: int, rows: int):
+def _inside(tc, tr, n: int, bounds) -> np.ndarray:
+    """(k, n, n) mask of cells within the raster bounds (xmin, xmax, ymin, ymax)."""
+    xmin, xmax, ymin, ymax = bounds
+    idx = np.arange(n)
+    gx = tc[:, None, None] * n + idx[None, None, :]
+    gy = tr[:, None, None] * n + idx[None, :, None]
+    return (gx >= xmin) & (gx <= xmax) & (gy >= ymin) & (gy <= ymax)
+
+
+def focal_mean_batches(n: int, r: int, bounds):
     """mapInArrow function: (tc, tr, t) -> (tc, tr, t mean as double)."""
 
     def run(batches):
         import pyarrow as pa
-        idx = np.arange(n)
         for b in batches:
             if b.num_rows == 0:
                 continue
@@ -59,8 +67,7 @@ def focal_mean_batches(n: int, r: int, cols: int, rows: int):
             s, c = box_sums(vals, valid, r)
             with np.errstate(invalid="ignore", divide="ignore"):
                 mean = s.astype(np.float64) / c.astype(np.float64)
-            inside = ((tc[:, None, None] * n + idx[None, None, :]) < cols) & \
-                     ((tr[:, None, None] * n + idx[None, :, None]) < rows)
+            inside = _inside(tc, tr, n, bounds)
             ok = inside & (c > 0)
             k = b.num_rows
             values = pa.array(mean.reshape(-1), type=pa.float64(), mask=~ok.reshape(-1))
@@ -146,13 +153,12 @@ def _place_strips(halo, pv: np.ndarray, pc: np.ndarray, n: int, r: int) -> None:
         pc[owner[j], ys, xs] = ok[a:b].reshape(shape)
 
 
-def focal_mean_halo_batches(n: int, r: int, cols: int, rows: int):
+def focal_mean_halo_batches(n: int, r: int, bounds):
     """mapInArrow function: (tc, tr, t, halo) -> (tc, tr, t mean) where halo
     is the list of neighbour strips of the tile (may be empty)."""
 
     def run(batches):
         import pyarrow as pa
-        idx = np.arange(n)
         w = n + 2 * r
         for b in batches:
             if b.num_rows == 0:
@@ -173,8 +179,7 @@ def focal_mean_halo_batches(n: int, r: int, cols: int, rows: int):
                 mean = sv.astype(np.float64) / sc.astype(np.float64)
             tc = b.column("tc").to_numpy()
             tr = b.column("tr").to_numpy()
-            inside = ((tc[:, None, None] * n + idx[None, None, :]) < cols) & \
-                     ((tr[:, None, None] * n + idx[None, :, None]) < rows)
+            inside = _inside(tc, tr, n, bounds)
             ok = inside & (sc > 0)
             values = pa.array(mean.reshape(-1), type=pa.float64(), mask=~ok.reshape(-1))
             offsets = pa.array(np.arange(0, (k + 1) * n * n, n * n, dtype=np.int32))

@@ -58,12 +58,14 @@ def reclass_expr(v: Column, old, new, other=RECLASS_OTHER, keep_nodata: bool = F
     return e
 
 
-def tile_reclass(t: Column, tc: Column, tr: Column, n: int, cols: int, rows: int,
+def tile_reclass(t: Column, tc: Column, tr: Column, n: int, bounds,
                  old, new, other=RECLASS_OTHER, keep_nodata: bool = False) -> Column:
     """Reclassify every cell of a tile; padding outside the raster stays NULL."""
 
     def cell(v, i):
-        outside = ((tc * n + i % n) >= cols) | ((tr * n + F.floor(i / n)) >= rows)
+        xmin, xmax, ymin, ymax = bounds
+        gx, gy = tc * n + i % n, tr * n + F.floor(i / n)
+        outside = (gx < xmin) | (gx > xmax) | (gy < ymin) | (gy > ymax)
         return F.when(outside, F.lit(None)).otherwise(reclass_expr(v, old, new, other, keep_nodata))
 
     return F.transform(t, cell)

@@ -66,6 +66,11 @@ class LayerMeta:
         """Metadata known from a file header (data cells not counted: -1)."""
         return LayerMeta(0, cols - 1, 0, rows - 1, cols * rows, -1)
 
+    @property
+    def bounds(self) -> tuple[int, int, int, int]:
+        """(xmin, xmax, ymin, ymax) of the cells."""
+        return (self.xmin, self.xmax, self.ymin, self.ymax)
+
     @property
     def cols(self) -> int:
         return self.xmax + 1

@@ -125,7 +125,7 @@ def focal_mean_tiles(tl: TileLayer, meta: LayerMeta, radius: int = 1) -> TileLay
     """
     n = tl.tile_size
     schema = "tc int, tr int, t array<double>"
-    fn = kernels.focal_mean_batches(n, radius, meta.cols, meta.rows)
+    fn = kernels.focal_mean_batches(n, radius, meta.bounds)
     return tl.with_df(tl.df.select("tc", "tr", "t").mapInArrow(fn, schema))
 
 
@@ -145,7 +145,7 @@ def focal_mean_tiles_halo(tl: TileLayer, meta: LayerMeta, radius: int = 1) -> Ti
         kernels.halo_strips(n, radius), f"tc int, tr int, ox int, oy int, s array<{vt}>")
     halo = strips.groupBy("tc", "tr").agg(F.collect_list(F.struct("ox", "oy", "s")).alias("halo"))
     j = tl.df.select("tc", "tr", "t").join(halo, ["tc", "tr"], "left")
-    fn = kernels.focal_mean_halo_batches(n, radius, meta.cols, meta.rows)
+    fn = kernels.focal_mean_halo_batches(n, radius, meta.bounds)
     return tl.with_df(j.mapInArrow(fn, "tc int, tr int, t array<double>"))
 
 

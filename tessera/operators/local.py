@@ -94,7 +94,7 @@ def count_value_by_tile_tiles(tl: TileLayer, a) -> DataFrame:
 def reclassify_tiles(tl: TileLayer, meta: LayerMeta, old, new,
                      other=tf.RECLASS_OTHER, keep_nodata: bool = False) -> TileLayer:
     e = tf.tile_reclass(F.col("t"), F.col("tc"), F.col("tr"), tl.tile_size,
-                        meta.cols, meta.rows, old, new, other, keep_nodata)
+                        meta.bounds, old, new, other, keep_nodata)
     return tl.with_df(tl.df.select("tc", "tr", e.alias("t")))
 
 

@@ -286,3 +286,16 @@ def test_zone_key_collision_detected(spark):
     with pytest.raises(ValueError, match="collision"):
         check_ids(forced)
     assert check_ids(z) == 3
+
+
+def test_tile_ops_mask_outside_bounds_not_starting_at_origin(spark):
+    rows = [(x, y, (x + y) % 3) for x in range(5, 12) for y in range(3, 9)]
+    lay = cells(spark, rows)
+    meta = lay.meta()
+    assert meta.bounds == (5, 11, 3, 8)
+    t = lay.to_tiles(4)
+    r = local.reclassify_tiles(t, meta, 1, 100).to_cells(keep_null=False).df
+    assert r.count() == len(rows)
+    f = focal.focal_mean_tiles(t, meta, 1).to_cells(keep_null=False).df
+    c = focal.focal_mean(lay, 1, "tile", tile_size=4).df
+    assert f.exceptAll(c).count() == 0 and c.exceptAll(f).count() == 0
