@@ -36,7 +36,12 @@ def box_sums(vals: np.ndarray, valid: np.ndarray, r: int):
     pc = np.zeros((k, w, w), dtype=np.int64)
     pv[:, r:r + n, r:r + n] = v
     pc[:, r:r + n, r:r + n] = c
-    # separable: rows, then columns
+    return padded_box_sums(pv, pc, n, r)
+
+
+def padded_box_sums(pv: np.ndarray, pc: np.ndarray, n: int, r: int):
+    """Box sums over (k, n+2r, n+2r) padded value and count blocks, separable:
+    row sums, then column sums of those; returns (k, n, n) arrays."""
     hv = sum(pv[:, :, d:d + n] for d in range(2 * r + 1))
     hc = sum(pc[:, :, d:d + n] for d in range(2 * r + 1))
     sv = sum(hv[:, d:d + n, :] for d in range(2 * r + 1))
@@ -170,11 +175,7 @@ def focal_mean_halo_batches(n: int, r: int, bounds):
             pv[:, r:r + n, r:r + n] = np.where(valid, vals, 0)
             pc[:, r:r + n, r:r + n] = valid
             _place_strips(b.column("halo"), pv, pc, n, r)
-            pcnt = pc.astype(np.int64)
-            hv = sum(pv[:, :, d:d + n] for d in range(2 * r + 1))
-            hc = sum(pcnt[:, :, d:d + n] for d in range(2 * r + 1))
-            sv = sum(hv[:, d:d + n, :] for d in range(2 * r + 1))
-            sc = sum(hc[:, d:d + n, :] for d in range(2 * r + 1))
+            sv, sc = padded_box_sums(pv, pc.astype(np.int64), n, r)
             with np.errstate(invalid="ignore", divide="ignore"):
                 mean = sv.astype(np.float64) / sc.astype(np.float64)
             tc = b.column("tc").to_numpy()
