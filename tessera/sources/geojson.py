@@ -117,10 +117,28 @@ def read_zones(spark: SparkSession, path: str, zone_set: str = "zones", srid: in
             feats = feats.repartition(max(1, spark.sparkContext.defaultParallelism))
     zones = ZoneSet(features_to_zones(feats, zone_set), zone_set, srid)
     if validate:
-        zones.max_zones = check_ids(zones.df)
+        stamp = (path, zone_set, lines, _fingerprint(path))
+        if stamp not in _VALIDATED:
+            _VALIDATED[stamp] = check_ids(zones.df)
+        zones.max_zones = _VALIDATED[stamp]
     return zones
 
 
+# Validation results of unchanged zone files (path, size, modification time):
+# re-reading the same file skips the id-check job.
+_VALIDATED: dict = {}
+
+
+def _fingerprint(path: str):
+    from pyarrow import fs
+    f, p = fs.FileSystem.from_uri(path) if "://" in path else (fs.LocalFileSystem(), path)
+    info = f.get_file_info(p)
+    if info.type == fs.FileType.Directory:
+        infos = f.get_file_info(fs.FileSelector(p, recursive=True))
+        return tuple(sorted((i.path, i.size, i.mtime_ns) for i in infos))
+    return (info.size, info.mtime_ns)
+
+
 def _total_bytes(path: str) -> int:
     """Size of a file or of the files in a folder (metadata only)."""
     from pyarrow import fs
