@@ -99,3 +99,10 @@ def test_save_cells_sorted_row_groups(spark, scratch):
     lay = read_cells(spark, f"{scratch}/cells", "A")
     assert lay.df.count() == 15000
     assert lay.df.where("y between 20 and 30").count() == 1100
+
+
+def test_read_cells_nan_is_nodata(spark, scratch):
+    df = spark.createDataFrame([(0, 0, 1.5), (1, 0, float("nan")), (2, 0, None)], "x int, y int, v double")
+    df.write.parquet(f"{scratch}/f")
+    lay = read_cells(spark, f"{scratch}/f")
+    assert sorted((r.x, r.v) for r in lay.df.collect()) == [(0, 1.5), (1, None), (2, None)]
