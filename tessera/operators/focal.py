@@ -48,23 +48,13 @@ def _targets(x: Column, y: Column, n: int, r: int) -> Column:
     return F.explode(F.when(border, F.array(*cands)).otherwise(F.array(target(0, 0))))
 
 
-def focal_sums(layer: Layer, radius: int = 1, edge: str = "halo",
-               tile_size: int | None = None, block: int = DEFAULT_BLOCK) -> DataFrame:
-    """Neighbourhood sum ``ss`` and count ``cc`` of non-null values per cell."""
-    if radius < 0:
-        raise ValueError("radius must be >= 0")
-    if edge == "tile":
-        if not tile_size:
-            raise ValueError("edge='tile' needs the layout tile_size")
-        n = tile_size
-    elif edge == "halo":
-        n = max(block, radius + 1)
-    else:
-        raise ValueError(f"unknown edge mode {edge!r}")
+def _blocked(layer: Layer, n: int, radius: int, halo: bool) -> DataFrame:
+    """Cells hash-partitioned on their n x n block, with halo copies of the
+    cells within ``radius`` of a block border when ``halo`` (one exchange)."""
     x, y = F.col("x"), F.col("y")
     bc = F.floor(x / F.lit(n)).cast("int")
     br = F.floor(y / F.lit(n)).cast("int")
-    if edge == "tile":
+    if not halo:
         src = layer.df.select("x", "y", "v", bc.alias("bc"), br.alias("br"), F.lit(True).alias("core"))
     else:
         src = (layer.df.select("x", "y", "v", bc.alias("bc0"), br.alias("br0"), _targets(x, y, n, radius).alias("o"))
@@ -72,7 +62,26 @@ def focal_sums(layer: Layer, radius: int = 1, edge: str = "halo",
                .select("x", "y", "v",
                        (F.col("bc0") + F.col("o.ox")).alias("bc"), (F.col("br0") + F.col("o.oy")).alias("br"),
                        ((F.col("o.ox") == 0) & (F.col("o.oy") == 0)).alias("core")))
-    src = src.repartition("bc", "br")
+    return src.repartition("bc", "br")
+
+
+def _block_size(edge: str, radius: int, tile_size: int | None, block: int) -> int:
+    if radius < 0:
+        raise ValueError("radius must be >= 0")
+    if edge == "tile":
+        if not tile_size:
+            raise ValueError("edge='tile' needs the layout tile_size")
+        return tile_size
+    if edge == "halo":
+        return max(block, radius + 1)
+    raise ValueError(f"unknown edge mode {edge!r}")
+
+
+def focal_sums(layer: Layer, radius: int = 1, edge: str = "halo",
+               tile_size: int | None = None, block: int = DEFAULT_BLOCK) -> DataFrame:
+    """Neighbourhood sum ``ss`` and count ``cc`` of non-null values per cell."""
+    n = _block_size(edge, radius, tile_size, block)
+    src = _blocked(layer, n, radius, edge == "halo")
     w_row = Window.partitionBy("bc", "br", "y").orderBy("x").rangeBetween(-radius, radius)
     w_col = Window.partitionBy("bc", "br", "x").orderBy("y").rangeBetween(-radius, radius)
     h = src.select("bc", "br", "x", "y", "v", "core",
@@ -82,6 +91,60 @@ def focal_sums(layer: Layer, radius: int = 1, edge: str = "halo",
     return s.where(F.col("core")).drop("core")
 
 
+def _nb(dx: int, dy: int, r: int) -> str:
+    return f"n{dx + r}_{dy + r}"
+
+
+def neighbour_values(layer: Layer, radius: int = 1, block: int = DEFAULT_BLOCK) -> DataFrame:
+    """Every cell with the values of its (2r+1)^2 neighbours as columns
+    ``n<dx+r>_<dy+r>`` (NULL outside the raster or NoData), in one exchange:
+    1-cell range frames along x, then along y, inside the halo'd blocks."""
+    n = max(block, radius + 1)
+    src = _blocked(layer, n, radius, True)
+    offs = range(-radius, radius + 1)
+    w_row = Window.partitionBy("bc", "br", "y").orderBy("x")
+    h = src.select("bc", "br", "x", "y", "v", "core",
+                   *[F.max("v").over(w_row.rangeBetween(d, d)).alias(f"h{d + radius}") for d in offs])
+    w_col = Window.partitionBy("bc", "br", "x").orderBy("y")
+    nb = h.select("x", "y", "v", "core",
+                  *[F.max(f"h{dx + radius}").over(w_col.rangeBetween(dy, dy)).alias(_nb(dx, dy, radius))
+                    for dx in offs for dy in offs])
+    return nb.where(F.col("core")).drop("core")
+
+
+def tile_mean_expr(n: int, radius: int) -> Column:
+    """Mean over the neighbours that lie in the cell's own n x n tile, from
+    ``neighbour_values`` columns (exact integer sums, like ``focal_mean``)."""
+    lx, ly = F.pmod(F.col("x"), F.lit(n)), F.pmod(F.col("y"), F.lit(n))
+    s, c = None, None
+    for dx in range(-radius, radius + 1):
+        for dy in range(-radius, radius + 1):
+            inside = (lx + dx >= 0) & (lx + dx < n) & (ly + dy >= 0) & (ly + dy < n)
+            val = F.col(_nb(dx, dy, radius))
+            si = F.when(inside & val.isNotNull(), val).otherwise(F.lit(0))
+            ci = F.when(inside & val.isNotNull(), F.lit(1)).otherwise(F.lit(0))
+            s = si if s is None else s + si
+            c = ci if c is None else c + ci
+    return F.when(c > 0, s.cast("double") / c.cast("double"))
+
+
+def focal_count_sweep(layer: Layer, a: int, sizes, radius: int = 1, block: int = DEFAULT_BLOCK) -> DataFrame:
+    """For every tile size: cells whose per-tile focal mean truncates to ``a``.
+
+    One exchange for all sizes (instead of one per size): neighbour values are
+    gathered once, then each size is a projection over the same rows and all
+    counts are one aggregate.
+    """
+    sizes = sorted({int(z) for z in sizes})
+    nb = neighbour_values(layer, radius, block)
+    if layer.df.schema["v"].dataType.typeName() not in ("double", "float"):
+        nb = nb.select("x", "y", *[F.col(c).cast("bigint").alias(c) for c in nb.columns if c.startswith("n")])
+    counts = nb.agg(*[F.count(F.when(tile_mean_expr(z, radius).cast("int") == F.lit(a), 1)).alias(f"c{z}")
+                      for z in sizes])
+    rows = F.array(*[F.struct(F.lit(z).alias("tile_size"), F.col(f"c{z}").alias("n")) for z in sizes])
+    return counts.select(F.explode(rows).alias("r")).select("r.tile_size", "r.n")
+
+
 def focal_mean(layer: Layer, radius: int = 1, edge: str = "halo",
                tile_size: int | None = None, block: int = DEFAULT_BLOCK) -> Layer:
     """Mean of the non-null cells of the (2r+1)^2 square around each cell.

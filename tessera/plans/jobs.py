@@ -76,15 +76,17 @@ def raster_add_job(spark, rasters: list[RasterRecord]) -> DataFrame:
 def focal_job(spark, rasters: list[RasterRecord], tile_sizes=sweep.REFERENCE_TILE_SIZES,
               edge: str = "tile", radius: int = 1) -> DataFrame:
     """3x3 focal mean per tile size, then cells whose truncated mean equals
-    the pixel value. With ``edge='tile'`` the answer depends on the tile size."""
+    the pixel value. With ``edge='tile'`` the answer depends on the tile size;
+    all sizes of a raster come from one exchange (``focal_count_sweep``)."""
     out = []
     for r in rasters:
         lay = load_raster(spark, r)
-        sizes = tile_sizes if edge == "tile" else [None]
-        for n in sizes:
-            m = focal.focal_mean(lay, radius, edge, tile_size=n)
-            out.append(focal.count_truncated(m, r.pixel_value).select(
-                F.lit(r.name).alias("dataset"), F.lit(n).cast("int").alias("tile_size"), "n"))
+        if edge == "tile":
+            c = focal.focal_count_sweep(lay, r.pixel_value, tile_sizes, radius)
+        else:
+            m = focal.focal_mean(lay, radius, edge)
+            c = focal.count_truncated(m, r.pixel_value).select(F.lit(None).cast("int").alias("tile_size"), "n")
+        out.append(c.select(F.lit(r.name).alias("dataset"), F.col("tile_size").cast("int").alias("tile_size"), "n"))
     return _union(out)
 
 

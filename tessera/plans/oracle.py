@@ -240,3 +240,13 @@ FROM zkeys k LEFT JOIN (SELECT zone_id, count(*) AS n, min(v) AS min, max(v) AS
 SQL["raster_add_n_tiles"] = with_grids("""SELECT a.x, a.y, a.v + b.v + a.v AS v
 FROM a JOIN b ON a.x = b.x AND a.y = b.y WHERE a.v + b.v + a.v IS NOT NULL""", "A", "B")
 SQL["corner_sample_tiles"] = SQL["corner_sample"]
+SQL["focal_count_sweep"] = with_grids(f"""SELECT tile_size, count(*) FILTER (WHERE trunc(m) = {V}) AS n
+FROM (SELECT s.tile_size, nb.x, nb.y,
+        CAST(sum(nb.qv) AS DOUBLE) / CAST(nullif(count(nb.qv), 0) AS DOUBLE) AS m
+      FROM (SELECT p.x, p.y, q.x AS qx, q.y AS qy, q.v AS qv
+            FROM a p JOIN a q ON q.x BETWEEN p.x - 1 AND p.x + 1 AND q.y BETWEEN p.y - 1 AND p.y + 1) nb
+      JOIN (VALUES {_SIZES}) s(tile_size)
+        ON floor(nb.qx / s.tile_size) = floor(nb.x / s.tile_size)
+       AND floor(nb.qy / s.tile_size) = floor(nb.y / s.tile_size)
+      GROUP BY s.tile_size, nb.x, nb.y) t
+GROUP BY tile_size""", "A")

@@ -222,6 +222,11 @@ def focal_mean_count_tiles_halo(spark, sf):
     return focal.count_truncated_tiles(focal.focal_mean_tiles_halo(a.to_tiles(TILE), a.meta(), 1), VALUE)
 
 
+@query("focal_count_sweep")
+def focal_count_sweep(spark, sf):
+    return focal.focal_count_sweep(grid_a(spark, sf), VALUE, sweep.REFERENCE_TILE_SIZES, 1, block=HALO_BLOCK)
+
+
 @query("corner_sample_tiles")
 def corner_sample_tiles(spark, sf):
     a = grid_a(spark, sf)

@@ -299,3 +299,13 @@ def test_tile_ops_mask_outside_bounds_not_starting_at_origin(spark):
     f = focal.focal_mean_tiles(t, meta, 1).to_cells(keep_null=False).df
     c = focal.focal_mean(lay, 1, "tile", tile_size=4).df
     assert f.exceptAll(c).count() == 0 and c.exceptAll(f).count() == 0
+
+
+@pytest.mark.parametrize("r", [1, 2])
+def test_focal_sweep_equals_per_size(spark, r):
+    a = grid_a(spark, SF0001)
+    sizes = (4, 7, 25, 64)
+    got = {row.tile_size: row.n for row in focal.focal_count_sweep(a, 10, sizes, r, block=16).collect()}
+    for z in sizes:
+        want = focal.count_truncated(focal.focal_mean(a, r, "tile", tile_size=z), 10).first().n
+        assert got[z] == want, z
