@@ -128,19 +128,55 @@ def tile_mean_expr(n: int, radius: int) -> Column:
     return F.when(c > 0, s.cast("double") / c.cast("double"))
 
 
+def _rect_mean(r: int, x0: int, x1: int, y0: int, y1: int) -> Column:
+    """Mean of the non-null neighbours with dx in [x0, x1], dy in [y0, y1]."""
+    vals = [F.col(_nb(dx, dy, r)) for dx in range(x0, x1 + 1) for dy in range(y0, y1 + 1)]
+    s = sum((F.coalesce(v, F.lit(0)) for v in vals[1:]), F.coalesce(vals[0], F.lit(0)))
+    c = sum((v.isNotNull().cast("int") for v in vals[1:]), vals[0].isNotNull().cast("int"))
+    return F.when(c > 0, s.cast("double") / c.cast("double"))
+
+
+def _clip_means(r: int) -> Column:
+    """All (r+1)^4 in-tile rectangles a cell can have: the neighbourhood
+    clipped by cl, cr, ct, cb cells at the left, right, top, bottom tile edge.
+    They do not depend on the tile size, so they are computed once per cell."""
+    k = r + 1
+    return F.array(*[_rect_mean(r, -r + cl, r - cr, -r + ct, r - cb)
+                     for cl in range(k) for cr in range(k) for ct in range(k) for cb in range(k)])
+
+
+def _clip_index(n: int, r: int) -> Column:
+    """Index into ``_clip_means`` of the rectangle of a cell in n x n tiles."""
+    lx, ly = F.pmod(F.col("x"), F.lit(n)), F.pmod(F.col("y"), F.lit(n))
+    z = F.lit(0)
+    cl, cr = F.greatest(z, r - lx), F.greatest(z, r - (n - 1 - lx))
+    ct, cb = F.greatest(z, r - ly), F.greatest(z, r - (n - 1 - ly))
+    k = r + 1
+    return ((cl * k + cr) * k + ct) * k + cb
+
+
+# Radii up to which the sweep precomputes all clipped rectangles ((r+1)^4 of them).
+SWEEP_RECT_MAX_RADIUS = 2
+
+
 def focal_count_sweep(layer: Layer, a: int, sizes, radius: int = 1, block: int = DEFAULT_BLOCK) -> DataFrame:
     """For every tile size: cells whose per-tile focal mean truncates to ``a``.
 
     One exchange for all sizes (instead of one per size): neighbour values are
-    gathered once, then each size is a projection over the same rows and all
-    counts are one aggregate.
+    gathered once; the means of every in-tile rectangle a cell can have are
+    computed once (they do not depend on the size), and each size only picks
+    one of them by index; all counts are one aggregate.
     """
     sizes = sorted({int(z) for z in sizes})
     nb = neighbour_values(layer, radius, block)
     if layer.df.schema["v"].dataType.typeName() not in ("double", "float"):
         nb = nb.select("x", "y", *[F.col(c).cast("bigint").alias(c) for c in nb.columns if c.startswith("n")])
-    counts = nb.agg(*[F.count(F.when(tile_mean_expr(z, radius).cast("int") == F.lit(a), 1)).alias(f"c{z}")
-                      for z in sizes])
+    if radius <= SWEEP_RECT_MAX_RADIUS:
+        nb = nb.select("x", "y", _clip_means(radius).alias("means"))
+        mean = {z: F.element_at("means", _clip_index(z, radius) + 1) for z in sizes}
+    else:
+        mean = {z: tile_mean_expr(z, radius) for z in sizes}
+    counts = nb.agg(*[F.count(F.when(mean[z].cast("int") == F.lit(a), 1)).alias(f"c{z}") for z in sizes])
     rows = F.array(*[F.struct(F.lit(z).alias("tile_size"), F.col(f"c{z}").alias("n")) for z in sizes])
     return counts.select(F.explode(rows).alias("r")).select("r.tile_size", "r.n")
 
