@@ -43,7 +43,9 @@ TAG_PLANAR, TAG_PREDICTOR = 284, 317
 TAG_TILE_WIDTH, TAG_TILE_LENGTH, TAG_TILE_OFFSETS, TAG_TILE_BYTES = 322, 323, 324, 325
 TAG_SAMPLE_FORMAT = 339
 TAG_PIXEL_SCALE, TAG_TIEPOINT, TAG_GEOKEYS, TAG_NODATA = 33550, 33922, 34735, 42113
-GEOKEY_GEOGRAPHIC, GEOKEY_PROJECTED = 2048, 3072
+TAG_TRANSFORM = 34264
+GEOKEY_RASTER_TYPE, GEOKEY_GEOGRAPHIC, GEOKEY_PROJECTED = 1025, 2048, 3072
+RASTER_PIXEL_IS_POINT = 2
 TYPE_SIZES = {1: 1, 2: 1, 3: 2, 4: 4, 5: 8, 6: 1, 7: 1, 8: 2, 9: 4, 10: 8, 11: 4, 12: 8, 16: 8, 17: 8, 18: 8}
 TYPE_CODES = {1: "B", 2: "s", 3: "H", 4: "I", 5: "II", 6: "b", 7: "B", 8: "h", 9: "i", 10: "ii",
               11: "f", 12: "d", 16: "Q", 17: "q", 18: "Q"}
@@ -171,12 +173,24 @@ def read_header(path: str) -> TiffHeader:
         i, j, _, X, Y = tags[TAG_TIEPOINT][:5]
         h.dx, h.dy = float(sx), float(sy)
         h.x0, h.y0 = float(X - i * sx), float(Y + j * sy)
+    elif TAG_TRANSFORM in tags:
+        m = tags[TAG_TRANSFORM]
+        if m[1] != 0 or m[4] != 0:
+            raise ValueError(f"{path}: rotated or sheared georeference is not supported")
+        h.dx, h.dy, h.x0, h.y0 = float(m[0]), float(-m[5]), float(m[3]), float(m[7])
+    raster_type = 1
     if TAG_GEOKEYS in tags:
         gk = tags[TAG_GEOKEYS]
         for k in range(4, len(gk) - 3, 4):
             key, loc, _, val = gk[k:k + 4]
             if key in (GEOKEY_PROJECTED, GEOKEY_GEOGRAPHIC) and loc == 0 and val not in (0, 32767):
                 h.srid = int(val)
+            if key == GEOKEY_RASTER_TYPE and loc == 0:
+                raster_type = val
+    if raster_type == RASTER_PIXEL_IS_POINT:
+        # the tiepoint names a cell centre: move the origin to the cell corner
+        h.x0 -= h.dx / 2
+        h.y0 += h.dy / 2
     return h
 
 

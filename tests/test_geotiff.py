@@ -162,3 +162,15 @@ def test_window_pruning_with_pushdown(spark, scratch, arr):
         assert tl.df.where(F.col("tr") == 1).count() == 4
     finally:
         spark.conf.set(key, prev)
+
+
+def test_pixel_is_point_and_transform_tag(scratch, arr):
+    h = gt.read_header(write_tiff(f"{scratch}/pp.tif", arr, georef=(10.0, 50.0, 2.0, 2.0), pixel_is_point=True,
+                                  epsg=32633))
+    assert (h.x0, h.y0, h.dx, h.dy, h.srid) == (9.0, 51.0, 2.0, 2.0, 32633)
+    m = (0.5, 0.0, 0.0, 100.0, 0.0, -0.25, 0.0, 40.0, 0, 0, 0, 0, 0, 0, 0, 1)
+    h2 = gt.read_header(write_tiff(f"{scratch}/mt.tif", arr, transform=m))
+    assert (h2.x0, h2.y0, h2.dx, h2.dy) == (100.0, 40.0, 0.5, 0.25)
+    rot = (0.5, 0.1, 0.0, 100.0, 0.0, -0.25, 0.0, 40.0, 0, 0, 0, 0, 0, 0, 0, 1)
+    with pytest.raises(ValueError, match="rotated"):
+        gt.read_header(write_tiff(f"{scratch}/rot.tif", arr, transform=rot))

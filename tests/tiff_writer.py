@@ -7,7 +7,8 @@ import numpy as np
 
 
 def write_tiff(path, a, *, tile=None, rows_per_strip=None, deflate=False, predictor=1,
-               nodata=None, georef=None, epsg=None, big_endian=False, compression=None, bigtiff=False):
+               nodata=None, georef=None, epsg=None, big_endian=False, compression=None, bigtiff=False,
+               pixel_is_point=False, transform=None):
     a = np.asarray(a)
     h, w = a.shape
     bo = ">" if big_endian else "<"
@@ -44,8 +45,15 @@ def write_tiff(path, a, *, tile=None, rows_per_strip=None, deflate=False, predic
         x0, y0, dx, dy = georef
         tags[33550] = (12, [dx, dy, 0.0])
         tags[33922] = (12, [0.0, 0.0, 0.0, x0, y0, 0.0])
+    if transform:
+        tags[34264] = (12, list(transform))
+    keys = []
+    if pixel_is_point:
+        keys.append((1025, 0, 1, 2))
     if epsg:
-        tags[34735] = (3, [1, 1, 0, 1, 3072, 0, 1, epsg])
+        keys.append((3072, 0, 1, epsg))
+    if keys:
+        tags[34735] = (3, [1, 1, 0, len(keys)] + [v for k in keys for v in k])
     data_off = 16 if bigtiff else 8
     offsets = []
     for b in blobs:
