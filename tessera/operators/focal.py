@@ -91,92 +91,63 @@ def focal_sums(layer: Layer, radius: int = 1, edge: str = "halo",
     return s.where(F.col("core")).drop("core")
 
 
-def _nb(dx: int, dy: int, r: int) -> str:
-    return f"n{dx + r}_{dy + r}"
-
-
-def neighbour_values(layer: Layer, radius: int = 1, block: int = DEFAULT_BLOCK) -> DataFrame:
-    """Every cell with the values of its (2r+1)^2 neighbours as columns
-    ``n<dx+r>_<dy+r>`` (NULL outside the raster or NoData), in one exchange:
-    1-cell range frames along x, then along y, inside the halo'd blocks."""
+def _ranges(r: int) -> list[tuple[int, int]]:
+    """Offset ranges [a, b] with -r <= a <= 0 <= b <= r, indexed by the clip
+    amounts (lo clip = a + r, hi clip = r - b)."""
+    return [(-r + lo, r - hi) for lo in range(r + 1) for hi in range(r + 1)]
+
+
+def clipped_sums(layer: Layer, radius: int = 1, block: int = DEFAULT_BLOCK) -> DataFrame:
+    """Every cell with the sum and count of non-null values over each of the
+    (r+1)^4 rectangles [a, b] x [c, d] (-r <= a, c <= 0 <= b, d <= r) around
+    it: the neighbourhood clipped at any tile edge. One exchange (halo'd
+    blocks); the row pass has one range frame per x-range, the column pass
+    one per y-range, so no large per-row expression is built."""
     n = max(block, radius + 1)
     src = _blocked(layer, n, radius, True)
-    offs = range(-radius, radius + 1)
+    rng = _ranges(radius)
     w_row = Window.partitionBy("bc", "br", "y").orderBy("x")
-    h = src.select("bc", "br", "x", "y", "v", "core",
-                   *[F.max("v").over(w_row.rangeBetween(d, d)).alias(f"h{d + radius}") for d in offs])
+    h = src.select("bc", "br", "x", "y", "core", *[
+        f for i, (a, b) in enumerate(rng)
+        for f in (F.sum("v").over(w_row.rangeBetween(a, b)).alias(f"hs{i}"),
+                  F.count("v").over(w_row.rangeBetween(a, b)).alias(f"hc{i}"))])
     w_col = Window.partitionBy("bc", "br", "x").orderBy("y")
-    nb = h.select("x", "y", "v", "core",
-                  *[F.max(f"h{dx + radius}").over(w_col.rangeBetween(dy, dy)).alias(_nb(dx, dy, radius))
-                    for dx in offs for dy in offs])
-    return nb.where(F.col("core")).drop("core")
-
-
-def tile_mean_expr(n: int, radius: int) -> Column:
-    """Mean over the neighbours that lie in the cell's own n x n tile, from
-    ``neighbour_values`` columns (exact integer sums, like ``focal_mean``)."""
-    lx, ly = F.pmod(F.col("x"), F.lit(n)), F.pmod(F.col("y"), F.lit(n))
-    s, c = None, None
-    for dx in range(-radius, radius + 1):
-        for dy in range(-radius, radius + 1):
-            inside = (lx + dx >= 0) & (lx + dx < n) & (ly + dy >= 0) & (ly + dy < n)
-            val = F.col(_nb(dx, dy, radius))
-            si = F.when(inside & val.isNotNull(), val).otherwise(F.lit(0))
-            ci = F.when(inside & val.isNotNull(), F.lit(1)).otherwise(F.lit(0))
-            s = si if s is None else s + si
-            c = ci if c is None else c + ci
-    return F.when(c > 0, s.cast("double") / c.cast("double"))
-
-
-def _rect_mean(r: int, x0: int, x1: int, y0: int, y1: int) -> Column:
-    """Mean of the non-null neighbours with dx in [x0, x1], dy in [y0, y1]."""
-    vals = [F.col(_nb(dx, dy, r)) for dx in range(x0, x1 + 1) for dy in range(y0, y1 + 1)]
-    s = sum((F.coalesce(v, F.lit(0)) for v in vals[1:]), F.coalesce(vals[0], F.lit(0)))
-    c = sum((v.isNotNull().cast("int") for v in vals[1:]), vals[0].isNotNull().cast("int"))
-    return F.when(c > 0, s.cast("double") / c.cast("double"))
-
-
-def _clip_means(r: int) -> Column:
-    """All (r+1)^4 in-tile rectangles a cell can have: the neighbourhood
-    clipped by cl, cr, ct, cb cells at the left, right, top, bottom tile edge.
-    They do not depend on the tile size, so they are computed once per cell."""
-    k = r + 1
-    return F.array(*[_rect_mean(r, -r + cl, r - cr, -r + ct, r - cb)
-                     for cl in range(k) for cr in range(k) for ct in range(k) for cb in range(k)])
+    out = []
+    for i in range(len(rng)):              # x-range
+        for j, (c, d) in enumerate(rng):   # y-range
+            out += [F.sum(f"hs{i}").over(w_col.rangeBetween(c, d)).alias(f"s{i}_{j}"),
+                    F.sum(f"hc{i}").over(w_col.rangeBetween(c, d)).alias(f"c{i}_{j}")]
+    return h.select("x", "y", "core", *out).where(F.col("core")).drop("core")
 
 
 def _clip_index(n: int, r: int) -> Column:
-    """Index into ``_clip_means`` of the rectangle of a cell in n x n tiles."""
+    """Index (x-range, y-range) of the in-tile rectangle of a cell in n x n
+    tiles, into the row-major list of ``clipped_sums`` rectangles."""
     lx, ly = F.pmod(F.col("x"), F.lit(n)), F.pmod(F.col("y"), F.lit(n))
     z = F.lit(0)
     cl, cr = F.greatest(z, r - lx), F.greatest(z, r - (n - 1 - lx))
     ct, cb = F.greatest(z, r - ly), F.greatest(z, r - (n - 1 - ly))
     k = r + 1
-    return ((cl * k + cr) * k + ct) * k + cb
-
-
-# Radii up to which the sweep precomputes all clipped rectangles ((r+1)^4 of them).
-SWEEP_RECT_MAX_RADIUS = 2
+    return (cl * k + cr) * (k * k) + (ct * k + cb)
 
 
 def focal_count_sweep(layer: Layer, a: int, sizes, radius: int = 1, block: int = DEFAULT_BLOCK) -> DataFrame:
     """For every tile size: cells whose per-tile focal mean truncates to ``a``.
 
-    One exchange for all sizes (instead of one per size): neighbour values are
-    gathered once; the means of every in-tile rectangle a cell can have are
-    computed once (they do not depend on the size), and each size only picks
-    one of them by index; all counts are one aggregate.
+    One exchange for all sizes (instead of one per size): the sums over every
+    neighbourhood rectangle a tile edge can leave are computed once per cell
+    by window frames (they do not depend on the tile size); each size only
+    picks one rectangle by index, and all counts are one aggregate.
     """
     sizes = sorted({int(z) for z in sizes})
-    nb = neighbour_values(layer, radius, block)
-    if layer.df.schema["v"].dataType.typeName() not in ("double", "float"):
-        nb = nb.select("x", "y", *[F.col(c).cast("bigint").alias(c) for c in nb.columns if c.startswith("n")])
-    if radius <= SWEEP_RECT_MAX_RADIUS:
-        nb = nb.select("x", "y", _clip_means(radius).alias("means"))
-        mean = {z: F.element_at("means", _clip_index(z, radius) + 1) for z in sizes}
-    else:
-        mean = {z: tile_mean_expr(z, radius) for z in sizes}
-    counts = nb.agg(*[F.count(F.when(mean[z].cast("int") == F.lit(a), 1)).alias(f"c{z}") for z in sizes])
+    k = (radius + 1) ** 2
+    cs = clipped_sums(layer, radius, block)
+    means = F.array(*[F.when(F.col(f"c{i}_{j}") > 0,
+                             F.col(f"s{i}_{j}").cast("double") / F.col(f"c{i}_{j}").cast("double"))
+                      for i in range(k) for j in range(k)])
+    m = cs.select("x", "y", means.alias("means"))
+    mean = {z: F.element_at("means", _clip_index(z, radius) + 1) for z in sizes}
+    counts = m.agg(*[F.count(F.when(mean[z].cast("int") == F.lit(a), 1)).alias(f"c{z}") for z in sizes])
     rows = F.array(*[F.struct(F.lit(z).alias("tile_size"), F.col(f"c{z}").alias("n")) for z in sizes])
     return counts.select(F.explode(rows).alias("r")).select("r.tile_size", "r.n")
 

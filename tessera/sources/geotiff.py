@@ -8,6 +8,9 @@ store paths work), decode them with numpy and yield Arrow record batches.
 
 Options:
 
+* ``cells_per_partition`` (default 4M) and ``min_partitions``: how windows
+  are grouped into tasks;
+
 * ``form``: ``cells`` (default; ``x, y, v``), ``windows``
   (``win_x, win_y, cols, rows, t`` with ``t`` the row-major window cells,
   the analogue of an untiled raster RDD of (extent, tile) pairs), or
@@ -52,7 +55,7 @@ TYPE_CODES = {1: "B", 2: "s", 3: "H", 4: "I", 5: "II", 6: "b", 7: "B", 8: "h", 9
 COMPRESSION_NONE, COMPRESSION_DEFLATE = (1,), (8, 32946)
 DEFAULT_SRID = 4326
 HEADER_PROBE = 1 << 16
-TARGET_CELLS_PER_PARTITION = 1 << 24
+TARGET_CELLS_PER_PARTITION = 1 << 22
 SEGMENT_CACHE_BYTES = 256 << 20
 
 
@@ -334,6 +337,7 @@ class GeoTiffReader(DataSourceReader):
         self.max_tile = int(options["max_tile"]) if "max_tile" in options else None
         self.schema = schema
         self.target = int(options.get("cells_per_partition", TARGET_CELLS_PER_PARTITION))
+        self.min_partitions = int(options.get("min_partitions", 1))
         self.bounds: dict[str, list] = {}
 
     def _keep(self, win, ox: int, oy: int) -> bool:
@@ -358,13 +362,15 @@ class GeoTiffReader(DataSourceReader):
         offsets, mosaic = mosaic_offsets(headers)
         if self.form == "tiles":
             check_tile_alignment(headers, offsets, mosaic, self.chunk)
+        total = sum(h.width * h.height for h in headers)
+        target = max(1, min(self.target, -(-total // self.min_partitions)))
         for p, h, (ox, oy) in zip(self.paths, headers, offsets):
             wins = [w for w in window_grid(h, self.chunk, self.max_tile) if self._keep(w, ox, oy)]
             group, cells = [], 0
             for win in wins:
                 group.append(win)
                 cells += win[2] * win[3]
-                if cells >= self.target:
+                if cells >= target:
                     parts.append(WindowGroup(p, _slim(h, group), group, ox, oy))
                     group, cells = [], 0
             if group:
@@ -496,7 +502,8 @@ def read_geotiff(spark, path: str, name: str | None = None, chunk: int | None =
     """
     from ..layer import Georef, Layer
     register(spark)
-    r = spark.read.format("geotiff").option("form", form).option("pushdown", _pushdown(spark))
+    r = (spark.read.format("geotiff").option("form", form).option("pushdown", _pushdown(spark))
+         .option("min_partitions", str(spark.sparkContext.defaultParallelism)))
     if chunk:
         r = r.option("chunk", str(chunk))
     if max_tile:
@@ -515,7 +522,8 @@ def read_geotiff_tiles(spark, path: str, tile_size: int, name: str | None = None
     from ..layer import Georef, LayerMeta, TileLayer
     register(spark)
     df = (spark.read.format("geotiff").option("form", "tiles").option("tile_size", str(tile_size))
-          .option("pushdown", _pushdown(spark)).load(path))
+          .option("pushdown", _pushdown(spark))
+          .option("min_partitions", str(spark.sparkContext.defaultParallelism)).load(path))
     _, (x0, y0, dx, dy, srid, cols, rows) = mosaic_offsets([read_header(p) for p in _expand(path)])
     tl = TileLayer(df, tile_size, name or path.rstrip("/").split("/")[-1], Georef(x0, y0, dx, dy, srid))
     return tl, LayerMeta.from_dims(cols, rows)
