@@ -58,17 +58,28 @@ def reclass_expr(v: Column, old, new, other=RECLASS_OTHER, keep_nodata: bool = F
     return e
 
 
+def tile_inside_cells(tc: Column, tr: Column, n: int, bounds) -> Column:
+    """Number of cells of tile (tc, tr) inside the raster bounds."""
+    xmin, xmax, ymin, ymax = bounds
+    w = F.least(F.lit(xmax), tc * n + (n - 1)) - F.greatest(F.lit(xmin), tc * n) + 1
+    h = F.least(F.lit(ymax), tr * n + (n - 1)) - F.greatest(F.lit(ymin), tr * n) + 1
+    return F.greatest(w, F.lit(0)) * F.greatest(h, F.lit(0))
+
+
 def tile_reclass(t: Column, tc: Column, tr: Column, n: int, bounds,
                  old, new, other=RECLASS_OTHER, keep_nodata: bool = False) -> Column:
-    """Reclassify every cell of a tile; padding outside the raster stays NULL."""
+    """Reclassify every cell of a tile; padding outside the raster stays NULL.
+    Tiles wholly inside the raster (nearly all) skip the per-cell mask."""
+    xmin, xmax, ymin, ymax = bounds
 
-    def cell(v, i):
-        xmin, xmax, ymin, ymax = bounds
+    def masked(v, i):
         gx, gy = tc * n + i % n, tr * n + F.floor(i / n)
         outside = (gx < xmin) | (gx > xmax) | (gy < ymin) | (gy > ymax)
         return F.when(outside, F.lit(None)).otherwise(reclass_expr(v, old, new, other, keep_nodata))
 
-    return F.transform(t, cell)
+    whole = tile_inside_cells(tc, tr, n, bounds) == n * n
+    return F.when(whole, F.transform(t, lambda v: reclass_expr(v, old, new, other, keep_nodata))) \
+        .otherwise(F.transform(t, masked))
 
 
 def tile_add(ta: Column, tb: Column) -> Column:

@@ -100,11 +100,16 @@ def reclassify_tiles(tl: TileLayer, meta: LayerMeta, old, new,
 
 def reclassify_count_tiles(tl: TileLayer, meta: LayerMeta, old, new,
                            other=tf.RECLASS_OTHER) -> DataFrame:
-    r = reclassify_tiles(tl, meta, old, new, other)
-    return r.df.agg(
-        F.coalesce(F.sum(tf.tile_count_eq(F.col("t"), new)), F.lit(0)).cast("bigint").alias("n_new"),
-        F.coalesce(F.sum(tf.tile_count_eq(F.col("t"), other)), F.lit(0)).cast("bigint").alias("n_other"),
-    )
+    """Counts of ``new`` and ``other`` after reclassifying, without building
+    the reclassified tiles: per tile, the matches of ``old`` (one filter) and
+    the number of in-raster cells (arithmetic on the tile key)."""
+    n = tl.tile_size
+    hits = tf.tile_count_eq(F.col("t"), old).cast("bigint")
+    inside = tf.tile_inside_cells(F.col("tc"), F.col("tr"), n, meta.bounds).cast("bigint")
+    s = tl.df.agg(F.coalesce(F.sum(hits), F.lit(0)).alias("h"), F.coalesce(F.sum(inside), F.lit(0)).alias("c"))
+    if new == other:
+        return s.select(F.col("c").alias("n_new"), F.col("c").alias("n_other"))
+    return s.select(F.col("h").alias("n_new"), (F.col("c") - F.col("h")).alias("n_other"))
 
 
 def add_tiles(a: TileLayer, b: TileLayer) -> TileLayer:

@@ -309,3 +309,13 @@ def test_focal_sweep_equals_per_size(spark, r):
     for z in sizes:
         want = focal.count_truncated(focal.focal_mean(a, r, "tile", tile_size=z), 10).first().n
         assert got[z] == want, z
+
+
+@pytest.mark.parametrize("old,new", [(1, 100), (2, -999), (0, 0)])
+def test_reclassify_count_tiles_equals_cells(spark, old, new):
+    rows = [(x, y, None if (x * y) % 7 == 0 else (x + y) % 3) for x in range(5, 17) for y in range(3, 12)]
+    lay = cells(spark, rows)
+    want = local.reclassify_count(lay, old, new).first()
+    for n in (4, 5, 32):
+        got = local.reclassify_count_tiles(lay.to_tiles(n), lay.meta(), old, new).first()
+        assert (got.n_new, got.n_other) == (want.n_new, want.n_other), n
