@@ -106,3 +106,24 @@ def test_read_cells_nan_is_nodata(spark, scratch):
     df.write.parquet(f"{scratch}/f")
     lay = read_cells(spark, f"{scratch}/f")
     assert sorted((r.x, r.v) for r in lay.df.collect()) == [(0, 1.5), (1, None), (2, None)]
+
+
+def test_zonal_on_bucketed_tiles_shuffles_only_runs(spark, scratch):
+    from tessera.operators import zonal
+    from tessera.plans.queries import fixture_zones, zonal_grid
+    lay = zonal_grid(spark, "/root/testdata/sf0.01")
+    sinks.save_tiles(lay.to_tiles(25), "tiles_z", 4, path=f"{scratch}/tz")
+    tl = sinks.load_tiles(spark, "tiles_z", 25, georef=lay.georef)
+    zones = fixture_zones(spark)
+    prev = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        h = zonal.histogram_tiles(tl, zones, broadcast_max_runs=0)
+        plan = h._jdf.queryExecution().executedPlan().toString()
+        assert "SortMergeJoin" in plan and "Bucketed: true" in plan
+        assert plan.count("Exchange hashpartitioning(tc") == 1
+        ref = zonal.histogram(lay, zones)
+        assert h.exceptAll(ref).count() == 0 and ref.exceptAll(h).count() == 0
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", prev)
+        spark.sql("DROP TABLE IF EXISTS tiles_z")
