@@ -16,6 +16,7 @@ from pyspark.sql import functions as F
 
 from ..functions import tiles as tf
 from ..layer import Georef, Layer, TileLayer
+from ..session import default_parallelism
 
 
 def _r9(c: Column) -> Column:
@@ -106,7 +107,7 @@ def windows(layer: Layer, size: int, mode: str = "chunk") -> DataFrame:
                  F.explode(F.sequence(F.lit(0), F.ceil(F.col("cols") / s).cast("int") - 1)).alias("wc"))
     # spread the window columns over tasks before the second explode, so no
     # single task generates the whole window grid of a large raster
-    parts = max(1, layer.df.sparkSession.sparkContext.defaultParallelism)
+    parts = max(1, default_parallelism(layer.df.sparkSession))
     w = w.repartition(parts, "wc")
     w = w.select("cols", "rows", "wc",
                  F.explode(F.sequence(F.lit(0), F.ceil(F.col("rows") / s).cast("int") - 1)).alias("wr"))

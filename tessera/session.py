@@ -54,3 +54,18 @@ def ensure_checkpoint_dir(spark: SparkSession) -> str:
         configured = tempfile.mkdtemp(prefix="tessera-ckpt-")
     sc.setCheckpointDir(configured)
     return sc.getCheckpointDir() or configured
+
+
+def default_parallelism(spark: SparkSession) -> int:
+    """Task parallelism of the session (classic or Connect)."""
+    try:
+        return int(spark.sparkContext.defaultParallelism)
+    except Exception:
+        for key in ("spark.default.parallelism", "spark.sql.shuffle.partitions"):
+            try:
+                v = spark.conf.get(key, None)
+                if v:
+                    return int(v)
+            except Exception:
+                pass
+    return 8

@@ -16,6 +16,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from ..session import default_parallelism
+
 # Fixed feature properties of the zone files: NAME (string) and ID (int).
 PROPERTIES = T.StructType([
     T.StructField("NAME", T.StringType()),
@@ -114,7 +116,7 @@ def read_zones(spark: SparkSession, path: str, zone_set: str = "zones", srid: in
         # a FeatureCollection file is parsed by one task; when it is large,
         # spread its features so edge and crossing generation run in parallel
         if _total_bytes(path) > SPREAD_BYTES:
-            feats = feats.repartition(max(1, spark.sparkContext.defaultParallelism))
+            feats = feats.repartition(max(1, default_parallelism(spark)))
     zones = ZoneSet(features_to_zones(feats, zone_set), zone_set, srid)
     if validate:
         stamp = (path, zone_set, lines, _fingerprint(path))

@@ -484,6 +484,11 @@ class GeoTiffDataSource(DataSource):
         return GeoTiffReader(self.options, schema)
 
 
+def default_parallelism(spark) -> int:
+    from ..session import default_parallelism as dp
+    return dp(spark)
+
+
 def _pushdown(spark) -> str:
     on = str(spark.conf.get("spark.sql.python.filterPushdown.enabled", "false")).lower() == "true"
     return "true" if on else "false"
@@ -503,7 +508,7 @@ def read_geotiff(spark, path: str, name: str | None = None, chunk: int | None =
     from ..layer import Georef, Layer
     register(spark)
     r = (spark.read.format("geotiff").option("form", form).option("pushdown", _pushdown(spark))
-         .option("min_partitions", str(spark.sparkContext.defaultParallelism)))
+         .option("min_partitions", str(default_parallelism(spark))))
     if chunk:
         r = r.option("chunk", str(chunk))
     if max_tile:
@@ -523,7 +528,7 @@ def read_geotiff_tiles(spark, path: str, tile_size: int, name: str | None = None
     register(spark)
     df = (spark.read.format("geotiff").option("form", "tiles").option("tile_size", str(tile_size))
           .option("pushdown", _pushdown(spark))
-          .option("min_partitions", str(spark.sparkContext.defaultParallelism)).load(path))
+          .option("min_partitions", str(default_parallelism(spark))).load(path))
     _, (x0, y0, dx, dy, srid, cols, rows) = mosaic_offsets([read_header(p) for p in _expand(path)])
     tl = TileLayer(df, tile_size, name or path.rstrip("/").split("/")[-1], Georef(x0, y0, dx, dy, srid))
     return tl, LayerMeta.from_dims(cols, rows)
