@@ -155,6 +155,17 @@ class Layer:
         self.df.unpersist()
         return self
 
+    def checkpoint(self, eager: bool = True) -> "Layer":
+        """Cut the lineage of a long operator chain: a reliable checkpoint in
+        the session's shared ``spark.checkpoint.dir`` (set only if unset)."""
+        return self.with_df(_checkpoint(self.df, eager))
+
+
+def _checkpoint(df: DataFrame, eager: bool) -> DataFrame:
+    from .session import ensure_checkpoint_dir
+    ensure_checkpoint_dir(df.sparkSession)
+    return df.checkpoint(eager=eager)
+
 
 @dataclass
 class TileLayer:
@@ -188,3 +199,7 @@ class TileLayer:
     def uncache(self) -> "TileLayer":
         self.df.unpersist()
         return self
+
+    def checkpoint(self, eager: bool = True) -> "TileLayer":
+        """Reliable checkpoint in the shared checkpoint folder (see Layer)."""
+        return self.with_df(_checkpoint(self.df, eager))

@@ -127,3 +127,14 @@ def test_zonal_on_bucketed_tiles_shuffles_only_runs(spark, scratch):
     finally:
         spark.conf.set("spark.sql.autoBroadcastJoinThreshold", prev)
         spark.sql("DROP TABLE IF EXISTS tiles_z")
+
+
+def test_checkpoint_cuts_lineage(spark):
+    from tessera.operators import local
+    a = grid_a(spark, SF0001)
+    r = local.reclassify(local.reclassify(a, 16, 1), 1, 16).checkpoint()
+    plan = r.df._jdf.queryExecution().optimizedPlan().toString()
+    assert "orders" not in plan  # reads the checkpoint, not the source
+    assert local.count_value(r, 16).first().n == 66
+    t = a.to_tiles(25).checkpoint()
+    assert local.count_value_tiles(t, 16).first().n == 66
