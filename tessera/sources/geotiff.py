@@ -294,7 +294,11 @@ def read_window(f, h: TiffHeader, win, cache: SegmentCache) -> np.ndarray:
     for idx, sx0, sy0 in _segments(h, win):
         seg = cache.get(idx)
         if seg is None:
-            seg = _decode(h, f.read_at(h.counts[idx], h.offsets[idx]))
+            if h.counts[idx] == 0:  # sparse segment: all NoData (0 when none is set)
+                seg = np.full((h.seg_h, h.seg_w), h.nodata if h.nodata is not None else 0,
+                              dtype=np.dtype(h.dtype).newbyteorder("="))
+            else:
+                seg = _decode(h, f.read_at(h.counts[idx], h.offsets[idx]))
             cache.put(idx, seg)
         ys, ye = max(y, sy0), min(y + r, sy0 + seg.shape[0], h.height)
         xs, xe = max(x, sx0), min(x + w, sx0 + h.seg_w, h.width)

@@ -174,3 +174,13 @@ def test_pixel_is_point_and_transform_tag(scratch, arr):
     rot = (0.5, 0.1, 0.0, 100.0, 0.0, -0.25, 0.0, 40.0, 0, 0, 0, 0, 0, 0, 0, 1)
     with pytest.raises(ValueError, match="rotated"):
         gt.read_header(write_tiff(f"{scratch}/rot.tif", arr, transform=rot))
+
+
+def test_sparse_segments_read_as_nodata(spark, scratch, arr):
+    p = write_tiff(f"{scratch}/sp.tif", arr, tile=16, deflate=True, nodata=0, sparse=(1, 5))
+    got = _cells(gt.read_geotiff(spark, p))
+    want = _expect(arr, nodata=0)
+    for (x, y) in want:
+        if (y // 16) * 4 + (x // 16) in (1, 5):  # 4 tiles across a 53-wide raster
+            want[(x, y)] = None
+    assert got == want

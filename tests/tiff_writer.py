@@ -8,7 +8,7 @@ import numpy as np
 
 def write_tiff(path, a, *, tile=None, rows_per_strip=None, deflate=False, predictor=1,
                nodata=None, georef=None, epsg=None, big_endian=False, compression=None, bigtiff=False,
-               pixel_is_point=False, transform=None):
+               pixel_is_point=False, transform=None, sparse=()):
     a = np.asarray(a)
     h, w = a.shape
     bo = ">" if big_endian else "<"
@@ -28,7 +28,10 @@ def write_tiff(path, a, *, tile=None, rows_per_strip=None, deflate=False, predic
         rps = rows_per_strip or h
         segs = [a[y:y + rps] for y in range(0, h, rps)]
     blobs = []
-    for s in segs:
+    for k, s in enumerate(segs):
+        if k in sparse:
+            blobs.append(b"")
+            continue
         if predictor == 2:
             s = np.diff(s, axis=1, prepend=np.zeros((s.shape[0], 1), dtype=s.dtype)).astype(s.dtype)
         b = s.tobytes()
