@@ -45,3 +45,13 @@ def tile_size_sweep(layer: Layer, value, sizes=REFERENCE_TILE_SIZES) -> DataFram
         F.sum("nv").cast("bigint").alias("n_value"),
         F.sum("nd").cast("bigint").alias("data_cells"),
     )
+
+
+def parse_sizes(text: str | None) -> tuple[int, ...]:
+    """``"25,50,100"`` -> (25, 50, 100); empty -> the reference's sweep."""
+    if not text:
+        return REFERENCE_TILE_SIZES
+    sizes = tuple(int(s) for s in text.split(",") if s.strip())
+    if not sizes or min(sizes) <= 0:
+        raise ValueError(f"invalid tile sizes: {text!r}")
+    return sizes

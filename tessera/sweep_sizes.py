@@ -1,0 +1,15 @@
+"""Parsing of tile-size lists given on the command line."""
+
+from __future__ import annotations
+
+from .operators.sweep import REFERENCE_TILE_SIZES
+
+
+def parse_sizes(text: str | None) -> tuple[int, ...]:
+    """``"25,50,100"`` -> (25, 50, 100); empty -> the reference's sweep."""
+    if not text:
+        return REFERENCE_TILE_SIZES
+    sizes = tuple(int(s) for s in text.split(",") if s.strip())
+    if not sizes or min(sizes) <= 0:
+        raise ValueError(f"invalid tile sizes: {text!r}")
+    return sizes

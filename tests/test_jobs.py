@@ -67,3 +67,24 @@ def test_tiling_report_job(spark, scratch):
                       "max_tile_dims": 4, "max_tile_size": 4}
     lines = sorted(r.value for r in spark.read.text(f"{scratch}/rep/chunk_dims").collect())
     assert lines == ["10,15", "30,15", "30,15", "30,15"]
+
+
+def test_command_line(spark, scratch):
+    from tessera.__main__ import _raster, _vector, main
+    r = _raster("glc=s3://bucket/glc.tif:16:1:5070")
+    assert (r.name, r.path, r.pixel_value, r.new_pixel, r.srid) == ("glc", "s3://bucket/glc.tif", 16, 1, 5070)
+    assert _raster("g=/d/x.tif:16:1").srid == 4326
+    v = _vector("states=s3://b/shapes:states_2.geojson")
+    assert (v.base_path, v.file, v.srid) == ("s3://b/shapes", "states_2.geojson", 4326)
+    tif = _grid_a_tiff(spark, f"{scratch}/glc.tif")
+    assert main(["count", "--raster", f"glc={tif}:16:1", "--tile-sizes", "25,50", "--out", f"{scratch}/c"]) == 0
+    rows = spark.read.option("header", True).csv(f"{scratch}/c").collect()
+    assert {(r.tile_size, r.n_value) for r in rows} == {("25", "66"), ("50", "66")}
+    base = f"{scratch}/shapes"
+    os.makedirs(f"{base}/4326")
+    with open(ZONES_PATH) as src, open(f"{base}/4326/zones.geojson", "w") as dst:
+        dst.write(src.read())
+    assert main(["zonal", "--raster", f"glc={tif}:16:1", "--vector", f"zones={base}:zones.geojson",
+                 "--out", f"{scratch}/z"]) == 0
+    z = {r.zone_id: r.n for r in spark.read.option("header", True).csv(f"{scratch}/z").collect()}
+    assert z["p0"] == "0" and int(z["p1"]) > 0
