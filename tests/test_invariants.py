@@ -319,3 +319,23 @@ def test_reclassify_count_tiles_equals_cells(spark, old, new):
     for n in (4, 5, 32):
         got = local.reclassify_count_tiles(lay.to_tiles(n), lay.meta(), old, new).first()
         assert (got.n_new, got.n_other) == (want.n_new, want.n_other), n
+
+
+def test_zone_runs_cover_zone_cells(spark):
+    lay, zones = zonal_grid(spark, SF001), fixture_zones(spark)
+    runs = zonal.zone_runs(lay, zones)
+    per_zone = {r.zone_id: r.n for r in runs.groupBy("zone_id").agg(
+        F.sum(F.col("xb") - F.col("xa") + 1).alias("n")).collect()}
+    cells = {r.zone_id: r["count"] for r in zonal.zone_cells(lay, zones).groupBy("zone_id").count().collect()}
+    # grid A is 100 columns wide; runs beyond it hold no cells
+    clipped = {r.zone_id: r.n for r in runs.where("xa < 100").groupBy("zone_id").agg(
+        F.sum(F.least(F.col("xb"), F.lit(99)) - F.col("xa") + 1).alias("n")).collect()}
+    assert clipped == cells
+    assert all(per_zone[z] >= cells[z] for z in cells)
+
+
+def test_statistics_from_histogram_equals_statistics(spark):
+    lay, zones = zonal_grid(spark, SF0001), fixture_zones(spark)
+    a = zonal.statistics_from_histogram(zonal.histogram(lay, zones), zones)
+    b = zonal.statistics(lay, zones)
+    assert a.exceptAll(b).count() == 0 and b.exceptAll(a).count() == 0
