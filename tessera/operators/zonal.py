@@ -54,10 +54,16 @@ def zone_runs(layer: Layer, zones: ZoneSet) -> DataFrame:
     return _with_names(_runs(layer.georef, layer.dims, zones), zones)
 
 
-def _size_and_bounds(runs: DataFrame, y: str, xa: str, xb: str):
-    """One small job over the run table: its row count (the broadcast bound)
-    and the bounding box of all runs (used to prune the raster scan)."""
-    r = runs.agg(F.count(F.lit(1)).alias("k"), F.min(y).alias("y0"), F.max(y).alias("y1"),
+def _size_and_bounds(runs: DataFrame, y: str, xa: str, xb: str, bin_width: int | None = None):
+    """One small job over the run table: its row count after cutting runs at
+    x-bins (computed arithmetically, nothing is exploded) and the bounding box
+    of all runs (used to prune the raster scan)."""
+    if bin_width:
+        rows = F.floor(F.col(xb) / bin_width) - F.floor(F.col(xa) / bin_width) + 1
+        k = F.coalesce(F.sum(rows), F.lit(0)).cast("bigint")
+    else:
+        k = F.count(F.lit(1))
+    r = runs.agg(k.alias("k"), F.min(y).alias("y0"), F.max(y).alias("y1"),
                  F.min(xa).alias("x0"), F.max(xb).alias("x1")).first()
     return r.k, (r.x0, r.y0, r.x1, r.y1)
 
@@ -81,12 +87,18 @@ def _zone_cells_keyed(layer: Layer, zones: ZoneSet, bin_width: int = BIN_WIDTH,
     zone touches the raster rows."""
     b = F.lit(bin_width)
     r = _runs(layer.georef, layer.dims, zones)
+    n_runs, (x0, y0, x1, y1) = _size_and_bounds(r, "y", "xa", "xb", bin_width)
+    if n_runs > broadcast_max_runs and layer.dims is None:
+        # a large run table may come from polygons reaching far beyond the
+        # raster: bound the runs by the raster (one metadata pass), then decide
+        layer.meta()
+        r = _runs(layer.georef, layer.dims, zones)
+        n_runs, (x0, y0, x1, y1) = _size_and_bounds(r, "y", "xa", "xb", bin_width)
+    if n_runs == 0:
+        return None
     rb = r.select("zk", F.col("y").alias("ry"), "xa", "xb",
                   F.explode(F.sequence(F.floor(F.col("xa") / b).cast("int"),
                                        F.floor(F.col("xb") / b).cast("int"))).alias("rbin"))
-    n_runs, (x0, y0, x1, y1) = _size_and_bounds(rb, "ry", "xa", "xb")
-    if n_runs == 0:
-        return None
     # prune to the zones' bounding box (reaches parquet row-group statistics)
     cells = layer.df.where(F.col("y").between(y0, y1) & F.col("x").between(x0, x1))
     side = F.broadcast(rb) if n_runs <= broadcast_max_runs else rb
@@ -235,10 +247,12 @@ def min_max_mean(layer: Layer, zones: ZoneSet, **kw) -> DataFrame:
 
 # ---------------------------------------------------------------- tile form
 
-def zone_tile_pieces(tl: TileLayer, zones: ZoneSet) -> DataFrame:
+def zone_tile_pieces(tl: TileLayer, zones: ZoneSet, dims=None) -> DataFrame:
     """Runs cut at tile borders: ``(zk, tc, tr, y, pa, pb)``."""
-    n = tl.tile_size
-    r = _runs(tl.georef, None, zones)
+    return _pieces(_runs(tl.georef, dims, zones), tl.tile_size)
+
+
+def _pieces(r: DataFrame, n: int) -> DataFrame:
     p = r.select("zk", "y", "xa", "xb",
                  F.floor(F.col("y") / n).cast("int").alias("tr"),
                  F.explode(F.sequence(F.floor(F.col("xa") / n).cast("int"),
@@ -251,7 +265,14 @@ def zone_tile_pieces(tl: TileLayer, zones: ZoneSet) -> DataFrame:
 def _histogram_tiles_keyed(tl: TileLayer, zones: ZoneSet,
                            broadcast_max_runs: int = BROADCAST_MAX_RUNS) -> DataFrame:
     n = tl.tile_size
-    pieces = zone_tile_pieces(tl, zones)
+    r = _runs(tl.georef, None, zones)
+    k, _ = _size_and_bounds(r, "y", "xa", "xb", n)
+    if k > broadcast_max_runs:
+        # bound the runs by the tile layer's extent (an aggregate over tile keys)
+        e = tl.df.agg(F.max("tc").alias("c"), F.max("tr").alias("r")).first()
+        if e.c is not None:
+            r = _runs(tl.georef, ((e.c + 1) * n, (e.r + 1) * n), zones)
+    pieces = _pieces(r, n)
     k, (tc0, tr0, tc1, tr1) = _size_and_bounds(pieces, "tr", "tc", "tc")
     if k == 0:
         vt = tl.df.schema["t"].dataType.elementType.simpleString()

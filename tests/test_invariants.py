@@ -339,3 +339,18 @@ def test_statistics_from_histogram_equals_statistics(spark):
     a = zonal.statistics_from_histogram(zonal.histogram(lay, zones), zones)
     b = zonal.statistics(lay, zones)
     assert a.exceptAll(b).count() == 0 and b.exceptAll(a).count() == 0
+
+
+def test_zones_far_beyond_raster_are_bounded(spark, scratch):
+    # a polygon 1000x larger than the raster: runs get clipped to the raster
+    # once the run table exceeds the broadcast bound (forced here with 0)
+    big = [[[-5000, -5000], [9000, -4000], [8000, 12000], [-3000, 9000], [-5000, -5000]]]
+    z = read_zones(spark, _zone_file(f"{scratch}/huge.geojson", [_poly("h", big)]))
+    lay = cells(spark, [(x, y, (x * 3 + y) % 4) for x in range(30) for y in range(20)])
+    want = zonal.histogram(lay, z)
+    got = zonal.histogram(cells(spark, [(x, y, (x * 3 + y) % 4) for x in range(30) for y in range(20)]), z,
+                          broadcast_max_runs=0)
+    assert got.exceptAll(want).count() == 0 and want.exceptAll(got).count() == 0
+    assert want.agg(F.sum("n")).first()[0] == 600
+    t = zonal.histogram_tiles(lay.to_tiles(8), z, broadcast_max_runs=0)
+    assert t.exceptAll(want).count() == 0 and want.exceptAll(t).count() == 0
