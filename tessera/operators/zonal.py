@@ -21,7 +21,7 @@ Plan (one job for every zone of every zone set):
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import geometry as geo
@@ -139,11 +139,52 @@ def _dec(c: Column) -> Column:
     return c.cast("decimal(38,0)")
 
 
+# Width of the coarse value buckets of the exact median (a power of two).
+MEDIAN_BUCKET = 1 << 16
+
+
+def _median_keyed(hist: DataFrame, totals: DataFrame, zones: ZoneSet) -> DataFrame:
+    """Exact interpolated median per zone from a keyed histogram, with every
+    group bounded by a constant (not by the zone's size or value domain).
+
+    1. count cells per (zone, coarse bucket of MEDIAN_BUCKET values); a window
+       over a zone's buckets (at most 2^32 / MEDIAN_BUCKET of them) finds the
+       buckets holding the middle rank(s) (N+1) div 2 and N div 2 + 1;
+    2. only those buckets' values (at most MEDIAN_BUCKET each) are ranked to
+       read the two middle values; the median is their mean.
+    """
+    bucket = F.floor(F.col("v") / F.lit(MEDIAN_BUCKET)).cast("bigint")
+    b = hist.groupBy("zk", bucket.alias("b")).agg(F.sum("n").alias("bn"))
+    upto = Window.partitionBy("zk").orderBy("b").rowsBetween(Window.unboundedPreceding, 0)
+    b = b.select("zk", "b", "bn", F.sum("bn").over(upto).alias("cum"))
+    cnt = F.col("N")
+    ranks = totals.select("zk", F.floor((cnt + 1) / 2).cast("bigint").alias("r1"),
+                          (F.floor(cnt / 2) + 1).cast("bigint").alias("r2"))
+    small = zones.zone_count_bound() <= BROADCAST_MAX_ZONES
+    b = b.join(F.broadcast(ranks) if small else ranks, "zk")
+    before = F.col("cum") - F.col("bn")
+
+    def holds(r):
+        return (before < F.col(r)) & (F.col(r) <= F.col("cum"))
+
+    sel = b.where(holds("r1") | holds("r2")).select("zk", "b", before.alias("before"), "r1", "r2")
+    h = hist.select("zk", "v", "n", bucket.alias("b")).join(F.broadcast(sel) if small else sel, ["zk", "b"])
+    within = Window.partitionBy("zk", "b").orderBy("v").rowsBetween(Window.unboundedPreceding, 0)
+    h = h.select("zk", "v", "n", "r1", "r2", (F.col("before") + F.sum("n").over(within)).alias("c"))
+
+    def at(r):
+        return F.max(F.when((F.col("c") - F.col("n") < F.col(r)) & (F.col(r) <= F.col("c")), F.col("v")))
+
+    m = h.groupBy("zk").agg(at("r1").alias("v1"), at("r2").alias("v2"))
+    return m.select("zk", ((F.col("v1").cast("double") + F.col("v2").cast("double")) / 2.0).alias("median"))
+
+
 def _statistics_keyed(hist: DataFrame, zones: ZoneSet) -> DataFrame:
     """Per zone (keyed) statistics from a keyed histogram ``(zk, v, n)``.
 
     Zones with no data cell are kept with n = 0 and NULL statistics: their key
     rows are unioned into the histogram, so one aggregate (no join) does it.
+    The median comes from ``_median_keyed`` and is merged the same way.
     """
     vt = hist.schema["v"].dataType
     h = hist.select("zk", F.lit(None).cast("string").alias("zone_set"),
@@ -159,15 +200,17 @@ def _statistics_keyed(hist: DataFrame, zones: ZoneSet) -> DataFrame:
         F.sum(n).alias("n"), F.min(v).alias("min"), F.max(v).alias("max"),
         F.sum(v.cast("bigint") * n).alias("s1"),
         F.sum(_dec(v) * _dec(v) * _dec(n)).alias("s2"),
-        F.percentile(v, F.lit(0.5), n).alias("median"),
         F.max_by(v, F.struct(n, -v)).alias("mode"),
     )
+    med = _median_keyed(hist, s.where(F.col("n") > 0).select("zk", F.col("n").alias("N")), zones)
+    small = zones.zone_count_bound() <= BROADCAST_MAX_ZONES
+    s = s.join(F.broadcast(med) if small else med, "zk", "left")
     cnt = F.col("n")
     var_num = (_dec(cnt) * _dec(F.col("s2")) - _dec(F.col("s1")) * _dec(F.col("s1"))).cast("double")
     return s.select(
         "zone_set", "zone_id", "name", "zid", cnt.cast("bigint").alias("n"), "min", "max",
         F.when(cnt > 0, F.col("s1").cast("double") / cnt.cast("double")).alias("mean"),
-        F.col("median").cast("double").alias("median"), "mode",
+        "median", "mode",
         F.when(cnt > 0, F.sqrt(var_num / (cnt.cast("double") * cnt.cast("double")))).alias("stddev"),
     )
 
@@ -176,9 +219,8 @@ def statistics_from_histogram(hist: DataFrame, zones: ZoneSet) -> DataFrame:
     """Per zone: n, min, max, mean, median, mode, stddev (population), from a
     histogram ``(zone_set, zone_id, v, n)``.
 
-    * median: interpolated (mean of the two middle values for even n),
-      ``percentile`` with the histogram counts as frequencies (state per zone
-      is one entry per distinct value, bounded by the value domain);
+    * median: interpolated (mean of the two middle values for even n), exact,
+      found in two bounded steps (value buckets, then one bucket's values);
     * mode: most frequent value, the smallest on ties;
     * stddev from integer moments: sqrt((n*S2 - S1^2) / n^2).
     """

@@ -354,3 +354,19 @@ def test_zones_far_beyond_raster_are_bounded(spark, scratch):
     assert want.agg(F.sum("n")).first()[0] == 600
     t = zonal.histogram_tiles(lay.to_tiles(8), z, broadcast_max_runs=0)
     assert t.exceptAll(want).count() == 0 and want.exceptAll(t).count() == 0
+
+
+@pytest.mark.parametrize("w,h", [(37, 29), (40, 30)])
+def test_exact_median_wide_domain(spark, scratch, w, h):
+    import numpy as np
+    rng = np.random.default_rng(w)
+    vals = rng.integers(-300_000, 300_000, size=w * h)
+    rows = [(x, y, int(vals[y * w + x])) for x in range(w) for y in range(h)]
+    lay = cells(spark, rows)
+    sq = [[[0, 0], [w, 0], [w, h], [0, h], [0, 0]]]
+    tri = [[[0, 0], [w, 0], [0, h], [0, 0]]]
+    z = read_zones(spark, _zone_file(f"{scratch}/m{w}.geojson", [_poly("all", sq), _poly("tri", tri)]))
+    got = {r.zone_id: r.median for r in zonal.statistics(lay, z).collect()}
+    want = {r.zone_id: r.m for r in zonal.zone_cells(lay, z).groupBy("zone_id")
+            .agg(F.median("v").alias("m")).collect()}
+    assert got == want
