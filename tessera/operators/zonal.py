@@ -283,8 +283,22 @@ def statistics_float(layer: Layer, zones: ZoneSet, **kw) -> DataFrame:
 
 
 def min_max_mean(layer: Layer, zones: ZoneSet, **kw) -> DataFrame:
-    """The (min, max, mean) triple per feature id."""
-    return statistics(layer, zones, **kw).select("zone_set", "zone_id", "min", "max", "mean")
+    """The (min, max, mean) triple per feature id: one aggregate over the
+    histogram (integer rasters) or the cells (floating point), no median."""
+    vt = layer.df.schema["v"].dataType.typeName()
+    if vt in ("double", "float", "decimal"):
+        return statistics_float(layer, zones, **kw).select("zone_set", "zone_id", "min", "max", "mean")
+    hist = _histogram_keyed(layer, zones, **kw)
+    h = hist.select("zk", F.lit(None).cast("string").alias("zone_set"), F.lit(None).cast("string").alias("zone_id"),
+                    "v", F.col("n").cast("bigint").alias("n"))
+    keys = zones.df.select("zk", "zone_set", "zone_id", F.lit(None).cast(hist.schema["v"].dataType).alias("v"),
+                           F.lit(0).cast("bigint").alias("n"))
+    s = h.unionByName(keys).groupBy("zk").agg(
+        F.max("zone_set").alias("zone_set"), F.max("zone_id").alias("zone_id"),
+        F.min("v").alias("min"), F.max("v").alias("max"),
+        F.sum(F.col("v").cast("bigint") * F.col("n")).alias("s1"), F.sum("n").alias("n"))
+    mean = F.when(F.col("n") > 0, F.col("s1").cast("double") / F.col("n").cast("double"))
+    return s.select("zone_set", "zone_id", "min", "max", mean.alias("mean"))
 
 
 # ---------------------------------------------------------------- tile form
