@@ -180,15 +180,17 @@ GROUP BY e.zone_id, c.x, c.y, c.v HAVING count(*) % 2 = 1"""
 
 _HIST = "SELECT zone_id, v, count(*) AS n FROM inside WHERE v IS NOT NULL GROUP BY zone_id, v"
 
-_STATS = """SELECT k.zone_id, k.name, k.zid, coalesce(s.n, 0) AS n, s.min, s.max, s.mean, s.median, s.mode, s.stddev
+_STATS = """SELECT k.zone_id, k.name, k.zid, coalesce(s.n, 0) AS n, s.min, s.max, s.mean, md.median, s.mode, s.stddev
 FROM zkeys k LEFT JOIN (
   SELECT h.zone_id, CAST(sum(n) AS BIGINT) AS n, min(v) AS min, max(v) AS max,
     CAST(sum(CAST(v AS BIGINT) * n) AS DOUBLE) / CAST(sum(n) AS DOUBLE) AS mean,
-    CAST(quantile_cont(v, 0.5) AS DOUBLE) AS median,
     sqrt(CAST(CAST(sum(n) AS HUGEINT) * sum(CAST(v AS HUGEINT) * v * n) - CAST(sum(CAST(v AS BIGINT) * n) AS HUGEINT) * sum(CAST(v AS BIGINT) * n) AS DOUBLE)
          / (CAST(sum(n) AS DOUBLE) * CAST(sum(n) AS DOUBLE))) AS stddev,
     arg_min(v, (-n, v)) AS mode
-  FROM hist h GROUP BY h.zone_id) s ON k.zone_id = s.zone_id{where}"""
+  FROM hist h GROUP BY h.zone_id) s ON k.zone_id = s.zone_id
+LEFT JOIN (
+  SELECT zone_id, CAST(quantile_cont(v, 0.5) AS DOUBLE) AS median
+  FROM inside WHERE v IS NOT NULL GROUP BY zone_id) md ON k.zone_id = md.zone_id{where}"""
 
 
 def _zonal(body: str, types: tuple[str, ...] = ("Polygon", "MultiPolygon"), grid: str = "A") -> str:
