@@ -31,3 +31,14 @@ def test_entry_smoke(spark):
     assert len(rows) == 3
     assert df.columns == ["zone_set", "zone_id", "name", "zid", "n", "min", "max",
                           "mean", "median", "mode", "stddev"]
+
+
+OTHER_SCALES = ["zonal_statistics", "zonal_statistics_tiles", "zonal_min_max_mean_float",
+                "focal_count_sweep", "tile_size_sweep", "raster_add_count"]
+
+
+@pytest.mark.parametrize("sf", ["/root/testdata/sf0.001", "/root/testdata/sf0.1"])
+@pytest.mark.parametrize("name", OTHER_SCALES)
+def test_query_matches_oracle_other_scales(spark, sf, name):
+    r = compare(spark, duck(sf), name, sf)
+    assert r["status"] == "ok", r
