@@ -167,8 +167,13 @@ def _median_keyed(hist: DataFrame, totals: DataFrame, zones: ZoneSet) -> DataFra
     def holds(r):
         return (before < F.col(r)) & (F.col(r) <= F.col("cum"))
 
-    sel = b.where(holds("r1") | holds("r2")).select("zk", "b", before.alias("before"), "r1", "r2")
-    h = hist.select("zk", "v", "n", bucket.alias("b")).join(F.broadcast(sel) if small else sel, ["zk", "b"])
+    sel = b.where(holds("r1") | holds("r2")).select("zk", F.col("b").alias("sb"), before.alias("before"), "r1", "r2")
+    # join on the zone key only (at most two buckets per zone) and compare the
+    # bucket afterwards with '<=>': a join or '=' on the bucket would push a
+    # derived not-null filter into the histogram's plan and stop Spark from
+    # reusing its exchange (the raster would be scanned twice)
+    h = (hist.select("zk", "v", "n", bucket.alias("b")).join(F.broadcast(sel) if small else sel, "zk")
+         .where(F.col("b").eqNullSafe(F.col("sb"))))  # '<=>' infers no not-null filter
     within = Window.partitionBy("zk", "b").orderBy("v").rowsBetween(Window.unboundedPreceding, 0)
     h = h.select("zk", "v", "n", "r1", "r2", (F.col("before") + F.sum("n").over(within)).alias("c"))
 

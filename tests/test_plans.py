@@ -26,3 +26,15 @@ def test_zonal_histogram_partial_aggregation(spark):
     df = entry.queries()["zonal_histogram"](spark, SF001)
     plan = df._jdf.queryExecution().executedPlan().toString()
     assert "partial_count" in plan and "BroadcastHashJoin" in plan
+
+
+@pytest.mark.parametrize("name", ["zonal_statistics", "zonal_statistics_tiles", "zonal_min_max_mean"])
+def test_zonal_statistics_scan_raster_once(spark, name):
+    prev = spark.conf.get("spark.sql.adaptive.enabled")
+    spark.conf.set("spark.sql.adaptive.enabled", "false")
+    try:
+        df = entry.queries()[name](spark, SF001)
+        plan = df._jdf.queryExecution().executedPlan().toString()
+        assert plan.count("FileScan parquet") == 1, name
+    finally:
+        spark.conf.set("spark.sql.adaptive.enabled", prev)
