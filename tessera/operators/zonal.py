@@ -292,7 +292,7 @@ def min_max_mean(layer: Layer, zones: ZoneSet, **kw) -> DataFrame:
     histogram (integer rasters) or the cells (floating point), no median."""
     vt = layer.df.schema["v"].dataType.typeName()
     if vt in ("double", "float", "decimal"):
-        return statistics_float(layer, zones, **kw).select("zone_set", "zone_id", "min", "max", "mean")
+        return _min_max_mean_float(layer, zones, **kw)
     hist = _histogram_keyed(layer, zones, **kw)
     h = hist.select("zk", F.lit(None).cast("string").alias("zone_set"), F.lit(None).cast("string").alias("zone_id"),
                     "v", F.col("n").cast("bigint").alias("n"))
@@ -306,6 +306,23 @@ def min_max_mean(layer: Layer, zones: ZoneSet, **kw) -> DataFrame:
     return s.select("zone_set", "zone_id", "min", "max", mean.alias("mean"))
 
 
+def _min_max_mean_float(layer: Layer, zones: ZoneSet, **kw) -> DataFrame:
+    """(min, max, mean) of a floating-point raster: one aggregate over the
+    zone cells (one raster scan), zone keys merged by union."""
+    keys = zones.df.select("zk", "zone_set", "zone_id", *[F.lit(None).cast("double").alias(c)
+                                                            for c in ("v", "w")])
+    z = _zone_cells_keyed(layer, zones, **kw)
+    u = keys
+    if z is not None:
+        z = z.where(F.col("v").isNotNull() & ~F.isnan("v"))
+        u = u.unionByName(z.select("zk", F.lit(None).cast("string").alias("zone_set"),
+                                   F.lit(None).cast("string").alias("zone_id"),
+                                   F.col("v").cast("double").alias("v"), F.lit(1.0).alias("w")))
+    s = u.groupBy("zk").agg(F.max("zone_set").alias("zone_set"), F.max("zone_id").alias("zone_id"),
+                            F.min("v").alias("min"), F.max("v").alias("max"), F.avg("v").alias("mean"))
+    return s.select("zone_set", "zone_id", "min", "max", "mean")
+
+
 # ---------------------------------------------------------------- tile form
 
 def zone_tile_pieces(tl: TileLayer, zones: ZoneSet, dims=None) -> DataFrame:

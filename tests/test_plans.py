@@ -38,3 +38,25 @@ def test_zonal_statistics_scan_raster_once(spark, name):
         assert plan.count("FileScan parquet") == 1, name
     finally:
         spark.conf.set("spark.sql.adaptive.enabled", prev)
+
+
+def test_float_min_max_mean_scans_raster_once(spark):
+    # full float statistics read twice (the mode needs a per-value aggregate,
+    # the median a per-zone sketch); min/max/mean alone is one aggregate
+    from tessera.layer import Georef, Layer
+    from tessera.operators import zonal
+    from tessera.plans.queries import fixture_zones
+    from tessera.sources.grids import grid_c
+    c = grid_c(spark, SF001)
+    lay = Layer(c.df, "C", Georef.pixel(4326))
+    prev = spark.conf.get("spark.sql.adaptive.enabled")
+    spark.conf.set("spark.sql.adaptive.enabled", "false")
+    try:
+        df = zonal.min_max_mean(lay, fixture_zones(spark))
+        assert df._jdf.queryExecution().executedPlan().toString().count("FileScan parquet") == 1
+    finally:
+        spark.conf.set("spark.sql.adaptive.enabled", prev)
+    ref = {r.zone_id: (r.min, r.max, round(r.mean, 9) if r.mean is not None else None)
+           for r in zonal.statistics(lay, fixture_zones(spark)).collect()}
+    got = {r.zone_id: (r.min, r.max, round(r.mean, 9) if r.mean is not None else None) for r in df.collect()}
+    assert got == ref
