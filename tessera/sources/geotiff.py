@@ -21,7 +21,7 @@ Options:
   is read whole;
 * neither: the file's own segment layout (its tiles, or bands of strips).
 
-Supported encodings: uncompressed and Deflate (compression 1, 8, 32946),
+Supported encodings: uncompressed, LZW and Deflate (compression 1, 5, 8, 32946),
 horizontal predictor 2 for integers, strips or tiles, one band (the first
 sample is read), integer and float sample formats. Others raise.
 """
@@ -52,7 +52,8 @@ RASTER_PIXEL_IS_POINT = 2
 TYPE_SIZES = {1: 1, 2: 1, 3: 2, 4: 4, 5: 8, 6: 1, 7: 1, 8: 2, 9: 4, 10: 8, 11: 4, 12: 8, 16: 8, 17: 8, 18: 8}
 TYPE_CODES = {1: "B", 2: "s", 3: "H", 4: "I", 5: "II", 6: "b", 7: "B", 8: "h", 9: "i", 10: "ii",
               11: "f", 12: "d", 16: "Q", 17: "q", 18: "Q"}
-COMPRESSION_NONE, COMPRESSION_DEFLATE = (1,), (8, 32946)
+COMPRESSION_NONE, COMPRESSION_LZW, COMPRESSION_DEFLATE = (1,), (5,), (8, 32946)
+LZW_CLEAR, LZW_EOI, LZW_MAX_BITS = 256, 257, 12
 DEFAULT_SRID = 4326
 HEADER_PROBE = 1 << 16
 TARGET_CELLS_PER_PARTITION = 1 << 22
@@ -153,8 +154,8 @@ def read_header(path: str) -> TiffHeader:
         raise ValueError(f"{path}: unsupported sample format {fmt}/{bits} bits")
     dtype = np.dtype(f"{bo}{kind}{bits // 8}").str
     comp = one(TAG_COMPRESSION, 1)
-    if comp not in COMPRESSION_NONE + COMPRESSION_DEFLATE:
-        raise ValueError(f"{path}: compression {comp} is not supported (only none and Deflate)")
+    if comp not in COMPRESSION_NONE + COMPRESSION_LZW + COMPRESSION_DEFLATE:
+        raise ValueError(f"{path}: compression {comp} is not supported (only none, LZW and Deflate)")
     pred = one(TAG_PREDICTOR, 1)
     if pred not in (1, 2) or (pred == 2 and kind == "f"):
         raise ValueError(f"{path}: predictor {pred} is not supported for this sample format")
@@ -258,9 +259,42 @@ def _segments(h: TiffHeader, win) -> list[tuple[int, int, int]]:
     return out
 
 
+def lzw_decode(data: bytes) -> bytes:
+    """TIFF LZW: MSB-first codes of 9 to 12 bits, Clear 256, EOI 257; the code
+    width grows when the table reaches 511, 1023 and 2047 entries."""
+    if data[:2] == b"\x00\x01":
+        raise ValueError("old-style (LSB-first) LZW is not supported")
+    out = bytearray()
+    table: list[bytes] = []
+    width, pos, nbits, prev = 9, 0, len(data) * 8, None
+    padded = data + b"\x00\x00\x00"
+    while pos + width <= nbits:
+        i = pos >> 3
+        code = (int.from_bytes(padded[i:i + 3], "big") >> (24 - (pos & 7) - width)) & ((1 << width) - 1)
+        pos += width
+        if code == LZW_CLEAR:
+            table = [bytes((b,)) for b in range(256)] + [b"", b""]
+            width, prev = 9, None
+            continue
+        if code == LZW_EOI:
+            break
+        if prev is None:
+            entry = table[code]
+        else:
+            entry = table[code] if code < len(table) else prev + prev[:1]
+            table.append(prev + entry[:1])
+            if len(table) == (1 << width) - 1 and width < LZW_MAX_BITS:
+                width += 1
+        out += entry
+        prev = entry
+    return bytes(out)
+
+
 def _decode(h: TiffHeader, buf: bytes) -> np.ndarray:
     if h.compression in COMPRESSION_DEFLATE:
         buf = zlib.decompress(buf)
+    elif h.compression in COMPRESSION_LZW:
+        buf = lzw_decode(buf)
     a = np.frombuffer(buf, dtype=np.dtype(h.dtype))
     rows = len(a) // h.seg_w
     a = a[:rows * h.seg_w].reshape(rows, h.seg_w)

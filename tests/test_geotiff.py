@@ -93,8 +93,8 @@ def test_mosaic_of_two_files(spark, scratch, arr):
 
 
 def test_unsupported_compression_raises(spark, scratch, arr):
-    p = write_tiff(f"{scratch}/lzw.tif", arr, compression=5)
-    with pytest.raises(ValueError, match="compression 5"):
+    p = write_tiff(f"{scratch}/jpeg.tif", arr, compression=7)
+    with pytest.raises(ValueError, match="compression 7"):
         gt.read_header(p)
 
 
@@ -184,3 +184,39 @@ def test_sparse_segments_read_as_nodata(spark, scratch, arr):
         if (y // 16) * 4 + (x // 16) in (1, 5):  # 4 tiles across a 53-wide raster
             want[(x, y)] = None
     assert got == want
+
+
+@pytest.mark.parametrize("kw", [dict(rows_per_strip=7, lzw=True), dict(tile=16, lzw=True, predictor=2),
+                                dict(tile=32, lzw=True, big_endian=True, bigtiff=True)])
+def test_lzw_strips_and_tiles(spark, scratch, arr, kw):
+    p = write_tiff(f"{scratch}/l.tif", arr, nodata=0, **kw)
+    assert gt.read_header(p).compression == 5
+    assert _cells(gt.read_geotiff(spark, p)) == _expect(arr, nodata=0)
+
+
+@pytest.mark.parametrize("kind", ["TYPE_BYTE_GRAY", "TYPE_USHORT_GRAY"])
+def test_lzw_file_written_by_the_jdk(spark, scratch, kind):
+    """Independent encoder: the JDK's TIFF writer (javax.imageio) with LZW."""
+    jvm, gw = spark._jvm, spark.sparkContext._gateway
+    h, w = 37, 61
+    rng = np.random.default_rng(11)
+    top = 256 if kind == "TYPE_BYTE_GRAY" else 65536
+    a = rng.integers(0, 5, size=(h, w)) * (top // 8)
+    a[10:20, 5:50] = rng.integers(0, top, size=(10, 45))
+    bi = jvm.java.awt.image.BufferedImage
+    img = bi(w, h, getattr(bi, kind))
+    px = gw.new_array(gw.jvm.int, h * w)
+    for i, v in enumerate(a.reshape(-1).tolist()):
+        px[i] = int(v)
+    img.getRaster().setPixels(0, 0, w, h, px)
+    writer = jvm.javax.imageio.ImageIO.getImageWritersByFormatName("tiff").next()
+    param = writer.getDefaultWriteParam()
+    param.setCompressionMode(jvm.javax.imageio.ImageWriteParam.MODE_EXPLICIT)
+    param.setCompressionType("LZW")
+    out = jvm.javax.imageio.stream.FileImageOutputStream(jvm.java.io.File(f"{scratch}/jdk.tif"))
+    writer.setOutput(out)
+    writer.write(None, jvm.javax.imageio.IIOImage(img, None, None), param)
+    out.close()
+    assert gt.read_header(f"{scratch}/jdk.tif").compression == 5
+    got = _cells(gt.read_geotiff(spark, f"{scratch}/jdk.tif"))
+    assert got == {(x, y): int(a[y, x]) for y in range(h) for x in range(w)}
