@@ -194,9 +194,10 @@ def test_lzw_strips_and_tiles(spark, scratch, arr, kw):
     assert _cells(gt.read_geotiff(spark, p)) == _expect(arr, nodata=0)
 
 
-@pytest.mark.parametrize("kind", ["TYPE_BYTE_GRAY", "TYPE_USHORT_GRAY"])
-def test_lzw_file_written_by_the_jdk(spark, scratch, kind):
-    """Independent encoder: the JDK's TIFF writer (javax.imageio) with LZW."""
+@pytest.mark.parametrize("kind,comp,tile", [("TYPE_BYTE_GRAY", "LZW", None), ("TYPE_USHORT_GRAY", "LZW", None),
+                                            ("TYPE_BYTE_GRAY", "Deflate", 16), ("TYPE_USHORT_GRAY", "LZW", 32)])
+def test_file_written_by_the_jdk(spark, scratch, kind, comp, tile):
+    """Independent encoder: the JDK's TIFF writer (javax.imageio)."""
     jvm, gw = spark._jvm, spark.sparkContext._gateway
     h, w = 37, 61
     rng = np.random.default_rng(11)
@@ -212,11 +213,16 @@ def test_lzw_file_written_by_the_jdk(spark, scratch, kind):
     writer = jvm.javax.imageio.ImageIO.getImageWritersByFormatName("tiff").next()
     param = writer.getDefaultWriteParam()
     param.setCompressionMode(jvm.javax.imageio.ImageWriteParam.MODE_EXPLICIT)
-    param.setCompressionType("LZW")
+    param.setCompressionType(comp)
+    if tile:
+        param.setTilingMode(jvm.javax.imageio.ImageWriteParam.MODE_EXPLICIT)
+        param.setTiling(tile, tile, 0, 0)
     out = jvm.javax.imageio.stream.FileImageOutputStream(jvm.java.io.File(f"{scratch}/jdk.tif"))
     writer.setOutput(out)
     writer.write(None, jvm.javax.imageio.IIOImage(img, None, None), param)
     out.close()
-    assert gt.read_header(f"{scratch}/jdk.tif").compression == 5
+    hd = gt.read_header(f"{scratch}/jdk.tif")
+    assert hd.compression in ((5,) if comp == "LZW" else (8, 32946))
+    assert hd.tiled == bool(tile)
     got = _cells(gt.read_geotiff(spark, f"{scratch}/jdk.tif"))
     assert got == {(x, y): int(a[y, x]) for y in range(h) for x in range(w)}
