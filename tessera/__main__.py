@@ -58,8 +58,10 @@ def _vector(spec: str) -> VectorRecord:
 def main(argv=None) -> int:
     ap = argparse.ArgumentParser(prog="tessera", description=__doc__.split("\n\n")[0])
     ap.add_argument("job", choices=["count", "reclass", "add", "focal", "zonal", "tiling"])
-    ap.add_argument("--raster", action="append", required=True, type=_raster)
-    ap.add_argument("--vector", action="append", default=[], type=_vector)
+    ap.add_argument("--raster", action="append", required=True, type=_raster,
+                    help="name=path:pixel_value:new_pixel[:srid] (GeoTIFF or parquet cells); repeatable")
+    ap.add_argument("--vector", action="append", default=[], type=_vector,
+                    help="name=base_path:file[:srid]; the file is read from base_path/<raster srid>/file")
     ap.add_argument("--tile-sizes", default=None, help="comma-separated layout tile sizes")
     ap.add_argument("--tile-size", type=int, default=300, help="tile size of the tiling report")
     ap.add_argument("--edge", choices=["tile", "halo"], default="tile")
