@@ -119,10 +119,15 @@ def read_zones(spark: SparkSession, path: str, zone_set: str = "zones", srid: in
             feats = feats.repartition(max(1, default_parallelism(spark)))
     zones = ZoneSet(features_to_zones(feats, zone_set), zone_set, srid)
     if validate:
-        stamp = (path, zone_set, lines, _fingerprint(path))
-        if stamp not in _VALIDATED:
-            _VALIDATED[stamp] = check_ids(zones.df)
-        zones.max_zones = _VALIDATED[stamp]
+        fp = _fingerprint(path)
+        stamp = (path, zone_set, lines, fp)
+        if fp is None or stamp not in _VALIDATED:
+            count = check_ids(zones.df)
+            if fp is not None:
+                _VALIDATED[stamp] = count
+        else:
+            count = _VALIDATED[stamp]
+        zones.max_zones = count
     return zones
 
 
@@ -132,23 +137,34 @@ _VALIDATED: dict = {}
 
 
 def _fingerprint(path: str):
-    from pyarrow import fs
-    f, p = fs.FileSystem.from_uri(path) if "://" in path else (fs.LocalFileSystem(), path)
-    info = f.get_file_info(p)
-    if info.type == fs.FileType.Directory:
-        infos = f.get_file_info(fs.FileSelector(p, recursive=True))
-        return tuple(sorted((i.path, i.size, i.mtime_ns) for i in infos))
-    return (info.size, info.mtime_ns)
+    """(size, mtime) of the file(s), or None when the file system is not
+    reachable from the driver through pyarrow (then nothing is cached)."""
+    try:
+        from pyarrow import fs
+        f, p = fs.FileSystem.from_uri(path) if "://" in path else (fs.LocalFileSystem(), path)
+        info = f.get_file_info(p)
+        if info.type == fs.FileType.Directory:
+            infos = f.get_file_info(fs.FileSelector(p, recursive=True))
+            return tuple(sorted((i.path, i.size, i.mtime_ns) for i in infos))
+        if info.mtime_ns is None:
+            return None
+        return (info.size, info.mtime_ns)
+    except Exception:
+        return None
 
 
 def _total_bytes(path: str) -> int:
-    """Size of a file or of the files in a folder (metadata only)."""
-    from pyarrow import fs
-    f, p = fs.FileSystem.from_uri(path) if "://" in path else (fs.LocalFileSystem(), path)
-    info = f.get_file_info(p)
-    if info.type == fs.FileType.Directory:
-        return sum(i.size or 0 for i in f.get_file_info(fs.FileSelector(p, recursive=True)))
-    return info.size or 0
+    """Size of a file or of the files in a folder (metadata only); when the
+    size cannot be read, treat the input as large (features get spread)."""
+    try:
+        from pyarrow import fs
+        f, p = fs.FileSystem.from_uri(path) if "://" in path else (fs.LocalFileSystem(), path)
+        info = f.get_file_info(p)
+        if info.type == fs.FileType.Directory:
+            return sum(i.size or 0 for i in f.get_file_info(fs.FileSelector(p, recursive=True)))
+        return info.size or 0
+    except Exception:
+        return SPREAD_BYTES + 1
 
 
 def check_ids(zones: DataFrame) -> int:
