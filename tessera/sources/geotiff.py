@@ -8,6 +8,8 @@ store paths work), decode them with numpy and yield Arrow record batches.
 
 Options:
 
+* ``band`` (default 0): the band read from a multi-band file (interleaved or
+  band-separate);
 * ``cells_per_partition`` (default 4M) and ``min_partitions``: how windows
   are grouped into tasks;
 
@@ -22,8 +24,8 @@ Options:
 * neither: the file's own segment layout (its tiles, or bands of strips).
 
 Supported encodings: uncompressed, LZW and Deflate (compression 1, 5, 8, 32946),
-horizontal predictor 2 for integers, strips or tiles, one band (the first
-sample is read), integer and float sample formats. Others raise.
+horizontal predictor 2 for integers, strips or tiles, one band read from
+single- or multi-band files, integer and float sample formats. Others raise.
 """
 
 from __future__ import annotations
@@ -83,6 +85,9 @@ class TiffHeader:
     offsets: list[int] | dict[int, int] = field(repr=False)   # by segment index
     counts: list[int] | dict[int, int] = field(repr=False)
     nodata: float | None = None
+    samples: int = 1           # samples per pixel
+    planar: int = 1            # 1 interleaved, 2 band-separate
+    band: int = 0              # band read (0-based)
     x0: float = 0.0
     y0: float = 0.0
     dx: float = 1.0
@@ -147,8 +152,7 @@ def read_header(path: str) -> TiffHeader:
     bits = one(TAG_BITS, 1)
     fmt = one(TAG_SAMPLE_FORMAT, 1)
     samples = one(TAG_SAMPLES, 1)
-    if samples != 1 and one(TAG_PLANAR, 1) != 2:
-        raise ValueError(f"{path}: only single-band (or band-separate) files are supported")
+    planar = one(TAG_PLANAR, 1)
     kind = {1: "u", 2: "i", 3: "f"}.get(fmt)
     if kind is None or bits not in (8, 16, 32, 64):
         raise ValueError(f"{path}: unsupported sample format {fmt}/{bits} bits")
@@ -166,7 +170,8 @@ def read_header(path: str) -> TiffHeader:
     else:
         seg_w, seg_h = width, min(one(TAG_ROWS_PER_STRIP, height), height)
         offsets, counts = list(tags[TAG_STRIP_OFFSETS]), list(tags[TAG_STRIP_BYTES])
-    h = TiffHeader(path, width, height, dtype, comp, pred, seg_w, seg_h, tiled, offsets, counts)
+    h = TiffHeader(path, width, height, dtype, comp, pred, seg_w, seg_h, tiled, offsets, counts,
+                   samples=samples, planar=planar)
     if TAG_NODATA in tags:
         try:
             h.nodata = float(tags[TAG_NODATA][0])
@@ -252,10 +257,13 @@ def mosaic_offsets(headers: list[TiffHeader]) -> tuple[list[tuple[int, int]], tu
 def _segments(h: TiffHeader, win) -> list[tuple[int, int, int]]:
     """(index, seg_x0, seg_y0) of the segments a window touches."""
     x, y, w, r = win
+    first = 0
+    if h.planar == 2 and h.band:  # band-separate: each band's segments form a block
+        first = h.band * h.segs_across * math.ceil(h.height / h.seg_h)
     out = []
     for sy in range(y // h.seg_h, (y + r - 1) // h.seg_h + 1):
         for sx in range(x // h.seg_w, (x + w - 1) // h.seg_w + 1):
-            out.append((sy * h.segs_across + sx, sx * h.seg_w, sy * h.seg_h))
+            out.append((first + sy * h.segs_across + sx, sx * h.seg_w, sy * h.seg_h))
     return out
 
 
@@ -296,11 +304,12 @@ def _decode(h: TiffHeader, buf: bytes) -> np.ndarray:
     elif h.compression in COMPRESSION_LZW:
         buf = lzw_decode(buf)
     a = np.frombuffer(buf, dtype=np.dtype(h.dtype))
-    rows = len(a) // h.seg_w
-    a = a[:rows * h.seg_w].reshape(rows, h.seg_w)
-    if h.predictor == 2:
+    k = h.samples if h.planar == 1 else 1  # interleaved samples per pixel
+    rows = len(a) // (h.seg_w * k)
+    a = a[:rows * h.seg_w * k].reshape(rows, h.seg_w, k)
+    if h.predictor == 2:  # differences run per sample along the row
         a = np.cumsum(a, axis=1, dtype=a.dtype)
-    return a
+    return a[:, :, h.band if k > 1 else 0]
 
 
 class SegmentCache:
@@ -375,6 +384,7 @@ class GeoTiffReader(DataSourceReader):
         self.max_tile = int(options["max_tile"]) if "max_tile" in options else None
         self.schema = schema
         self.target = int(options.get("cells_per_partition", TARGET_CELLS_PER_PARTITION))
+        self.band = int(options.get("band", 0))
         self.min_partitions = int(options.get("min_partitions", 1))
         self.bounds: dict[str, list] = {}
 
@@ -396,7 +406,7 @@ class GeoTiffReader(DataSourceReader):
 
     def partitions(self):
         parts = []
-        headers = [read_header(p) for p in self.paths]
+        headers = [_with_band(read_header(p), self.band) for p in self.paths]
         offsets, mosaic = mosaic_offsets(headers)
         if self.form == "tiles":
             check_tile_alignment(headers, offsets, mosaic, self.chunk)
@@ -472,6 +482,13 @@ class GeoTiffPushdownReader(GeoTiffReader):
         return list(filters)
 
 
+def _with_band(h: TiffHeader, band: int) -> TiffHeader:
+    if not 0 <= band < h.samples:
+        raise ValueError(f"{h.path}: band {band} requested, file has {h.samples}")
+    h.band = band
+    return h
+
+
 def _slim(h: TiffHeader, windows) -> TiffHeader:
     """Header copy with only the segment offsets the windows need (a dict by
     segment index, so a partition carries a few entries, not the file's)."""
@@ -537,7 +554,7 @@ def register(spark) -> None:
 
 
 def read_geotiff(spark, path: str, name: str | None = None, chunk: int | None = None,
-                 max_tile: int | None = None, form: str = "cells"):
+                 max_tile: int | None = None, form: str = "cells", band: int = 0):
     """GeoTIFF as a ``Layer`` (cells) or a windows DataFrame.
 
     The driver reads only the first file's header (georeference, size);
@@ -546,6 +563,7 @@ def read_geotiff(spark, path: str, name: str | None = None, chunk: int | None =
     from ..layer import Georef, Layer
     register(spark)
     r = (spark.read.format("geotiff").option("form", form).option("pushdown", _pushdown(spark))
+         .option("band", str(band))
          .option("min_partitions", str(default_parallelism(spark))))
     if chunk:
         r = r.option("chunk", str(chunk))
@@ -558,14 +576,14 @@ def read_geotiff(spark, path: str, name: str | None = None, chunk: int | None =
     return Layer(df, name or path.rstrip("/").split("/")[-1], Georef(x0, y0, dx, dy, srid), (cols, rows))
 
 
-def read_geotiff_tiles(spark, path: str, tile_size: int, name: str | None = None):
+def read_geotiff_tiles(spark, path: str, tile_size: int, name: str | None = None, band: int = 0):
     """GeoTIFF straight into a ``TileLayer`` on an n x n layout: each task
     reads its aligned windows and pads edge tiles, so no shuffle is needed.
     Returns (tile layer, layer metadata from the header: cols, rows)."""
     from ..layer import Georef, LayerMeta, TileLayer
     register(spark)
     df = (spark.read.format("geotiff").option("form", "tiles").option("tile_size", str(tile_size))
-          .option("pushdown", _pushdown(spark))
+          .option("pushdown", _pushdown(spark)).option("band", str(band))
           .option("min_partitions", str(default_parallelism(spark))).load(path))
     _, (x0, y0, dx, dy, srid, cols, rows) = mosaic_offsets([read_header(p) for p in _expand(path)])
     tl = TileLayer(df, tile_size, name or path.rstrip("/").split("/")[-1], Georef(x0, y0, dx, dy, srid))

@@ -226,3 +226,48 @@ def test_file_written_by_the_jdk(spark, scratch, kind, comp, tile):
     assert hd.tiled == bool(tile)
     got = _cells(gt.read_geotiff(spark, f"{scratch}/jdk.tif"))
     assert got == {(x, y): int(a[y, x]) for y in range(h) for x in range(w)}
+
+
+@pytest.mark.parametrize("comp,tile", [("LZW", None), ("Deflate", 16)])
+def test_multiband_interleaved_file_written_by_the_jdk(spark, scratch, comp, tile):
+    jvm, gw = spark._jvm, spark.sparkContext._gateway
+    h, w = 23, 41
+    rng = np.random.default_rng(3)
+    a = rng.integers(0, 256, size=(h, w, 3))
+    bi = jvm.java.awt.image.BufferedImage
+    img = bi(w, h, bi.TYPE_3BYTE_BGR)
+    px = gw.new_array(gw.jvm.int, h * w * 3)
+    for i, v in enumerate(a.reshape(-1).tolist()):
+        px[i] = int(v)
+    img.getRaster().setPixels(0, 0, w, h, px)
+    writer = jvm.javax.imageio.ImageIO.getImageWritersByFormatName("tiff").next()
+    param = writer.getDefaultWriteParam()
+    param.setCompressionMode(jvm.javax.imageio.ImageWriteParam.MODE_EXPLICIT)
+    param.setCompressionType(comp)
+    if tile:
+        param.setTilingMode(jvm.javax.imageio.ImageWriteParam.MODE_EXPLICIT)
+        param.setTiling(tile, tile, 0, 0)
+    out = jvm.javax.imageio.stream.FileImageOutputStream(jvm.java.io.File(f"{scratch}/rgb.tif"))
+    writer.setOutput(out)
+    writer.write(None, jvm.javax.imageio.IIOImage(img, None, None), param)
+    out.close()
+    hd = gt.read_header(f"{scratch}/rgb.tif")
+    assert (hd.samples, hd.planar) == (3, 1)
+    for band in range(3):
+        got = _cells(gt.read_geotiff(spark, f"{scratch}/rgb.tif", band=band))
+        assert got == {(x, y): int(a[y, x, band]) for y in range(h) for x in range(w)}, band
+    with pytest.raises(Exception, match="band 3"):
+        gt.read_geotiff(spark, f"{scratch}/rgb.tif", band=3).df.count()
+
+
+@pytest.mark.parametrize("kw", [dict(rows_per_strip=6), dict(tile=16, deflate=True), dict(tile=16, lzw=True)])
+def test_band_separate_file(spark, scratch, arr, kw):
+    planes = np.stack([arr, arr * 2 + 1, 100 - arr]).astype(np.int16)
+    p = write_tiff(f"{scratch}/planar.tif", planes, **kw)
+    hd = gt.read_header(p)
+    assert (hd.samples, hd.planar) == (3, 2)
+    for band in range(3):
+        assert _cells(gt.read_geotiff(spark, p, band=band)) == _expect(planes[band]), band
+    tl, _ = gt.read_geotiff_tiles(spark, p, 16, band=2)
+    ref = gt.read_geotiff(spark, p, band=2).to_tiles(16).df
+    assert tl.df.exceptAll(ref).count() == 0 and ref.exceptAll(tl.df).count() == 0

@@ -53,23 +53,16 @@ def write_tiff(path, a, *, tile=None, rows_per_strip=None, deflate=False, predic
                nodata=None, georef=None, epsg=None, big_endian=False, compression=None, bigtiff=False,
                pixel_is_point=False, transform=None, sparse=(), lzw=False):
     a = np.asarray(a)
+    planes = [a] if a.ndim == 2 else list(a)  # (bands, h, w) -> band-separate file
+    a = planes[0]
     h, w = a.shape
     bo = ">" if big_endian else "<"
     a = a.astype(a.dtype.newbyteorder(bo))
     kind = {"u": 1, "i": 2, "f": 3}[a.dtype.kind]
     bits = a.dtype.itemsize * 8
     segs = []
-    if tile:
-        tw = th = tile
-        for ty in range(0, h, th):
-            for tx in range(0, w, tw):
-                blk = np.zeros((th, tw), dtype=a.dtype)
-                part = a[ty:ty + th, tx:tx + tw]
-                blk[:part.shape[0], :part.shape[1]] = part
-                segs.append(blk)
-    else:
-        rps = rows_per_strip or h
-        segs = [a[y:y + rps] for y in range(0, h, rps)]
+    for a in [p.astype(p.dtype.newbyteorder(bo)) for p in planes]:
+        segs += _segments(a, h, w, tile, rows_per_strip)
     blobs = []
     for k, s in enumerate(segs):
         if k in sparse:
@@ -79,8 +72,10 @@ def write_tiff(path, a, *, tile=None, rows_per_strip=None, deflate=False, predic
             s = np.diff(s, axis=1, prepend=np.zeros((s.shape[0], 1), dtype=s.dtype)).astype(s.dtype)
         b = s.tobytes()
         blobs.append(zlib.compress(b) if deflate else (lzw_encode(b) if lzw else b))
-    tags = {256: (4, [w]), 257: (4, [h]), 258: (3, [bits]), 259: (3, [compression or (8 if deflate else (5 if lzw else 1))]),
-            262: (3, [1]), 277: (3, [1]), 284: (3, [1]), 317: (3, [predictor]), 339: (3, [kind])}
+    nb = len(planes)
+    tags = {256: (4, [w]), 257: (4, [h]), 258: (3, [bits] * nb), 259: (3, [compression or (8 if deflate else (5 if lzw else 1))]),
+            262: (3, [1]), 277: (3, [nb]), 284: (3, [2 if nb > 1 else 1]), 317: (3, [predictor]),
+            339: (3, [kind] * nb)}
     if tile:
         tags[322] = (3, [tile]); tags[323] = (3, [tile])
     else:
@@ -137,3 +132,17 @@ def write_tiff(path, a, *, tile=None, rows_per_strip=None, deflate=False, predic
         f.write(b"\0" * (ifd_off - data_off))
         f.write(struct.pack(bo + nfmt, len(tags)) + b"".join(entries) + struct.pack(bo + cnt_fmt, 0) + extra)
     return path
+
+
+def _segments(a, h, w, tile, rows_per_strip):
+    if tile:
+        out = []
+        for ty in range(0, h, tile):
+            for tx in range(0, w, tile):
+                blk = np.zeros((tile, tile), dtype=a.dtype)
+                part = a[ty:ty + tile, tx:tx + tile]
+                blk[:part.shape[0], :part.shape[1]] = part
+                out.append(blk)
+        return out
+    rps = rows_per_strip or h
+    return [a[y:y + rps] for y in range(0, h, rps)]
