@@ -123,7 +123,10 @@ class Layer:
         """Driver-side metadata; one small aggregate job, memoised."""
         if self._meta is None:
             r = self.metadata().first()
-            self._meta = LayerMeta(r.xmin, r.xmax, r.ymin, r.ymax, r.cells, r.data_cells)
+            if not r.cells:  # empty raster: zero size (xmax = ymax = -1)
+                self._meta = LayerMeta(0, -1, 0, -1, 0, 0)
+            else:
+                self._meta = LayerMeta(r.xmin, r.xmax, r.ymin, r.ymax, r.cells, r.data_cells)
         return self._meta
 
     def keyed(self, n: int) -> DataFrame:

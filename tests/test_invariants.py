@@ -370,3 +370,14 @@ def test_exact_median_wide_domain(spark, scratch, w, h):
     want = {r.zone_id: r.m for r in zonal.zone_cells(lay, z).groupBy("zone_id")
             .agg(F.median("v").alias("m")).collect()}
     assert got == want
+
+
+def test_empty_raster(spark, scratch):
+    empty = cells(spark, [])
+    m = empty.meta()
+    assert (m.cols, m.rows, m.cells) == (0, 0, 0)
+    big = [[[-5000, -5000], [9000, -4000], [8000, 12000], [-3000, 9000], [-5000, -5000]]]
+    z = read_zones(spark, _zone_file(f"{scratch}/e.geojson", [_poly("h", big)]))
+    st = zonal.statistics(cells(spark, []), z, broadcast_max_runs=0).collect()
+    assert [(r.zone_id, r.n) for r in st] == [("h", 0)]
+    assert local.count_value(empty, 1).first().n == 0
