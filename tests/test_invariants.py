@@ -381,3 +381,13 @@ def test_empty_raster(spark, scratch):
     st = zonal.statistics(cells(spark, []), z, broadcast_max_runs=0).collect()
     assert [(r.zone_id, r.n) for r in st] == [("h", 0)]
     assert local.count_value(empty, 1).first().n == 0
+
+
+def test_empty_raster_other_operators(spark):
+    empty = cells(spark, [])
+    assert layout.windows(empty, 10).count() == 0
+    assert focal.focal_mean(empty, 1, "halo").df.count() == 0
+    assert focal.focal_mean(empty, 1, "tile", tile_size=4).df.count() == 0
+    assert empty.to_tiles(4).df.count() == 0
+    assert {r.n_tiles for r in sweep.tile_size_sweep(empty, 1, (4, 8)).collect()} <= {0}
+    assert layout.count_tiles(empty, 4).first().n_tiles == 0
