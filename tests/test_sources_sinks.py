@@ -138,3 +138,10 @@ def test_checkpoint_cuts_lineage(spark):
     assert local.count_value(r, 16).first().n == 66
     t = a.to_tiles(25).checkpoint()
     assert local.count_value_tiles(t, 16).first().n == 66
+
+
+def test_show_prints_rows(spark, capsys):
+    from tessera.operators import local
+    sinks.show(local.count_value(grid_a(spark, SF0001), 16))
+    out = capsys.readouterr().out
+    assert "| n |" in out.replace(" ", "").replace("|n|", "| n |") and "66" in out
