@@ -143,31 +143,32 @@ def _dec(c: Column) -> Column:
 MEDIAN_BUCKET = 1 << 16
 
 
-def _median_keyed(hist: DataFrame, totals: DataFrame, zones: ZoneSet) -> DataFrame:
+def _median_keyed(hist: DataFrame, zones: ZoneSet) -> DataFrame:
     """Exact interpolated median per zone from a keyed histogram, with every
     group bounded by a constant (not by the zone's size or value domain).
 
-    1. count cells per (zone, coarse bucket of MEDIAN_BUCKET values); a window
-       over a zone's buckets (at most 2^32 / MEDIAN_BUCKET of them) finds the
-       buckets holding the middle rank(s) (N+1) div 2 and N div 2 + 1;
+    1. count cells per (zone, coarse bucket of MEDIAN_BUCKET values); windows
+       over a zone's buckets (at most 2^32 / MEDIAN_BUCKET of them) give the
+       zone total N and the buckets holding the middle rank(s)
+       (N+1) div 2 and N div 2 + 1;
     2. only those buckets' values (at most MEDIAN_BUCKET each) are ranked to
        read the two middle values; the median is their mean.
     """
     bucket = F.floor(F.col("v") / F.lit(MEDIAN_BUCKET)).cast("bigint")
     b = hist.groupBy("zk", bucket.alias("b")).agg(F.sum("n").alias("bn"))
-    upto = Window.partitionBy("zk").orderBy("b").rowsBetween(Window.unboundedPreceding, 0)
-    b = b.select("zk", "b", "bn", F.sum("bn").over(upto).alias("cum"))
-    cnt = F.col("N")
-    ranks = totals.select("zk", F.floor((cnt + 1) / 2).cast("bigint").alias("r1"),
-                          (F.floor(cnt / 2) + 1).cast("bigint").alias("r2"))
-    small = zones.zone_count_bound() <= BROADCAST_MAX_ZONES
-    b = b.join(F.broadcast(ranks) if small else ranks, "zk")
+    zone = Window.partitionBy("zk")
+    upto = zone.orderBy("b").rowsBetween(Window.unboundedPreceding, 0)
+    total = F.sum("bn").over(zone)
+    b = b.select("zk", "b", "bn", F.sum("bn").over(upto).alias("cum"),
+                 F.floor((total + 1) / 2).cast("bigint").alias("r1"),
+                 (F.floor(total / 2) + 1).cast("bigint").alias("r2"))
     before = F.col("cum") - F.col("bn")
 
     def holds(r):
         return (before < F.col(r)) & (F.col(r) <= F.col("cum"))
 
     sel = b.where(holds("r1") | holds("r2")).select("zk", F.col("b").alias("sb"), before.alias("before"), "r1", "r2")
+    small = zones.zone_count_bound() <= BROADCAST_MAX_ZONES
     # join on the zone key only (at most two buckets per zone) and compare the
     # bucket afterwards with '<=>': a join or '=' on the bucket would push a
     # derived not-null filter into the histogram's plan and stop Spark from
@@ -207,7 +208,7 @@ def _statistics_keyed(hist: DataFrame, zones: ZoneSet) -> DataFrame:
         F.sum(_dec(v) * _dec(v) * _dec(n)).alias("s2"),
         F.max_by(v, F.struct(n, -v)).alias("mode"),
     )
-    med = _median_keyed(hist, s.where(F.col("n") > 0).select("zk", F.col("n").alias("N")), zones)
+    med = _median_keyed(hist, zones)
     small = zones.zone_count_bound() <= BROADCAST_MAX_ZONES
     s = s.join(F.broadcast(med) if small else med, "zk", "left")
     cnt = F.col("n")
