@@ -7,10 +7,15 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from . import decontaminate, quality, secrets, sentencepiece_codec, simhash
+from . import (decontaminate, embeddings, html_text, langid, licenses, quality, secrets, sentencepiece_codec,
+               simhash, token_counts)
 from .common import table
 
 
+def op1_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return licenses.scan(table(spark, sf_dir, "documents"))
+
+
 def op2_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sentencepiece_codec.encoded(table(spark, sf_dir, "documents"), public_tokenizers.path("piece_bpe_32k.model"))
 
@@ -19,10 +24,26 @@ def op3_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontaminate.contained(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
 
+def op4_html(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return html_text.extracted(table(spark, sf_dir, "pages"))
+
+
 def op5_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
     return secrets.report(table(spark, sf_dir, "documents"))
 
 
+def op6_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return token_counts.counted(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN)
+
+
+def op7_embeddings(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return embeddings.near_duplicates(table(spark, sf_dir, "embeddings"))
+
+
+def op8_language(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return langid.identify(table(spark, sf_dir, "documents"))
+
+
 def op9_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.classify(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
@@ -32,9 +53,25 @@ def op10_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (op2_sentencepiece, op3_decontamination, op5_secrets, op9_quality, op10_simhash)}
+    f.__name__: f for f in (op1_licenses, op2_sentencepiece, op3_decontamination, op4_html, op5_secrets, op6_token_counts,
+                            op7_embeddings, op8_language, op9_quality, op10_simhash)}
+
+_TEMPLATES = ", ".join(f"('{name}', '{text}')" for name, text in licenses.TEMPLATES)
 
 SQL: dict[str, str] = {
+    # Brute force: every template's shingles against every document's.
+    "op1_licenses": rf"""
+WITH d AS (SELECT row_number() OVER () AS r, doc_id, regexp_extract_all(lower(coalesce(text, '')), '[\p{{L}}\p{{N}}]+') AS w FROM documents),
+t(license, text) AS (VALUES {_TEMPLATES}),
+i AS (SELECT license, regexp_extract_all(lower(text), '[\p{{L}}\p{{N}}]+') AS w FROM t),
+dp AS (SELECT r, doc_id, w, unnest(range(1, greatest(len(w) - 4, 1) + 1)) AS p FROM d WHERE len(w) > 0),
+ip AS (SELECT license, w, unnest(range(1, greatest(len(w) - 4, 1) + 1)) AS p FROM i),
+ds AS (SELECT DISTINCT r, doc_id, array_to_string(list_slice(w, p, p + 4), ' ') AS s FROM dp),
+xs AS (SELECT DISTINCT license, array_to_string(list_slice(w, p, p + 4), ' ') AS s FROM ip),
+n AS (SELECT license, count(*) AS n_template FROM xs GROUP BY license)
+SELECT doc_id, license, count(*) AS n_shared, any_value(n_template) AS n_template, count(*) / any_value(n_template) AS containment
+FROM ds JOIN xs USING (s) JOIN n USING (license) GROUP BY r, doc_id, license
+HAVING count(*) >= 0.8 * any_value(n_template) - 1e-9""",
     # Brute force: every item's shingles against every document's.
     "op3_decontamination": r"""
 WITH d AS (SELECT row_number() OVER () AS r, doc_id, regexp_extract_all(lower(coalesce(text, '')), '[\p{L}\p{N}_]+') AS w FROM documents),
