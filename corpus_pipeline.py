@@ -19,7 +19,8 @@ from tessera.llm.common import stored, table
 
 def _without(docs: DataFrame, ids: DataFrame) -> DataFrame:
     """Rows of ``docs`` whose doc_id is not in ``ids``; null ids stay."""
-    return docs.join(ids.select(F.col("doc_id").alias("_gone")).distinct(), docs["doc_id"] == F.col("_gone"), "left_anti")
+    gone = ids.select(F.col("doc_id").alias("gone_id")).distinct()
+    return docs.join(gone, docs["doc_id"] == gone["gone_id"], "left_anti")
 
 
 def quality_classifier(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -31,12 +32,13 @@ def quality_classifier(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Dat
 
 def simhash_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Keeps the document with the smallest doc_id of each group of linked ones, and
-    one row of it. A group without any doc_id keeps its rows."""
-    groups = simhash.near_duplicates(docs)
-    out = _without(docs, groups.filter("doc_id <> component_id"))
+    equal rows of it once (rows that share its doc_id but not its text stay). Rows
+    without a doc_id have no identity to be dropped by and stay."""
+    groups = stored(simhash.near_duplicates(docs), "simhash-groups")
+    first = _without(docs, groups.filter("doc_id <> component_id"))
     repeated = stored(groups.groupBy("doc_id").agg(F.count("*").alias("n")).filter("n > 1 AND doc_id IS NOT NULL"), "repeated-ids")
-    one = docs.join(repeated.select(F.col("doc_id").alias("_id")), docs["doc_id"] == F.col("_id"), "left_semi")
-    return _without(out, repeated).unionByName(_without(one, groups.filter("doc_id <> component_id")).dropDuplicates(["doc_id"]))
+    again = first.join(repeated, first["doc_id"] == repeated["doc_id"], "left_semi")
+    return _without(first, repeated).unionByName(again.dropDuplicates(["doc_id", "text"]))
 
 
 def benchmark_decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -201,6 +201,22 @@ def _spans(rule: Rule, order: int, text: Column) -> Column:
     return F.aggregate(rows, F.struct(F.lit(0).alias("at"), empty.alias("spans")), step, lambda a: a["spans"])
 
 
+SPANS = "array<struct<start:int,order:int,kind:string,end:int>>"
+
+
+def _scanned(docs: DataFrame, rules: tuple[Rule, ...]) -> DataFrame:
+    """``(row, spans)``: each row of ``docs`` as a struct (so none of its columns can
+    clash with another) and its spans."""
+    found = candidates(docs, rules).toDF("candidate_key", "kinds")
+    rows = docs.select(F.struct("*").alias("row"), _key().alias("own_key")).join(found, F.col("own_key") == F.col("candidate_key"), "left")
+    parts = []
+    for k, r in enumerate(rules):
+        text = F.col("row.text")
+        test = F.array_contains("kinds", r.kind) if rule_query(r.regex) is not True else text.rlike(r.regex)
+        parts.append(F.when(F.coalesce(test, F.lit(False)), _spans(r, k, text)).otherwise(F.array().cast(SPANS)))
+    return rows.select("row", F.array_sort(F.concat(*parts)).alias("spans"))
+
+
 def scan(docs: DataFrame, base: tuple[Rule, ...] = BASE, added: tuple[Rule, ...] = ADDED) -> DataFrame:
     """``docs``, all columns, with ``secret_spans``: the spans of all rules in order of
     start and then of the rules, ``struct<start, order, kind, end>``.
@@ -208,16 +224,8 @@ def scan(docs: DataFrame, base: tuple[Rule, ...] = BASE, added: tuple[Rule, ...]
     Null and empty texts have no spans; repeated rows each have theirs; a null
     doc_id is a value like any other. A column named ``secret_spans`` is replaced.
     """
-    rules = base + added
-    none = F.array().cast("array<struct<start:int,order:int,kind:string,end:int>>")
-    found = candidates(docs, rules).select(F.col("row_key").alias("_row_key"), F.col("kinds").alias("_kinds"))
-    rows = docs.drop("secret_spans").withColumn("_key", _key()).join(found, F.col("_key") == F.col("_row_key"), "left")
-    parts = []
-    for k, r in enumerate(rules):
-        own = _spans(r, k, F.col("text"))
-        test = F.array_contains("_kinds", r.kind) if rule_query(r.regex) is not True else F.col("text").rlike(r.regex)
-        parts.append(F.when(F.coalesce(test, F.lit(False)), own).otherwise(none))
-    return rows.withColumn("secret_spans", F.array_sort(F.concat(*parts))).drop("_key", "_row_key", "_kinds")
+    own = [F.col("row")[c].alias(c) for c in docs.columns if c != "secret_spans"]
+    return _scanned(docs, base + added).select(*own, F.col("spans").alias("secret_spans"))
 
 
 def spelled(spans: Column) -> Column:
@@ -227,37 +235,34 @@ def spelled(spans: Column) -> Column:
 
 def report(docs: DataFrame) -> DataFrame:
     """``(doc_id, n_assign, n_access, n_hex, base_sha256, spans)``, one row per input row."""
-    rows = scan(docs)
-
     def of(kind):
-        return F.size(F.filter("secret_spans", lambda s: s["kind"] == kind)).cast("long")
+        return F.size(F.filter("spans", lambda s: s["kind"] == kind)).cast("long")
 
-    base = F.filter("secret_spans", lambda s: s["order"] < len(BASE))
-    return rows.select(F.col("doc_id").cast("long").alias("doc_id"), *[of(r.kind).alias(f"n_{r.kind}") for r in BASE],
-                       F.sha2(spelled(base), 256).alias("base_sha256"), spelled(F.col("secret_spans")).alias("spans"))
+    base = F.filter("spans", lambda s: s["order"] < len(BASE))
+    return _scanned(docs, BASE + ADDED).select(
+        F.col("row.doc_id").cast("long").alias("doc_id"), *[of(r.kind).alias(f"n_{r.kind}") for r in BASE],
+        F.sha2(spelled(base), 256).alias("base_sha256"), spelled(F.col("spans")).alias("spans"))
 
 
 def redacted(docs: DataFrame) -> DataFrame:
     """``docs``, all columns, with every span (overlapping ones as one) replaced by
     ``MARK``; ``n_chars``, if there, follows where the text changed."""
-    rows = scan(docs)
-    text = F.col("text")
+    text = F.col("row.text")
     start = F.struct(F.lit(0).alias("at"), F.lit("").alias("out"))
 
     def step(acc, s):
         gap = F.when(s["start"] >= acc["at"], F.concat(F.substring(text, acc["at"] + 1, s["start"] - acc["at"]), F.lit(MARK))).otherwise("")
         return F.struct(F.greatest(acc["at"], s["end"]).alias("at"), F.concat(acc["out"], gap).alias("out"))
 
-    done = F.aggregate("secret_spans", start, step, lambda a: F.concat(a["out"], F.substring(text, a["at"] + 1, F.length(text))))
-    changed = F.size("secret_spans") > 0
-    out = rows.withColumn("_text", F.when(changed, done).otherwise(text))
+    done = F.aggregate("spans", start, step, lambda a: F.concat(a["out"], F.substring(text, a["at"] + 1, F.length(text))))
+    changed = F.size("spans") > 0
+    rows = _scanned(docs, BASE + ADDED).select("row", "spans", F.when(changed, done).otherwise(text).alias("new_text"))
     columns = []
-    for c in docs.columns:
-        if c == "text":
-            columns.append(F.col("_text").alias("text"))
-        elif c == "n_chars":
-            kind = docs.schema["n_chars"].dataType
-            columns.append(F.when(changed, F.length("_text").cast(kind)).otherwise(F.col("n_chars")).alias("n_chars"))
-        else:
-            columns.append(F.col(f"`{c}`"))
-    return out.select(*columns)
+    for field in docs.schema:
+        own = F.col("row")[field.name]
+        if field.name == "text":
+            own = F.col("new_text")
+        elif field.name == "n_chars":
+            own = F.when(changed, F.length("new_text").cast(field.dataType)).otherwise(own)
+        columns.append(own.alias(field.name))
+    return rows.select(*columns)

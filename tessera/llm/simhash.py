@@ -3,11 +3,17 @@
 A 64-bit fingerprint is cut into three segments of at most 23 bits. The
 (23, 12) Golay code is perfect: every 23-bit word lies within 3 bits of exactly
 one codeword. A segment's keys are the indices of all codewords within 4 bits
-of it (one key, or six where the nearest codeword is 3 bits away), so that two
-segments at most 2 bits apart always share a key: the codeword nearest to a
-word half-way between them is within 4 bits of both. Four differing bits leave
-two of the three segments with at most 2 each, so every linked pair meets
-under a key made of two segments' codeword indices (24 bits of selectivity).
+of it (one key, or six where the nearest codeword is 3 bits away), nearest first.
+Segments 2 bits apart share a key: the codeword nearest to a word half-way
+between them is within 4 bits of both. Of segments 1 bit apart, each one's
+nearest codeword is a key of the other.
+
+Four differing bits leave two of the three segments with at most 2 bits
+together: 0 and up to 2, or 1 and 1. A bucket is two segments' codeword indices
+(24 bits of selectivity), one of them the nearest. In the first case the equal
+segment gives the nearest and the other a shared key; in the second, one
+document's nearest meets the other's key in either segment. So every linked
+pair shares a bucket, and a fingerprint has 29 buckets on average.
 
 Equal fingerprints are one class before any key is made. Buckets are read as
 sorted runs, compared in numpy and give a spanning forest of their links, never
@@ -82,7 +88,7 @@ def fingerprints(docs: DataFrame, shingle: int = SHINGLE) -> DataFrame:
 
 def golay_tables() -> tuple[np.ndarray, np.ndarray]:
     """Syndromes by byte (3 x 256) and, by syndrome, the error patterns (2048 x 6)
-    that lead to all codewords within 4 bits; missing ones are -1."""
+    that lead to all codewords within 4 bits, the nearest first; missing ones are -1."""
     syndrome = []
     for bit in range(23):
         r = 1 << bit
@@ -122,6 +128,7 @@ def bucket_keys(fps: np.ndarray, tables) -> tuple[np.ndarray, np.ndarray]:
     for k, (i, j) in enumerate(((0, 1), (0, 2), (1, 2))):
         a, b = seg[i][:, :, None], seg[j][:, None, :]
         ok = (a >= 0) & (b >= 0)
+        ok[:, 1:, 1:] = False  # one of the two is the nearest codeword
         key = (k << 24 | a << 12 | b)[ok]
         keys.append(key)
         rows.append(np.nonzero(ok)[0])
@@ -249,14 +256,14 @@ def links(classes: DataFrame, bits: int = MAX_BITS, max_run: int = MAX_RUN) -> D
 def near_duplicates(docs: DataFrame, shingle: int = SHINGLE, bits: int = MAX_BITS, max_run: int = MAX_RUN) -> DataFrame:
     """``(doc_id, fingerprint, component_id)``, one row per input row.
 
-    Documents link when their fingerprints differ in at most ``bits`` (up to 5)
+    Documents link when their fingerprints differ in at most ``bits`` (up to 4)
     bits; component_id is the smallest doc_id reachable. Null and empty texts
     have fingerprint 0 and link like any other; repeated rows stay repeated; a
     null doc_id keeps its row and never becomes a component_id beside others.
     Only ``doc_id`` and ``text`` are read, so further columns can't clash.
     """
-    if not 0 <= bits <= 5:
-        raise ValueError("the segment keys guarantee links of at most 5 bits")
+    if not 0 <= bits <= 4:
+        raise ValueError("the buckets guarantee links of at most 4 bits")
     fps = stored(fingerprints(docs, shingle), "simhash-fp")
     classes = fps.groupBy("fp").agg(F.min("doc_id").alias("low"))
     roots = connected_components(links(classes, bits, max_run))
