@@ -36,6 +36,7 @@ PRIOR_CHARS = 40
 REACH = 4.0
 #: Scores are binned to this width for the exact quantiles of the bins.
 BIN = 0.001
+SALTS = 64
 
 
 # ---------------------------------------------------------------- n-grams
@@ -152,6 +153,14 @@ def _low(column, k: int):
     return F.col(column).bitwiseAND(F.lit((1 << BITS * k) - 1))
 
 
+def _with_language(rows: DataFrame, facts: DataFrame, how: str = "inner") -> DataFrame:
+    """``rows`` joined with a few facts per language. Dealt by language and a salt, so
+    that a language with most of the rows is not one task."""
+    facts = facts.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
+    salt = F.pmod(F.xxhash64(*[c for c in rows.columns if c != "lang"]), F.lit(SALTS)).cast("int")
+    return rows.withColumn("salt", salt).join(facts, ["lang", "salt"], how).drop("salt")
+
+
 def kneser_ney(counts: DataFrame, order: int) -> tuple[list[DataFrame], list[DataFrame], DataFrame]:
     """Modified Kneser-Ney tables from highest-order counts ``(lang, gram, n)``.
 
@@ -171,14 +180,14 @@ def kneser_ney(counts: DataFrame, order: int) -> tuple[list[DataFrame], list[Dat
         d = d.withColumn("y", y).select("lang", *[
             F.expr(f"CASE WHEN n{i} > 0 THEN least({i}D, greatest(0.1D, {i} - {i + 1} * y * n{i + 1} / n{i})) ELSE 0.5D END").alias(f"d{i}")
             for i in (1, 2, 3)])
-        own = tables[k].join(d, "lang").select(
+        own = _with_language(tables[k], d).select(
             "lang", "gram", F.shiftright("gram", BITS).alias("ctx"), F.col("n").cast("double").alias("n"),
             F.expr("CASE n WHEN 1 THEN d1 WHEN 2 THEN d2 ELSE d3 END").alias("d"))
         context = own.groupBy("lang", "ctx").agg(F.sum("n").alias("c"), F.sum("d").alias("mass"))
         context = stored(context.select("lang", "ctx", "c", (F.col("mass") / F.col("c")).alias("g")), f"kn-ctx{k}")
         own = own.join(context, ["lang", "ctx"])
         if k == 1:
-            own = own.join(p0, "lang").withColumnRenamed("p0", "lower")
+            own = _with_language(own, p0).withColumnRenamed("p0", "lower")
         else:
             below = probabilities[-1].select("lang", F.col("gram").alias("suffix"), F.col("p").alias("lower"))
             own = own.withColumn("suffix", _low("gram", k - 1)).join(below, ["lang", "suffix"])
@@ -191,7 +200,7 @@ def kneser_ney(counts: DataFrame, order: int) -> tuple[list[DataFrame], list[Dat
 def scored_grams(grams: DataFrame, model, order: int) -> DataFrame:
     """``(lang, gram, nll)`` of distinct ``(lang, gram)`` rows; languages without a model drop out."""
     probabilities, weights, p0 = model
-    out = grams.join(p0, "lang").withColumnRenamed("p0", "q")
+    out = _with_language(grams, p0).withColumnRenamed("p0", "q")
     for k in range(1, order + 1):
         p = probabilities[k - 1].select("lang", F.col("gram").alias("low"), "p")
         w = weights[k - 1]
@@ -278,9 +287,9 @@ def classify(docs: DataFrame, labels: DataFrame, order: int = ORDER, reach: floa
     trusted = scores.join(good, "doc_id", "left_semi").filter("n_chars > 0 AND nll IS NOT NULL")
     middle = _quantiles(trusted.select("lang", (F.col("nll") / F.col("n_chars")).alias("score")), {"mid": 0.5})
     smooth = (F.col("nll") + PRIOR_CHARS * F.col("mid")) / (F.col("n_chars") + PRIOR_CHARS)
-    trusted = trusted.join(middle, "lang").select("lang", smooth.alias("score"))
+    trusted = _with_language(trusted, middle).select("lang", smooth.alias("score"))
     limits = _quantiles(trusted, {"q50": 0.5, "q95": 0.95}).join(middle, "lang")
-    return scores.join(limits, "lang", "left").select(
+    return _with_language(scores, limits, "left").select(
         "doc_id", "lang", "n_chars", smooth.alias("log_ppl"),
         (F.col("q50") + reach * (F.col("q95") - F.col("q50") + BIN)).alias("threshold")).withColumn(
             "keep", F.coalesce(F.col("log_ppl") <= F.col("threshold"), F.lit(True)))
