@@ -1,0 +1,59 @@
+import random
+
+import pytest
+
+from tessera.llm import licenses as li
+from helpers_llm import TEXT
+
+
+def slow(rows):
+    out = []
+    for doc_id, text in rows:
+        own = set(li.shingles_of(text or ""))
+        for name, template in li.TEMPLATES:
+            s = set(li.shingles_of(template))
+            if len(s & own) >= 0.8 * len(s) - 1e-9:
+                out.append((doc_id, name, len(s & own), len(s), len(s & own) / len(s)))
+    return sorted(out, key=str)
+
+
+@pytest.fixture(scope="module")
+def rows(corpus):
+    rng = random.Random(6)
+    out = [(r[0], r[1]) for r in corpus]
+    for i in range(120):
+        name, template = li.TEMPLATES[i % len(li.TEMPLATES)]
+        words = template.split()
+        if i % 4 == 1:
+            words = [w.upper() + "!" for w in words]
+        elif i % 4 == 2:
+            words = words[:-2]
+        elif i % 4 == 3 and len(words) > 12:
+            words[rng.randrange(len(words))] = "changed"
+        filler = corpus[i % 50][1].split()
+        at = rng.randrange(len(filler))
+        out.append((3000 + i, " ".join(filler[:at] + words + filler[at:])))
+    return out + [(4000, "Released under the MIT License"), (4001, "MIT License"), (None, "Licensed under CC BY-NC 4.0.")]
+
+
+def test_equals_brute_force(spark, rows):
+    got = li.scan(spark.createDataFrame(rows, "doc_id long, text string").repartition(3)).collect()
+    want = slow(rows)
+    assert len(want) > 70
+    assert sorted((tuple(r) for r in got), key=str) == want
+
+
+def test_native_plan_without_exchange(docs):
+    plan = li.scan(docs.coalesce(1))._jdf.queryExecution().executedPlan().toString()
+    assert "Python" not in plan and "Arrow" not in plan and "CartesianProduct" not in plan
+
+
+def test_other_tables(clashing, empty, rows, spark):
+    assert li.scan(clashing).columns == ["doc_id", "license", "n_shared", "n_template", "containment"]
+    assert li.scan(empty).collect() == []
+    assert li.scan(spark.createDataFrame([], TEXT)).count() == 0
+
+
+def test_template_bands_equal_every_run(spark):
+    for name, shingles, bands in li.template_bands(spark):
+        assert len(bands) >= li.BANDS and shingles
