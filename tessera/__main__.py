@@ -10,8 +10,9 @@
 
 Rasters are ``name=path:pixel_value:new_pixel[:srid]`` (GeoTIFF or parquet
 cell table), vectors ``name=base_path:file[:srid]``. Results are CSV with a
-header (tiling writes its text reports). The session comes from
-``spark-submit``/the environment when present, else a local one.
+header (tiling writes its text reports). Under ``spark-submit`` the submitted
+session is taken as it is (master, partitions, memory); else a local one is
+started.
 """
 
 from __future__ import annotations
@@ -65,17 +66,15 @@ def main(argv=None) -> int:
     ap.add_argument("--tile-sizes", default=None, help="comma-separated layout tile sizes")
     ap.add_argument("--tile-size", type=int, default=300, help="tile size of the tiling report")
     ap.add_argument("--edge", choices=["tile", "halo"], default="tile")
+    ap.add_argument("--lines", action="store_true", help="vector files hold one GeoJSON Feature per line")
     ap.add_argument("--out", required=True)
     a = ap.parse_args(argv)
 
-    from pyspark.sql import SparkSession
-
     from . import sinks
     from .plans import jobs
-    from .session import ensure_checkpoint_dir, get_spark
+    from .session import get_spark
 
-    spark = SparkSession.getActiveSession() or get_spark()
-    ensure_checkpoint_dir(spark)
+    spark = get_spark()
     sizes = parse_sizes(a.tile_sizes)
     if a.job == "tiling":
         counts = jobs.tiling_report_job(spark, a.raster[0], a.out, a.tile_size)
@@ -92,7 +91,7 @@ def main(argv=None) -> int:
     else:
         if not a.vector:
             ap.error("zonal needs at least one --vector")
-        df = jobs.zonal_job(spark, a.raster, a.vector)
+        df = jobs.zonal_job(spark, a.raster, a.vector, a.lines)
     sinks.write_csv(df, a.out)
     return 0
 

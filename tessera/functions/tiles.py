@@ -28,17 +28,17 @@ def assemble_tile(entries: Column, n: int, value_type: DataType) -> Column:
     """``array<struct<i,v>>`` of one tile -> dense ``array<v>`` of n*n cells.
 
     Entries are sorted by index; indices without a cell are filled with NULL
-    first (hash-set difference, linear in the tile size), so a full tile costs
-    one sort and a partial tile one set difference plus one sort.
+    first (hash-set difference, linear in the tile size). Two cells with the
+    same index raise: they would shift all cells behind them.
     """
     nn = n * n
-    full = F.transform(F.array_sort(entries), lambda q: q["v"])
     missing = F.array_except(F.sequence(F.lit(0), F.lit(nn - 1)),
                              F.transform(entries, lambda q: q["i"]))
     pad = F.transform(missing, lambda j: F.named_struct(
         F.lit("i"), j, F.lit("v"), F.lit(None).cast(value_type)))
     padded = F.transform(F.array_sort(F.concat(entries, pad)), lambda q: q["v"])
-    return F.when(F.size(entries) == nn, full).otherwise(padded)
+    return F.when(F.size(padded) == nn, padded).otherwise(
+        F.raise_error(F.lit("a cell (x, y) appears more than once in a raster")))
 
 
 def tile_count_eq(t: Column, a) -> Column:

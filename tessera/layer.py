@@ -16,6 +16,7 @@ data by one global aggregate, like a layer-metadata pass over a raster RDD.
 
 from __future__ import annotations
 
+import math
 from dataclasses import dataclass, field, replace
 
 from pyspark.sql import Column, DataFrame
@@ -80,6 +81,22 @@ class LayerMeta:
         return self.ymax + 1
 
 
+def cell_offset(a: Georef, b: Georef) -> tuple[int, int]:
+    """Whole-cell shift (columns, rows) that takes b's cell indices to a's grid.
+
+    Raises on another srid or cell size, or where the grids do not line up.
+    """
+    if a.srid != b.srid:
+        raise ValueError(f"srid mismatch: {a.srid} vs {b.srid}")
+    if not (math.isclose(a.dx, b.dx, rel_tol=1e-9) and math.isclose(a.dy, b.dy, rel_tol=1e-9)):
+        raise ValueError(f"cell sizes differ: ({a.dx}, {a.dy}) vs ({b.dx}, {b.dy})")
+    shift = (b.x0 - a.x0) / a.dx, (a.y0 - b.y0) / a.dy
+    whole = tuple(round(s) for s in shift)
+    if any(abs(s - w) > 1e-6 * max(1.0, abs(s)) for s, w in zip(shift, whole)):
+        raise ValueError(f"grids are not aligned: origins differ by {shift} cells")
+    return whole
+
+
 def metadata_df(df: DataFrame) -> DataFrame:
     """Layer metadata as a one-row DataFrame (partial + final aggregate)."""
     return df.agg(
@@ -97,6 +114,7 @@ class Layer:
     name: str = "raster"
     georef: Georef = field(default_factory=Georef)
     known_dims: tuple[int, int] | None = None
+    placed: bool = True  # False where the georeference is a guess
     _meta: LayerMeta | None = field(default=None, repr=False)
 
     @property
@@ -113,8 +131,16 @@ class Layer:
             return (self._meta.cols, self._meta.rows)
         return None
 
+    @property
+    def bounds(self) -> tuple[int, int, int, int]:
+        """(xmin, xmax, ymin, ymax) of the cells, from a source header or else a
+        metadata pass (run once)."""
+        if self.known_dims is not None:
+            return (0, self.known_dims[0] - 1, 0, self.known_dims[1] - 1)
+        return self.meta().bounds
+
     def with_df(self, df: DataFrame, name: str | None = None) -> "Layer":
-        return Layer(df, name or self.name, self.georef, self.known_dims)
+        return Layer(df, name or self.name, self.georef, self.known_dims, self.placed)
 
     def metadata(self) -> DataFrame:
         return metadata_df(self.df)
@@ -148,7 +174,7 @@ class Layer:
         entries = self.keyed(n).groupBy("tc", "tr").agg(
             F.collect_list(F.struct("i", "v")).alias("e"))
         tiles = entries.select("tc", "tr", tf.assemble_tile(F.col("e"), n, vt).alias("t"))
-        return TileLayer(tiles, n, self.name, self.georef)
+        return TileLayer(tiles, n, self.name, self.georef, source=self)
 
     def cache(self) -> "Layer":
         self.df = self.df.persist()
@@ -164,6 +190,12 @@ class Layer:
         return self.with_df(_checkpoint(self.df, eager))
 
 
+def intersection(bounds: list[tuple[int, int, int, int]]) -> tuple[int, int, int, int]:
+    """Cells that lie in all of several extents (xmin, xmax, ymin, ymax)."""
+    lo_x, hi_x, lo_y, hi_y = zip(*bounds)
+    return max(lo_x), min(hi_x), max(lo_y), min(hi_y)
+
+
 def _checkpoint(df: DataFrame, eager: bool) -> DataFrame:
     from .session import ensure_checkpoint_dir
     ensure_checkpoint_dir(df.sparkSession)
@@ -172,25 +204,53 @@ def _checkpoint(df: DataFrame, eager: bool) -> DataFrame:
 
 @dataclass
 class TileLayer:
-    """A raster in tile form (``tc, tr, t``) on an n x n layout."""
+    """A raster in tile form (``tc, tr, t``) on an n x n layout.
+
+    ``extent`` is (xmin, xmax, ymin, ymax) of the raster's cells, which tells
+    padding from NoData. Layers made by ``Layer.to_tiles`` take it from their
+    ``source`` when it is first asked for (one small aggregate).
+    """
 
     df: DataFrame
     tile_size: int
     name: str = "raster"
     georef: Georef = field(default_factory=Georef)
+    extent: tuple[int, int, int, int] | None = None
+    source: Layer | None = field(default=None, repr=False)
 
     def with_df(self, df: DataFrame) -> "TileLayer":
         return replace(self, df=df)
 
+    @property
+    def bounds(self) -> tuple[int, int, int, int]:
+        """(xmin, xmax, ymin, ymax) of the cells; raises where nothing tells it."""
+        if self.extent is None:
+            if self.source is None:
+                raise ValueError(f"{self.name}: the tile layer's extent is not known; pass extent=(xmin, xmax, ymin, ymax)")
+            self.extent = self.source.bounds
+        return self.extent
+
+    def keys(self) -> DataFrame:
+        """The layout's tile keys, without assembling tiles."""
+        if self.source is not None:
+            n = self.tile_size
+            return self.source.df.select(tf.tile_col(F.col("x"), n).alias("tc"), tf.tile_col(F.col("y"), n).alias("tr")).distinct()
+        return self.df.select("tc", "tr")
+
     def to_cells(self, keep_null: bool = True) -> Layer:
-        """Explode tiles back to cells; padding and NoData come back as NULL."""
+        """Explode tiles back to cells: the inverse of ``Layer.to_tiles``.
+
+        Padding beyond the raster is dropped, NoData cells come back as NULL
+        (``keep_null=False`` drops them too).
+        """
         n = self.tile_size
+        xmin, xmax, ymin, ymax = self.bounds
         c = self.df.select("tc", "tr", F.posexplode("t").alias("i", "v"))
         c = c.select(
             (F.col("tc") * n + F.col("i") % n).cast("int").alias("x"),
             (F.col("tr") * n + F.floor(F.col("i") / n)).cast("int").alias("y"),
             "v",
-        )
+        ).where(F.col("x").between(xmin, xmax) & F.col("y").between(ymin, ymax))
         if not keep_null:
             c = c.where(F.col("v").isNotNull())
         return Layer(c, self.name, self.georef)

@@ -147,11 +147,19 @@ def focal_count_sweep(layer: Layer, a: int, sizes, radius: int = 1, block: int =
                       for i in range(k) for j in range(k)])
     m = cs.select("x", "y", means.alias("means"))
     mean = {z: F.element_at("means", _clip_index(z, radius) + 1) for z in sizes}
-    counts = m.agg(*[F.count(F.when(mean[z].cast("int") == F.lit(a), 1)).alias(f"c{z}") for z in sizes])
+    counts = m.agg(*[F.count(F.when(truncates_to(mean[z], a), 1)).alias(f"c{z}") for z in sizes])
     rows = F.array(*[F.struct(F.lit(z).alias("tile_size"), F.col(f"c{z}").alias("n")) for z in sizes])
     return counts.select(F.explode(rows).alias("r")).select("r.tile_size", "r.n")
 
 
+def truncates_to(v: Column, a: int) -> Column:
+    """``v`` truncated toward zero equals ``a``; a comparison of doubles, so values
+    beyond any integer type simply differ."""
+    if a == 0:
+        return (v > -1.0) & (v < 1.0)
+    return (v >= float(a)) & (v < float(a + 1)) if a > 0 else (v <= float(a)) & (v > float(a - 1))
+
+
 def focal_mean(layer: Layer, radius: int = 1, edge: str = "halo",
                tile_size: int | None = None, block: int = DEFAULT_BLOCK) -> Layer:
     """Mean of the non-null cells of the (2r+1)^2 square around each cell.
@@ -166,7 +174,7 @@ def focal_mean(layer: Layer, radius: int = 1, edge: str = "halo",
 
 def count_truncated(layer: Layer, a: int) -> DataFrame:
     """Count cells whose value truncated toward zero equals ``a``."""
-    return layer.df.where(F.col("v").cast("int") == F.lit(a)).agg(F.count(F.lit(1)).alias("n"))
+    return layer.df.where(truncates_to(F.col("v"), a)).agg(F.count(F.lit(1)).alias("n"))
 
 
 def corner_sample(layer: Layer, tile_size: int, k: int = 5) -> DataFrame:
@@ -221,7 +229,7 @@ def focal_mean_tiles_halo(tl: TileLayer, meta: LayerMeta, radius: int = 1) -> Ti
 
 def count_truncated_tiles(tl: TileLayer, a: int) -> DataFrame:
     """Cells of a double tile layer whose truncated value equals ``a``."""
-    per_tile = F.size(F.filter(F.col("t"), lambda m: m.cast("int") == F.lit(a)))
+    per_tile = F.size(F.filter(F.col("t"), lambda m: truncates_to(m, a)))
     return tl.df.agg(F.coalesce(F.sum(per_tile), F.lit(0)).cast("bigint").alias("n"))
 
 

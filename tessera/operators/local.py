@@ -7,13 +7,14 @@ projection (no shuffle); adding rasters joins on the cell or tile key.
 
 from __future__ import annotations
 
+from dataclasses import replace
 from functools import reduce
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import tiles as tf
-from ..layer import Layer, LayerMeta, TileLayer
+from ..layer import Layer, LayerMeta, TileLayer, cell_offset, intersection
 
 
 # ---------------------------------------------------------------- cell form
@@ -49,32 +50,60 @@ def add(a: Layer, b: Layer, name: str | None = None) -> Layer:
     """Cell-wise sum of two rasters on a common grid; inner join on (x, y).
 
     Cells present on one side only are dropped (like unmatched tiles of a
-    tiled add); NoData on either side gives NoData.
+    tiled add); NoData on either side gives NoData. b's cells are shifted by
+    whole cells to a's grid; grids that do not line up raise. The sum has the
+    wider of both types, and integer sums one size more (int + int is bigint),
+    so it cannot overflow where the inputs are ints. Both sides grow with the
+    rasters, so neither is broadcast.
     """
-    if a.georef.srid != b.georef.srid:
-        raise ValueError(f"srid mismatch: {a.georef.srid} vs {b.georef.srid}")
-    l = a.df.select("x", "y", F.col("v").alias("va"))
-    r = b.df.select("x", "y", F.col("v").alias("vb"))
-    j = l.join(r, ["x", "y"], "inner")
+    vt = _sum_type([a, b])
+    l = a.df.select("x", "y", F.col("v").cast(vt).alias("va"))
+    r = _shifted(a, b).select("x", "y", F.col("v").cast(vt).alias("vb"))
+    j = l.join(r.hint("merge"), ["x", "y"], "inner")
     return a.with_df(j.select("x", "y", (F.col("va") + F.col("vb")).alias("v")), name)
 
 
+def _shifted(a: Layer, b: Layer) -> DataFrame:
+    """b's cells on a's grid."""
+    dx, dy = cell_offset(a.georef, b.georef)
+    return b.df.select((F.col("x") + dx).alias("x"), (F.col("y") + dy).alias("y"), "v") if dx or dy else b.df.select("x", "y", "v")
+
+
+def _sum_type(layers: list[Layer]) -> str:
+    """Type of a sum of the layers' values: bigint for integers, else double;
+    decimals keep their own addition rules through their common type."""
+    return _common_sum([l.df.schema["v"].dataType for l in layers])
+
+
+def _common_sum(types) -> str:
+    names = {t.typeName() for t in types}
+    if names <= {"byte", "short", "integer", "long"}:
+        return "bigint"
+    if names & {"float", "double"} or len({t.simpleString() for t in types}) > 1:
+        return "double"
+    return types[0].simpleString()
+
+
 def add_n(layers: list[Layer], name: str | None = None) -> Layer:
     """Sum of n rasters in one shuffle: union all, group by cell.
 
     A cell is kept only where every raster has it; any NoData gives NoData.
+    Rasters are tagged, so a repeated cell of one cannot stand in for a cell
+    that another lacks; repeated cells raise. Grids and types as in :func:`add`.
     """
     if not layers:
         raise ValueError("add_n needs at least one layer")
-    srids = {l.georef.srid for l in layers}
-    if len(srids) > 1:
-        raise ValueError(f"srid mismatch: {sorted(srids)}")
     k = len(layers)
-    u = reduce(DataFrame.unionByName, [l.df.select("x", "y", "v") for l in layers])
-    g = u.groupBy("x", "y").agg(F.count(F.lit(1)).alias("k"), F.count("v").alias("kv"),
-                                F.sum("v").alias("s"))
-    vt = layers[0].df.schema["v"].dataType
-    out = g.where(F.col("k") == k).select(
+    vt = _sum_type(layers)
+    u = reduce(DataFrame.unionByName, [_shifted(layers[0], l).select("x", "y", F.col("v").cast(vt).alias("v"), F.lit(i).alias("raster"))
+                                       for i, l in enumerate(layers)])
+    g = u.groupBy("x", "y").agg(F.count(F.lit(1)).alias("rows"), F.count_if(F.col("raster") == 0).alias("k0"),
+                                *[F.count_if(F.col("raster") == i).alias(f"k{i}") for i in range(1, k)],
+                                F.count("v").alias("kv"), F.sum("v").alias("s"))
+    each = reduce(lambda p, q: p & q, [F.col(f"k{i}") > 0 for i in range(k)])
+    once = F.when(F.col("rows") == k, F.lit(True)).otherwise(
+        F.raise_error(F.lit("a cell (x, y) appears more than once in a raster")).cast("boolean"))
+    out = g.where(each).where(once).select(
         "x", "y", F.when(F.col("kv") == k, F.col("s")).cast(vt).alias("v"))
     return layers[0].with_df(out, name)
 
@@ -113,15 +142,46 @@ def reclassify_count_tiles(tl: TileLayer, meta: LayerMeta, old, new,
 
 
 def add_tiles(a: TileLayer, b: TileLayer) -> TileLayer:
-    """Tile-wise sum; tiles whose keys do not match are dropped."""
+    """Tile-wise sum; tiles whose keys do not match are dropped, and the sum's
+    extent is what both rasters cover. Layouts that differ by whole tiles are
+    shifted; others raise. Types as in :func:`add`."""
+    vt = _tile_sum_type([a, b])
+    l = a.df.select("tc", "tr", F.col("t").cast(vt).alias("ta"))
+    r = _shifted_tiles(a, b).select("tc", "tr", F.col("t").cast(vt).alias("tb"))
+    j = l.join(r.hint("merge"), ["tc", "tr"], "inner")
+    out = a.with_df(j.select("tc", "tr", tf.tile_add(F.col("ta"), F.col("tb")).alias("t")))
+    return _covered(out, [a, b])
+
+
+def _tile_sum_type(layers: list[TileLayer]) -> str:
+    return f"array<{_common_sum([l.df.schema['t'].dataType.elementType for l in layers])}>"
+
+
+def _tile_shift(a: TileLayer, b: TileLayer) -> tuple[int, int]:
     if a.tile_size != b.tile_size:
         raise ValueError("tile layouts differ")
-    if a.georef.srid != b.georef.srid:
-        raise ValueError(f"srid mismatch: {a.georef.srid} vs {b.georef.srid}")
-    l = a.df.select("tc", "tr", F.col("t").alias("ta"))
-    r = b.df.select("tc", "tr", F.col("t").alias("tb"))
-    j = l.join(r, ["tc", "tr"], "inner")
-    return a.with_df(j.select("tc", "tr", tf.tile_add(F.col("ta"), F.col("tb")).alias("t")))
+    dx, dy = cell_offset(a.georef, b.georef)
+    if dx % a.tile_size or dy % a.tile_size:
+        raise ValueError(f"tile layouts are not aligned: origins differ by ({dx}, {dy}) cells")
+    return dx, dy
+
+
+def _shifted_tiles(a: TileLayer, b: TileLayer) -> DataFrame:
+    dx, dy = _tile_shift(a, b)
+    n = a.tile_size
+    return b.df.select((F.col("tc") + dx // n).alias("tc"), (F.col("tr") + dy // n).alias("tr"), "t") if dx or dy else b.df.select("tc", "tr", "t")
+
+
+def _covered(out: TileLayer, layers: list[TileLayer]) -> TileLayer:
+    """``out`` with the extent that all layers cover, where it is known or can be found."""
+    if any(l.extent is None and l.source is None for l in layers):
+        return replace(out, extent=None, source=None)
+    bounds = []
+    for l in layers:
+        dx, dy = cell_offset(layers[0].georef, l.georef)
+        x0, x1, y0, y1 = l.bounds
+        bounds.append((x0 + dx, x1 + dx, y0 + dy, y1 + dy))
+    return replace(out, extent=intersection(bounds), source=None)
 
 
 def add_n_tiles(layers: list[TileLayer]) -> TileLayer:
@@ -129,13 +189,14 @@ def add_n_tiles(layers: list[TileLayer]) -> TileLayer:
     fold the arrays element-wise. Tiles missing from any raster are dropped."""
     if not layers:
         raise ValueError("add_n_tiles needs at least one layer")
-    if len({l.tile_size for l in layers}) > 1:
-        raise ValueError("tile layouts differ")
-    if len({l.georef.srid for l in layers}) > 1:
-        raise ValueError("srid mismatch")
     k = len(layers)
-    u = reduce(DataFrame.unionByName, [l.df.select("tc", "tr", "t") for l in layers])
-    g = u.groupBy("tc", "tr").agg(F.collect_list("t").alias("ts"))
-    summed = F.aggregate(F.slice("ts", 2, k), F.col("ts")[0], lambda acc, t: tf.tile_add(acc, t))
-    out = g.where(F.size("ts") == k).select("tc", "tr", summed.alias("t"))
-    return layers[0].with_df(out)
+    vt = _tile_sum_type(layers)
+    u = reduce(DataFrame.unionByName, [_shifted_tiles(layers[0], l).select("tc", "tr", F.struct(F.lit(i).alias("raster"), F.col("t").cast(vt).alias("t")).alias("e"))
+                                       for i, l in enumerate(layers)])
+    g = u.groupBy("tc", "tr").agg(F.collect_list("e").alias("ts"))
+    g = g.where(F.size(F.array_distinct("ts.raster")) == k)
+    g = g.where(F.when(F.size("ts") == k, F.lit(True)).otherwise(
+        F.raise_error(F.lit("a tile appears more than once in a raster")).cast("boolean")))
+    ts = F.array_sort("ts")["t"]
+    summed = F.aggregate(F.slice(ts, 2, k), ts[0], lambda acc, t: tf.tile_add(acc, t))
+    return _covered(layers[0].with_df(g.select("tc", "tr", summed.alias("t"))), layers)

@@ -42,16 +42,17 @@ def _check_srid(srid: int, zones: ZoneSet) -> None:
         raise ValueError(f"srid mismatch: raster {srid}, zones {zones.srid}")
 
 
-def _runs(g: Georef, dims, zones: ZoneSet) -> DataFrame:
+def _runs(g: Georef, bounds, zones: ZoneSet) -> DataFrame:
+    """Runs of all zones, always clipped to the raster's (xmin, xmax, ymin, ymax)."""
     _check_srid(g.srid, zones)
     edges = geo.zone_edges(zones.df, g.col_of, g.row_of, KEY)
-    cross = geo.crossings(edges, dims[1] if dims else None, KEY)
-    return geo.runs(cross, dims[0] if dims else None, KEY)
+    cross = geo.crossings(edges, tuple(bounds[2:]), KEY)
+    return geo.runs(cross, tuple(bounds[:2]), KEY)
 
 
 def zone_runs(layer: Layer, zones: ZoneSet) -> DataFrame:
     """Inclusive cell runs ``(zone_set, zone_id, y, xa, xb)`` of every zone."""
-    return _with_names(_runs(layer.georef, layer.dims, zones), zones)
+    return _with_names(_runs(layer.georef, layer.bounds, zones), zones)
 
 
 def _size_and_bounds(runs: DataFrame, y: str, xa: str, xb: str, bin_width: int | None = None):
@@ -86,14 +87,8 @@ def _zone_cells_keyed(layer: Layer, zones: ZoneSet, bin_width: int = BIN_WIDTH,
     """Cells of every zone keyed by zone hash: ``(zk, x, y, v)``; None when no
     zone touches the raster rows."""
     b = F.lit(bin_width)
-    r = _runs(layer.georef, layer.dims, zones)
+    r = _runs(layer.georef, layer.bounds, zones)
     n_runs, (x0, y0, x1, y1) = _size_and_bounds(r, "y", "xa", "xb", bin_width)
-    if n_runs > broadcast_max_runs and layer.dims is None:
-        # a large run table may come from polygons reaching far beyond the
-        # raster: bound the runs by the raster (one metadata pass), then decide
-        layer.meta()
-        r = _runs(layer.georef, layer.dims, zones)
-        n_runs, (x0, y0, x1, y1) = _size_and_bounds(r, "y", "xa", "xb", bin_width)
     if n_runs == 0:
         return None
     rb = r.select("zk", F.col("y").alias("ry"), "xa", "xb",
@@ -204,20 +199,27 @@ def _statistics_keyed(hist: DataFrame, zones: ZoneSet) -> DataFrame:
         F.max("zone_set").alias("zone_set"), F.max("zone_id").alias("zone_id"),
         F.max("name").alias("name"), F.max("zid").alias("zid"),
         F.sum(n).alias("n"), F.min(v).alias("min"), F.max(v).alias("max"),
-        F.sum(v.cast("bigint") * n).alias("s1"),
+        F.sum(_dec(v) * _dec(n)).alias("s1"),
         F.sum(_dec(v) * _dec(v) * _dec(n)).alias("s2"),
-        F.max_by(v, F.struct(n, -v)).alias("mode"),
+        F.min_by(v, F.when(v.isNotNull(), F.struct(-n, v))).alias("mode"),
     )
     med = _median_keyed(hist, zones)
     small = zones.zone_count_bound() <= BROADCAST_MAX_ZONES
     s = s.join(F.broadcast(med) if small else med, "zk", "left")
     cnt = F.col("n")
-    var_num = (_dec(cnt) * _dec(F.col("s2")) - _dec(F.col("s1")) * _dec(F.col("s1"))).cast("double")
+    # With S1 = q n + r, the squares about q sum to S2 - q^2 n - 2 q r: exact in 38
+    # digits where n S2 - S1^2 is not; the rest, (r / n)^2, is below 1.
+    s1, s2, many = _dec(F.col("s1")), _dec(F.col("s2")), _dec(F.when(cnt > 0, cnt))
+    s = s.withColumn("r", _dec(F.pmod(s1, many)))
+    s = s.withColumn("q", _dec((s1 - F.col("r")) / many))
+    q, r = F.col("q"), F.col("r")
+    about = _dec(s2 - _dec(_dec(q * q) * many) - _dec(2 * _dec(q * r))).cast("double")
+    rest = r.cast("double") / cnt.cast("double")
     return s.select(
         "zone_set", "zone_id", "name", "zid", cnt.cast("bigint").alias("n"), "min", "max",
         F.when(cnt > 0, F.col("s1").cast("double") / cnt.cast("double")).alias("mean"),
         "median", "mode",
-        F.when(cnt > 0, F.sqrt(var_num / (cnt.cast("double") * cnt.cast("double")))).alias("stddev"),
+        F.when(cnt > 0, F.sqrt(F.greatest(about / cnt.cast("double") - rest * rest, F.lit(0.0)))).alias("stddev"),
     )
 
 
@@ -228,7 +230,8 @@ def statistics_from_histogram(hist: DataFrame, zones: ZoneSet) -> DataFrame:
     * median: interpolated (mean of the two middle values for even n), exact,
       found in two bounded steps (value buckets, then one bucket's values);
     * mode: most frequent value, the smallest on ties;
-    * stddev from integer moments: sqrt((n*S2 - S1^2) / n^2).
+    * stddev from integer moments about the mean's integer part, without
+      overflow for 10^13 cells of 32-bit values.
     """
     keyed = hist.select(F.xxhash64("zone_set", "zone_id").alias("zk"), "v", "n")
     return _statistics_keyed(keyed, zones)
@@ -244,19 +247,40 @@ def statistics(layer: Layer, zones: ZoneSet, **kw) -> DataFrame:
     return _statistics_keyed(_histogram_keyed(layer, zones, **kw), zones)
 
 
-# Relative accuracy parameter of the approximate median on floating-point
-# rasters (percentile_approx's ``accuracy``; error is about 1/accuracy).
+# Accuracy of the sketch that brackets the median of a floating-point raster: its
+# ranks are off by at most 1/accuracy of a zone's cells.
 MEDIAN_ACCURACY = 10_000
 
 
+def _median_float_keyed(hist: DataFrame, brackets: DataFrame) -> DataFrame:
+    """Exact interpolated median per zone from ``(zk, v, c)`` and ``(zk, n, lo, hi)``.
+
+    The bracket [lo, hi] surely holds the middle ranks; values below it are only
+    counted, and those inside (at most about 6/accuracy of the zone's cells) are
+    ranked.
+    """
+    h = hist.join(brackets, "zk")
+    below = h.groupBy("zk").agg(F.sum(F.when(F.col("v") < F.col("lo"), F.col("c")).otherwise(0)).alias("below"))
+    inside = h.where(F.col("v").between(F.col("lo"), F.col("hi"))).join(below, "zk")
+    upto = F.col("below") + F.sum("c").over(Window.partitionBy("zk").orderBy("v").rowsBetween(Window.unboundedPreceding, 0))
+    inside = inside.select("zk", "v", "n", (upto - F.col("c")).alias("before"), upto.alias("upto"))
+
+    def at(rank):
+        return F.max(F.when((F.col("before") < rank) & (rank <= F.col("upto")), F.col("v").cast("double")))
+
+    r1, r2 = F.floor((F.col("n") + 1) / 2), F.floor(F.col("n") / 2) + 1
+    return inside.groupBy("zk").agg(at(r1).alias("v1"), at(r2).alias("v2")).select(
+        "zk", ((F.col("v1") + F.col("v2")) / 2.0).alias("median"))
+
+
 def statistics_float(layer: Layer, zones: ZoneSet, **kw) -> DataFrame:
     """Statistics of a floating-point raster per zone.
 
     Every aggregate has a partial (map-side) form with bounded state, so a
     zone holding a third of the raster is never gathered into one task:
-    count/min/max/avg, ``stddev_pop`` (mergeable moments), ``percentile_approx``
-    (a mergeable quantile sketch) for the median, and the mode from
-    ``max_by`` over the (zone, value) histogram. The per-zone results and
+    count/min/max/avg, ``stddev_pop`` (mergeable moments), a quantile sketch that
+    brackets the median (found exactly inside the bracket), and the mode from
+    ``min_by`` over the (zone, value) histogram. The per-zone results and
     the zone keys are merged by one union + aggregate instead of joins.
     """
     cols = {"zone_set": "string", "zone_id": "string", "name": "string", "zid": "int", "n": "bigint",
@@ -274,11 +298,12 @@ def statistics_float(layer: Layer, zones: ZoneSet, **kw) -> DataFrame:
         agg = z.groupBy("zk").agg(
             F.count(F.lit(1)).alias("n"), F.min("v").alias("min"), F.max("v").alias("max"),
             F.avg("v").alias("mean"),
-            F.percentile_approx("v", 0.5, MEDIAN_ACCURACY).cast("double").alias("median"),
+            F.percentile_approx("v", [0.5 - 2 / MEDIAN_ACCURACY, 0.5 + 2 / MEDIAN_ACCURACY], MEDIAN_ACCURACY).alias("bracket"),
             F.stddev_pop("v").alias("stddev"))
         h = z.groupBy("zk", "v").agg(F.count(F.lit(1)).alias("c"))
-        mode = h.groupBy("zk").agg(F.max_by("v", F.struct("c", -F.col("v"))).alias("mode"))
-        parts += [widen(agg), widen(mode)]
+        mode = h.groupBy("zk").agg(F.min_by("v", F.struct(-F.col("c"), F.col("v"))).alias("mode"))
+        brackets = agg.select("zk", "n", F.col("bracket")[0].alias("lo"), F.col("bracket")[1].alias("hi"))
+        parts += [widen(agg), widen(mode), widen(_median_float_keyed(h, brackets))]
     u = parts[0]
     for p in parts[1:]:
         u = u.unionByName(p)
@@ -302,7 +327,7 @@ def min_max_mean(layer: Layer, zones: ZoneSet, **kw) -> DataFrame:
     s = h.unionByName(keys).groupBy("zk").agg(
         F.max("zone_set").alias("zone_set"), F.max("zone_id").alias("zone_id"),
         F.min("v").alias("min"), F.max("v").alias("max"),
-        F.sum(F.col("v").cast("bigint") * F.col("n")).alias("s1"), F.sum("n").alias("n"))
+        F.sum(_dec(F.col("v")) * _dec(F.col("n"))).alias("s1"), F.sum("n").alias("n"))
     mean = F.when(F.col("n") > 0, F.col("s1").cast("double") / F.col("n").cast("double"))
     return s.select("zone_set", "zone_id", "min", "max", mean.alias("mean"))
 
@@ -326,9 +351,19 @@ def _min_max_mean_float(layer: Layer, zones: ZoneSet, **kw) -> DataFrame:
 
 # ---------------------------------------------------------------- tile form
 
-def zone_tile_pieces(tl: TileLayer, zones: ZoneSet, dims=None) -> DataFrame:
+def zone_tile_pieces(tl: TileLayer, zones: ZoneSet) -> DataFrame:
     """Runs cut at tile borders: ``(zk, tc, tr, y, pa, pb)``."""
-    return _pieces(_runs(tl.georef, dims, zones), tl.tile_size)
+    return _pieces(_runs(tl.georef, _tile_bounds(tl), zones), tl.tile_size)
+
+
+def _tile_bounds(tl: TileLayer) -> tuple[int, int, int, int]:
+    """The raster's bounds; where the layer doesn't know them, those of its tiles
+    (their padding is NULL and never counted)."""
+    if tl.extent is not None or tl.source is not None:
+        return tl.bounds
+    n = tl.tile_size
+    e = tl.df.agg(F.min("tc").alias("c0"), F.max("tc").alias("c1"), F.min("tr").alias("r0"), F.max("tr").alias("r1")).first()
+    return (0, -1, 0, -1) if e.c0 is None else (e.c0 * n, (e.c1 + 1) * n - 1, e.r0 * n, (e.r1 + 1) * n - 1)
 
 
 def _pieces(r: DataFrame, n: int) -> DataFrame:
@@ -344,14 +379,7 @@ def _pieces(r: DataFrame, n: int) -> DataFrame:
 def _histogram_tiles_keyed(tl: TileLayer, zones: ZoneSet,
                            broadcast_max_runs: int = BROADCAST_MAX_RUNS) -> DataFrame:
     n = tl.tile_size
-    r = _runs(tl.georef, None, zones)
-    k, _ = _size_and_bounds(r, "y", "xa", "xb", n)
-    if k > broadcast_max_runs:
-        # bound the runs by the tile layer's extent (an aggregate over tile keys)
-        e = tl.df.agg(F.max("tc").alias("c"), F.max("tr").alias("r")).first()
-        if e.c is not None:
-            r = _runs(tl.georef, ((e.c + 1) * n, (e.r + 1) * n), zones)
-    pieces = _pieces(r, n)
+    pieces = zone_tile_pieces(tl, zones)
     k, (tc0, tr0, tc1, tr1) = _size_and_bounds(pieces, "tr", "tc", "tc")
     if k == 0:
         vt = tl.df.schema["t"].dataType.elementType.simpleString()

@@ -8,6 +8,7 @@ runs of the reference are left to ``bench.py``.
 
 from __future__ import annotations
 
+from dataclasses import replace
 from functools import reduce
 
 from pyspark.sql import DataFrame, SparkSession
@@ -20,7 +21,7 @@ from ..operators import focal, layout, local, sweep, zonal
 from ..sources.catalog import RasterRecord, VectorRecord, vector_path
 from ..sources.geojson import ZoneSet, read_zones
 from ..sources.geotiff import read_geotiff
-from ..sources.grids import read_cells
+from ..sources.grids import read_cells, stored_georef
 
 
 def _union(dfs: list[DataFrame]) -> DataFrame:
@@ -38,7 +39,9 @@ def load_raster(spark: SparkSession, rec: RasterRecord, **kw) -> Layer:
         lay = read_geotiff(spark, rec.path, rec.name, **kw)
         g = lay.georef
         return Layer(lay.df, rec.name, Georef(g.x0, g.y0, g.dx, g.dy, rec.srid), lay.known_dims)
-    return read_cells(spark, rec.path, rec.name, Georef(srid=rec.srid))
+    lay = read_cells(spark, rec.path, rec.name)
+    g = stored_georef(spark.read.parquet(rec.path))
+    return Layer(lay.df, rec.name, replace(g or Georef(), srid=rec.srid), placed=g is not None)
 
 
 def count_pixels_job(spark, rasters: list[RasterRecord],
@@ -90,19 +93,23 @@ def focal_job(spark, rasters: list[RasterRecord], tile_sizes=sweep.REFERENCE_TIL
     return _union(out)
 
 
-def load_zones(spark, vectors: list[VectorRecord], raster: RasterRecord) -> ZoneSet:
+def load_zones(spark, vectors: list[VectorRecord], raster: RasterRecord, lines: bool = False) -> ZoneSet:
     """All vector sets for one raster, each from its copy for the raster's
     srid (``base/<srid>/file``), as one zone table."""
-    sets = [read_zones(spark, vector_path(v, raster), v.name, srid=raster.srid) for v in vectors]
+    sets = [read_zones(spark, vector_path(v, raster), v.name, srid=raster.srid, lines=lines) for v in vectors]
     bound = sum(z.max_zones for z in sets) if all(z.max_zones is not None for z in sets) else None
     return ZoneSet(_union([z.df for z in sets]), "+".join(v.name for v in vectors), raster.srid, bound)
 
 
-def zonal_job(spark, rasters: list[RasterRecord], vectors: list[VectorRecord]) -> DataFrame:
-    """Statistics of every raster over every feature of every vector set."""
+def zonal_job(spark, rasters: list[RasterRecord], vectors: list[VectorRecord], lines: bool = False) -> DataFrame:
+    """Statistics of every raster over every feature of every vector set; ``lines``:
+    the vector files hold one Feature per line (they split across tasks)."""
     out = []
     for r in rasters:
-        st = zonal.statistics(load_raster(spark, r), load_zones(spark, vectors, r))
+        lay = load_raster(spark, r)
+        if not lay.placed:
+            raise ValueError(f"{r.path}: the cell table has no georeference, so zones can't be laid over it; write it with sinks.save_cells")
+        st = zonal.statistics(lay, load_zones(spark, vectors, r, lines))
         out.append(st.select(F.lit(r.name).alias("dataset"), "*"))
     return _union(out)
 
@@ -115,7 +122,7 @@ def tiling_report_job(spark, raster: RasterRecord, out_dir: str, tile_size: int
     reports = {"layout_extent_size": layout.tile_extent_size_text(tiles).select("line")}
     if _is_tiff(raster.path):
         for mode in ("chunk", "max_tile"):
-            w = read_geotiff(spark, raster.path, form="windows", **{mode: tile_size})
+            w = read_geotiff(spark, raster.path, form="grid", **{mode: tile_size})
             dims = F.concat_ws(",", F.col("cols").cast("string"), F.col("rows").cast("string"))
             reports[f"{mode}_dims"] = w.select(dims.alias("line"))
             reports[f"{mode}_size"] = w.select((F.col("cols") * F.col("rows")).cast("string").alias("line"))
@@ -126,6 +133,5 @@ def tiling_report_job(spark, raster: RasterRecord, out_dir: str, tile_size: int
             reports[f"{mode}_size"] = w.select(F.col("size_text").alias("line"))
     counts = {}
     for name, df in reports.items():
-        sinks.write_text(df, f"{out_dir}/{name}")
-        counts[name] = df.count()
+        counts[name] = sinks.write_counted(df, f"{out_dir}/{name}")
     return counts

@@ -113,7 +113,7 @@ SQL["reclassify_count_tiles"] = SQL["reclassify_count"]
 SQL["reclassify_roundtrip"] = with_grids(f"""SELECT v, count(*) AS n FROM (
   SELECT CASE WHEN ({_RECLASS}) = {NEW} THEN {V} ELSE -999 END AS v FROM a) t GROUP BY v""", "A")
 
-SQL["raster_add"] = with_grids("SELECT a.x, a.y, a.v + b.v AS v FROM a JOIN b ON a.x = b.x AND a.y = b.y",
+SQL["raster_add"] = with_grids("SELECT a.x, a.y, CAST(a.v + b.v AS BIGINT) AS v FROM a JOIN b ON a.x = b.x AND a.y = b.y",
                                "A", "B")
 
 SQL["raster_add_count"] = with_grids(
@@ -123,7 +123,7 @@ SQL["raster_add_count_tiles"] = SQL["raster_add_count"]
 SQL["raster_self_add_count"] = with_grids(
     f"SELECT count(*) AS n FROM a JOIN a AS a2 ON a.x = a2.x AND a.y = a2.y WHERE a.v + a2.v = {2 * V}", "A")
 
-SQL["raster_add_n"] = with_grids("""SELECT a.x, a.y, a.v + b.v + a2.v AS v
+SQL["raster_add_n"] = with_grids("""SELECT a.x, a.y, CAST(a.v + b.v + a2.v AS BIGINT) AS v
 FROM a JOIN b ON a.x = b.x AND a.y = b.y JOIN a AS a2 ON a.x = a2.x AND a.y = a2.y""", "A", "B")
 
 # ------------------------------------------------------------------ focal
@@ -158,34 +158,35 @@ def _zone_values() -> tuple[str, str]:
         parts = [g["coordinates"]] if g["type"] == "Polygon" else g["coordinates"]
         p = feat["properties"]
         keys.append(f"('{feat['id']}', '{p['NAME']}', {int(p['ID'])}, '{g['type']}')")
-        for part in parts:
+        for number, part in enumerate(parts):
             for ring in part:
                 if ring[0] != ring[-1]:
                     ring = ring + [ring[0]]
                 for (x1, y1), (x2, y2) in zip(ring[:-1], ring[1:]):
-                    edges.append(f"('{feat['id']}', {float(x1)!r}::DOUBLE, {float(y1)!r}::DOUBLE, "
+                    edges.append(f"('{feat['id']}', {number}, {float(x1)!r}::DOUBLE, {float(y1)!r}::DOUBLE, "
                                  f"{float(x2)!r}::DOUBLE, {float(y2)!r}::DOUBLE)")
     return ",\n  ".join(keys), ",\n  ".join(edges)
 
 
 _KEYS, _EDGES = _zone_values()
 
-# Brute-force parity: a cell is inside a zone when an odd number of the zone's
-# edges cross its row centre at or left of its centre.
-_INSIDE = """SELECT e.zone_id, c.x, c.y, c.v
+# Brute-force parity: a cell is inside a zone when an odd number of the edges of
+# one of the zone's parts cross its row centre at or left of its centre.
+_INSIDE = """SELECT DISTINCT zone_id, x, y, v FROM (SELECT e.zone_id, e.part, c.x, c.y, c.v
 FROM {grid} c JOIN edges e
   ON (e.y1 > c.y + 0.5::DOUBLE) <> (e.y2 > c.y + 0.5::DOUBLE)
  AND c.x + 0.5::DOUBLE >= e.x1 + (c.y + 0.5::DOUBLE - e.y1) * (e.x2 - e.x1) / (e.y2 - e.y1)
-GROUP BY e.zone_id, c.x, c.y, c.v HAVING count(*) % 2 = 1"""
+GROUP BY e.zone_id, e.part, c.x, c.y, c.v HAVING count(*) % 2 = 1) p"""
 
 _HIST = "SELECT zone_id, v, count(*) AS n FROM inside WHERE v IS NOT NULL GROUP BY zone_id, v"
 
-_STATS = """SELECT k.zone_id, k.name, k.zid, coalesce(s.n, 0) AS n, s.min, s.max, s.mean, md.median, s.mode, s.stddev
+_STATS = """SELECT k.zone_id, k.name, k.zid, coalesce(s.n, 0) AS n, s.min, s.max, s.mean, md.median, s.mode,
+  sqrt(CAST(s.s2 - (s.s1 // s.n) * (s.s1 // s.n) * s.n - 2 * (s.s1 // s.n) * (s.s1 % s.n) AS DOUBLE) / CAST(s.n AS DOUBLE)
+    - (CAST(s.s1 % s.n AS DOUBLE) / CAST(s.n AS DOUBLE)) * (CAST(s.s1 % s.n AS DOUBLE) / CAST(s.n AS DOUBLE))) AS stddev
 FROM zkeys k LEFT JOIN (
   SELECT h.zone_id, CAST(sum(n) AS BIGINT) AS n, min(v) AS min, max(v) AS max,
     CAST(sum(CAST(v AS BIGINT) * n) AS DOUBLE) / CAST(sum(n) AS DOUBLE) AS mean,
-    sqrt(CAST(CAST(sum(n) AS HUGEINT) * sum(CAST(v AS HUGEINT) * v * n) - CAST(sum(CAST(v AS BIGINT) * n) AS HUGEINT) * sum(CAST(v AS BIGINT) * n) AS DOUBLE)
-         / (CAST(sum(n) AS DOUBLE) * CAST(sum(n) AS DOUBLE))) AS stddev,
+    CAST(sum(CAST(v AS HUGEINT) * v * n) AS HUGEINT) AS s2, CAST(sum(CAST(v AS BIGINT) * n) AS HUGEINT) AS s1,
     arg_min(v, (-n, v)) AS mode
   FROM hist h GROUP BY h.zone_id) s ON k.zone_id = s.zone_id
 LEFT JOIN (
@@ -197,7 +198,7 @@ def _zonal(body: str, types: tuple[str, ...] = ("Polygon", "MultiPolygon"), grid
     tlist = ", ".join(f"'{t}'" for t in types)
     return with_ctes(body, (grid,), [
         ("zkeys", f"SELECT * FROM (VALUES\n  {_KEYS}) t(zone_id, name, zid, geom_type) WHERE geom_type IN ({tlist})"),
-        ("edges", f"SELECT e.* FROM (VALUES\n  {_EDGES}) e(zone_id, x1, y1, x2, y2) "
+        ("edges", f"SELECT e.* FROM (VALUES\n  {_EDGES}) e(zone_id, part, x1, y1, x2, y2) "
                   f"JOIN zkeys USING (zone_id)"),
         ("inside", _INSIDE.format(grid=grid.lower())),
         ("hist", _HIST),
@@ -232,15 +233,20 @@ GROUP BY tile_size""", "A")
 SQL["zonal_histogram_tiles"] = SQL["zonal_histogram"]
 SQL["zonal_statistics_tiles"] = SQL["zonal_statistics"]
 SQL["focal_mean_count_tiles"] = SQL["focal_mean_count"]
-SQL["focal_mean_tiles"] = with_grids(f"SELECT * FROM ({_focal(True)}) f WHERE v IS NOT NULL", "A")
-SQL["focal_mean_tiles_halo"] = with_grids(f"SELECT * FROM ({_focal(False)}) f WHERE v IS NOT NULL", "A")
+SQL["focal_mean_tiles"] = with_grids(f"SELECT * FROM ({_focal(True)}) f", "A")
+SQL["focal_mean_tiles_halo"] = with_grids(f"SELECT * FROM ({_focal(False)}) f", "A")
 SQL["focal_mean_count_tiles_halo"] = SQL["focal_mean_count_halo"]
-SQL["zonal_min_max_mean_float"] = _zonal("""SELECT 'zones' AS zone_set, k.zone_id, coalesce(s.n, 0) AS n,
+SQL["zonal_min_max_mean_float"] = _zonal("""SELECT 'zones' AS zone_set, k.zone_id,
   s.min, s.max, round(s.mean, 6) AS mean
 FROM zkeys k LEFT JOIN (SELECT zone_id, count(*) AS n, min(v) AS min, max(v) AS max, avg(v) AS mean
   FROM inside WHERE v IS NOT NULL AND NOT isnan(v) GROUP BY zone_id) s ON k.zone_id = s.zone_id""", grid="C")
-SQL["raster_add_n_tiles"] = with_grids("""SELECT a.x, a.y, a.v + b.v + a.v AS v
-FROM a JOIN b ON a.x = b.x AND a.y = b.y WHERE a.v + b.v + a.v IS NOT NULL""", "A", "B")
+SQL["raster_add_n_tiles"] = with_grids("""SELECT a.x, a.y, CAST(a.v + b.v + a.v AS BIGINT) AS v
+FROM a JOIN b ON a.x = b.x AND a.y = b.y""", "A", "B")
+SQL["raster_add_offset"] = with_grids("""SELECT a.x, a.y, CAST(a.v + b.v AS BIGINT) AS v
+FROM a JOIN b ON a.x = b.x + 25 AND a.y = b.y + 25""", "A", "B")
+SQL["raster_add_mixed"] = with_grids("""SELECT a.x, a.y, CAST(a.v AS DOUBLE) + c.v AS v
+FROM a JOIN c ON a.x = c.x AND a.y = c.y""", "A", "C")
+SQL["tiles_round_trip"] = SQL["scan_cells"]
 SQL["corner_sample_tiles"] = SQL["corner_sample"]
 SQL["focal_count_sweep"] = with_grids(f"""SELECT tile_size, count(*) FILTER (WHERE trunc(m) = {V}) AS n
 FROM (SELECT s.tile_size, nb.x, nb.y,
@@ -252,3 +258,26 @@ FROM (SELECT s.tile_size, nb.x, nb.y,
        AND floor(nb.qy / s.tile_size) = floor(nb.y / s.tile_size)
       GROUP BY s.tile_size, nb.x, nb.y) t
 GROUP BY tile_size""", "A")
+
+SQL["zonal_statistics_float"] = _zonal("""SELECT 'zones' AS zone_set, k.zone_id, k.name, k.zid, coalesce(s.n, 0) AS n,
+  s.min, s.max, round(s.mean, 6) AS mean, s.median, s.mode, round(s.stddev, 6) AS stddev
+FROM zkeys k LEFT JOIN (
+  SELECT zone_id, CAST(sum(n) AS BIGINT) AS n, min(v) AS min, max(v) AS max, sum(v * n) / sum(n) AS mean,
+    arg_min(v, (-n, v)) AS mode, any_value(median) AS median, any_value(stddev) AS stddev
+  FROM hist JOIN (SELECT zone_id, quantile_cont(v, 0.5) AS median, stddev_pop(v) AS stddev
+    FROM inside WHERE v IS NOT NULL AND NOT isnan(v) GROUP BY zone_id) m USING (zone_id)
+  WHERE NOT isnan(v) GROUP BY zone_id) s ON k.zone_id = s.zone_id""", grid="C")
+
+SQL["zonal_histogram_shifted"] = SQL["zonal_histogram"].replace("FROM a c JOIN edges", "FROM (SELECT x - 50 AS x, y - 40 AS y, v FROM a) c JOIN edges")
+
+# Zones by formula: cells of a two-box zone, each cell once.
+_W = q.WIDE
+SQL["zonal_histogram_many"] = f"""WITH g AS (SELECT o_orderkey % {_W} AS x, o_orderkey // {_W} AS y,
+  CAST(nullif(floor(o_totalprice) % 22, 0) AS INTEGER) AS v FROM orders),
+z AS (SELECT s_suppkey AS k, (s_suppkey * 37) % {_W - 60} AS x, (s_suppkey * 11) % 60 AS y, s_suppkey % 47 + 6 AS w, s_suppkey % 23 + 4 AS h FROM supplier)
+SELECT 'suppliers' AS zone_set, CAST(k AS VARCHAR) AS zone_id, v, count(*) AS n FROM g JOIN z
+  ON (g.x >= z.x AND g.x < z.x + w AND g.y >= z.y AND g.y < z.y + h)
+  OR (g.x >= z.x + 2 AND g.x < z.x + w + 7 AND g.y >= z.y + 1 AND g.y < z.y + 1 + h)
+WHERE v IS NOT NULL GROUP BY k, v"""
+SQL["zonal_histogram_shuffle"] = SQL["zonal_histogram_many"]
+SQL["zonal_histogram_tiles_shuffle"] = SQL["zonal_histogram_many"]

@@ -45,6 +45,14 @@ def _union(dfs: list[DataFrame]) -> DataFrame:
     return out
 
 
+EXTENT = ("xmin", "ymin", "xmax", "ymax")
+
+
+def _rounded(df: DataFrame, *columns: str) -> DataFrame:
+    """Map coordinates to 9 places, so that both engines' last bits agree."""
+    return df.withColumns({c: F.round(c, 9) for c in columns})
+
+
 # ------------------------------------------------------------ scan, layout
 
 @query("scan_cells")
@@ -54,7 +62,8 @@ def scan_cells(spark, sf):
 
 @query("layer_metadata")
 def layer_metadata(spark, sf):
-    return _union([layout.layer_metadata(g(spark, sf), TILE) for g in (grid_a, grid_b, grid_c)])
+    return _rounded(_union([layout.layer_metadata(g(spark, sf), TILE) for g in (grid_a, grid_b, grid_c)]),
+                    "ext_xmin", "ext_ymin", "ext_xmax", "ext_ymax")
 
 
 @query("tile_layout")
@@ -64,12 +73,12 @@ def tile_layout(spark, sf):
 
 @query("tile_extent")
 def tile_extent(spark, sf):
-    return layout.tile_extent(grid_a(spark, sf).to_tiles(TILE))
+    return _rounded(layout.tile_extent(grid_a(spark, sf).to_tiles(TILE)), *EXTENT)
 
 
 @query("tile_extent_text")
 def tile_extent_text(spark, sf):
-    return layout.tile_extent_size_text(grid_a(spark, sf).to_tiles(TILE))
+    return layout.extent_lines(_rounded(layout.tile_extent(grid_a(spark, sf).to_tiles(TILE)), *EXTENT), TILE)
 
 
 @query("tile_dimensions")
@@ -168,7 +177,28 @@ def raster_add_n(spark, sf):
 def raster_add_n_tiles(spark, sf):
     a, b = grid_a(spark, sf), grid_b(spark, sf)
     s = local.add_n_tiles([a.to_tiles(TILE), b.to_tiles(TILE), a.to_tiles(TILE)])
-    return s.to_cells(keep_null=False).df
+    return s.to_cells().df
+
+
+@query("raster_add_offset")
+def raster_add_offset(spark, sf):
+    """Grid B laid 25 cells right and down of grid A's origin."""
+    b = grid_b(spark, sf)
+    g = b.georef
+    moved = Georef(g.x0 + 25 * g.dx, g.y0 - 25 * g.dy, g.dx, g.dy, g.srid)
+    return local.add(grid_a(spark, sf), Layer(b.df, b.name, moved)).df
+
+
+@query("raster_add_mixed")
+def raster_add_mixed(spark, sf):
+    """Integer classes plus floating-point values."""
+    return local.add_n([grid_a(spark, sf), grid_c(spark, sf)]).df
+
+
+@query("tiles_round_trip")
+def tiles_round_trip(spark, sf):
+    """Every cell of grid A, NoData included, through the tile form and back."""
+    return grid_a(spark, sf).to_tiles(TILE).to_cells().df
 
 
 # ------------------------------------------------------------ focal
@@ -207,13 +237,13 @@ def focal_mean_count_tiles(spark, sf):
 @query("focal_mean_tiles")
 def focal_mean_tiles(spark, sf):
     a = grid_a(spark, sf)
-    return focal.focal_mean_tiles(a.to_tiles(TILE), a.meta(), 1).to_cells(keep_null=False).df
+    return focal.focal_mean_tiles(a.to_tiles(TILE), a.meta(), 1).to_cells().df
 
 
 @query("focal_mean_tiles_halo")
 def focal_mean_tiles_halo(spark, sf):
     a = grid_a(spark, sf)
-    return focal.focal_mean_tiles_halo(a.to_tiles(TILE), a.meta(), 1).to_cells(keep_null=False).df
+    return focal.focal_mean_tiles_halo(a.to_tiles(TILE), a.meta(), 1).to_cells().df
 
 
 @query("focal_mean_count_tiles_halo")
@@ -291,9 +321,72 @@ def zonal_statistics_tiles(spark, sf):
 
 @query("zonal_min_max_mean_float")
 def zonal_min_max_mean_float(spark, sf):
+    c = grid_c(spark, sf)
+    st = zonal.min_max_mean(Layer(c.df, c.name, Georef.pixel(GEOREF_A.srid)), fixture_zones(spark))
+    return st.withColumn("mean", F.round("mean", 6))
+
+
+@query("zonal_statistics_float")
+def zonal_statistics_float(spark, sf):
+    """All columns over a floating-point raster; sums depend on their order, so
+    mean and stddev are compared to 6 places."""
     c = grid_c(spark, sf)
     st = zonal.statistics(Layer(c.df, c.name, Georef.pixel(GEOREF_A.srid)), fixture_zones(spark))
-    return st.select("zone_set", "zone_id", "n", "min", "max", F.round("mean", 6).alias("mean"))
+    return st.withColumns({"mean": F.round("mean", 6), "stddev": F.round("stddev", 6)})
+
+
+@query("zonal_histogram_shifted")
+def zonal_histogram_shifted(spark, sf):
+    """Grid A moved by (-50, -40): columns and rows below zero count like others."""
+    a = zonal_grid(spark, sf)
+    moved = a.df.select((F.col("x") - 50).alias("x"), (F.col("y") - 40).alias("y"), "v")
+    return zonal.histogram(Layer(moved, a.name, a.georef), fixture_zones(spark))
+
+
+# Zones that grow with the data: a two-part zone per supplier, by formula.
+# The parts overlap, and cells in both belong to the zone once.
+WIDE = 4000
+
+
+def table_zones(spark, sf) -> ZoneSet:
+    k = F.col("s_suppkey")
+
+    def box(x, y, w, h):
+        x, y, w, h = (c.cast("double") for c in (x, y, w, h))
+        corner = [(x, y), (x + w, y), (x + w, y + h), (x, y + h), (x, y)]
+        return F.array(F.array(*[F.array(p, q) for p, q in corner]))
+
+    x, y, w, h = (k * 37) % (WIDE - 60), (k * 11) % 60, k % 47 + 6, k % 23 + 4
+    zones = spark.read.parquet(f"{sf}/supplier.parquet").select(
+        F.lit("suppliers").alias("zone_set"), k.cast("string").alias("zone_id"), F.col("s_name").alias("name"),
+        k.cast("int").alias("zid"), F.lit("MultiPolygon").alias("geom_type"),
+        F.array(box(x, y, w, h), box(x + 2, y + 1, w + 5, h)).alias("geom"))
+    zones = zones.withColumn("zk", F.xxhash64("zone_set", "zone_id"))
+    return ZoneSet(zones, "suppliers", GEOREF_A.srid)
+
+
+def wide_grid(spark, sf) -> Layer:
+    """Order classes on rows of WIDE cells (more than one x-bin of the zone join)."""
+    o = spark.read.parquet(f"{sf}/orders.parquet")
+    cells = o.select((F.col("o_orderkey") % WIDE).cast("int").alias("x"), F.floor(F.col("o_orderkey") / WIDE).cast("int").alias("y"),
+                     F.nullif(F.floor("o_totalprice") % 22, F.lit(0)).cast("int").alias("v"))
+    return Layer(cells, "wide", Georef.pixel(GEOREF_A.srid))
+
+
+@query("zonal_histogram_many")
+def zonal_histogram_many(spark, sf):
+    return zonal.histogram(wide_grid(spark, sf), table_zones(spark, sf))
+
+
+@query("zonal_histogram_shuffle")
+def zonal_histogram_shuffle(spark, sf):
+    """The plan beyond the broadcast bound: both sides dealt by (row, bin)."""
+    return zonal.histogram(wide_grid(spark, sf), table_zones(spark, sf), broadcast_max_runs=0)
+
+
+@query("zonal_histogram_tiles_shuffle")
+def zonal_histogram_tiles_shuffle(spark, sf):
+    return zonal.histogram_tiles(wide_grid(spark, sf).to_tiles(TILE), table_zones(spark, sf), broadcast_max_runs=0)
 
 
 @query("zonal_cells")

@@ -7,6 +7,7 @@ Library code never creates a session of its own; it takes the caller's.
 from __future__ import annotations
 
 import os
+import re
 import tempfile
 
 from pyspark.sql import SparkSession
@@ -14,11 +15,18 @@ from pyspark.sql import SparkSession
 
 def get_spark(master: str | None = None, shuffle_partitions: int = 8,
               app_name: str = "tessera") -> SparkSession:
-    """Local session with the settings the engine is tuned for.
+    """The submitted session, or a local one with the settings the engine is tuned for.
 
-    AQE stays on so shuffle partitions are coalesced and skewed joins split at
-    run time; the UI stays off (no server is started).
+    Started by ``spark-submit`` (or inside a running session), the session is
+    taken as it is: master, partitions and memory are the submitter's. Else a
+    local one: AQE stays on so shuffle partitions are coalesced and skewed
+    joins split at run time; the UI stays off (no server is started).
     """
+    active = SparkSession.getActiveSession()
+    if active is not None:
+        return active
+    if "PYSPARK_GATEWAY_PORT" in os.environ:  # set by spark-submit for its Python driver
+        return SparkSession.builder.getOrCreate()
     master = master or os.environ.get("TESSERA_MASTER", "local[*]")
     builder = (
         SparkSession.builder.master(master)
@@ -35,15 +43,16 @@ def get_spark(master: str | None = None, shuffle_partitions: int = 8,
     )
     spark = builder.getOrCreate()
     spark.sparkContext.setLogLevel("ERROR")
-    ensure_checkpoint_dir(spark)
     return spark
 
 
 def ensure_checkpoint_dir(spark: SparkSession) -> str:
     """Return the shared checkpoint folder named by the cluster.
 
-    The session's ``spark.checkpoint.dir`` wins. Only when it is unset (local
-    tests) is a fresh scratch folder created and registered.
+    The session's ``spark.checkpoint.dir`` wins. Where it is unset, a session
+    with a local master (driver and executor are one process, as in tests)
+    gets a fresh scratch folder; any other raises, since its executors would
+    not see a folder of the driver's machine.
     """
     try:
         sc = spark.sparkContext
@@ -54,6 +63,8 @@ def ensure_checkpoint_dir(spark: SparkSession) -> str:
         return current
     configured = spark.conf.get("spark.checkpoint.dir", None)
     if not configured:
+        if not re.fullmatch(r"local(\[[^\]]*\])?", sc.master):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         configured = tempfile.mkdtemp(prefix="tessera-ckpt-")
     sc.setCheckpointDir(configured)
     return sc.getCheckpointDir() or configured

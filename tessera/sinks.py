@@ -6,7 +6,9 @@ by the executors); nothing is gathered on the driver.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from dataclasses import asdict
+
+from pyspark.sql import DataFrame, Observation
 from pyspark.sql import functions as F
 
 from .layer import Layer, TileLayer
@@ -48,11 +50,17 @@ def write_tile_reports(layer: Layer, tiles: TileLayer, window_size: int, base: s
     """Write the five reports under ``base/<name>`` and return line counts."""
     counts = {}
     for name, df in tile_reports(layer, tiles, window_size).items():
-        write_text(df, f"{base}/{name}")
-        counts[name] = df.count()
+        counts[name] = write_counted(df, f"{base}/{name}")
     return counts
 
 
+def write_counted(df: DataFrame, path: str) -> int:
+    """Write text lines and return their number, counted by the write itself."""
+    seen = Observation()
+    write_text(df.observe(seen, F.count(F.lit(1)).alias("n")), path)
+    return seen.get["n"]
+
+
 def show(df: DataFrame, n: int = 20) -> None:
     """Print the first rows (display only)."""
     df.show(n, truncate=False)
@@ -72,10 +80,11 @@ def save_tiles(tl: TileLayer, table: str, buckets: int, path: str | None = None,
     w.saveAsTable(table)
 
 
-def load_tiles(spark, table: str, tile_size: int, name: str | None = None, georef=None) -> TileLayer:
-    """Read a tile table written by ``save_tiles`` (bucketing is kept)."""
+def load_tiles(spark, table: str, tile_size: int, name: str | None = None, georef=None, extent=None) -> TileLayer:
+    """Read a tile table written by ``save_tiles`` (bucketing is kept); ``extent`` is
+    the raster's (xmin, xmax, ymin, ymax), needed to tell padding from NoData."""
     from .layer import Georef
-    return TileLayer(spark.table(table), tile_size, name or table, georef or Georef())
+    return TileLayer(spark.table(table), tile_size, name or table, georef or Georef(), extent)
 
 
 def save_cells(layer: Layer, path: str, partitions: int | None = None, mode: str = "overwrite") -> None:
@@ -83,9 +92,10 @@ def save_cells(layer: Layer, path: str, partitions: int | None = None, mode: str
 
     Each file then covers a band of rows and each parquet row group a narrow
     y range, so filters on y (a zonal query's bounding box, a window) skip
-    files and row groups from their min/max statistics.
+    files and row groups from their min/max statistics. The georeference is
+    kept in the metadata of the column v.
     """
-    df = layer.df.select("x", "y", "v")
+    df = layer.df.select("x", "y", F.col("v").alias("v", metadata={"georef": asdict(layer.georef)}))
     if partitions:
         df = df.repartitionByRange(partitions, "y", "x")
     else:

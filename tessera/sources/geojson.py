@@ -85,8 +85,14 @@ def features_to_zones(features: DataFrame, zone_set: str) -> DataFrame:
     """Flatten feature rows to the zone table; other geometry types dropped."""
     gtype = F.col("geometry.type")
     coords = F.col("geometry.coordinates")
-    geom = (F.when(gtype == "Polygon", F.array(F.from_json(coords, POLYGON)))
-            .when(gtype == "MultiPolygon", F.from_json(coords, MULTIPOLYGON)))
+    strict = {"mode": "FAILFAST"}
+    geom = (F.when(gtype == "Polygon", F.array(F.from_json(coords, POLYGON, strict)))
+            .when(gtype == "MultiPolygon", F.from_json(coords, MULTIPOLYGON, strict)))
+    # a ring needs vertices of two numbers; anything less is a broken file, not an empty zone
+    whole = F.forall(geom, lambda part: F.forall(part, lambda ring: (F.size(ring) > 0) & F.forall(
+        ring, lambda p: (F.size(p) >= 2) & p[0].isNotNull() & p[1].isNotNull())))
+    geom = F.when(F.coalesce(whole, F.lit(False)), geom).otherwise(
+        F.raise_error(F.concat(F.lit("zone with unreadable coordinates: "), F.coalesce("id", F.lit("(no id)")))))
     return (features.where(gtype.isin("Polygon", "MultiPolygon"))
             .select(F.lit(zone_set).alias("zone_set"),
                     F.col("id").alias("zone_id"),
@@ -101,6 +107,9 @@ def read_zones(spark: SparkSession, path: str, zone_set: str = "zones", srid: in
                lines: bool = False, validate: bool = True) -> ZoneSet:
     """Scan a GeoJSON file (or folder of files) into a ``ZoneSet``.
 
+    Input that does not parse (a cut-off file, a broken line, an ID that is no
+    int, unreadable coordinates) raises; nothing is skipped.
+
     Large vector sets are best stored one Feature per line (``lines=True``):
     those files split across tasks, while a FeatureCollection file is parsed
     whole by one task.
@@ -109,9 +118,9 @@ def read_zones(spark: SparkSession, path: str, zone_set: str = "zones", srid: in
     present and unique (a duplicate raises).
     """
     if lines:
-        feats = spark.read.schema(FEATURE).json(path)
+        feats = spark.read.schema(FEATURE).option("mode", "FAILFAST").json(path)
     else:
-        coll = spark.read.schema(COLLECTION).option("multiLine", True).json(path)
+        coll = spark.read.schema(COLLECTION).option("multiLine", True).option("mode", "FAILFAST").json(path)
         feats = coll.select(F.explode("features").alias("f")).select("f.*")
         # a FeatureCollection file is parsed by one task; when it is large,
         # spread its features so edge and crossing generation run in parallel

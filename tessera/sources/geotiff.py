@@ -31,6 +31,7 @@ single- or multi-band files, integer and float sample formats. Others raise.
 from __future__ import annotations
 
 import math
+import re
 import struct
 import zlib
 from dataclasses import dataclass, field
@@ -38,7 +39,7 @@ from dataclasses import dataclass, field
 import numpy as np
 
 from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
-from pyspark.sql.types import (ArrayType, DataType, DoubleType, IntegerType, LongType, StringType,
+from pyspark.sql.types import (ArrayType, DataType, DecimalType, DoubleType, IntegerType, LongType, StringType,
                                StructField, StructType)
 
 # Fixed values of the TIFF 6.0 / BigTIFF / GeoTIFF specifications.
@@ -102,7 +103,9 @@ class TiffHeader:
         k = np.dtype(self.dtype).kind
         if k == "f":
             return DoubleType()
-        if np.dtype(self.dtype) == np.dtype("uint32"):
+        if np.dtype(self.dtype) == np.dtype("uint64"):
+            return DecimalType(20, 0)
+        if np.dtype(self.dtype) in (np.dtype("uint32"), np.dtype("int64")):
             return LongType()
         return IntegerType()
 
@@ -174,7 +177,8 @@ def read_header(path: str) -> TiffHeader:
                    samples=samples, planar=planar)
     if TAG_NODATA in tags:
         try:
-            h.nodata = float(tags[TAG_NODATA][0])
+            text = str(tags[TAG_NODATA][0]).strip()
+            h.nodata = int(text) if re.fullmatch(r"[+-]?\d+", text) else float(text)
         except ValueError:
             h.nodata = None
     if TAG_PIXEL_SCALE in tags and TAG_TIEPOINT in tags:
@@ -248,12 +252,30 @@ def mosaic_offsets(headers: list[TiffHeader]) -> tuple[list[tuple[int, int]], tu
         if (h.dx, h.dy, h.srid) != (h0.dx, h0.dy, h0.srid):
             raise ValueError(f"{h.path}: cell size or srid differs from {h0.path}")
     x0, y0 = min(h.x0 for h in headers), max(h.y0 for h in headers)
-    offs = [(int(round((h.x0 - x0) / h.dx)), int(round((y0 - h.y0) / h.dy))) for h in headers]
+    offs = []
+    for h in headers:
+        shift = (h.x0 - x0) / h.dx, (y0 - h.y0) / h.dy
+        whole = tuple(round(s) for s in shift)
+        if any(abs(s - w) > 1e-3 for s, w in zip(shift, whole)):
+            raise ValueError(f"{h.path}: origin is {shift} cells from the mosaic's, not a whole number")
+        offs.append(whole)
+    _check_overlap(headers, offs)
     cols = max(o[0] + h.width for o, h in zip(offs, headers))
     rows = max(o[1] + h.height for o, h in zip(offs, headers))
     return offs, (x0, y0, h0.dx, h0.dy, h0.srid, cols, rows)
 
 
+def _check_overlap(headers, offsets) -> None:
+    """Files of a mosaic must not share cells (a sweep over their top edges)."""
+    active: list = []
+    for (ox, oy), h in sorted(zip(offsets, headers), key=lambda t: t[0][1]):
+        active = [a for a in active if a[1][1] + a[0].height > oy]
+        for other, (px, _) in active:
+            if px < ox + h.width and ox < px + other.width:
+                raise ValueError(f"{h.path} and {other.path} overlap")
+        active.append((h, (ox, oy)))
+
+
 def _segments(h: TiffHeader, win) -> list[tuple[int, int, int]]:
     """(index, seg_x0, seg_y0) of the segments a window touches."""
     x, y, w, r = win
@@ -338,8 +360,9 @@ def read_window(f, h: TiffHeader, win, cache: SegmentCache) -> np.ndarray:
         seg = cache.get(idx)
         if seg is None:
             if h.counts[idx] == 0:  # sparse segment: all NoData (0 when none is set)
-                seg = np.full((h.seg_h, h.seg_w), h.nodata if h.nodata is not None else 0,
-                              dtype=np.dtype(h.dtype).newbyteorder("="))
+                kind = np.dtype(h.dtype).newbyteorder("=")
+                fill = h.nodata if kind.kind == "f" else _whole_nodata(h.nodata, kind)
+                seg = np.full((h.seg_h, h.seg_w), 0 if fill is None else fill, dtype=kind)
             else:
                 seg = _decode(h, f.read_at(h.counts[idx], h.offsets[idx]))
             cache.put(idx, seg)
@@ -351,19 +374,31 @@ def read_window(f, h: TiffHeader, win, cache: SegmentCache) -> np.ndarray:
 
 def _arrow_type(a: np.ndarray):
     import pyarrow as pa
-    return pa.float64() if a.dtype.kind == "f" else (pa.int64() if a.dtype == np.uint32 else pa.int32())
+    if a.dtype.kind == "f":
+        return pa.float64()
+    if a.dtype == np.uint64:
+        return pa.decimal128(20, 0)
+    return pa.int64() if a.dtype in (np.uint32, np.int64) else pa.int32()
 
 
 def _nodata_mask(h: TiffHeader, a: np.ndarray) -> np.ndarray:
-    """True where a cell is NoData (the file's nodata value, or NaN)."""
+    """True where a cell is NoData: NaN, or exactly the file's nodata value in the
+    cell type. A nodata value that the cell type can't hold marks no cell."""
     if a.dtype.kind == "f":
         m = np.isnan(a)
         if h.nodata is not None:
-            m |= np.isclose(a, h.nodata)
+            m |= a == a.dtype.type(h.nodata)
         return m
-    if h.nodata is not None:
-        return a == np.asarray(h.nodata).astype(a.dtype)
-    return np.zeros(a.shape, dtype=bool)
+    value = _whole_nodata(h.nodata, a.dtype)
+    return np.zeros(a.shape, dtype=bool) if value is None else a == a.dtype.type(value)
+
+
+def _whole_nodata(nodata: float | int | None, dtype: np.dtype) -> int | None:
+    """The nodata value as an integer of ``dtype``, or None where it isn't one."""
+    if nodata is None or not math.isfinite(nodata) or nodata != int(nodata):
+        return None
+    info = np.iinfo(dtype)
+    return int(nodata) if info.min <= int(nodata) <= info.max else None
 
 
 def _masked(h: TiffHeader, a: np.ndarray, mask: np.ndarray | None = None):
@@ -371,6 +406,9 @@ def _masked(h: TiffHeader, a: np.ndarray, mask: np.ndarray | None = None):
     import pyarrow as pa
     t = _arrow_type(a)
     m = _nodata_mask(h, a) if mask is None else mask
+    if a.dtype == np.uint64:
+        from decimal import Decimal
+        return pa.array([None if bad else Decimal(v) for v, bad in zip(a.reshape(-1).tolist(), m.reshape(-1).tolist())], type=t)
     return pa.array(a.reshape(-1).astype(t.to_pandas_dtype()), type=t, mask=m.reshape(-1))
 
 
@@ -432,6 +470,11 @@ class GeoTiffReader(DataSourceReader):
         with _open(part.path) as f:
             for win in part.windows:
                 x, y, w, r = win
+                if self.form == "grid":  # sizes from the header alone
+                    yield pa.RecordBatch.from_arrays(
+                        [pa.array([part.path]), *[pa.array([k], pa.int32()) for k in (x + part.ox, y + part.oy, w, r)]],
+                        names=["path", "win_x", "win_y", "cols", "rows"])
+                    continue
                 a = read_window(f, h, win, cache)
                 if self.form == "tiles":
                     n = self.chunk
@@ -526,6 +569,8 @@ class GeoTiffDataSource(DataSource):
         if self.options.get("form", "cells") == "tiles":
             return StructType([StructField("tc", IntegerType()), StructField("tr", IntegerType()),
                                StructField("t", ArrayType(vt))])
+        if self.options.get("form", "cells") == "grid":
+            return StructType([StructField("path", StringType())] + [StructField(c, IntegerType()) for c in ("win_x", "win_y", "cols", "rows")])
         if self.options.get("form", "cells") == "windows":
             return StructType([StructField("path", StringType()), StructField("win_x", IntegerType()),
                                StructField("win_y", IntegerType()), StructField("cols", IntegerType()),
@@ -534,7 +579,7 @@ class GeoTiffDataSource(DataSource):
                            StructField("v", vt)])
 
     def reader(self, schema: StructType):
-        if self.options.get("pushdown", "false") == "true" and self.options.get("form", "cells") != "windows":
+        if self.options.get("pushdown", "false") == "true" and self.options.get("form", "cells") not in ("windows", "grid"):
             return GeoTiffPushdownReader(self.options, schema)
         return GeoTiffReader(self.options, schema)
 
@@ -557,8 +602,8 @@ def read_geotiff(spark, path: str, name: str | None = None, chunk: int | None =
                  max_tile: int | None = None, form: str = "cells", band: int = 0):
     """GeoTIFF as a ``Layer`` (cells) or a windows DataFrame.
 
-    The driver reads only the first file's header (georeference, size);
-    cell data is read by the executors.
+    The driver reads the headers of all files (georeference, size, segment
+    offsets) to place them; cell data is read by the executors.
     """
     from ..layer import Georef, Layer
     register(spark)
@@ -570,7 +615,7 @@ def read_geotiff(spark, path: str, name: str | None = None, chunk: int | None =
     if max_tile:
         r = r.option("max_tile", str(max_tile))
     df = r.load(path)
-    if form == "windows":
+    if form in ("windows", "grid"):
         return df
     _, (x0, y0, dx, dy, srid, cols, rows) = mosaic_offsets([read_header(p) for p in _expand(path)])
     return Layer(df, name or path.rstrip("/").split("/")[-1], Georef(x0, y0, dx, dy, srid), (cols, rows))
@@ -586,5 +631,6 @@ def read_geotiff_tiles(spark, path: str, tile_size: int, name: str | None = None
           .option("pushdown", _pushdown(spark)).option("band", str(band))
           .option("min_partitions", str(default_parallelism(spark))).load(path))
     _, (x0, y0, dx, dy, srid, cols, rows) = mosaic_offsets([read_header(p) for p in _expand(path)])
-    tl = TileLayer(df, tile_size, name or path.rstrip("/").split("/")[-1], Georef(x0, y0, dx, dy, srid))
+    tl = TileLayer(df, tile_size, name or path.rstrip("/").split("/")[-1], Georef(x0, y0, dx, dy, srid),
+                   extent=(0, cols - 1, 0, rows - 1))
     return tl, LayerMeta.from_dims(cols, rows)

@@ -24,14 +24,21 @@ GEOREF_A = Georef(x0=-180.0, y0=90.0, dx=0.1, dy=0.1, srid=4326)
 def read_cells(spark: SparkSession, path: str, name: str = "raster",
                georef: Georef | None = None, x: str = "x", y: str = "y", v: str = "v") -> Layer:
     """Scan a cell table stored as parquet; column pruning and filter pushdown
-    reach the scan because the projection is a plain select. On float
+    reach the scan because the projection is a plain select. The georeference
+    stored with the table applies unless one is given. On float
     columns NaN is NoData (NULL), as in the GeoTIFF source."""
     raw = spark.read.parquet(path)
     val = F.col(v)
     if raw.schema[v].dataType.typeName() in ("double", "float"):
         val = F.when(~F.isnan(val), val)
     df = raw.select(F.col(x).cast("int").alias("x"), F.col(y).cast("int").alias("y"), val.alias("v"))
-    return Layer(df, name, georef or Georef())
+    return Layer(df, name, georef or stored_georef(raw, v) or Georef())
+
+
+def stored_georef(raw: DataFrame, v: str = "v") -> Georef | None:
+    """The georeference that ``sinks.save_cells`` keeps with a cell table, if any."""
+    kept = raw.schema[v].metadata.get("georef")
+    return Georef(**kept) if kept else None
 
 
 def _class_cells(key, value) -> list:

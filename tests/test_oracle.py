@@ -5,8 +5,9 @@ import pytest
 import __spark_entry__ as entry
 from conftest import SF001
 from harness import compare, duck
+from tessera.plans.queries import QUERIES
 
-NAMES = list(entry.queries())
+NAMES = list(QUERIES)
 
 
 @pytest.fixture(scope="module")

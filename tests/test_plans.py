@@ -4,11 +4,12 @@ import pytest
 
 import __spark_entry__ as entry
 from conftest import SF001
+from tessera.plans.queries import QUERIES
 
 FORBIDDEN = ("CartesianProduct", "BroadcastNestedLoopJoin", "BatchEvalPython", "ArrowEvalPython")
 
 
-@pytest.mark.parametrize("name", list(entry.queries()))
+@pytest.mark.parametrize("name", list(QUERIES))
 def test_no_nested_loop_or_row_udf(spark, name):
     df = entry.queries()[name](spark, SF001)
     plan = df._jdf.queryExecution().executedPlan().toString()
