@@ -31,7 +31,7 @@ ORDER = 4
 BITS = 12
 BLOCK_CHARS = 48_000_000
 #: n-grams are cut from slices of this many characters (bounds a task's memory).
-SLICE = 1 << 21
+SLICE = 1 << 20
 PRIOR_CHARS = 40
 REACH = 4.0
 #: Scores are binned to this width for the exact quantiles of the bins.
@@ -133,9 +133,10 @@ def requests(packed: DataFrame, trusted: DataFrame, order: int) -> DataFrame:
             for lang, rows, texts in _by_language(t):
                 for owner, gram in ngrams(texts, order):
                     own = known[rows][owner]
-                    part = _merge((np.zeros(0, np.int64),) * 2, gram[own], np.ones(int(own.sum()), np.int64))
-                    part = _merge(part, np.unique(gram[~own]), np.zeros(len(np.unique(gram[~own])), np.int64))
-                    found[lang] = _merge(found.get(lang, (np.zeros(0, np.int64),) * 2), *part)
+                    so_far = found.get(lang, (np.zeros(0, np.int64),) * 2)
+                    so_far = _merge(so_far, *np.unique(gram[own], return_counts=True))
+                    rest = np.unique(gram[~own])
+                    found[lang] = _merge(so_far, rest, np.zeros(len(rest), np.int64))
         block = docs.column("block")[0].as_py() if docs.num_rows else 0
         return pa.concat_tables([pa.table({
             "block": pa.array(np.full(len(g), block, np.int64)), "lang": pa.array([lang] * len(g), pa.string()),
