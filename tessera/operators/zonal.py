@@ -29,11 +29,13 @@ from ..layer import Georef, Layer, TileLayer
 from ..sources.geojson import ZoneSet
 
 # Width of the x-bins of the run/cell join, the largest run table that is
-# broadcast (rows; about 30 bytes each), and the largest zone-name table
-# broadcast onto per-(zone, value) results.
+# broadcast (rows of fixed width, about 30 bytes each), the largest table of
+# numbers per zone that is (at most two rows of 50 bytes per zone), and the
+# largest table of zone ids and names (bytes).
 BIN_WIDTH = 1024
 BROADCAST_MAX_RUNS = 1_000_000
-BROADCAST_MAX_ZONES = 2_000_000
+BROADCAST_MAX_ZONES = 500_000
+BROADCAST_MAX_NAMES = 32 << 20
 KEY = ("zk",)
 
 
@@ -70,10 +72,9 @@ def _size_and_bounds(runs: DataFrame, y: str, xa: str, xb: str, bin_width: int |
 
 
 def _names(zones: ZoneSet) -> DataFrame:
-    """zk -> (zone_set, zone_id, name, zid); broadcast when the zone count
-    bound allows."""
+    """zk -> (zone_set, zone_id, name, zid); broadcast when its bytes allow."""
     k = zones.df.select("zk", "zone_set", "zone_id", "name", "zid")
-    return F.broadcast(k) if zones.zone_count_bound() <= BROADCAST_MAX_ZONES else k
+    return F.broadcast(k) if zones.names_bound() <= BROADCAST_MAX_NAMES else k
 
 
 def _with_names(df: DataFrame, zones: ZoneSet, extra=()) -> DataFrame:

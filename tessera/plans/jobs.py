@@ -97,8 +97,9 @@ def load_zones(spark, vectors: list[VectorRecord], raster: RasterRecord, lines:
     """All vector sets for one raster, each from its copy for the raster's
     srid (``base/<srid>/file``), as one zone table."""
     sets = [read_zones(spark, vector_path(v, raster), v.name, srid=raster.srid, lines=lines) for v in vectors]
-    bound = sum(z.max_zones for z in sets) if all(z.max_zones is not None for z in sets) else None
-    return ZoneSet(_union([z.df for z in sets]), "+".join(v.name for v in vectors), raster.srid, bound)
+    known = all(z.max_zones is not None and z.max_bytes is not None for z in sets)
+    bound = (sum(z.max_zones for z in sets), sum(z.max_bytes for z in sets)) if known else (None, None)
+    return ZoneSet(_union([z.df for z in sets]), "+".join(v.name for v in vectors), raster.srid, *bound)
 
 
 def zonal_job(spark, rasters: list[RasterRecord], vectors: list[VectorRecord], lines: bool = False) -> DataFrame:

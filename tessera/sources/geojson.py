@@ -52,35 +52,51 @@ class ZoneSet:
 
     ``zk`` is a 64-bit hash of (zone_set, zone_id): the narrow key the raster
     side joins and aggregates on (checked collision-free by ``check_ids``).
-    ``max_zones`` is an upper bound of the zone count when known (from the
-    validation job); it bounds what is broadcast per zone.
+    ``max_zones`` and ``max_bytes`` are upper bounds of the zone count and of the
+    size of the zones' ids and names when known (from the validation job); they
+    bound what is broadcast per zone.
     """
 
     df: DataFrame
     name: str = "zones"
     srid: int = 4326
     max_zones: int | None = None
+    max_bytes: int | None = None
 
     def polygons(self) -> "ZoneSet":
         """Only the Polygon features."""
-        return ZoneSet(self.df.where(F.col("geom_type") == "Polygon"), self.name, self.srid, self.max_zones)
+        return ZoneSet(self.df.where(F.col("geom_type") == "Polygon"), self.name, self.srid, self.max_zones, self.max_bytes)
 
     def multipolygons(self) -> "ZoneSet":
         """Only the MultiPolygon features."""
         return ZoneSet(self.df.where(F.col("geom_type") == "MultiPolygon"), self.name, self.srid,
-                       self.max_zones)
+                       self.max_zones, self.max_bytes)
 
     def zone_count_bound(self) -> int:
         """Upper bound of the zone count (one small job when not yet known)."""
-        if self.max_zones is None:
-            self.max_zones = self.df.count()
+        self._measure()
         return self.max_zones
 
+    def names_bound(self) -> int:
+        """Upper bound of the bytes of all zones' keys, ids and names."""
+        self._measure()
+        return self.max_bytes
+
+    def _measure(self) -> None:
+        if self.max_zones is None or self.max_bytes is None:
+            r = self.df.agg(F.count(F.lit(1)).alias("n"), F.sum(_name_bytes()).alias("b")).first()
+            self.max_zones, self.max_bytes = r.n, int(r.b or 0)
+
     def lookup(self, zone_id: str) -> DataFrame:
         """One feature by id (a filter, not a driver-side map)."""
         return self.df.where(F.col("zone_id") == F.lit(zone_id))
 
 
+def _name_bytes():
+    """Bytes of a zone's row of keys, ids and names."""
+    return F.lit(32) + sum(F.coalesce(F.octet_length(c), F.lit(0)) for c in ("zone_set", "zone_id", "name"))
+
+
 def features_to_zones(features: DataFrame, zone_set: str) -> DataFrame:
     """Flatten feature rows to the zone table; other geometry types dropped."""
     gtype = F.col("geometry.type")
@@ -131,12 +147,12 @@ def read_zones(spark: SparkSession, path: str, zone_set: str = "zones", srid: in
         fp = _fingerprint(path)
         stamp = (path, zone_set, lines, fp)
         if fp is None or stamp not in _VALIDATED:
-            count = check_ids(zones.df)
+            found = _checked(zones.df)
             if fp is not None:
-                _VALIDATED[stamp] = count
+                _VALIDATED[stamp] = found
         else:
-            count = _VALIDATED[stamp]
-        zones.max_zones = count
+            found = _VALIDATED[stamp]
+        zones.max_zones, zones.max_bytes = found
     return zones
 
 
@@ -179,14 +195,19 @@ def _total_bytes(path: str) -> int:
 def check_ids(zones: DataFrame) -> int:
     """Feature ids must be present and unique, and their hash keys distinct.
     One small job; returns the zone count."""
+    return _checked(zones)[0]
+
+
+def _checked(zones: DataFrame) -> tuple[int, int]:
+    """:func:`check_ids`, and the bytes of ids and names."""
     per_key = zones.groupBy("zk").agg(
         F.count(F.lit(1)).alias("k"),
         F.count_distinct("zone_set", "zone_id").alias("ids"),
-        F.count(F.when(F.col("zone_id").isNull(), 1)).alias("nulls"))
+        F.count(F.when(F.col("zone_id").isNull(), 1)).alias("nulls"), F.sum(_name_bytes()).alias("bytes"))
     r = per_key.agg(F.sum("k").alias("total"), F.max("k").alias("maxk"),
-                    F.max("ids").alias("maxids"), F.sum("nulls").alias("nulls")).first()
+                    F.max("ids").alias("maxids"), F.sum("nulls").alias("nulls"), F.sum("bytes").alias("bytes")).first()
     if r.total is None:
-        return 0
+        return 0, 0
     if r.nulls or r.maxk > 1:
         bad = (zones.groupBy("zone_set", "zone_id").agg(F.count(F.lit(1)).alias("k"))
                .where(F.col("zone_id").isNull() | (F.col("k") > 1)).take(3))
@@ -194,4 +215,4 @@ def check_ids(zones: DataFrame) -> int:
             raise ValueError(f"zone ids must be present and unique; offending: "
                              f"{[(b.zone_id, b.k) for b in bad]}")
         raise ValueError("zone key hash collision; rename one of the colliding zones")
-    return int(r.total)
+    return int(r.total), int(r.bytes)
