@@ -3,11 +3,12 @@
 Character n-grams of all trusted documents (labels: quality 1, not toxic) are
 counted per language; continuation counts, discounts and back-off weights are
 joins and grouped counts over the sharded count tables. Documents travel in
-blocks (by hash of doc_id, about ``BLOCK_CHARS`` characters each, packed as
-compressed Arrow), each block asks for its distinct n-grams once, the requests
-are joined with the model's shards, and the answers go back to their block. So
-the shuffled rows are a block's distinct n-grams, not the corpus' tokens, and
-no table of the model has to fit into a task or the driver.
+blocks (consecutive rows of an input task, about ``BLOCK_CHARS`` characters
+each whatever their ids and texts, packed as compressed Arrow), each block asks
+for its distinct n-grams once, the requests are joined with the model's shards,
+and the answers go back to their block. So the shuffled rows are a block's
+distinct n-grams, not the corpus' tokens, and no table of the model has to fit
+into a task or the driver. The packed blocks are checkpointed once.
 
 A document's score is its mean negative log probability per character (nats),
 smoothed by ``PRIOR_CHARS`` characters at its language's trusted median so that
@@ -20,10 +21,12 @@ from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
+from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import Slots, stored
+from .common import Slots, checkpointed, stored
 
 ORDER = 4
 #: Bits of a symbol: code points below 2048 stand for themselves, others are
@@ -32,6 +35,10 @@ BITS = 12
 BLOCK_CHARS = 48_000_000
 #: n-grams are cut from slices of this many characters (bounds a task's memory).
 SLICE = 1 << 20
+#: A block's rows are packed in pieces of about this many characters, and each row
+#: counts as ROW_CHARS more, so that rows without text fill a block too.
+PIECE = 1 << 21
+ROW_CHARS = 64
 PRIOR_CHARS = 40
 REACH = 4.0
 #: Scores are binned to this width for the exact quantiles of the bins.
@@ -82,25 +89,35 @@ def ngrams(texts: list[str | None], order: int):
 
 # ---------------------------------------------------------------- blocks
 
-def _packed(docs: DataFrame, blocks: int) -> DataFrame:
-    """``(block, blob)``: the rows of each block and input batch as compressed Arrow."""
+def _packed(docs: DataFrame, block_chars: int) -> DataFrame:
+    """``(block, ids, blob)``: each task's rows, in order, as pieces of blocks: the
+    distinct doc_ids and compressed Arrow. No block passes ``block_chars`` by more
+    than one row."""
 
     def pack(batches):
+        first, chars = TaskContext.get().partitionId() << 32, 0
         for b in batches:
+            if not b.num_rows:
+                continue
             t = pa.Table.from_batches([b])
-            block = t.column("block").to_numpy()
-            for k in np.unique(block):
-                own = t.filter(pa.array(block == k)).drop_columns(["block"]).combine_chunks()
+            size = pc.fill_null(pc.utf8_length(b.column(1)), 0).to_numpy(zero_copy_only=False).astype(np.int64) + ROW_CHARS
+            start = chars + np.cumsum(size) - size
+            chars = int(start[-1] + size[-1])
+            block, piece = start // block_chars, start // PIECE
+            cuts = np.flatnonzero((np.diff(block) != 0) | (np.diff(piece) != 0)) + 1
+            for low, high in zip([0, *cuts.tolist()], [*cuts.tolist(), b.num_rows]):
+                own = t.slice(low, high - low).combine_chunks()
                 sink = pa.BufferOutputStream()
-                with pa.ipc.new_stream(sink, own.schema, options=pa.ipc.IpcWriteOptions(compression="zstd")) as out:
+                options = pa.ipc.IpcWriteOptions(compression=pa.Codec("zstd", compression_level=3))
+                with pa.ipc.new_stream(sink, own.schema, options=options) as out:
                     out.write_table(own)
+                ids = pc.unique(own.column("doc_id").drop_null())
                 yield pa.RecordBatch.from_arrays(
-                    [pa.array([k], pa.int64()), pa.array([sink.getvalue().to_pybytes()], pa.binary())], names=["block", "blob"])
+                    [pa.array([first + int(block[low])], pa.int64()), pa.array([ids.to_pylist()], pa.list_(pa.int64())),
+                     pa.array([sink.getvalue().to_pybytes()], pa.binary())], names=["block", "ids", "blob"])
 
-    return docs.select(
-        F.col("doc_id").cast("long"), "text", F.coalesce("lang", F.lit("und")).alias("lang"),
-        F.pmod(F.coalesce(F.xxhash64("doc_id"), F.xxhash64("text")), F.lit(blocks)).alias("block"),
-    ).mapInArrow(pack, "block long, blob binary")
+    return docs.select(F.col("doc_id").cast("long"), "text", F.coalesce("lang", F.lit("und")).alias("lang")).mapInArrow(
+        pack, "block long, ids array<long>, blob binary")
 
 
 def _unpacked(packed: pa.Table):
@@ -144,7 +161,7 @@ def requests(packed: DataFrame, trusted: DataFrame, order: int) -> DataFrame:
                 "block": pa.array([], pa.int64()), "lang": pa.array([], pa.string()),
                 "gram": pa.array([], pa.int64()), "n": pa.array([], pa.int64())})])
 
-    return packed.groupBy("block").cogroup(trusted.groupBy("block")).applyInArrow(
+    return packed.select("block", "blob").groupBy("block").cogroup(trusted.groupBy("block")).applyInArrow(
         kernel, "block long, lang string, gram long, n long")
 
 
@@ -244,7 +261,7 @@ def document_scores(packed: DataFrame, answers: DataFrame, order: int) -> DataFr
         return pa.concat_tables(out) if out else pa.table({
             "doc_id": pa.array([], pa.int64()), "lang": pa.array([], pa.string()), "n_chars": pa.array([], pa.int64()), "nll": pa.array([], pa.float64())})
 
-    return packed.groupBy("block").cogroup(answers.groupBy("block")).applyInArrow(
+    return packed.select("block", "blob").groupBy("block").cogroup(answers.groupBy("block")).applyInArrow(
         kernel, "doc_id long, lang string, n_chars long, nll double")
 
 
@@ -275,10 +292,8 @@ def classify(docs: DataFrame, labels: DataFrame, order: int = ORDER, reach: floa
     good = labels.groupBy(F.col("doc_id").cast("long").alias("doc_id")).agg(
         F.min("quality").alias("quality"), F.max(F.coalesce("toxic", F.lit(0))).alias("toxic"))
     good = good.filter("doc_id IS NOT NULL AND quality = 1 AND toxic = 0").select("doc_id")
-    chars = docs.agg(F.sum(F.length("text")).alias("n")).first().n or 0
-    blocks = 1 + int(chars) // block_chars
-    packed = _packed(docs, blocks)
-    ids = good.select("doc_id", F.pmod(F.xxhash64("doc_id"), F.lit(blocks)).alias("block"))
+    packed = checkpointed(_packed(docs, block_chars))  # kept: both passes must meet the same blocks
+    ids = packed.select(F.explode("ids").alias("doc_id"), F.col("block").alias("of")).join(good, "doc_id", "left_semi").toDF("doc_id", "block")
     asked = stored(requests(packed, ids, order), "kn-requests")
     corpus = stored(asked.groupBy("lang", "gram").agg(F.sum("n").alias("n")), "kn-grams")
     model = kneser_ney(corpus.filter("n > 0"), order)

@@ -93,3 +93,27 @@ def test_empty_tables(spark, rows):
     none = spark.createDataFrame([], LABELS)
     assert all(r.keep and r.log_ppl is None for r in q.classify(table, none).collect())
     assert q.classify(table.limit(0), spark.createDataFrame(labels, LABELS)).collect() == []
+
+
+def test_blocks_are_bounded_for_any_ids(spark, monkeypatch):
+    """A third of the rows without an id, a third equal rows of one id."""
+    rng = random.Random(5)
+    texts = [" ".join(rng.choice(("the", "her", "on", "and", "red")) for _ in range(30)) for _ in range(400)]
+    docs = [(i, t, "en") for i, t in enumerate(texts)] + [(None, t[::-1], "en") for t in texts] + [(7, texts[7], "en")] * 400
+    table = spark.createDataFrame(docs, "doc_id long, text string, lang string").repartition(3)
+    packed, requests = [], q.requests
+    monkeypatch.setattr(q, "requests", lambda p, *rest: packed.append(p) or requests(p, *rest))
+    got = q.classify(table, spark.createDataFrame([(i, 1, 0) for i in range(50)], LABELS), order=3, block_chars=10_000).collect()
+    chars = Counter()
+    for r in packed[0].select("block", "blob").collect():
+        chars[r.block] += sum(len(x) for t in q._unpacked(__import__("pyarrow").table({"blob": [bytes(r.blob)]})) for x in t.column("text").to_pylist())
+    assert sum(chars.values()) == sum(len(t) for _, t, _ in docs) and max(chars.values()) <= 10_000 + max(map(len, texts))
+    model = slow_model([t for i, t, _ in docs if i is not None and i < 50], 3)
+    assert len(got) == len(docs) and sum(r.doc_id is None for r in got) == 400 and sum(r.doc_id == 7 for r in got) == 401
+    mine = sorted(model(t) / len(t) for i, t, _ in docs if i is not None and i < 50)
+    middle = (math.floor(mine[math.ceil(len(mine) / 2) - 1] / q.BIN) + 1) * q.BIN
+    by_text = {t: model(t) for i, t, _ in docs[:400]}
+    for r in got:
+        if r.doc_id is not None:
+            t = texts[r.doc_id]
+            assert r.log_ppl == pytest.approx((by_text[t] + q.PRIOR_CHARS * middle) / (len(t) + q.PRIOR_CHARS), abs=2 * q.BIN)
