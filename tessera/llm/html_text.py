@@ -6,7 +6,8 @@ after it, and the place it stands in (the innermost element around it that says
 something: article or main, or page furniture by element name or by a word of
 its class, id or role). A decision tree, grown from the small labelled table
 ``LABELLED`` by Gini impurity, tells main text from the rest. Elements that
-never hold text of an article (scripts, styles, forms, ...) make no blocks.
+never hold text of an article (scripts, styles, buttons, ...) make no blocks; a
+form's blocks are furniture where no article, main or long paragraph is in it.
 """
 
 from __future__ import annotations
@@ -20,16 +21,16 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 #: Elements whose whole content is dropped.
-DROPPED = frozenset("script style noscript template head title svg math iframe object select textarea button form audio video canvas dialog".split())
+DROPPED = frozenset("script style noscript template head title svg math iframe object select textarea button audio video canvas dialog".split())
 #: Of these, elements whose content is raw text up to their own end tag.
 RAW = frozenset("script style noscript template title svg math iframe textarea".split())
 FURNITURE = frozenset("nav footer aside menu".split())
 BODY = frozenset("article main".split())
 BLOCK = BODY | FURNITURE | frozenset(
-    "address blockquote body center caption dd details div dl dt fieldset figcaption figure h1 h2 h3 h4 h5 h6 header hgroup hr html legend "
+    "address blockquote body center caption dd details div dl dt fieldset figcaption figure form h1 h2 h3 h4 h5 h6 header hgroup hr html legend "
     "li ol p pre section summary table tbody td tfoot th thead tr ul".split())
 #: Elements that the place of a block is read from; the others need no end tag.
-PLACES = BODY | FURNITURE | frozenset("header section div ul ol table dl body html blockquote figure details fieldset".split())
+PLACES = BODY | FURNITURE | frozenset("header section div ul ol table dl body html blockquote figure details fieldset form".split())
 FURNITURE_WORD = re.compile(
     r"(?:^|[\s_-])(?:ad|ads|advert\w*|adsense|sponsor\w*|promo\w*|banner|nav\w*|menu\w*|breadcrumb\w*|sidebar|side|footer|foot|masthead|header|"
     r"cookie\w*|consent|notice|gdpr|popup|modal|newsletter|subscribe|signup|login|share|social|related|recommend\w*|comment\w*|disqus|"
@@ -38,8 +39,11 @@ BODY_WORD = re.compile(r"(?:^|[\s_-])(?:article|main|content|post|entry|story|bo
 _PIECE = re.compile(
     r"<!--.*?(?:-->|\Z)|<!\[CDATA\[.*?(?:\]\]>|\Z)|<([/]?)([a-zA-Z][^\s/>]*)((?:[^<>\"']|\"[^\"<]*\"|'[^'<]*')*+)(?:>|\Z)|<[/]?[a-zA-Z][^>]*(?:>|\Z)|<[!?][^>]*(?:>|\Z)",
     re.S)
+_TAG = {name: re.compile(f"<(/?){name}(?=[\\s/>])", re.I) for name in DROPPED}
 _HINT = re.compile(r"(?:class|id|role)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>]+))", re.I)
-_NO_PLACE, _BODY, _FURNITURE = 0, 1, 2
+_NO_PLACE, _BODY, _FURNITURE, _DROP = 0, 1, 2, 3
+#: Words outside links that make a paragraph of a form a long one.
+LONG = 25
 
 
 def _place(name: str, attributes: str, around: int) -> int:
@@ -59,7 +63,8 @@ def _place(name: str, attributes: str, around: int) -> int:
 def blocks(page: str | None) -> list[tuple[str, int, int, int]]:
     """``(text, words, link words, place)`` of the page's text blocks, in order."""
     out, parts, linked = [], [], []
-    stack, links, dropped, at, end = [("", _NO_PLACE)], 0, [], 0, len(page or "")
+    stack, links, dropped, at, end = [("", _NO_PLACE)], 0, 0, 0, len(page or "")
+    form = None  # of the open form: its first block, and whether it holds an article or main
 
     def close():
         if parts:
@@ -77,6 +82,25 @@ def blocks(page: str | None) -> list[tuple[str, int, int, int]]:
             if links:
                 linked.append(text)
 
+    def end_form():
+        nonlocal form
+        first, holds = form
+        form = None
+        if not holds and all(n - k < LONG for _, n, k, _ in out[first:]):
+            out[first:] = [(*b[:3], _FURNITURE) for b in out[first:]]
+
+    def leave(name):
+        """Closes the innermost open element of that name and all inside it."""
+        nonlocal dropped
+        if any(x == name for x, _ in stack):
+            while True:
+                gone, place = stack.pop()
+                dropped -= place == _DROP
+                if gone == "form" and form:
+                    end_form()
+                if gone == name:
+                    break
+
     page = page or ""
     while at < end:
         m = _PIECE.search(page, at)
@@ -97,14 +121,20 @@ def blocks(page: str | None) -> list[tuple[str, int, int, int]]:
             continue
         if name in DROPPED:
             close()
-            if opening:
-                dropped.append(name)
-            elif name in dropped:
-                del dropped[len(dropped) - 1 - dropped[::-1].index(name):]
+            if not opening:
+                leave(name)
+            elif (m := _TAG[name].search(page, at)) and m.group(1):  # else it is never closed: read on
+                stack.append((name, _DROP))
+                dropped += 1
             continue
-        if dropped and name == "body":
-            dropped = [x for x in dropped if x != "head"]
-        if dropped:
+        if name == "body" and opening and any(x == "head" for x, _ in stack):
+            leave("head")
+        if dropped:  # its elements are followed so that the end of one around it is seen
+            if name in PLACES:
+                if opening:
+                    stack.append((name, stack[-1][1] if stack[-1][1] != _DROP else _NO_PLACE))
+                else:
+                    leave(name)
             continue
         if name == "a":
             links = 1 if opening else 0
@@ -113,15 +143,19 @@ def blocks(page: str | None) -> list[tuple[str, int, int, int]]:
         elif name in BLOCK:
             close()
             if name in PLACES:
-                if opening:
+                if not opening:
+                    leave(name)
+                elif name != "form" or not form:
                     stack.append((name, _place(name, attributes, stack[-1][1])))
-                elif any(x == name for x, _ in stack):
-                    while stack[-1][0] != name:
-                        stack.pop()
-                    stack.pop()
+                    if name == "form":
+                        form = (len(out), False)
+                    elif form and name in BODY:
+                        form = (form[0], True)
         elif name in ("td", "th", "img", "input"):
             take(" ")
     close()
+    if form:
+        end_form()
     return out
 
 

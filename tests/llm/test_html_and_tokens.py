@@ -28,6 +28,22 @@ def test_pages(page, want):
     assert ht.main_text(page, ht.tree_of()) == want
 
 
+TEXT = " ".join(["word"] * 40)
+
+
+@pytest.mark.parametrize("page, want", [
+    (f"<body><article><p>{TEXT}</p><button>Share<p>{TEXT}</p></article><p>{TEXT}</p></body>", 3 * 40),
+    (f"<body><article><p>{TEXT}<select><option>word</article><div><p>{TEXT}</p></div></body>", 2 * 40 + 1),
+    (f"<body><article><p>{TEXT}</p><form><p>Your name</p></article><div><p>{TEXT}</p></div></body>", 2 * 40),
+    (f"<body><form id=aspnetForm><nav>Home</nav><div><p>{TEXT}</p><p>{TEXT}</p></div><footer>End</footer></form></body>", 2 * 40),
+    (f"<body><form><nav>Home</nav><article><p>word</p></article></form></body>", 1),
+    (f"<body><article><p>{TEXT}</p><form><p>word word</p><button>word</button></form></article></body>", 40),
+    (f"<body><article><p>{TEXT}</p><dialog><div><p>{TEXT}</p></div></dialog><p>{TEXT}</p></article></body>", 80),
+])
+def test_forms_and_unclosed_controls(page, want):
+    assert ht.main_text(page, ht.tree_of()).split().count("word") == want
+
+
 def test_pages_table(spark):
     rows = [(i, f"u{i}", p) for i, (p, _) in enumerate(PAGES)] + [(None, None, PAGES[0][0]), (0, "u0", PAGES[0][0])]
     from pyspark.sql import functions as F
