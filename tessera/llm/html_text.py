@@ -32,29 +32,55 @@ BLOCK = BODY | FURNITURE | frozenset(
 #: Elements that the place of a block is read from; the others need no end tag.
 PLACES = BODY | FURNITURE | frozenset("header section div ul ol table dl body html blockquote figure details fieldset form".split())
 FURNITURE_WORD = re.compile(
-    r"(?:^|[\s_-])(?:ad|ads|advert\w*|adsense|sponsor\w*|promo\w*|banner|nav\w*|menu\w*|breadcrumb\w*|sidebar|side|footer|foot|masthead|header|"
+    r"(?:ad|ads|advert\w*|adsense|sponsor\w*|promo\w*|banner|nav\w*|menu\w*|breadcrumb\w*|sidebar|side|footer|foot|masthead|header|"
     r"cookie\w*|consent|notice|gdpr|popup|modal|newsletter|subscribe|signup|login|share|social|related|recommend\w*|comment\w*|disqus|"
-    r"repl(?:y|ies)|respond|widget|pager|pagination|toolbar|copyright|legal)(?:$|[\s_-])")
+    r"repl(?:y|ies)|respond|widget|pager|pagination|toolbar|copyright|legal)")
 BODY_WORD = re.compile(r"(?:^|[\s_-])(?:article|main|content|post|entry|story|body)(?:$|[\s_-])")
+#: First parts of compounds that say what a page has (has-sidebar), not what an element is.
+_STATE = frozenset("has no with without is show hide hidden".split())
+#: Furniture words that also name the layout or a part of body text in compounds (content-sidebar, entry-header).
+_LAYOUT = re.compile(r"side|sidebar\w*|header|head")
+#: Last parts of compounds that say nothing (nav-wrapper).
+_BOX = frozenset("wrap wrapper container inner outer box block area list links section bar slot unit item items".split())
 _PIECE = re.compile(
     r"<!--.*?(?:-->|\Z)|<!\[CDATA\[.*?(?:\]\]>|\Z)|<([/]?)([a-zA-Z][^\s/>]*)((?:[^<>\"']|\"[^\"<]*\"|'[^'<]*')*+)(?:>|\Z)|<[/]?[a-zA-Z][^>]*(?:>|\Z)|<[!?][^>]*(?:>|\Z)",
     re.S)
 _TAG = {name: re.compile(f"<(/?){name}(?=[\\s/>])", re.I) for name in DROPPED}
 _HINT = re.compile(r"(?:class|id|role)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>]+))", re.I)
-_NO_PLACE, _BODY, _FURNITURE, _DROP = 0, 1, 2, 3
+_NO_PLACE, _BODY, _FURNITURE = 0, 1, 2
+#: Furniture by a hint outside of body text, in which article and main still begin body text; dropped.
+_HINTED, _DROP = 3, 4
 #: Words outside links that make a paragraph of a form a long one.
 LONG = 25
 
 
+def _furniture_token(token: str) -> bool:
+    """Whether a class, id or role names furniture as a whole: by one word, or by a
+    compound that ends in one (site-footer) and does not speak of the body."""
+    parts = [x for x in re.split(r"[_-]+", token) if x]
+    if len(parts) < 2:
+        return bool(parts) and FURNITURE_WORD.fullmatch(parts[0]) is not None
+    if parts[0] in _STATE:
+        return False
+    body = any(BODY_WORD.fullmatch(x) for x in parts)
+    if not body and parts[-1] in _BOX:
+        parts = parts[:-1]
+    return FURNITURE_WORD.fullmatch(parts[-1]) is not None and not (body and _LAYOUT.fullmatch(parts[-1]))
+
+
 def _place(name: str, attributes: str, around: int) -> int:
     """The place of an element inside one of place ``around``."""
     if around == _FURNITURE or name in FURNITURE:
         return _FURNITURE
+    if name in BODY and around != _BODY:
+        return _BODY
+    if around == _HINTED:
+        return _HINTED
     if name == "header":
-        return around if around == _BODY else _FURNITURE
+        return around if around == _BODY else _HINTED
     words = " ".join(x for m in _HINT.findall(attributes) for x in m if x).lower() if attributes else ""
-    if name not in ("body", "html") and words and FURNITURE_WORD.search(words):
-        return _FURNITURE
+    if name not in ("body", "html") and words and any(map(_furniture_token, words.split())):
+        return _FURNITURE if around == _BODY else _HINTED
     if name in BODY or words and BODY_WORD.search(words):
         return _BODY
     return around
@@ -72,7 +98,7 @@ def blocks(page: str | None) -> list[tuple[str, int, int, int]]:
             if text:
                 inside = len(entities.unescape(" ".join(linked)).split()) if linked else 0
                 n = text.count(" ") + 1
-                out.append((text, n, min(n, inside), stack[-1][1]))
+                out.append((text, n, min(n, inside), min(stack[-1][1], _FURNITURE)))
             parts.clear()
             linked.clear()
 
@@ -223,6 +249,9 @@ LABELLED = (
     (f"<body><p>{_w(50)}</p>", "1"),
     (f"<body><div>{_w(25)}</div><div>{_w(33)} {_a(6)}</div><div>{_w(19)}</div></body>", "111"),
     (f"<body><aside>{_w(64)}</aside><div class=notice>{_w(28)}</div><p>{_w(44)}</p><footer>{_w(50)}</footer></body>", "00" "1" "0"),
+    (f"<body><div class=content-sidebar-wrap><article class='post comments-open'><div class=entry-header><h1>{_w(6)}</h1></div><p>{_w(48)}</p><p>{_w(5)}</p>"
+     f"</article><div class=sidebar><p>{_w(32)}</p></div></div></body>", "111" "0"),
+    (f"<body><form id=aspnetForm><div class=nav>{_a(3)}</div><main class=no-sidebar><h1>{_w(4)}</h1><p>{_w(65)}</p></main><div class=site-footer>{_w(12)}</div></form></body>", "0" "11" "0"),
     (f"<body><nav>{_w(12)} {_a(1)}</nav><article><p>{_a(10)}</p><p>{_w(14)}</p><div class=share>{_a(2)}</div></article></body>", "0110"),
 )
 

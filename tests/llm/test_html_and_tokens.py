@@ -44,6 +44,19 @@ def test_forms_and_unclosed_controls(page, want):
     assert ht.main_text(page, ht.tree_of()).split().count("word") == want
 
 
+@pytest.mark.parametrize("page, want", [
+    (f"<body><div class='content-sidebar-wrap'><article><p>{TEXT}</p></article></div></body>", 40),
+    (f"<body><div id=content class='has-sidebar'><p>{TEXT}</p></div></body>", 40),
+    (f"<body><article class='post comments-open'><div class='entry-header'><h1>word</h1></div><p>{TEXT}</p></article></body>", 41),
+    (f"<body><main class='no-sidebar'><p>{TEXT}</p></main></body>", 40),
+    (f"<body><div class=sidebar><article><p>{TEXT}</p></article></div></body>", 40),
+    (f"<body><article><p>{TEXT}</p><div class='comments-area'><article class=comment><p>{TEXT}</p></article></div></article></body>", 40),
+    (f"<body><article><p>{TEXT}</p></article><aside><article><p>{TEXT}</p></article></aside><div class='site-footer'><p>{TEXT}</p></div></body>", 40),
+])
+def test_hints_are_whole_names(page, want):
+    assert ht.main_text(page, ht.tree_of()).split().count("word") == want
+
+
 def test_pages_table(spark):
     rows = [(i, f"u{i}", p) for i, (p, _) in enumerate(PAGES)] + [(None, None, PAGES[0][0]), (0, "u0", PAGES[0][0])]
     from pyspark.sql import functions as F
