@@ -9,7 +9,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from conftest import SF0001, SF001
+from paths import SF0001, SF001
 from tessera.functions import geometry as geo
 from tessera.layer import Georef, Layer, TileLayer
 from tessera.operators import focal, layout, local, zonal

@@ -4,7 +4,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from conftest import SF0001
+from paths import SF0001
 from tessera.operators import focal, local
 from tessera.sources import geotiff as gt
 from tessera.sources.grids import grid_a

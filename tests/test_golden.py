@@ -3,7 +3,7 @@
 import pytest
 from pyspark.sql import functions as F
 
-from conftest import SF0001, SF001
+from paths import SF0001, SF001
 from tessera.operators import focal, local, zonal
 from tessera.plans.queries import fixture_zones, zonal_grid
 from tessera.sources.grids import grid_a, grid_b

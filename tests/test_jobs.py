@@ -5,7 +5,7 @@ import os
 
 import numpy as np
 
-from conftest import SF0001
+from paths import SF0001
 from tessera.operators import focal, local, zonal
 from tessera.plans import jobs
 from tessera.plans.queries import ZONES_PATH, fixture_zones, zonal_grid

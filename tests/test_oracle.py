@@ -3,7 +3,7 @@
 import pytest
 
 import __spark_entry__ as entry
-from conftest import SF001
+from paths import SF001
 from harness import compare, duck
 from tessera.plans.queries import QUERIES
 

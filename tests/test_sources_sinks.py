@@ -2,7 +2,7 @@
 
 from pyspark.sql import functions as F
 
-from conftest import SF0001
+from paths import SF0001
 from tessera import sinks
 from tessera.sources import catalog
 from tessera.sources.grids import grid_a, read_cells
