@@ -44,6 +44,19 @@ def process_cache(name: str, make: Callable):
     return getattr(store, name)
 
 
+def looked_up(many: DataFrame, one: DataFrame, keys: list[str], weight: str, parts: int = 1000) -> DataFrame:
+    """Inner join of ``many`` rows with ``one`` row per key, of which ``weight`` says how
+    many of the ``many`` rows have it.
+
+    Keys with more than a ``parts``-th of all rows (so fewer than ``parts`` of them)
+    are broadcast; no other key has more than that share of the rows of the shuffle.
+    """
+    total = one.agg(F.sum(weight)).first()[0] or 0
+    often = F.col(weight) > total // parts
+    hot, rest = F.broadcast(one.filter(often).drop(weight)), one.filter(~often).drop(weight)
+    return many.join(hot, keys).unionByName(many.join(hot.select(*keys), keys, "left_anti").join(rest, keys))
+
+
 def connected_components(edges: DataFrame) -> DataFrame:
     """Components of an undirected graph: ``(a, b)`` rows to ``(node, root)`` rows.
 

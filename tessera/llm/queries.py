@@ -6,9 +6,10 @@ from collections.abc import Callable
 
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from . import (decontaminate, embeddings, html_text, langid, licenses, quality, secrets, sentencepiece_codec,
-               simhash, token_counts)
+from . import (alignment, conversations, decontaminate, embeddings, html_text, langid, licenses, packing, quality, secrets,
+               sentencepiece_codec, simhash, token_counts)
 from .common import table
 
 
@@ -52,9 +53,23 @@ def op10_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.near_duplicates(table(spark, sf_dir, "documents"))
 
 
+def op11_conversation_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return conversations.trie(table(spark, sf_dir, "conversations"), base=lambda c: c - c % 5,
+                              head=lambda c: F.crc32(c.cast("string")) % 9, max_head=8)
+
+
+def op12_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return alignment.aligned(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"),
+                             public_tokenizers.PATTERN, public_tokenizers.path("piece_bpe_32k.model"))
+
+
+def op13_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return packing.packed(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"), public_tokenizers.PATTERN)
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f for f in (op1_licenses, op2_sentencepiece, op3_decontamination, op4_html, op5_secrets, op6_token_counts,
-                            op7_embeddings, op8_language, op9_quality, op10_simhash)}
+                            op7_embeddings, op8_language, op9_quality, op10_simhash, op11_conversation_trie, op12_alignment, op13_packing)}
 
 _TEMPLATES = ", ".join(f"('{name}', '{text}')" for name, text in licenses.TEMPLATES)
 
@@ -110,4 +125,29 @@ g AS (SELECT r, count(*) FILTER (k = 0) AS n_assign, count(*) FILTER (k = 1) AS
 SELECT doc_id, coalesce(n_assign, 0) AS n_assign, coalesce(n_access, 0) AS n_access, coalesce(n_hex, 0) AS n_hex,
   sha256(coalesce(base, '')) AS base_sha256, coalesce(spans, '') AS spans
 FROM d LEFT JOIN g USING (r)""",
+    # Rebuilt conversations as lists of turns; a node is a list, its subtree all lists that begin with it.
+    "op11_conversation_trie": """
+WITH t AS (
+  SELECT conv_id, list({'role': coalesce(role, ''), 'text': coalesce(text, '')} ORDER BY turn NULLS FIRST) AS s
+  FROM conversations WHERE conv_id IS NOT NULL GROUP BY conv_id),
+h AS (
+  SELECT conv_id, s, xor(list_reduce(
+    list_concat([4294967295::BIGINT], list_transform(string_split(conv_id::VARCHAR, ''), lambda x: ascii(x)::BIGINT)),
+    lambda a, b: list_reduce([xor(a, b), 0, 0, 0, 0, 0, 0, 0, 0],
+      lambda u, w: CASE WHEN u & 1 = 1 THEN xor(u >> 1, 3988292384) ELSE u >> 1 END)), 4294967295) % 9 AS h FROM t),
+r AS (
+  SELECT h.conv_id, list_concat(coalesce(list_slice(b.s, 1, h.h), []), list_slice(h.s, h.h + 1, len(h.s))) AS s
+  FROM h LEFT JOIN t b ON b.conv_id = h.conv_id - h.conv_id % 5),
+p AS (SELECT conv_id, s, unnest(range(0, len(s) + 1)) AS d FROM r),
+m AS (SELECT conv_id, d, list_slice(s, 1, d) AS k, len(s) AS size, CASE WHEN d = 0 THEN 0 ELSE strlen(s[d].text) END AS bytes FROM p),
+n AS (
+  SELECT k, d, min(conv_id) AS conv_id, count(*) AS n_convs, any_value(bytes) AS bytes,
+    string_agg(conv_id::VARCHAR, ',' ORDER BY conv_id) FILTER (d = size) AS ends FROM m GROUP BY k, d),
+c AS (SELECT list_slice(k, 1, d - 1) AS k, d - 1 AS d, count(*) AS n_children FROM n WHERE d > 0 GROUP BY ALL),
+f AS (SELECT n.*, coalesce(n_children, 0) AS n_children FROM n LEFT JOIN c USING (k, d)),
+u AS (SELECT k, n_children, (n_convs - 1) * bytes AS saved, unnest(range(0, d + 1)) AS e FROM f),
+v AS (SELECT list_slice(k, 1, e) AS k, e AS d, sum((n_children = 0)::BIGINT)::BIGINT AS n_leaves, sum(saved)::BIGINT AS saved_tokens FROM u GROUP BY ALL)
+SELECT f.conv_id, f.d AS depth, q.conv_id AS parent_conv_id, f.n_convs, f.n_children, n_leaves, saved_tokens,
+  sha256(coalesce(f.ends, '')) AS ends_sha256
+FROM f JOIN v USING (k, d) LEFT JOIN f q ON q.d = f.d - 1 AND q.k = list_slice(f.k, 1, f.d - 1)""",
 }

@@ -1,0 +1,121 @@
+import hashlib
+from collections import Counter
+
+import numpy as np
+import public_tokenizers
+import pytest
+import sentencepiece
+from pyspark.sql import functions as F
+from tokenizers import Tokenizer
+
+from tessera.llm import alignment as al
+from tessera.llm.byte_bpe import ByteBPE, slices
+
+A, B, PATTERN = public_tokenizers.path("byte_bpe_50k.json"), public_tokenizers.path("piece_bpe_32k.model"), public_tokenizers.PATTERN
+
+
+@pytest.fixture(scope="module")
+def library():
+    t = Tokenizer.from_file(A)
+    t.encode_special_tokens = True
+    return t
+
+
+def test_byte_bpe_equals_the_library_for_every_character(library):
+    bpe = ByteBPE(A, PATTERN)
+    chars = [chr(c) for c in range(0x110000) if not 0xD800 <= c < 0xE000]
+    texts = ["".join(f"a{c}1{c} {c}{c}.{c}" for c in chars[at:at + 256]) for at in range(0, len(chars), 256)]
+    for text, want in zip(texts, library.encode_batch(texts, add_special_tokens=False)):
+        assert bpe.ids(text, plain=True).tolist() == want.ids
+    assert bpe.ids("a<|endoftext|>b").tolist() == [64, 50256, 65]
+    assert 50256 not in bpe.ids("a<|endoftext|>b", plain=True)
+
+
+def test_slices_keep_the_tokens(library):
+    bpe = ByteBPE(A, PATTERN)
+    text = "word  two  spaces\n\n three it's 12 ab   c d.e\tf g " * 50
+    for size in (1, 7, 50):
+        parts = list(slices(text, size))
+        assert "".join(parts) == text and len(parts) > 5
+        assert np.concatenate([bpe.ids(s) for s in parts]).tolist() == library.encode(text, add_special_tokens=False).ids
+
+
+def brute(texts, library):
+    """From the two libraries: spans, overlaps and groups, pair by pair."""
+    m = sentencepiece.SentencePieceProcessor(model_file=B)
+    a_bytes = ByteBPE(A, PATTERN).tokens
+    links, out, counts = [], [], Counter()
+    for text in texts:
+        ids_a = library.encode(" " + text, add_special_tokens=False).ids if text else []
+        ids_b = m.encode(text) if text else []
+        spelled = [[a_bytes[i] for i in ids_a], [bytes([int(m.id_to_piece(i)[3:5], 16)]) if m.is_byte(i) else
+                                                 m.id_to_piece(i).replace("▁", " ").encode() for i in ids_b]]
+        if not text or any(b"".join(s) != (" " + text).encode() for s in spelled):
+            out.append((0, 0, 0, 0, ""))
+            links.append([])
+            continue
+        spans = []
+        for ids, s in zip((ids_a, ids_b), spelled):
+            ends = np.cumsum([len(x) for x in s]).tolist()
+            spans.append(list(zip([0, *ends], ends, ids)))
+        own = [(x, y) for s, e, x in spans[0] for s2, e2, y in spans[1] if s < e2 and s2 < e]
+        groups, before = [], 0
+        for cut in sorted({e for _, e, _ in spans[0]} & {e for _, e, _ in spans[1]}):
+            groups.append("|".join(",".join(str(i) for s, e, i in side if before < e <= cut) for side in spans))
+            before = cut
+        links.append(own)
+        counts.update(set(own))
+        out.append((len(ids_a), len(ids_b), len(groups), len(own), hashlib.sha256(";".join(groups).encode()).hexdigest()))
+    best = {}
+    for (x, _), n in counts.items():
+        best[x] = max(n, best.get(x, 0))
+    return [(*o[:4], sum(counts[p] == best[p[0]] for p in own), sum(counts[p] for p in own), o[4]) for o, own in zip(out, links)]
+
+
+TEXTS = [None, "", " ", "plain words here", "plain words here", "a▁b", "  two  spaces ", "tabs\tand\nlines\n\n", "é漢字 😀 ﬁ", "<s> </s> <unk> <0x0A>",
+         "<|endoftext|> twice <|endoftext|>", "x" * 300, "\u0000 nul", "don't it's 1234567", "the the the the", "　wide", "\r\nend "]
+
+
+def rows_of(df):
+    return sorted(map(tuple, df.collect()), key=repr)
+
+
+@pytest.mark.parametrize("limits", [(1 << 30, 1 << 16), (20, 1 << 16), (1 << 30, 3)])
+def test_equals_brute_force(spark, library, limits):
+    texts = TEXTS + ["the plain word " * k for k in range(1, 60)]
+    rows = [(None if i == 3 else i % 70, t) for i, t in enumerate(texts)]  # repeated and missing ids
+    df = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+    want = [(i, *x) for (i, _), x in zip(rows, brute(texts, library))]
+    assert rows_of(al.aligned(df, A, PATTERN, B, *limits)) == sorted(want, key=repr)
+
+
+def test_long_text_in_slices(library, monkeypatch):
+    text = "some words, and  more:\n" * 40
+    one = al.Aligner(A, PATTERN, B).aligned(text)
+    monkeypatch.setattr(al, "slices", lambda t: slices(t, 30))
+    many = al.Aligner(A, PATTERN, B).aligned(text)
+    assert one[:5] == many[:5] and all((x == y).all() for x, y in zip(one[5:], many[5:]))
+    assert one[4] == brute([text], library)[0][-1]
+
+
+def test_postings_round_trip():
+    rng = np.random.default_rng(2)
+    for n_docs in (1, 9, 5000):
+        held = rng.random((7, n_docs)) < np.array([1, 0.5, 0.1, 0.02, 0.001, 0.3, 0])[:, None]
+        times = rng.integers(1, 9, held.shape) * held
+        pair, doc = np.nonzero(held)
+        seen = set()
+        for p, n, planes in al.postings(pair * 11, doc, times[held], n_docs):
+            back = np.zeros(n_docs, np.int64)
+            for weight, docs in al.plane_sums(planes, n_docs):
+                back[docs] += weight
+            assert (back == times[p // 11]).all() and n == held[p // 11].sum()
+            seen.add(p // 11)
+        assert seen == set(np.flatnonzero(held.any(axis=1)).tolist())
+
+
+def test_empty_table_and_clashing_columns(spark, empty):
+    assert al.aligned(empty, A, PATTERN, B).collect() == []
+    df = spark.createDataFrame([(1, "one two")], "doc_id long, text string")
+    more = df.select("*", *[F.lit("x").alias(c) for c in ("block", "pair", "place", "n_a", "count", "planes")])
+    assert rows_of(al.aligned(more, A, PATTERN, B)) == rows_of(al.aligned(df, A, PATTERN, B))
