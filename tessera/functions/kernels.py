@@ -25,6 +25,42 @@ def tiles_to_array(t, n: int):
     return vals.reshape(k, n, n), valid.reshape(k, n, n)
 
 
+def assembled_tiles(n: int):
+    """mapInArrow function: cells (tc, tr, i, v) sorted by tile -> (tc, tr, t), row-major
+    tiles of n x n. Holds the cells of one tile (and of one batch) at a time."""
+
+    def run(batches):
+        import pyarrow as pa
+
+        def tile(key, places, values):
+            i = np.concatenate(places)
+            at = np.full(n * n, -1, np.int64)
+            at[i] = np.arange(len(i))
+            if np.count_nonzero(at >= 0) != len(i):
+                raise ValueError("a cell (x, y) appears more than once in a raster")
+            values = pa.concat_arrays(values).take(pa.array(at, mask=at < 0))
+            t = pa.ListArray.from_arrays(pa.array([0, n * n], pa.int32()), values)
+            return pa.RecordBatch.from_arrays([*(pa.array([k], pa.int32()) for k in key), t], names=["tc", "tr", "t"])
+
+        key, places, values = None, [], []
+        for b in batches:
+            tc, tr, i = (b.column(k).to_numpy() for k in range(3))
+            cuts = (np.flatnonzero((tc[1:] != tc[:-1]) | (tr[1:] != tr[:-1])) + 1).tolist()
+            for lo, hi in zip([0, *cuts], [*cuts, b.num_rows]):
+                if lo == hi:
+                    continue
+                if key != (tc[lo], tr[lo]):
+                    if key:
+                        yield tile(key, places, values)
+                    key, places, values = (tc[lo], tr[lo]), [], []
+                places.append(i[lo:hi])
+                values.append(b.column(3).slice(lo, hi - lo))
+        if key:
+            yield tile(key, places, values)
+
+    return run
+
+
 def box_sums(vals: np.ndarray, valid: np.ndarray, r: int):
     """Sum and count of valid cells in the (2r+1)^2 square, per tile only
     (cells beyond the tile border are not seen). Integer sums stay exact."""
@@ -41,12 +77,17 @@ def box_sums(vals: np.ndarray, valid: np.ndarray, r: int):
 
 def padded_box_sums(pv: np.ndarray, pc: np.ndarray, n: int, r: int):
     """Box sums over (k, n+2r, n+2r) padded value and count blocks, separable:
-    row sums, then column sums of those; returns (k, n, n) arrays."""
-    hv = sum(pv[:, :, d:d + n] for d in range(2 * r + 1))
-    hc = sum(pc[:, :, d:d + n] for d in range(2 * r + 1))
-    sv = sum(hv[:, d:d + n, :] for d in range(2 * r + 1))
-    sc = sum(hc[:, d:d + n, :] for d in range(2 * r + 1))
-    return sv, sc
+    row sums, then column sums of those; returns (k, n, n) arrays. Each is a
+    difference of running sums (integers exactly; small radii of floats directly)."""
+
+    def box(a, axis):
+        if r <= 4 and a.dtype.kind == "f":
+            return sum(np.take(a, np.arange(d, d + n), axis) for d in range(2 * r + 1))
+        upto = np.cumsum(a, axis)
+        upto = np.concatenate((np.zeros_like(np.take(upto, [0], axis)), upto), axis)
+        return np.take(upto, np.arange(2 * r + 1, 2 * r + 1 + n), axis) - np.take(upto, np.arange(n), axis)
+
+    return box(box(pv, 2), 1), box(box(pc, 2), 1)
 
 
 def _inside(tc, tr, n: int, bounds) -> np.ndarray:

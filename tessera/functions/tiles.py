@@ -7,7 +7,6 @@ from __future__ import annotations
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
-from pyspark.sql.types import DataType
 
 # NoData stand-in written by the reclassify operator for cells that fail the
 # predicate (a plain value, not NoData).
@@ -24,23 +23,6 @@ def tile_index(x: Column, y: Column, n: int) -> Column:
     return (F.pmod(y, F.lit(n)) * n + F.pmod(x, F.lit(n))).cast("int")
 
 
-def assemble_tile(entries: Column, n: int, value_type: DataType) -> Column:
-    """``array<struct<i,v>>`` of one tile -> dense ``array<v>`` of n*n cells.
-
-    Entries are sorted by index; indices without a cell are filled with NULL
-    first (hash-set difference, linear in the tile size). Two cells with the
-    same index raise: they would shift all cells behind them.
-    """
-    nn = n * n
-    missing = F.array_except(F.sequence(F.lit(0), F.lit(nn - 1)),
-                             F.transform(entries, lambda q: q["i"]))
-    pad = F.transform(missing, lambda j: F.named_struct(
-        F.lit("i"), j, F.lit("v"), F.lit(None).cast(value_type)))
-    padded = F.transform(F.array_sort(F.concat(entries, pad)), lambda q: q["v"])
-    return F.when(F.size(padded) == nn, padded).otherwise(
-        F.raise_error(F.lit("a cell (x, y) appears more than once in a raster")))
-
-
 def tile_count_eq(t: Column, a) -> Column:
     """Number of cells of a tile equal to ``a`` (NULLs never match)."""
     return F.size(F.filter(t, lambda v: v == F.lit(a)))

@@ -22,6 +22,7 @@ from dataclasses import dataclass, field, replace
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from .functions import kernels
 from .functions import tiles as tf
 
 
@@ -167,14 +168,14 @@ class Layer:
     def to_tiles(self, n: int) -> "TileLayer":
         """Retile to a floating layout of n x n tiles (one shuffle by tile key).
 
-        Each tile is assembled from the sorted ``(i, v)`` entries of its cells;
-        indices with no cell are filled with NULL so every tile holds n*n cells.
+        Cells are sorted by tile within their partition and tiles assembled from
+        that stream one at a time, so a task holds one tile, however large.
+        Places without a cell are NULL, so every tile holds n*n cells; a repeated
+        cell raises.
         """
-        vt = self.df.schema["v"].dataType
-        entries = self.keyed(n).groupBy("tc", "tr").agg(
-            F.collect_list(F.struct("i", "v")).alias("e"))
-        tiles = entries.select("tc", "tr", tf.assemble_tile(F.col("e"), n, vt).alias("t"))
-        return TileLayer(tiles, n, self.name, self.georef, source=self)
+        vt = self.df.schema["v"].dataType.simpleString()
+        cells = self.keyed(n).select("tc", "tr", "i", "v").repartition("tc", "tr").sortWithinPartitions("tc", "tr")
+        return TileLayer(cells.mapInArrow(kernels.assembled_tiles(n), f"tc int, tr int, t array<{vt}>"), n, self.name, self.georef, source=self)
 
     def cache(self) -> "Layer":
         self.df = self.df.persist()
@@ -208,7 +209,8 @@ class TileLayer:
 
     ``extent`` is (xmin, xmax, ymin, ymax) of the raster's cells, which tells
     padding from NoData. Layers made by ``Layer.to_tiles`` take it from their
-    ``source`` when it is first asked for (one small aggregate).
+    ``source`` when it is first asked for (one small aggregate). ``blocks`` are the
+    tiles' histograms ``(tc, tr, v, n)``, where they are stored.
     """
 
     df: DataFrame
@@ -217,9 +219,11 @@ class TileLayer:
     georef: Georef = field(default_factory=Georef)
     extent: tuple[int, int, int, int] | None = None
     source: Layer | None = field(default=None, repr=False)
+    blocks: DataFrame | None = field(default=None, repr=False)
 
     def with_df(self, df: DataFrame) -> "TileLayer":
-        return replace(self, df=df)
+        """Other tiles on the same layout; the histograms are not theirs."""
+        return replace(self, df=df, blocks=None)
 
     @property
     def bounds(self) -> tuple[int, int, int, int]:

@@ -4,9 +4,13 @@ Plan: cells are hash-partitioned once on a block key ``(bc, br)``. The 3x3 (or
 (2r+1)^2) box sum is separable, so two window passes follow inside that same
 partitioning, with no further exchange:
 
-1. row pass   ``partitionBy(bc, br, y).orderBy(x).rangeBetween(-r, r)``,
-2. column pass ``partitionBy(bc, br, x).orderBy(y).rangeBetween(-r, r)``
-   over the row sums.
+1. row pass   ``partitionBy(bc, br, y).orderBy(x)``, sums over x-r .. x+r,
+2. column pass ``partitionBy(bc, br, x).orderBy(y)``, sums over y-r .. y+r
+   of the row sums.
+
+A sum over x-r .. x+r is the running sum up to x+r less the one up to x-r-1.
+Both are frames that only grow, so a cell costs the same for any radius (a
+sliding frame would add up 2r+1 cells for each).
 
 ``edge='tile'`` uses the layout tiles as blocks and nothing crosses a tile
 border (what applying the operator tile by tile gives). ``edge='halo'`` is
@@ -18,7 +22,7 @@ is one row or column of one block, so no group grows with the data.
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window, WindowSpec
 from pyspark.sql import functions as F
 
 from ..functions import kernels
@@ -65,7 +69,31 @@ def _blocked(layer: Layer, n: int, radius: int, halo: bool) -> DataFrame:
     return src.repartition("bc", "br")
 
 
-def _block_size(edge: str, radius: int, tile_size: int | None, block: int) -> int:
+#: Radii up to this use sliding frames on floating-point values, whose sums then
+#: have no rounding but that of adding the neighbours up.
+SLIDING_RADIUS = 4
+
+
+def _box(c: Column, w: WindowSpec, r: int, real: bool) -> Column:
+    """Sum of ``c`` over the window's neighbours within r; NULL where there are none."""
+    if real and r <= SLIDING_RADIUS:
+        return F.sum(c).over(w.rangeBetween(-r, r))
+
+    def between(x):
+        upto = x.over(w.rangeBetween(Window.unboundedPreceding, r))
+        return upto - F.coalesce(x.over(w.rangeBetween(Window.unboundedPreceding, -r - 1)), F.lit(0))
+
+    n = between(F.count(c))
+    if not real:
+        return F.when(n > 0, between(F.sum(c)))
+    # infinite values would stay in all later differences: counted apart
+    inf = float("inf")
+    finite = F.coalesce(between(F.sum(F.when(F.abs(c) < inf, c))), F.lit(0.0))
+    up, down = between(F.count(F.when(c == inf, 1))), between(F.count(F.when(c == -inf, 1)))
+    return F.when(n > 0, finite + F.when(up > 0, inf).otherwise(0.0) - F.when(down > 0, inf).otherwise(0.0))
+
+
+def _block_size(edge: str, radius: int, tile_size: int | None, block: int | None) -> int:
     if radius < 0:
         raise ValueError("radius must be >= 0")
     if edge == "tile":
@@ -73,21 +101,25 @@ def _block_size(edge: str, radius: int, tile_size: int | None, block: int) -> in
             raise ValueError("edge='tile' needs the layout tile_size")
         return tile_size
     if edge == "halo":
-        return max(block, radius + 1)
+        # wide enough for the halo to stay a small share of a block
+        return max(block or max(DEFAULT_BLOCK, 16 * radius), radius + 1)
     raise ValueError(f"unknown edge mode {edge!r}")
 
 
 def focal_sums(layer: Layer, radius: int = 1, edge: str = "halo",
-               tile_size: int | None = None, block: int = DEFAULT_BLOCK) -> DataFrame:
-    """Neighbourhood sum ``ss`` and count ``cc`` of non-null values per cell."""
+               tile_size: int | None = None, block: int | None = None) -> DataFrame:
+    """Neighbourhood sum ``ss`` and count ``cc`` of non-null values per cell. The cost
+    of a cell doesn't depend on the radius."""
     n = _block_size(edge, radius, tile_size, block)
     src = _blocked(layer, n, radius, edge == "halo")
-    w_row = Window.partitionBy("bc", "br", "y").orderBy("x").rangeBetween(-radius, radius)
-    w_col = Window.partitionBy("bc", "br", "x").orderBy("y").rangeBetween(-radius, radius)
+    real = layer.df.schema["v"].dataType.typeName() in ("float", "double")
+    w_row = Window.partitionBy("bc", "br", "y").orderBy("x")
+    w_col = Window.partitionBy("bc", "br", "x").orderBy("y")
+    has = F.when(F.col("v").isNotNull(), F.lit(1).cast("bigint")).otherwise(0)
     h = src.select("bc", "br", "x", "y", "v", "core",
-                   F.sum("v").over(w_row).alias("hs"), F.count("v").over(w_row).alias("hc"))
+                   _box(F.col("v"), w_row, radius, real).alias("hs"), _box(has, w_row, radius, False).alias("hc"))
     s = h.select("x", "y", "v", "core",
-                 F.sum("hs").over(w_col).alias("ss"), F.sum("hc").over(w_col).alias("cc"))
+                 _box(F.col("hs"), w_col, radius, real).alias("ss"), _box(F.col("hc"), w_col, radius, False).alias("cc"))
     return s.where(F.col("core")).drop("core")
 
 
@@ -161,7 +193,7 @@ def truncates_to(v: Column, a: int) -> Column:
 
 
 def focal_mean(layer: Layer, radius: int = 1, edge: str = "halo",
-               tile_size: int | None = None, block: int = DEFAULT_BLOCK) -> Layer:
+               tile_size: int | None = None, block: int | None = None) -> Layer:
     """Mean of the non-null cells of the (2r+1)^2 square around each cell.
 
     Includes the centre; NULL when the neighbourhood holds no data; a NoData

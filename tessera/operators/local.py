@@ -10,7 +10,7 @@ from __future__ import annotations
 from dataclasses import replace
 from functools import reduce
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import tiles as tf
@@ -54,15 +54,25 @@ def add(a: Layer, b: Layer, name: str | None = None) -> Layer:
     whole cells to a's grid; grids that do not line up raise. The sum has the
     wider of both types, and integer sums one size more (int + int is bigint),
     so it cannot overflow where the inputs are ints. Both sides grow with the
-    rasters, so neither is broadcast.
+    rasters, so neither is broadcast. A repeated cell of either raster raises
+    where the other has the cell.
     """
     vt = _sum_type([a, b])
     l = a.df.select("x", "y", F.col("v").cast(vt).alias("va"))
     r = _shifted(a, b).select("x", "y", F.col("v").cast(vt).alias("vb"))
-    j = l.join(r.hint("merge"), ["x", "y"], "inner")
+    j = _met_once(l.join(r.hint("merge"), ["x", "y"], "inner"), ["x", "y"], "a cell (x, y)")
     return a.with_df(j.select("x", "y", (F.col("va") + F.col("vb")).alias("v")), name)
 
 
+def _met_once(joined: DataFrame, key: list[str], what: str) -> DataFrame:
+    """Rows of a merge join, which must not hold a key twice: counted over the order
+    that the join leaves, so without another exchange or sort."""
+    n = F.count(F.lit(1)).over(Window.partitionBy(*key))
+    once = F.when(F.col("met") == 1, F.lit(True)).otherwise(
+        F.raise_error(F.lit(f"{what} appears more than once in a raster")).cast("boolean"))
+    return joined.withColumn("met", n).where(once).drop("met")
+
+
 def _shifted(a: Layer, b: Layer) -> DataFrame:
     """b's cells on a's grid."""
     dx, dy = cell_offset(a.georef, b.georef)
@@ -144,11 +154,11 @@ def reclassify_count_tiles(tl: TileLayer, meta: LayerMeta, old, new,
 def add_tiles(a: TileLayer, b: TileLayer) -> TileLayer:
     """Tile-wise sum; tiles whose keys do not match are dropped, and the sum's
     extent is what both rasters cover. Layouts that differ by whole tiles are
-    shifted; others raise. Types as in :func:`add`."""
+    shifted; others raise. Types and repeated tiles as in :func:`add`."""
     vt = _tile_sum_type([a, b])
     l = a.df.select("tc", "tr", F.col("t").cast(vt).alias("ta"))
     r = _shifted_tiles(a, b).select("tc", "tr", F.col("t").cast(vt).alias("tb"))
-    j = l.join(r.hint("merge"), ["tc", "tr"], "inner")
+    j = _met_once(l.join(r.hint("merge"), ["tc", "tr"], "inner"), ["tc", "tr"], "a tile")
     out = a.with_df(j.select("tc", "tr", tf.tile_add(F.col("ta"), F.col("tb")).alias("t")))
     return _covered(out, [a, b])
 

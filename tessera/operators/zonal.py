@@ -7,32 +7,36 @@ Plan (one job for every zone of every zone set):
    ``tessera.functions.geometry``); this side is derived from the polygons,
    not from the raster. ``zk`` is a 64-bit key per zone, so the raster-sized
    side carries one long instead of two strings;
-2. runs are cut at fixed x-bins so the join key is ``(y, xbin)``: a probe
-   sees only the runs of its own bin, and no key collects a whole raster
-   row; the run side is broadcast only after counting it (a proven bound),
-   otherwise both sides are hash-partitioned on ``(y, xbin)``; the raster
-   scan is pruned to the runs' bounding box;
-3. ``x between xa and xb`` as the join condition;
-4. histogram = ``groupBy(zk, v).count()`` (map-side partial aggregation,
+2. runs are cut at x-bins as wide as about half of their length, so the join
+   key is ``(y, width, xbin)`` and a cell meets at most twice as many runs as
+   it lies in; the run side is broadcast only after counting it (a proven
+   bound); beyond, cells are packed into row segments, hash-partitioned, and
+   runs take slices of them; the raster scan is pruned to the runs' bounding box;
+3. histogram = ``groupBy(zk, v).count()`` (map-side partial aggregation,
    so a zone holding a third of the raster is pre-aggregated per task);
-5. statistics are a second aggregate over the small histogram; zone names
-   are attached to per-zone results only.
+4. statistics are a few rounds of grouped counts over the histogram; zone
+   names are attached to per-zone results only.
 """
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import geometry as geo
+from ..functions import tiles as tf
 from ..layer import Georef, Layer, TileLayer
 from ..sources.geojson import ZoneSet
+from .statistics import Numbers, grouped_statistics
 
-# Width of the x-bins of the run/cell join, the largest run table that is
-# broadcast (rows of fixed width, about 30 bytes each), the largest table of
-# numbers per zone that is (at most two rows of 50 bytes per zone), and the
-# largest table of zone ids and names (bytes).
+# Widest x-bin of the run/cell join, cells of a packed row segment, the largest run
+# table that is broadcast (rows of fixed width, about 40 bytes each), the largest
+# table of numbers per zone that is (one row of a few hundred bytes per zone), and
+# the largest table of zone ids and names (bytes).
 BIN_WIDTH = 1024
+SEGMENT = 1024
 BROADCAST_MAX_RUNS = 1_000_000
 BROADCAST_MAX_ZONES = 500_000
 BROADCAST_MAX_NAMES = 32 << 20
@@ -57,18 +61,33 @@ def zone_runs(layer: Layer, zones: ZoneSet) -> DataFrame:
     return _with_names(_runs(layer.georef, layer.bounds, zones), zones)
 
 
-def _size_and_bounds(runs: DataFrame, y: str, xa: str, xb: str, bin_width: int | None = None):
+def _widths(widest: int) -> list[int]:
+    """Widths of the x-bins: powers of four up to the widest."""
+    return [w for w in (4**k for k in range(16)) if w < widest] + [widest]
+
+
+def _width_of(length: Column, widths: list[int]) -> Column:
+    """Bin width of a run: the widest with 2 w - 2 <= length. The bins that a run
+    touches then hold at most twice its cells, and a run below the widest class
+    touches at most ten of them."""
+    out = F.lit(widths[0])
+    for w in widths[1:]:
+        out = F.when(length >= 2 * w - 2, F.lit(w)).otherwise(out)
+    return out
+
+
+def _size_and_bounds(runs: DataFrame, y: str, xa: str, xb: str, widths: list[int] | None = None):
     """One small job over the run table: its row count after cutting runs at
-    x-bins (computed arithmetically, nothing is exploded) and the bounding box
-    of all runs (used to prune the raster scan)."""
-    if bin_width:
-        rows = F.floor(F.col(xb) / bin_width) - F.floor(F.col(xa) / bin_width) + 1
-        k = F.coalesce(F.sum(rows), F.lit(0)).cast("bigint")
-    else:
-        k = F.count(F.lit(1))
+    x-bins (computed arithmetically, nothing is exploded), the bounding box
+    of all runs (used to prune the raster scan), and the bin widths in use."""
+    k, used = F.count(F.lit(1)), F.lit(0)
+    if widths:
+        w = _width_of(F.col(xb) - F.col(xa) + 1, widths)
+        k = F.coalesce(F.sum(F.floor(F.col(xb) / w) - F.floor(F.col(xa) / w) + 1), F.lit(0)).cast("bigint")
+        used = F.array_sort(F.collect_set(w))  # one of a few widths each
     r = runs.agg(k.alias("k"), F.min(y).alias("y0"), F.max(y).alias("y1"),
-                 F.min(xa).alias("x0"), F.max(xb).alias("x1")).first()
-    return r.k, (r.x0, r.y0, r.x1, r.y1)
+                 F.min(xa).alias("x0"), F.max(xb).alias("x1"), F.any_value(used).alias("w") if not widths else used.alias("w")).first()
+    return r.k, (r.x0, r.y0, r.x1, r.y1), r.w
 
 
 def _names(zones: ZoneSet) -> DataFrame:
@@ -83,27 +102,57 @@ def _with_names(df: DataFrame, zones: ZoneSet, extra=()) -> DataFrame:
     return j.select("zone_set", "zone_id", *extra, *cols)
 
 
+def _bins(xa: Column, xb: Column, w: Column) -> Column:
+    return F.explode(F.sequence(F.floor(xa / w).cast("int"), F.floor(xb / w).cast("int")))
+
+
 def _zone_cells_keyed(layer: Layer, zones: ZoneSet, bin_width: int = BIN_WIDTH,
                       broadcast_max_runs: int = BROADCAST_MAX_RUNS) -> DataFrame | None:
     """Cells of every zone keyed by zone hash: ``(zk, x, y, v)``; None when no
-    zone touches the raster rows."""
-    b = F.lit(bin_width)
+    zone touches the raster rows.
+
+    Runs are binned by their length (see ``_width_of``), so that a cell is compared
+    with at most twice as many runs as it lies in, however many short runs share
+    a row; a cell looks into one bin per width in use. Beyond the broadcast bound,
+    cells are packed into row segments instead (see ``_segment_cells``).
+    """
+    widths = _widths(bin_width)
     r = _runs(layer.georef, layer.bounds, zones)
-    n_runs, (x0, y0, x1, y1) = _size_and_bounds(r, "y", "xa", "xb", bin_width)
+    n_runs, (x0, y0, x1, y1), used = _size_and_bounds(r, "y", "xa", "xb", widths)
     if n_runs == 0:
         return None
-    rb = r.select("zk", F.col("y").alias("ry"), "xa", "xb",
-                  F.explode(F.sequence(F.floor(F.col("xa") / b).cast("int"),
-                                       F.floor(F.col("xb") / b).cast("int"))).alias("rbin"))
     # prune to the zones' bounding box (reaches parquet row-group statistics)
     cells = layer.df.where(F.col("y").between(y0, y1) & F.col("x").between(x0, x1))
-    side = F.broadcast(rb) if n_runs <= broadcast_max_runs else rb
-    cells = cells.select("x", "y", "v", F.floor(F.col("x") / b).cast("int").alias("xbin"))
-    cond = ((cells["y"] == side["ry"]) & (cells["xbin"] == side["rbin"])
+    if n_runs > broadcast_max_runs:
+        return _segment_cells(cells, r, min(bin_width, SEGMENT))
+    r = r.withColumn("w", _width_of(F.col("xb") - F.col("xa") + 1, widths))
+    side = F.broadcast(r.select("zk", F.col("y").alias("ry"), "xa", "xb", F.col("w").alias("rw"),
+                                _bins(F.col("xa"), F.col("xb"), F.col("w")).alias("rbin")))
+    probes = [F.struct(F.lit(w).alias("w"), F.floor(F.col("x") / w).cast("int").alias("bin")) for w in used]
+    cells = cells.select("x", "y", "v", probes[0].alias("p") if len(used) == 1 else F.explode(F.array(*probes)).alias("p"))
+    cells = cells.select("x", "y", "v", F.col("p.w").alias("w"), F.col("p.bin").alias("bin"))
+    cond = ((cells["y"] == side["ry"]) & (cells["w"] == side["rw"]) & (cells["bin"] == side["rbin"])
             & (cells["x"] >= side["xa"]) & (cells["x"] <= side["xb"]))
     return cells.join(side, cond).select("zk", "x", "y", "v")
 
 
+def _segment_cells(cells: DataFrame, runs: DataFrame, width: int) -> DataFrame:
+    """``(zk, x, y, v)`` by row segments of ``width`` cells: cells are packed before
+    the exchange, and a run takes its stretch of the segment as a slice, so no cell
+    is compared with a run at all. Segments with gaps are filtered instead."""
+    seg = F.floor(F.col("x") / width).cast("int").alias("seg")
+    packed = cells.groupBy("y", seg).agg(F.array_sort(F.collect_list(F.struct("x", "v"))).alias("c"))
+    pieces = runs.select("zk", F.col("y").alias("ry"), "xa", "xb", _bins(F.col("xa"), F.col("xb"), F.lit(width)).alias("rseg"))
+    j = packed.join(pieces, (packed["y"] == pieces["ry"]) & (packed["seg"] == pieces["rseg"]))
+    c, xa, xb = F.col("c"), F.col("xa"), F.col("xb")
+    first, last = c[0]["x"], c[F.size(c) - 1]["x"]
+    a, b = F.greatest(xa, first), F.least(xb, last)
+    whole = F.size(c) == last - first + 1
+    part = F.when(whole, F.slice(c, a - first + 1, F.greatest(b - a + 1, F.lit(0)))).otherwise(
+        F.filter(c, lambda e: e["x"].between(xa, xb)))
+    return j.select("zk", "y", F.explode(part).alias("e")).select("zk", "e.x", "y", "e.v")
+
+
 def _empty(spark, schema: str) -> DataFrame:
     return spark.createDataFrame([], schema)
 
@@ -131,196 +180,45 @@ def histogram(layer: Layer, zones: ZoneSet, **kw) -> DataFrame:
     return _with_names(_histogram_keyed(layer, zones, **kw), zones)
 
 
-def _dec(c: Column) -> Column:
-    return c.cast("decimal(38,0)")
-
-
-# Width of the coarse value buckets of the exact median (a power of two).
-MEDIAN_BUCKET = 1 << 16
-
-
-def _median_keyed(hist: DataFrame, zones: ZoneSet) -> DataFrame:
-    """Exact interpolated median per zone from a keyed histogram, with every
-    group bounded by a constant (not by the zone's size or value domain).
-
-    1. count cells per (zone, coarse bucket of MEDIAN_BUCKET values); windows
-       over a zone's buckets (at most 2^32 / MEDIAN_BUCKET of them) give the
-       zone total N and the buckets holding the middle rank(s)
-       (N+1) div 2 and N div 2 + 1;
-    2. only those buckets' values (at most MEDIAN_BUCKET each) are ranked to
-       read the two middle values; the median is their mean.
-    """
-    bucket = F.floor(F.col("v") / F.lit(MEDIAN_BUCKET)).cast("bigint")
-    b = hist.groupBy("zk", bucket.alias("b")).agg(F.sum("n").alias("bn"))
-    zone = Window.partitionBy("zk")
-    upto = zone.orderBy("b").rowsBetween(Window.unboundedPreceding, 0)
-    total = F.sum("bn").over(zone)
-    b = b.select("zk", "b", "bn", F.sum("bn").over(upto).alias("cum"),
-                 F.floor((total + 1) / 2).cast("bigint").alias("r1"),
-                 (F.floor(total / 2) + 1).cast("bigint").alias("r2"))
-    before = F.col("cum") - F.col("bn")
-
-    def holds(r):
-        return (before < F.col(r)) & (F.col(r) <= F.col("cum"))
-
-    sel = b.where(holds("r1") | holds("r2")).select("zk", F.col("b").alias("sb"), before.alias("before"), "r1", "r2")
-    small = zones.zone_count_bound() <= BROADCAST_MAX_ZONES
-    # join on the zone key only (at most two buckets per zone) and compare the
-    # bucket afterwards with '<=>': a join or '=' on the bucket would push a
-    # derived not-null filter into the histogram's plan and stop Spark from
-    # reusing its exchange (the raster would be scanned twice)
-    h = (hist.select("zk", "v", "n", bucket.alias("b")).join(F.broadcast(sel) if small else sel, "zk")
-         .where(F.col("b").eqNullSafe(F.col("sb"))))  # '<=>' infers no not-null filter
-    within = Window.partitionBy("zk", "b").orderBy("v").rowsBetween(Window.unboundedPreceding, 0)
-    h = h.select("zk", "v", "n", "r1", "r2", (F.col("before") + F.sum("n").over(within)).alias("c"))
-
-    def at(r):
-        return F.max(F.when((F.col("c") - F.col("n") < F.col(r)) & (F.col(r) <= F.col("c")), F.col("v")))
-
-    m = h.groupBy("zk").agg(at("r1").alias("v1"), at("r2").alias("v2"))
-    return m.select("zk", ((F.col("v1").cast("double") + F.col("v2").cast("double")) / 2.0).alias("median"))
-
-
 def _statistics_keyed(hist: DataFrame, zones: ZoneSet) -> DataFrame:
     """Per zone (keyed) statistics from a keyed histogram ``(zk, v, n)``.
-
-    Zones with no data cell are kept with n = 0 and NULL statistics: their key
-    rows are unioned into the histogram, so one aggregate (no join) does it.
-    The median comes from ``_median_keyed`` and is merged the same way.
-    """
-    vt = hist.schema["v"].dataType
-    h = hist.select("zk", F.lit(None).cast("string").alias("zone_set"),
-                    F.lit(None).cast("string").alias("zone_id"), F.lit(None).cast("string").alias("name"),
-                    F.lit(None).cast("int").alias("zid"), "v", F.col("n").cast("bigint").alias("n"))
-    keys = zones.df.select("zk", "zone_set", "zone_id", "name", "zid",
-                           F.lit(None).cast(vt).alias("v"), F.lit(0).cast("bigint").alias("n"))
-    u = h.unionByName(keys)
-    v, n = F.col("v"), F.col("n")
-    s = u.groupBy("zk").agg(
-        F.max("zone_set").alias("zone_set"), F.max("zone_id").alias("zone_id"),
-        F.max("name").alias("name"), F.max("zid").alias("zid"),
-        F.sum(n).alias("n"), F.min(v).alias("min"), F.max(v).alias("max"),
-        F.sum(_dec(v) * _dec(n)).alias("s1"),
-        F.sum(_dec(v) * _dec(v) * _dec(n)).alias("s2"),
-        F.min_by(v, F.when(v.isNotNull(), F.struct(-n, v))).alias("mode"),
-    )
-    med = _median_keyed(hist, zones)
+    Zones with no data cell are kept with n = 0 and NULL statistics."""
+    v = F.col("v")
+    hist = hist.where(v.isNotNull() & ~F.isnan(v)) if hist.schema["v"].dataType.typeName() in ("double", "float") else hist.where(v.isNotNull())
     small = zones.zone_count_bound() <= BROADCAST_MAX_ZONES
-    s = s.join(F.broadcast(med) if small else med, "zk", "left")
-    cnt = F.col("n")
-    # With S1 = q n + r, the squares about q sum to S2 - q^2 n - 2 q r: exact in 38
-    # digits where n S2 - S1^2 is not; the rest, (r / n)^2, is below 1.
-    s1, s2, many = _dec(F.col("s1")), _dec(F.col("s2")), _dec(F.when(cnt > 0, cnt))
-    s = s.withColumn("r", _dec(F.pmod(s1, many)))
-    s = s.withColumn("q", _dec((s1 - F.col("r")) / many))
-    q, r = F.col("q"), F.col("r")
-    about = _dec(s2 - _dec(_dec(q * q) * many) - _dec(2 * _dec(q * r))).cast("double")
-    rest = r.cast("double") / cnt.cast("double")
-    return s.select(
-        "zone_set", "zone_id", "name", "zid", cnt.cast("bigint").alias("n"), "min", "max",
-        F.when(cnt > 0, F.col("s1").cast("double") / cnt.cast("double")).alias("mean"),
-        "median", "mode",
-        F.when(cnt > 0, F.sqrt(F.greatest(about / cnt.cast("double") - rest * rest, F.lit(0.0)))).alias("stddev"),
-    )
+    s = grouped_statistics(hist, small)
+    named = zones.df.select("zk", "zone_set", "zone_id", "name", "zid").join(F.broadcast(s) if small else s, "zk", "left")
+    return named.select("zone_set", "zone_id", "name", "zid", F.coalesce("n", F.lit(0)).cast("bigint").alias("n"),
+                        "min", "max", "mean", "median", "mode", "stddev")
 
 
 def statistics_from_histogram(hist: DataFrame, zones: ZoneSet) -> DataFrame:
     """Per zone: n, min, max, mean, median, mode, stddev (population), from a
     histogram ``(zone_set, zone_id, v, n)``.
 
-    * median: interpolated (mean of the two middle values for even n), exact,
-      found in two bounded steps (value buckets, then one bucket's values);
+    * median: interpolated (mean of the two middle values for even n), exact;
     * mode: most frequent value, the smallest on ties;
-    * stddev from integer moments about the mean's integer part, without
-      overflow for 10^13 cells of 32-bit values.
+    * stddev about the mean, from exact sums where the values are integers.
+
+    See :mod:`tessera.operators.statistics` for how, for values of any type.
     """
     keyed = hist.select(F.xxhash64("zone_set", "zone_id").alias("zk"), "v", "n")
     return _statistics_keyed(keyed, zones)
 
 
 def statistics(layer: Layer, zones: ZoneSet, **kw) -> DataFrame:
-    """Zone statistics. Integer rasters: exact, from the histogram.
-    Floating-point rasters: from the cells with mergeable aggregates (see
-    ``statistics_float``), since their histograms do not shrink."""
-    vt = layer.df.schema["v"].dataType.typeName()
-    if vt in ("double", "float", "decimal"):
-        return statistics_float(layer, zones, **kw)
+    """Zone statistics of a raster of any numeric type, from its histogram (one
+    scan); NaN is NoData."""
     return _statistics_keyed(_histogram_keyed(layer, zones, **kw), zones)
 
 
-# Accuracy of the sketch that brackets the median of a floating-point raster: its
-# ranks are off by at most 1/accuracy of a zone's cells.
-MEDIAN_ACCURACY = 10_000
-
-
-def _median_float_keyed(hist: DataFrame, brackets: DataFrame) -> DataFrame:
-    """Exact interpolated median per zone from ``(zk, v, c)`` and ``(zk, n, lo, hi)``.
-
-    The bracket [lo, hi] surely holds the middle ranks; values below it are only
-    counted, and those inside (at most about 6/accuracy of the zone's cells) are
-    ranked.
-    """
-    h = hist.join(brackets, "zk")
-    below = h.groupBy("zk").agg(F.sum(F.when(F.col("v") < F.col("lo"), F.col("c")).otherwise(0)).alias("below"))
-    inside = h.where(F.col("v").between(F.col("lo"), F.col("hi"))).join(below, "zk")
-    upto = F.col("below") + F.sum("c").over(Window.partitionBy("zk").orderBy("v").rowsBetween(Window.unboundedPreceding, 0))
-    inside = inside.select("zk", "v", "n", (upto - F.col("c")).alias("before"), upto.alias("upto"))
-
-    def at(rank):
-        return F.max(F.when((F.col("before") < rank) & (rank <= F.col("upto")), F.col("v").cast("double")))
-
-    r1, r2 = F.floor((F.col("n") + 1) / 2), F.floor(F.col("n") / 2) + 1
-    return inside.groupBy("zk").agg(at(r1).alias("v1"), at(r2).alias("v2")).select(
-        "zk", ((F.col("v1") + F.col("v2")) / 2.0).alias("median"))
-
-
-def statistics_float(layer: Layer, zones: ZoneSet, **kw) -> DataFrame:
-    """Statistics of a floating-point raster per zone.
-
-    Every aggregate has a partial (map-side) form with bounded state, so a
-    zone holding a third of the raster is never gathered into one task:
-    count/min/max/avg, ``stddev_pop`` (mergeable moments), a quantile sketch that
-    brackets the median (found exactly inside the bracket), and the mode from
-    ``min_by`` over the (zone, value) histogram. The per-zone results and
-    the zone keys are merged by one union + aggregate instead of joins.
-    """
-    cols = {"zone_set": "string", "zone_id": "string", "name": "string", "zid": "int", "n": "bigint",
-            "min": "double", "max": "double", "mean": "double", "median": "double", "mode": "double",
-            "stddev": "double"}
-
-    def widen(df):
-        return df.select("zk", *[(F.col(c).cast(t) if c in df.columns else F.lit(None).cast(t)).alias(c)
-                                 for c, t in cols.items()])
-
-    parts = [widen(zones.df.select("zk", "zone_set", "zone_id", "name", "zid"))]
-    z = _zone_cells_keyed(layer, zones, **kw)
-    if z is not None:
-        z = z.where(F.col("v").isNotNull() & ~F.isnan("v"))
-        agg = z.groupBy("zk").agg(
-            F.count(F.lit(1)).alias("n"), F.min("v").alias("min"), F.max("v").alias("max"),
-            F.avg("v").alias("mean"),
-            F.percentile_approx("v", [0.5 - 2 / MEDIAN_ACCURACY, 0.5 + 2 / MEDIAN_ACCURACY], MEDIAN_ACCURACY).alias("bracket"),
-            F.stddev_pop("v").alias("stddev"))
-        h = z.groupBy("zk", "v").agg(F.count(F.lit(1)).alias("c"))
-        mode = h.groupBy("zk").agg(F.min_by("v", F.struct(-F.col("c"), F.col("v"))).alias("mode"))
-        brackets = agg.select("zk", "n", F.col("bracket")[0].alias("lo"), F.col("bracket")[1].alias("hi"))
-        parts += [widen(agg), widen(mode), widen(_median_float_keyed(h, brackets))]
-    u = parts[0]
-    for p in parts[1:]:
-        u = u.unionByName(p)
-    m = u.groupBy("zk").agg(*[F.max(c).alias(c) for c in cols])
-    return m.select("zone_set", "zone_id", "name", "zid",
-                    F.coalesce(F.col("n"), F.lit(0)).cast("bigint").alias("n"),
-                    "min", "max", "mean", "median", "mode", "stddev")
-
-
 def min_max_mean(layer: Layer, zones: ZoneSet, **kw) -> DataFrame:
     """The (min, max, mean) triple per feature id: one aggregate over the
-    histogram (integer rasters) or the cells (floating point), no median."""
-    vt = layer.df.schema["v"].dataType.typeName()
-    if vt in ("double", "float", "decimal"):
+    histogram (integers, decimals) or the cells (floating point), no median."""
+    if layer.df.schema["v"].dataType.typeName() in ("double", "float"):
         return _min_max_mean_float(layer, zones, **kw)
     hist = _histogram_keyed(layer, zones, **kw)
+    num = Numbers(hist.schema["v"].dataType)
     h = hist.select("zk", F.lit(None).cast("string").alias("zone_set"), F.lit(None).cast("string").alias("zone_id"),
                     "v", F.col("n").cast("bigint").alias("n"))
     keys = zones.df.select("zk", "zone_set", "zone_id", F.lit(None).cast(hist.schema["v"].dataType).alias("v"),
@@ -328,8 +226,8 @@ def min_max_mean(layer: Layer, zones: ZoneSet, **kw) -> DataFrame:
     s = h.unionByName(keys).groupBy("zk").agg(
         F.max("zone_set").alias("zone_set"), F.max("zone_id").alias("zone_id"),
         F.min("v").alias("min"), F.max("v").alias("max"),
-        F.sum(_dec(F.col("v")) * _dec(F.col("n"))).alias("s1"), F.sum("n").alias("n"))
-    mean = F.when(F.col("n") > 0, F.col("s1").cast("double") / F.col("n").cast("double"))
+        num.sum(F.col("v"), F.col("n")).alias("s1"), F.sum("n").alias("n"))
+    mean = F.when(F.col("n") > 0, num.average(F.col("s1"), F.col("n")))
     return s.select("zone_set", "zone_id", "min", "max", mean.alias("mean"))
 
 
@@ -377,28 +275,60 @@ def _pieces(r: DataFrame, n: int) -> DataFrame:
                     F.least(F.col("xb"), F.col("tc") * n + (n - 1)).alias("pb"))
 
 
+def tile_histograms(tl: TileLayer) -> DataFrame:
+    """Histogram of every tile: ``(tc, tr, v, n)``, data cells only. Stored beside the
+    tiles (``sinks.save_tiles``), it answers for tiles that lie wholly in a zone."""
+    cells = tl.df.select("tc", "tr", F.explode("t").alias("v")).where(F.col("v").isNotNull())
+    return cells.groupBy("tc", "tr", "v").agg(F.count(F.lit(1)).alias("n"))
+
+
 def _histogram_tiles_keyed(tl: TileLayer, zones: ZoneSet,
                            broadcast_max_runs: int = BROADCAST_MAX_RUNS) -> DataFrame:
-    n = tl.tile_size
     pieces = zone_tile_pieces(tl, zones)
-    k, (tc0, tr0, tc1, tr1) = _size_and_bounds(pieces, "tr", "tc", "tc")
-    if k == 0:
-        vt = tl.df.schema["t"].dataType.elementType.simpleString()
-        return _empty(tl.df.sparkSession, f"zk bigint, v {vt}, n bigint")
+    vt = tl.df.schema["t"].dataType.elementType.simpleString()
+    empty = _empty(tl.df.sparkSession, f"zk bigint, v {vt}, n bigint")
+    if tl.blocks is None:
+        k, box, _ = _size_and_bounds(pieces, "tr", "tc", "tc")
+        c = _piece_cells(tl, pieces, k, box, broadcast_max_runs) if k else None
+        return empty if c is None else c.groupBy("zk", "v").agg(F.count(F.lit(1)).alias("n"))
+    # Tiles of which a zone has all cells are read from their histograms; only the
+    # tiles on its border are read themselves.
+    inside = tf.tile_inside_cells(F.col("tc"), F.col("tr"), tl.tile_size, _tile_bounds(tl))
+    covered = F.sum(F.col("pb") - F.col("pa") + 1).over(Window.partitionBy("zk", "tc", "tr"))
+    pieces = pieces.withColumn("whole", covered == inside)
+    whole, border = pieces.where("whole"), pieces.where("NOT whole")
+    n_border, box, _ = _size_and_bounds(border, "tr", "tc", "tc")
+    whole = whole.select("zk", "tc", "tr").distinct()
+    n_whole, (tc0, tr0, tc1, tr1), _ = _size_and_bounds(whole, "tr", "tc", "tc")
+    parts = [empty]
+    if n_whole:
+        blocks = tl.blocks.where(F.col("tr").between(tr0, tr1) & F.col("tc").between(tc0, tc1))
+        side = F.broadcast(whole) if n_whole <= broadcast_max_runs else whole
+        parts.append(blocks.join(side, ["tc", "tr"]).select("zk", "v", "n"))
+    if n_border:
+        parts.append(_piece_cells(tl, border, n_border, box, broadcast_max_runs).select("zk", "v", F.lit(1).cast("bigint").alias("n")))
+    return reduce(DataFrame.unionByName, parts).groupBy("zk", "v").agg(F.sum("n").alias("n"))
+
+
+def _piece_cells(tl: TileLayer, pieces: DataFrame, k: int, box, broadcast_max_runs: int) -> DataFrame:
+    """``(zk, v)`` of the data cells of k run pieces, sliced out of the tiles."""
+    n = tl.tile_size
+    tc0, tr0, tc1, tr1 = box
     tiles = tl.df.where(F.col("tr").between(tr0, tr1) & F.col("tc").between(tc0, tc1))
     side = F.broadcast(pieces) if k <= broadcast_max_runs else pieces
     j = tiles.join(side, ["tc", "tr"])
     start = (F.col("y") - F.col("tr") * n) * n + (F.col("pa") - F.col("tc") * n) + 1
     vals = F.slice(F.col("t"), start, F.col("pb") - F.col("pa") + 1)
-    c = j.select("zk", F.explode(vals).alias("v")).where(F.col("v").isNotNull())
-    return c.groupBy("zk", "v").agg(F.count(F.lit(1)).alias("n"))
+    return j.select("zk", F.explode(vals).alias("v")).where(F.col("v").isNotNull())
 
 
 def histogram_tiles(tl: TileLayer, zones: ZoneSet, **kw) -> DataFrame:
     """Zonal histogram on the tile form: join run pieces to tiles on the tile
     key, slice each piece's cells out of its tile row, count per value.
 
-    The large side is probed once per tile instead of once per cell.
+    The large side is probed once per tile instead of once per cell. Where the
+    layer has its tiles' histograms (``blocks``), tiles wholly inside a zone are
+    answered from them, and a zone without border tiles reads no cell.
     """
     return _with_names(_histogram_tiles_keyed(tl, zones, **kw), zones)
 

@@ -129,16 +129,17 @@ FROM a JOIN b ON a.x = b.x AND a.y = b.y JOIN a AS a2 ON a.x = a2.x AND a.y = a2
 # ------------------------------------------------------------------ focal
 
 
-def _focal(same_tile: bool) -> str:
+def _focal(same_tile: bool, r: int = 1) -> str:
     tile = (f" AND floor(q.x / {N}) = floor(p.x / {N}) AND floor(q.y / {N}) = floor(p.y / {N})"
             if same_tile else "")
     return f"""SELECT p.x, p.y, CAST(sum(q.v) AS DOUBLE) / CAST(nullif(count(q.v), 0) AS DOUBLE) AS v
-FROM a p JOIN a q ON q.x BETWEEN p.x - 1 AND p.x + 1 AND q.y BETWEEN p.y - 1 AND p.y + 1{tile}
+FROM a p JOIN a q ON q.x BETWEEN p.x - {r} AND p.x + {r} AND q.y BETWEEN p.y - {r} AND p.y + {r}{tile}
 GROUP BY p.x, p.y"""
 
 
 SQL["focal_mean_tile"] = with_grids(_focal(True), "A")
 SQL["focal_mean_halo"] = with_grids(_focal(False), "A")
+SQL["focal_mean_radius"] = with_grids(_focal(False, q.RADIUS), "A")
 SQL["focal_mean_count"] = with_grids(f"SELECT count(*) AS n FROM ({_focal(True)}) f WHERE trunc(v) = {V}", "A")
 SQL["focal_mean_count_halo"] = with_grids(
     f"SELECT count(*) AS n FROM ({_focal(False)}) f WHERE trunc(v) = {V}", "A")
@@ -281,3 +282,27 @@ SELECT 'suppliers' AS zone_set, CAST(k AS VARCHAR) AS zone_id, v, count(*) AS n
 WHERE v IS NOT NULL GROUP BY k, v"""
 SQL["zonal_histogram_shuffle"] = SQL["zonal_histogram_many"]
 SQL["zonal_histogram_tiles_shuffle"] = SQL["zonal_histogram_many"]
+
+# Any numeric type: sums and ranks in 128-bit integers.
+_WIDE = """SELECT 'zones' AS zone_set, k.zone_id, k.name, k.zid, coalesce(s.n, 0) AS n, {values},
+  round(s.mean / 1e12, 6) AS mean, round(s.stddev / 1e12, 6) AS stddev, {median} AS median
+FROM zkeys k LEFT JOIN (
+  SELECT zone_id, CAST(sum(n) AS BIGINT) AS n, min(v) AS min, max(v) AS max, arg_min(v, (-n, v)) AS mode,
+    CAST(sum(CAST(v AS HUGEINT) * n) AS DOUBLE) / CAST(sum(n) AS DOUBLE) AS mean, any_value(stddev) AS stddev, any_value(median) AS median
+  FROM hist JOIN (
+    SELECT zone_id, stddev_pop(CAST(v AS DOUBLE)) AS stddev, CAST(max(CASE WHEN i = (c + 1) // 2 THEN CAST(v AS HUGEINT) END)
+      + max(CASE WHEN i = c // 2 + 1 THEN CAST(v AS HUGEINT) END) AS DOUBLE) / 2 AS median
+    FROM (SELECT zone_id, v, row_number() OVER (PARTITION BY zone_id ORDER BY v) AS i, count(*) OVER (PARTITION BY zone_id) AS c
+          FROM inside WHERE v IS NOT NULL) r GROUP BY zone_id) m USING (zone_id)
+  GROUP BY zone_id) s ON k.zone_id = s.zone_id"""
+SQL["zonal_statistics_wide"] = _zonal(_WIDE.format(values="s.min, s.max, s.mode", median="s.median"), grid="W")
+SQL["zonal_statistics_unsigned"] = _zonal(_WIDE.format(
+    values=", ".join(f"CAST(s.{c} AS VARCHAR) AS {c}" for c in ("min", "max", "mode")), median="round(s.median / 1e12, 6)"), grid="U")
+SQL["zonal_histogram_blocks"] = SQL["zonal_histogram"]
+SQL["zonal_histogram_dense"] = f"""WITH g AS (SELECT event_id % {q.DENSE} AS x, event_id // {q.DENSE} AS y,
+  CAST(nullif(floor(value) % 22, 0) AS INTEGER) AS v FROM events),
+z AS (SELECT o_orderkey AS k, (o_orderkey * 37) % {q.DENSE - 30} AS x, (o_orderkey * 7) % {q.DENSE_ROWS} AS y,
+  o_orderkey % 23 + 3 AS w, o_orderkey % 4 + 1 AS h FROM orders)
+SELECT 'orders' AS zone_set, CAST(k AS VARCHAR) AS zone_id, v, count(*) AS n
+FROM g JOIN z ON g.x >= z.x AND g.x < z.x + w AND g.y >= z.y AND g.y < z.y + h
+WHERE v IS NOT NULL GROUP BY k, v"""

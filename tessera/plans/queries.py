@@ -9,6 +9,7 @@ from __future__ import annotations
 
 import os
 from collections.abc import Callable
+from dataclasses import replace
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -16,7 +17,7 @@ from pyspark.sql import functions as F
 from ..layer import Georef, Layer
 from ..operators import focal, layout, local, sweep, zonal
 from ..sources.geojson import ZoneSet, read_zones
-from ..sources.grids import GEOREF_A, grid_a, grid_b, grid_c
+from ..sources.grids import GEOREF_A, grid_a, grid_b, grid_c, grid_unsigned, grid_wide
 
 # The class value searched for and its replacement (the glc
 # dataset of the reference: pixel value 16, new value 1), the tile size of the
@@ -26,6 +27,8 @@ NEW_VALUE = 1
 TILE = 25
 CHUNK = 40
 MAX_TILE = 120
+# Tiles small enough for some to lie wholly in the fixture zones.
+BLOCK = 8
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -206,6 +209,7 @@ def tiles_round_trip(spark, sf):
 # Block size of the seamless (halo) plan; a partitioning device only, chosen
 # unlike the tile size so the halo exchange is exercised at test scale.
 HALO_BLOCK = 32
+RADIUS = 50
 
 
 @query("focal_mean_tile")
@@ -218,6 +222,12 @@ def focal_mean_halo(spark, sf):
     return focal.focal_mean(grid_a(spark, sf), 1, "halo", block=HALO_BLOCK).df
 
 
+@query("focal_mean_radius")
+def focal_mean_radius(spark, sf):
+    """A radius of 50: half of the grid's width."""
+    return focal.focal_mean(grid_a(spark, sf), RADIUS, "halo").df
+
+
 @query("focal_mean_count")
 def focal_mean_count(spark, sf):
     return focal.count_truncated(focal.focal_mean(grid_a(spark, sf), 1, "tile", tile_size=TILE), VALUE)
@@ -335,6 +345,30 @@ def zonal_statistics_float(spark, sf):
     return st.withColumns({"mean": F.round("mean", 6), "stddev": F.round("stddev", 6)})
 
 
+UNIT = 1e12
+
+
+def _in_units(df: DataFrame, *columns: str) -> DataFrame:
+    """Columns in units of 10^12, to 6 places: 18 digits and more differ in their
+    last bits from engine to engine."""
+    return df.withColumns({c: F.round(F.col(c) / UNIT, 6) for c in columns})
+
+
+@query("zonal_statistics_wide")
+def zonal_statistics_wide(spark, sf):
+    """64-bit integers beyond 2^53 of either sign; the median as it is."""
+    st = zonal.statistics(Layer(grid_wide(spark, sf).df, "wide", Georef.pixel(GEOREF_A.srid)), fixture_zones(spark))
+    return _in_units(st, "mean", "stddev")
+
+
+@query("zonal_statistics_unsigned")
+def zonal_statistics_unsigned(spark, sf):
+    """Unsigned 64-bit integers beyond 2^63, held as decimals; exact values as text."""
+    st = zonal.statistics(Layer(grid_unsigned(spark, sf).df, "unsigned", Georef.pixel(GEOREF_A.srid)), fixture_zones(spark))
+    st = st.withColumns({c: F.col(c).cast("string") for c in ("min", "max", "mode")})
+    return _in_units(st, "mean", "median", "stddev")
+
+
 @query("zonal_histogram_shifted")
 def zonal_histogram_shifted(spark, sf):
     """Grid A moved by (-50, -40): columns and rows below zero count like others."""
@@ -394,6 +428,43 @@ def zonal_cells(spark, sf):
     return zonal.zone_cells(zonal_grid(spark, sf), fixture_zones(spark))
 
 
+@query("zonal_histogram_blocks")
+def zonal_histogram_blocks(spark, sf):
+    """Tiles inside a zone answered from their histograms, border tiles read."""
+    tiles = zonal_grid(spark, sf).to_tiles(BLOCK)
+    return zonal.histogram_tiles(replace(tiles, blocks=zonal.tile_histograms(tiles)), fixture_zones(spark))
+
+
+# A small zone per order, all in the first DENSE columns: thousands share an x-bin.
+DENSE = 1000
+DENSE_ROWS = 60
+
+
+def dense_zones(spark, sf) -> ZoneSet:
+    k = F.col("o_orderkey")
+    x, y, w, h = ((k * 37) % (DENSE - 30)).cast("double"), ((k * 7) % DENSE_ROWS).cast("double"), k % 23 + 3, k % 4 + 1
+    corner = [(x, y), (x + w, y), (x + w, y + h), (x, y + h), (x, y)]
+    zones = spark.read.parquet(f"{sf}/orders.parquet").select(
+        F.lit("orders").alias("zone_set"), k.cast("string").alias("zone_id"), k.cast("string").alias("name"),
+        (k % 1000).cast("int").alias("zid"), F.lit("Polygon").alias("geom_type"),
+        F.array(F.array(F.array(*[F.array(p, q) for p, q in corner]))).alias("geom"))
+    return ZoneSet(zones.withColumn("zk", F.xxhash64("zone_set", "zone_id")), "orders", GEOREF_A.srid)
+
+
+def dense_grid(spark, sf) -> Layer:
+    """Event classes on rows of DENSE cells."""
+    e = spark.read.parquet(f"{sf}/events.parquet")
+    cells = e.select((F.col("event_id") % DENSE).cast("int").alias("x"), F.floor(F.col("event_id") / DENSE).cast("int").alias("y"),
+                     F.nullif(F.floor("value") % 22, F.lit(0)).cast("int").alias("v"))
+    return Layer(cells, "dense", Georef.pixel(GEOREF_A.srid))
+
+
+@query("zonal_histogram_dense")
+def zonal_histogram_dense(spark, sf):
+    """Many small zones in one bin: cells meet only runs of their own width class."""
+    return zonal.histogram(dense_grid(spark, sf), dense_zones(spark, sf))
+
+
 # ------------------------------------------------------------ sweep
 
 @query("tile_size_sweep")

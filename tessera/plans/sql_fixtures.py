@@ -19,7 +19,15 @@ GRID_C = """SELECT CAST(unnest(range(len(embedding))) AS INTEGER) AS x,
        CAST(unnest(embedding) AS DOUBLE) AS v
 FROM embeddings"""
 
-GRIDS = {"A": GRID_A, "B": GRID_B, "C": GRID_C}
+GRID_W = """SELECT x, y, CASE WHEN v IS NOT NULL THEN (k % 7 - 3) * 1200000000000000000 + p % 22 * 1000003 END AS v
+FROM (SELECT CAST(o_orderkey % 100 AS INTEGER) AS x, CAST(o_orderkey // 100 AS INTEGER) AS y,
+  NULLIF(floor(o_totalprice) % 22, 0) AS v, CAST(o_orderkey AS BIGINT) AS k, CAST(floor(o_totalprice) AS BIGINT) AS p FROM orders) o"""
+
+GRID_U = """SELECT x, y, CASE WHEN v IS NOT NULL THEN CAST(18446744073709551615::HUGEINT - k % 9 * 1000000000000000003::HUGEINT - p AS DECIMAL(20,0)) END AS v
+FROM (SELECT CAST(o_orderkey % 100 AS INTEGER) AS x, CAST(o_orderkey // 100 AS INTEGER) AS y,
+  NULLIF(floor(o_totalprice) % 22, 0) AS v, CAST(o_orderkey AS HUGEINT) AS k, CAST(floor(o_totalprice) AS HUGEINT) AS p FROM orders) o"""
+
+GRIDS = {"A": GRID_A, "B": GRID_B, "C": GRID_C, "W": GRID_W, "U": GRID_U}
 
 
 def with_grids(body: str, *names: str) -> str:

@@ -67,14 +67,23 @@ def show(df: DataFrame, n: int = 20) -> None:
 
 
 def save_tiles(tl: TileLayer, table: str, buckets: int, path: str | None = None,
-               mode: str = "overwrite") -> None:
+               mode: str = "overwrite", histograms: bool = False) -> None:
     """Store a tile layer as a table bucketed and sorted on the tile key.
 
     Two rasters saved with the same layout and bucket count join on
     ``(tc, tr)`` without any exchange (co-located buckets), which is what a
-    tile-wise add of two stored rasters needs at scale.
+    tile-wise add of two stored rasters needs at scale. ``histograms`` also stores
+    each tile's histogram, as the table ``<table>_blocks``, for zonal queries.
     """
-    w = tl.df.select("tc", "tr", "t").write.mode(mode).bucketBy(buckets, "tc", "tr").sortBy("tc", "tr")
+    _save_bucketed(tl.df.select("tc", "tr", "t"), table, buckets, path, mode)
+    if histograms:
+        from .operators.zonal import tile_histograms
+        stored = TileLayer(tl.df.sparkSession.table(table), tl.tile_size)
+        _save_bucketed(tile_histograms(stored), f"{table}_blocks", buckets, f"{path}_blocks" if path else None, mode)
+
+
+def _save_bucketed(df: DataFrame, table: str, buckets: int, path: str | None, mode: str) -> None:
+    w = df.write.mode(mode).bucketBy(buckets, "tc", "tr").sortBy("tc", "tr")
     if path:
         w = w.option("path", path)
     w.saveAsTable(table)
@@ -82,9 +91,11 @@ def save_tiles(tl: TileLayer, table: str, buckets: int, path: str | None = None,
 
 def load_tiles(spark, table: str, tile_size: int, name: str | None = None, georef=None, extent=None) -> TileLayer:
     """Read a tile table written by ``save_tiles`` (bucketing is kept); ``extent`` is
-    the raster's (xmin, xmax, ymin, ymax), needed to tell padding from NoData."""
+    the raster's (xmin, xmax, ymin, ymax), needed to tell padding from NoData. The
+    tiles' histograms come along where they are stored."""
     from .layer import Georef
-    return TileLayer(spark.table(table), tile_size, name or table, georef or Georef(), extent)
+    blocks = spark.table(f"{table}_blocks") if spark.catalog.tableExists(f"{table}_blocks") else None
+    return TileLayer(spark.table(table), tile_size, name or table, georef or Georef(), extent, blocks=blocks)
 
 
 def save_cells(layer: Layer, path: str, partitions: int | None = None, mode: str = "overwrite") -> None:

@@ -68,4 +68,22 @@ def grid_c(spark: SparkSession, sf_dir: str) -> Layer:
                           F.col("v").cast("double").alias("v")), "C", GEOREF_A)
 
 
+def grid_wide(spark: SparkSession, sf_dir: str) -> Layer:
+    """Grid A's cells with 64-bit values far beyond 2^53, of either sign."""
+    o = spark.read.parquet(f"{sf_dir}/orders.parquet")
+    x, y, v = _class_cells(F.col("o_orderkey"), F.col("o_totalprice"))
+    wide = (F.col("o_orderkey") % 7 - 3) * 1_200_000_000_000_000_000 + F.floor("o_totalprice") % 22 * 1_000_003
+    return Layer(o.select(x, y, v, wide.cast("bigint").alias("wide")).select(
+        "x", "y", F.when(F.col("v").isNotNull(), F.col("wide")).alias("v")), "wide", GEOREF_A)
+
+
+def grid_unsigned(spark: SparkSession, sf_dir: str) -> Layer:
+    """Grid A's cells with values of an unsigned 64-bit raster, as decimals."""
+    o = spark.read.parquet(f"{sf_dir}/orders.parquet")
+    x, y, v = _class_cells(F.col("o_orderkey"), F.col("o_totalprice"))
+    less = F.col("o_orderkey") % 9 * 1_000_000_000_000_000_003 + F.floor("o_totalprice")
+    return Layer(o.select(x, y, v, less.cast("decimal(20,0)").alias("less")).select("x", "y", F.when(
+        F.col("v").isNotNull(), F.lit("18446744073709551615").cast("decimal(20,0)") - F.col("less")).cast("decimal(20,0)").alias("v")), "unsigned", GEOREF_A)
+
+
 GRIDS = {"A": grid_a, "B": grid_b, "C": grid_c}
