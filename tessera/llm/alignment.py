@@ -29,7 +29,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .byte_bpe import ByteBPE, slices
-from .common import process_cache, stored
+from .common import process_cache, release_memory, releasing, stored
 
 #: A block ends with the row that takes it to so many characters or documents.
 BLOCK_CHARS = 6_000_000
@@ -207,7 +207,7 @@ def index(docs: DataFrame, byte_file: str, pattern: str, piece_file: str,
 
     schema = f"block long, place int, {RESULT}, groups_sha256 string, pair long, n_docs long, planes binary"
     names = [c.split()[0] for c in schema.split(", ")]
-    return docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(kernel, schema)
+    return docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(releasing(kernel), schema)
 
 
 def pair_counts(rows: DataFrame, b_ids: int) -> DataFrame:
@@ -254,6 +254,7 @@ def aligned(docs: DataFrame, byte_file: str, pattern: str, piece_file: str, bloc
                 total[docs] += c * times
                 if is_best:
                     best[docs] += times
+        release_memory()
         return pa.table([*[own.column(c).combine_chunks() for c in first], pa.array(best), pa.array(total),
                          own.column("groups_sha256").combine_chunks()], names=[*first, "n_best", "count_sum", "groups_sha256"])
 

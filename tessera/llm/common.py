@@ -2,12 +2,15 @@
 
 from __future__ import annotations
 
+import ctypes
+import gc
 import sys
 import types
 import uuid
 from collections.abc import Callable
 
 import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -32,6 +35,66 @@ def stored(df: DataFrame, name: str) -> DataFrame:
     return spark.read.parquet(path)
 
 
+class WorkTables:
+    """Tables under ``spark.checkpoint.dir`` that are deleted when the block ends.
+
+    What is read from them must be stored elsewhere by then (see :func:`stored`).
+    """
+
+    def __init__(self, spark: SparkSession):
+        self.spark, self.paths, self.names = spark, [], []
+
+    def __enter__(self) -> WorkTables:
+        return self
+
+    def _place(self, name: str) -> str:
+        self.paths.append(f"{ensure_checkpoint_dir(self.spark)}/{name}-{uuid.uuid4().hex}")
+        return self.paths[-1]
+
+    def stored(self, df: DataFrame, name: str) -> DataFrame:
+        path = self._place(name)
+        df.write.parquet(path)
+        return self.spark.read.parquet(path)
+
+    def bucketed(self, df: DataFrame, name: str, key: str) -> DataFrame:
+        """``df`` bucketed by ``key``, so that grouping by it later moves no rows."""
+        buckets = int(self.spark.conf.get("spark.sql.shuffle.partitions"))
+        table = f"tessera_{uuid.uuid4().hex}"
+        df.write.bucketBy(buckets, key).option("path", self._place(name)).saveAsTable(table)
+        self.names.append(table)
+        return self.spark.table(table)
+
+    def __exit__(self, *failure) -> None:
+        for table in self.names:
+            self.spark.sql(f"DROP TABLE IF EXISTS {table}")
+        jvm = self.spark._jvm
+        for path in self.paths:
+            p = jvm.org.apache.hadoop.fs.Path(path)
+            p.getFileSystem(self.spark._jsparkSession.sessionState().newHadoopConf()).delete(p, True)
+
+
+def release_memory() -> None:
+    """Hand memory that this process no longer uses back to the system: a Python worker
+    lives on between tasks, and with it what its allocators keep."""
+    gc.collect()
+    pa.default_memory_pool().release_unused()
+    trim = getattr(ctypes.CDLL(None), "malloc_trim", None)  # of the GNU C library
+    if trim:
+        trim(0)
+
+
+def releasing(kernel: Callable) -> Callable:
+    """A mapInArrow kernel that ends with :func:`release_memory`."""
+
+    def run(batches):
+        try:
+            yield from kernel(batches)
+        finally:
+            release_memory()
+
+    return run
+
+
 def process_cache(name: str, make: Callable):
     """One value per Python worker process, kept across its tasks.
 

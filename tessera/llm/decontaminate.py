@@ -23,7 +23,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import mix64
+from .common import mix64, releasing
 
 SHINGLE = 5
 CONTAINMENT = 0.8
@@ -188,7 +188,7 @@ def contained(docs: DataFrame, benchmark: DataFrame, containment: float = CONTAI
                      pa.array(size, pa.int64()), pa.array([x / y for x, y in zip(shared, size)], pa.float64())],
                     names=["doc_id", "item_id", "n_shared", "n_item", "containment"])
 
-        part = docs.mapInArrow(kernel, "doc_id long, item_id long, n_shared long, n_item long, containment double")
+        part = docs.mapInArrow(releasing(kernel), "doc_id long, item_id long, n_shared long, n_item long, containment double")
         out = part if out is None else out.union(part)
     return out
 
@@ -204,5 +204,5 @@ def decontaminated(docs: DataFrame, benchmark: DataFrame, containment: float = C
                 bad = {m[0] for m in index.matches(b.column(b.schema.get_field_index("text")).to_pylist(), containment)}
                 yield b.filter(pa.array([i not in bad for i in range(b.num_rows)], pa.bool_()))
 
-        docs = docs.mapInArrow(kernel, docs.schema)
+        docs = docs.mapInArrow(releasing(kernel), docs.schema)
     return docs

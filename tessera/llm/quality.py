@@ -8,7 +8,11 @@ each whatever their ids and texts, packed as compressed Arrow), each block asks
 for its distinct n-grams once, the requests are joined with the model's shards,
 and the answers go back to their block. So the shuffled rows are a block's
 distinct n-grams, not the corpus' tokens, and no table of the model has to fit
-into a task or the driver. The packed blocks are checkpointed once.
+into a task or the driver. The packed blocks are written once, bucketed by
+block: the requests and the answers travel to them, the texts stay where they are.
+
+Characters are UTF-16 code units (one for nearly all, two for the rarest), so that
+four of them fit into a long and no two n-grams share counts.
 
 A document's score is its mean negative log probability per character (nats),
 smoothed by ``PRIOR_CHARS`` characters at its language's trusted median so that
@@ -26,12 +30,12 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import Slots, checkpointed, stored
+from .common import Slots, WorkTables, release_memory, releasing, stored
 
 ORDER = 4
-#: Bits of a symbol: code points below 2048 stand for themselves, others are
-#: folded by hash into 2,048 further symbols; 0 pads a document's beginning.
-BITS = 12
+#: Bits of a symbol, a UTF-16 code unit; 0 pads a document's beginning, and U+0000 is
+#: counted as the noncharacter U+FFFF.
+BITS = 16
 BLOCK_CHARS = 48_000_000
 #: n-grams are cut from slices of this many characters (bounds a task's memory).
 SLICE = 1 << 20
@@ -49,9 +53,8 @@ SALTS = 64
 # ---------------------------------------------------------------- n-grams
 
 def symbols(text: str) -> np.ndarray:
-    cp = np.frombuffer(text.encode("utf-32-le", "surrogatepass"), "<u4").astype(np.int64)
-    own = (cp > 0) & (cp < 2048)
-    return np.where(own, cp, 2048 + (cp * 2654435761 >> 7) % 2048)
+    units = np.frombuffer(text.encode("utf-16-le", "surrogatepass"), "<u2")
+    return np.where(units == 0, np.uint16(0xFFFF), units)
 
 
 def ngrams(texts: list[str | None], order: int):
@@ -74,9 +77,9 @@ def ngrams(texts: list[str | None], order: int):
     for i, t in enumerate(texts):
         if not t:
             continue
-        s = np.concatenate((np.zeros(order - 1, np.int64), symbols(t)))
+        s = np.concatenate((np.zeros(order - 1, np.uint16), symbols(t)))
         for at in range(0, len(s) - order + 1, SLICE):
-            piece = s[at:at + SLICE + order - 1]
+            piece = s[at:at + SLICE + order - 1].astype(np.int64)
             pieces.append(piece)
             owners.append(i)
             size += len(piece)
@@ -117,7 +120,7 @@ def _packed(docs: DataFrame, block_chars: int) -> DataFrame:
                      pa.array([sink.getvalue().to_pybytes()], pa.binary())], names=["block", "ids", "blob"])
 
     return docs.select(F.col("doc_id").cast("long"), "text", F.coalesce("lang", F.lit("und")).alias("lang")).mapInArrow(
-        pack, "block long, ids array<long>, blob binary")
+        releasing(pack), "block long, ids array<long>, blob binary")
 
 
 def _unpacked(packed: pa.Table):
@@ -155,6 +158,7 @@ def requests(packed: DataFrame, trusted: DataFrame, order: int) -> DataFrame:
                     rest = np.unique(gram[~own])
                     found[lang] = _merge(so_far, rest, np.zeros(len(rest), np.int64))
         block = docs.column("block")[0].as_py() if docs.num_rows else 0
+        release_memory()
         return pa.concat_tables([pa.table({
             "block": pa.array(np.full(len(g), block, np.int64)), "lang": pa.array([lang] * len(g), pa.string()),
             "gram": pa.array(g), "n": pa.array(n)}) for lang, (g, n) in found.items()] or [pa.table({
@@ -168,7 +172,7 @@ def requests(packed: DataFrame, trusted: DataFrame, order: int) -> DataFrame:
 # ---------------------------------------------------------------- the model
 
 def _low(column, k: int):
-    return F.col(column).bitwiseAND(F.lit((1 << BITS * k) - 1))
+    return F.col(column).bitwiseAND(F.lit((1 << BITS * k) - 1)) if BITS * k < 64 else F.col(column)
 
 
 def _with_language(rows: DataFrame, facts: DataFrame, how: str = "inner") -> DataFrame:
@@ -179,7 +183,7 @@ def _with_language(rows: DataFrame, facts: DataFrame, how: str = "inner") -> Dat
     return rows.withColumn("salt", salt).join(facts, ["lang", "salt"], how).drop("salt")
 
 
-def kneser_ney(counts: DataFrame, order: int) -> tuple[list[DataFrame], list[DataFrame], DataFrame]:
+def kneser_ney(counts: DataFrame, order: int, work: WorkTables) -> tuple[list[DataFrame], list[DataFrame], DataFrame]:
     """Modified Kneser-Ney tables from highest-order counts ``(lang, gram, n)``.
 
     Returns per order 1..n the seen grams' probabilities ``(lang, gram, p)`` and
@@ -199,17 +203,17 @@ def kneser_ney(counts: DataFrame, order: int) -> tuple[list[DataFrame], list[Dat
             F.expr(f"CASE WHEN n{i} > 0 THEN least({i}D, greatest(0.1D, {i} - {i + 1} * y * n{i + 1} / n{i})) ELSE 0.5D END").alias(f"d{i}")
             for i in (1, 2, 3)])
         own = _with_language(tables[k], d).select(
-            "lang", "gram", F.shiftright("gram", BITS).alias("ctx"), F.col("n").cast("double").alias("n"),
+            "lang", "gram", F.shiftrightunsigned("gram", BITS).alias("ctx"), F.col("n").cast("double").alias("n"),
             F.expr("CASE n WHEN 1 THEN d1 WHEN 2 THEN d2 ELSE d3 END").alias("d"))
         context = own.groupBy("lang", "ctx").agg(F.sum("n").alias("c"), F.sum("d").alias("mass"))
-        context = stored(context.select("lang", "ctx", "c", (F.col("mass") / F.col("c")).alias("g")), f"kn-ctx{k}")
+        context = work.stored(context.select("lang", "ctx", "c", (F.col("mass") / F.col("c")).alias("g")), f"kn-ctx{k}")
         own = own.join(context, ["lang", "ctx"])
         if k == 1:
             own = _with_language(own, p0).withColumnRenamed("p0", "lower")
         else:
             below = probabilities[-1].select("lang", F.col("gram").alias("suffix"), F.col("p").alias("lower"))
             own = own.withColumn("suffix", _low("gram", k - 1)).join(below, ["lang", "suffix"])
-        probabilities.append(stored(own.select(
+        probabilities.append(work.stored(own.select(
             "lang", "gram", ((F.col("n") - F.col("d")) / F.col("c") + F.col("g") * F.col("lower")).alias("p")), f"kn-p{k}"))
         weights.append(context.select("lang", "ctx", "g"))
     return probabilities, weights, p0
@@ -223,7 +227,7 @@ def scored_grams(grams: DataFrame, model, order: int) -> DataFrame:
         p = probabilities[k - 1].select("lang", F.col("gram").alias("low"), "p")
         w = weights[k - 1]
         out = (out.withColumn("low", _low("gram", k)).join(p, ["lang", "low"], "left")
-               .withColumn("ctx", F.shiftright("low", BITS)).join(w, ["lang", "ctx"], "left")
+               .withColumn("ctx", F.shiftrightunsigned("low", BITS)).join(w, ["lang", "ctx"], "left")
                .select("lang", "gram", F.coalesce("p", F.coalesce("g", F.lit(1.0)) * F.col("q")).alias("q")))
     return out.select("lang", "gram", (-F.log("q")).alias("nll"))
 
@@ -258,6 +262,7 @@ def document_scores(packed: DataFrame, answers: DataFrame, order: int) -> DataFr
                     "doc_id": t.column("doc_id").take(pa.array(rows)).combine_chunks(), "lang": pa.array([k] * len(rows), pa.string()),
                     "n_chars": pa.array([len(x or "") for x in texts], pa.int64()),
                     "nll": pa.array(total if k in of else [None] * len(rows), pa.float64())}))
+        release_memory()
         return pa.concat_tables(out) if out else pa.table({
             "doc_id": pa.array([], pa.int64()), "lang": pa.array([], pa.string()), "n_chars": pa.array([], pa.int64()), "nll": pa.array([], pa.float64())})
 
@@ -292,13 +297,14 @@ def classify(docs: DataFrame, labels: DataFrame, order: int = ORDER, reach: floa
     good = labels.groupBy(F.col("doc_id").cast("long").alias("doc_id")).agg(
         F.min("quality").alias("quality"), F.max(F.coalesce("toxic", F.lit(0))).alias("toxic"))
     good = good.filter("doc_id IS NOT NULL AND quality = 1 AND toxic = 0").select("doc_id")
-    packed = checkpointed(_packed(docs, block_chars))  # kept: both passes must meet the same blocks
-    ids = packed.select(F.explode("ids").alias("doc_id"), F.col("block").alias("of")).join(good, "doc_id", "left_semi").toDF("doc_id", "block")
-    asked = stored(requests(packed, ids, order), "kn-requests")
-    corpus = stored(asked.groupBy("lang", "gram").agg(F.sum("n").alias("n")), "kn-grams")
-    model = kneser_ney(corpus.filter("n > 0"), order)
-    answers = asked.select("block", "lang", "gram").join(scored_grams(corpus.select("lang", "gram"), model, order), ["lang", "gram"])
-    scores = stored(document_scores(packed, answers, order), "kn-scores")
+    with WorkTables(docs.sparkSession) as work:
+        packed = work.bucketed(_packed(docs, block_chars), "kn-blocks", "block")  # both passes meet the same blocks
+        ids = packed.select(F.explode("ids").alias("doc_id"), F.col("block").alias("of")).join(good, "doc_id", "left_semi").toDF("doc_id", "block")
+        asked = work.stored(requests(packed, ids, order), "kn-requests")
+        corpus = work.stored(asked.groupBy("lang", "gram").agg(F.sum("n").alias("n")), "kn-grams")
+        model = kneser_ney(corpus.filter("n > 0"), order, work)
+        answers = asked.select("block", "lang", "gram").join(scored_grams(corpus.select("lang", "gram"), model, order), ["lang", "gram"])
+        scores = stored(document_scores(packed, answers, order), "kn-scores")
 
     trusted = scores.join(good, "doc_id", "left_semi").filter("n_chars > 0 AND nll IS NOT NULL")
     middle = _quantiles(trusted.select("lang", (F.col("nll") / F.col("n_chars")).alias("score")), {"mid": 0.5})

@@ -24,10 +24,10 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import Slots, process_cache
+from .common import Slots, process_cache, releasing
 
 SPACE = "▁"
-CACHED_WORDS = 250_000
+CACHED_WORDS = 100_000
 CACHED_PAIRS = 1_000_000
 #: Longer words are encoded alone and not kept.
 LONG_WORD = 64
@@ -216,6 +216,10 @@ class Codec:
         if plain:
             self.words.update(zip(plain, self.run_all(plain)))
 
+    def forget(self) -> None:
+        """Drop the words kept: they are a task's, the vocabulary the worker's."""
+        self.words, self.older = {}, {}
+
     def word(self, w: str) -> tuple[int, ...]:
         """Ids of one word."""
         ids = []
@@ -280,6 +284,7 @@ def encoded(docs: DataFrame, model: str) -> DataFrame:
             yield pa.RecordBatch.from_arrays(
                 [b.column(0), pa.array(n, pa.int64()), pa.array(ids_sha, pa.string()), pa.array(decoded_sha, pa.string())],
                 names=["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"])
+        codec.forget()
 
     return docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(
-        kernel, "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string")
+        releasing(kernel), "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string")

@@ -10,10 +10,18 @@ from tessera.llm import quality as q
 LABELS = "doc_id long, quality int, toxic int"
 
 
+def units(text):
+    """UTF-16 code units, from the definition; U+0000 as U+FFFF."""
+    out = []
+    for c in map(ord, text):
+        out += [c or 0xFFFF] if c < 0x10000 else [0xD800 + (c - 0x10000 >> 10), 0xDC00 + (c - 0x10000 & 0x3FF)]
+    return out
+
+
 def slow_model(texts, order):
-    """Modified Kneser-Ney over symbol tuples, from the formulas."""
+    """Modified Kneser-Ney over tuples of code units, from the formulas."""
     def grams(text):
-        s = [0] * (order - 1) + q.symbols(text).tolist()
+        s = [0] * (order - 1) + units(text)
         return [tuple(s[i:i + order]) for i in range(len(s) - order + 1)]
 
     counts = {order: Counter(g for t in texts for g in grams(t))}
@@ -102,10 +110,10 @@ def test_blocks_are_bounded_for_any_ids(spark, monkeypatch):
     docs = [(i, t, "en") for i, t in enumerate(texts)] + [(None, t[::-1], "en") for t in texts] + [(7, texts[7], "en")] * 400
     table = spark.createDataFrame(docs, "doc_id long, text string, lang string").repartition(3)
     packed, requests = [], q.requests
-    monkeypatch.setattr(q, "requests", lambda p, *rest: packed.append(p) or requests(p, *rest))
+    monkeypatch.setattr(q, "requests", lambda p, *rest: packed.extend(p.select("block", "blob").collect()) or requests(p, *rest))
     got = q.classify(table, spark.createDataFrame([(i, 1, 0) for i in range(50)], LABELS), order=3, block_chars=10_000).collect()
     chars = Counter()
-    for r in packed[0].select("block", "blob").collect():
+    for r in packed:
         chars[r.block] += sum(len(x) for t in q._unpacked(__import__("pyarrow").table({"blob": [bytes(r.blob)]})) for x in t.column("text").to_pylist())
     assert sum(chars.values()) == sum(len(t) for _, t, _ in docs) and max(chars.values()) <= 10_000 + max(map(len, texts))
     model = slow_model([t for i, t, _ in docs if i is not None and i < 50], 3)
@@ -117,3 +125,21 @@ def test_blocks_are_bounded_for_any_ids(spark, monkeypatch):
         if r.doc_id is not None:
             t = texts[r.doc_id]
             assert r.log_ppl == pytest.approx((by_text[t] + q.PRIOR_CHARS * middle) / (len(t) + q.PRIOR_CHARS), abs=2 * q.BIN)
+
+
+def test_work_tables_are_deleted_and_texts_stay_in_their_buckets(spark, rows, tmp_path, monkeypatch):
+    docs, labels = rows
+    kept = spark.sparkContext.getCheckpointDir()
+    spark.sparkContext.setCheckpointDir(str(tmp_path))
+    plans, scores = [], q.document_scores
+    monkeypatch.setattr(q, "document_scores", lambda *a: plans.append(scores(*a)) or plans[-1])
+    try:
+        table = spark.createDataFrame(docs, "doc_id long, text string, lang string")
+        assert q.classify(table, spark.createDataFrame(labels, LABELS)).count() == len(docs)
+        left = {p.name.rsplit("-", 1)[0] for d in tmp_path.iterdir() for p in d.iterdir()}
+        assert left == {"kn-scores"}
+    finally:
+        if kept:
+            spark.sparkContext.setCheckpointDir(kept)
+    blobs = [line for line in plans[0]._jdf.queryExecution().executedPlan().toString().split("\n") if "blob" in line]
+    assert blobs and not any("Exchange" in line for line in blobs)
