@@ -1,8 +1,10 @@
 """Windowed GeoTIFF scan as a Python DataSource (``spark.read.format("geotiff")``).
 
-The driver reads only each file's header (IFD, georeference, segment
+The driver reads only the file's header (IFD, georeference, segment
 offsets) and plans the window grid; every ``InputPartition`` carries a group
-of pixel windows plus the byte ranges of the strips or tiles they touch.
+of pixel windows plus the byte ranges of the strips or tiles they touch (large
+uncompressed strips are cut by rows, so one strip serves many tasks). Folders
+of files are planned in the executors instead (``tessera.sources.mosaic``).
 Executors read those byte ranges (``pyarrow.fs``, so local, HDFS or object
 store paths work), decode them with numpy and yield Arrow record batches.
 
@@ -23,7 +25,7 @@ Options:
   is read whole;
 * neither: the file's own segment layout (its tiles, or bands of strips).
 
-Supported encodings: uncompressed, LZW and Deflate (compression 1, 5, 8, 32946),
+Supported encodings: uncompressed and Deflate (compression 1, 8, 32946),
 horizontal predictor 2 for integers, strips or tiles, one band read from
 single- or multi-band files, integer and float sample formats. Others raise.
 """
@@ -55,12 +57,13 @@ RASTER_PIXEL_IS_POINT = 2
 TYPE_SIZES = {1: 1, 2: 1, 3: 2, 4: 4, 5: 8, 6: 1, 7: 1, 8: 2, 9: 4, 10: 8, 11: 4, 12: 8, 16: 8, 17: 8, 18: 8}
 TYPE_CODES = {1: "B", 2: "s", 3: "H", 4: "I", 5: "II", 6: "b", 7: "B", 8: "h", 9: "i", 10: "ii",
               11: "f", 12: "d", 16: "Q", 17: "q", 18: "Q"}
-COMPRESSION_NONE, COMPRESSION_LZW, COMPRESSION_DEFLATE = (1,), (5,), (8, 32946)
-LZW_CLEAR, LZW_EOI, LZW_MAX_BITS = 256, 257, 12
+COMPRESSION_NONE, COMPRESSION_DEFLATE = (1,), (8, 32946)
 DEFAULT_SRID = 4326
 HEADER_PROBE = 1 << 16
 TARGET_CELLS_PER_PARTITION = 1 << 22
 SEGMENT_CACHE_BYTES = 256 << 20
+#: Uncompressed strips of more cells than this are cut by rows.
+STRIP_CELLS = 1 << 20
 
 
 def _open(path: str):
@@ -161,8 +164,8 @@ def read_header(path: str) -> TiffHeader:
         raise ValueError(f"{path}: unsupported sample format {fmt}/{bits} bits")
     dtype = np.dtype(f"{bo}{kind}{bits // 8}").str
     comp = one(TAG_COMPRESSION, 1)
-    if comp not in COMPRESSION_NONE + COMPRESSION_LZW + COMPRESSION_DEFLATE:
-        raise ValueError(f"{path}: compression {comp} is not supported (only none, LZW and Deflate)")
+    if comp not in COMPRESSION_NONE + COMPRESSION_DEFLATE:
+        raise ValueError(f"{path}: compression {comp} is not supported (only none and Deflate)")
     pred = one(TAG_PREDICTOR, 1)
     if pred not in (1, 2) or (pred == 2 and kind == "f"):
         raise ValueError(f"{path}: predictor {pred} is not supported for this sample format")
@@ -204,6 +207,26 @@ def read_header(path: str) -> TiffHeader:
         # the tiepoint names a cell centre: move the origin to the cell corner
         h.x0 -= h.dx / 2
         h.y0 += h.dy / 2
+    return _cut_strips(h)
+
+
+def _cut_strips(h: TiffHeader, cells: int = STRIP_CELLS) -> TiffHeader:
+    """Uncompressed strips of more than ``cells`` cells as several strips of fewer rows
+    (a divisor of theirs, or any number where the file is one strip)."""
+    if h.tiled or h.compression not in COMPRESSION_NONE or h.width * h.seg_h <= cells or h.seg_h == 1:
+        return h
+    rows = max(1, cells // h.width)
+    if h.seg_h < h.height:
+        rows = next(r for r in range(rows, 0, -1) if h.seg_h % r == 0)
+    row_bytes = h.width * (h.samples if h.planar == 1 else 1) * np.dtype(h.dtype).itemsize
+    across = math.ceil(h.height / h.seg_h)  # strips of a band
+    offsets, counts = [], []
+    for i, (offset, count) in enumerate(zip(h.offsets, h.counts)):
+        own = min(h.seg_h, h.height - i % across * h.seg_h)
+        for at in range(0, own, rows):
+            offsets.append(offset + at * row_bytes)
+            counts.append(min(rows, own - at) * row_bytes if count else 0)
+    h.seg_h, h.offsets, h.counts = rows, offsets, counts
     return h
 
 
@@ -289,42 +312,9 @@ def _segments(h: TiffHeader, win) -> list[tuple[int, int, int]]:
     return out
 
 
-def lzw_decode(data: bytes) -> bytes:
-    """TIFF LZW: MSB-first codes of 9 to 12 bits, Clear 256, EOI 257; the code
-    width grows when the table reaches 511, 1023 and 2047 entries."""
-    if data[:2] == b"\x00\x01":
-        raise ValueError("old-style (LSB-first) LZW is not supported")
-    out = bytearray()
-    table: list[bytes] = []
-    width, pos, nbits, prev = 9, 0, len(data) * 8, None
-    padded = data + b"\x00\x00\x00"
-    while pos + width <= nbits:
-        i = pos >> 3
-        code = (int.from_bytes(padded[i:i + 3], "big") >> (24 - (pos & 7) - width)) & ((1 << width) - 1)
-        pos += width
-        if code == LZW_CLEAR:
-            table = [bytes((b,)) for b in range(256)] + [b"", b""]
-            width, prev = 9, None
-            continue
-        if code == LZW_EOI:
-            break
-        if prev is None:
-            entry = table[code]
-        else:
-            entry = table[code] if code < len(table) else prev + prev[:1]
-            table.append(prev + entry[:1])
-            if len(table) == (1 << width) - 1 and width < LZW_MAX_BITS:
-                width += 1
-        out += entry
-        prev = entry
-    return bytes(out)
-
-
 def _decode(h: TiffHeader, buf: bytes) -> np.ndarray:
     if h.compression in COMPRESSION_DEFLATE:
         buf = zlib.decompress(buf)
-    elif h.compression in COMPRESSION_LZW:
-        buf = lzw_decode(buf)
     a = np.frombuffer(buf, dtype=np.dtype(h.dtype))
     k = h.samples if h.planar == 1 else 1  # interleaved samples per pixel
     rows = len(a) // (h.seg_w * k)
@@ -412,27 +402,21 @@ def _masked(h: TiffHeader, a: np.ndarray, mask: np.ndarray | None = None):
     return pa.array(a.reshape(-1).astype(t.to_pandas_dtype()), type=t, mask=m.reshape(-1))
 
 
-class GeoTiffReader(DataSourceReader):
-    def __init__(self, options: dict, schema: StructType):
-        self.paths = _expand(options["path"])
-        self.form = options.get("form", "cells")
-        self.chunk = int(options["chunk"]) if "chunk" in options else None
-        if self.form == "tiles":
-            self.chunk = int(options["tile_size"])
-        self.max_tile = int(options["max_tile"]) if "max_tile" in options else None
-        self.schema = schema
-        self.target = int(options.get("cells_per_partition", TARGET_CELLS_PER_PARTITION))
-        self.band = int(options.get("band", 0))
-        self.min_partitions = int(options.get("min_partitions", 1))
-        self.bounds: dict[str, list] = {}
+class WindowFilter:
+    """Which windows can hold cells inside pushed ranges, by column of the form read."""
+
+    def __init__(self, form: str, tile_size: int | None, box=None):
+        self.form, self.tile_size, self.bounds = form, tile_size, {}
+        if box is not None:
+            n = tile_size if form == "tiles" else 1
+            names = ("tc", "tr") if form == "tiles" else ("x", "y")
+            self.bounds = {names[0]: (box[0] // n, box[1] // n), names[1]: (box[2] // n, box[3] // n)}
 
-    def _keep(self, win, ox: int, oy: int) -> bool:
+    def keep(self, win, ox: int, oy: int) -> bool:
         """Window overlaps the pushed ranges (cell or tile coordinates)."""
-        if not self.bounds:
-            return True
         x, y, w, r = win
         if self.form == "tiles":
-            n = self.chunk
+            n = self.tile_size
             spans = {"tc": ((x + ox) // n, (x + ox) // n), "tr": ((y + oy) // n, (y + oy) // n)}
         else:
             spans = {"x": (x + ox, x + ox + w - 1), "y": (y + oy, y + oy + r - 1)}
@@ -442,6 +426,74 @@ class GeoTiffReader(DataSourceReader):
                 return False
         return True
 
+
+def window_groups(h: TiffHeader, chunk: int | None, max_tile: int | None, target: int, keep):
+    """Yields groups of about ``target`` cells of the windows to be read."""
+    group, cells = [], 0
+    for win in filter(keep, window_grid(h, chunk, max_tile)):
+        group.append(win)
+        cells += win[2] * win[3]
+        if cells >= target:
+            yield group
+            group, cells = [], 0
+    if group:
+        yield group
+
+
+def read_group(part: WindowGroup, form: str, tile_size: int | None):
+    """Arrow batches of a group's windows in one of the forms."""
+    import pyarrow as pa
+    h = part.header
+    cache = SegmentCache()
+    with _open(part.path) as f:
+        for win in part.windows:
+            x, y, w, r = win
+            if form == "grid":  # sizes from the header alone
+                yield pa.RecordBatch.from_arrays(
+                    [pa.array([part.path]), *[pa.array([k], pa.int32()) for k in (x + part.ox, y + part.oy, w, r)]],
+                    names=["path", "win_x", "win_y", "cols", "rows"])
+                continue
+            a = read_window(f, h, win, cache)
+            if form == "tiles":
+                n = tile_size
+                full = np.zeros((n, n), dtype=a.dtype)
+                full[:r, :w] = a
+                mask = np.ones((n, n), dtype=bool)  # padding beyond the raster is NoData
+                mask[:r, :w] = _nodata_mask(h, a)
+                vals = _masked(h, full, mask)
+                offs = pa.array([0, n * n], type=pa.int32())
+                yield pa.RecordBatch.from_arrays(
+                    [pa.array([(x + part.ox) // n], pa.int32()), pa.array([(y + part.oy) // n], pa.int32()),
+                     pa.ListArray.from_arrays(offs, vals)], names=["tc", "tr", "t"])
+            elif form == "windows":
+                offs = pa.array([0, w * r], type=pa.int32())
+                t = pa.ListArray.from_arrays(offs, _masked(h, a))
+                yield pa.RecordBatch.from_arrays(
+                    [pa.array([part.path]), pa.array([x + part.ox], pa.int32()),
+                     pa.array([y + part.oy], pa.int32()),
+                     pa.array([w], pa.int32()), pa.array([r], pa.int32()), t],
+                    names=["path", "win_x", "win_y", "cols", "rows", "t"])
+            else:
+                xs = np.tile(np.arange(x + part.ox, x + part.ox + w, dtype=np.int32), r)
+                ys = np.repeat(np.arange(y + part.oy, y + part.oy + r, dtype=np.int32), w)
+                yield pa.RecordBatch.from_arrays(
+                    [pa.array(xs), pa.array(ys), _masked(h, a)], names=["x", "y", "v"])
+
+
+class GeoTiffReader(DataSourceReader):
+    def __init__(self, options: dict, schema: StructType):
+        self.paths = _expand(options["path"])
+        self.form = options.get("form", "cells")
+        self.chunk = int(options["chunk"]) if "chunk" in options else None
+        if self.form == "tiles":
+            self.chunk = int(options["tile_size"])
+        self.max_tile = int(options["max_tile"]) if "max_tile" in options else None
+        self.schema = schema
+        self.target = int(options.get("cells_per_partition", TARGET_CELLS_PER_PARTITION))
+        self.band = int(options.get("band", 0))
+        self.min_partitions = int(options.get("min_partitions", 1))
+        self.filter = WindowFilter(self.form, self.chunk)
+
     def partitions(self):
         parts = []
         headers = [_with_band(read_header(p), self.band) for p in self.paths]
@@ -451,55 +503,12 @@ class GeoTiffReader(DataSourceReader):
         total = sum(h.width * h.height for h in headers)
         target = max(1, min(self.target, -(-total // self.min_partitions)))
         for p, h, (ox, oy) in zip(self.paths, headers, offsets):
-            wins = [w for w in window_grid(h, self.chunk, self.max_tile) if self._keep(w, ox, oy)]
-            group, cells = [], 0
-            for win in wins:
-                group.append(win)
-                cells += win[2] * win[3]
-                if cells >= target:
-                    parts.append(WindowGroup(p, _slim(h, group), group, ox, oy))
-                    group, cells = [], 0
-            if group:
+            for group in window_groups(h, self.chunk, self.max_tile, target, lambda w: self.filter.keep(w, ox, oy)):
                 parts.append(WindowGroup(p, _slim(h, group), group, ox, oy))
         return parts
 
     def read(self, part: WindowGroup):
-        import pyarrow as pa
-        h = part.header
-        cache = SegmentCache()
-        with _open(part.path) as f:
-            for win in part.windows:
-                x, y, w, r = win
-                if self.form == "grid":  # sizes from the header alone
-                    yield pa.RecordBatch.from_arrays(
-                        [pa.array([part.path]), *[pa.array([k], pa.int32()) for k in (x + part.ox, y + part.oy, w, r)]],
-                        names=["path", "win_x", "win_y", "cols", "rows"])
-                    continue
-                a = read_window(f, h, win, cache)
-                if self.form == "tiles":
-                    n = self.chunk
-                    full = np.zeros((n, n), dtype=a.dtype)
-                    full[:r, :w] = a
-                    mask = np.ones((n, n), dtype=bool)  # padding beyond the raster is NoData
-                    mask[:r, :w] = _nodata_mask(h, a)
-                    vals = _masked(h, full, mask)
-                    offs = pa.array([0, n * n], type=pa.int32())
-                    yield pa.RecordBatch.from_arrays(
-                        [pa.array([(x + part.ox) // n], pa.int32()), pa.array([(y + part.oy) // n], pa.int32()),
-                         pa.ListArray.from_arrays(offs, vals)], names=["tc", "tr", "t"])
-                elif self.form == "windows":
-                    offs = pa.array([0, w * r], type=pa.int32())
-                    t = pa.ListArray.from_arrays(offs, _masked(h, a))
-                    yield pa.RecordBatch.from_arrays(
-                        [pa.array([part.path]), pa.array([x + part.ox], pa.int32()),
-                         pa.array([y + part.oy], pa.int32()),
-                         pa.array([w], pa.int32()), pa.array([r], pa.int32()), t],
-                        names=["path", "win_x", "win_y", "cols", "rows", "t"])
-                else:
-                    xs = np.tile(np.arange(x + part.ox, x + part.ox + w, dtype=np.int32), r)
-                    ys = np.repeat(np.arange(y + part.oy, y + part.oy + r, dtype=np.int32), w)
-                    yield pa.RecordBatch.from_arrays(
-                        [pa.array(xs), pa.array(ys), _masked(h, a)], names=["x", "y", "v"])
+        yield from read_group(part, self.form, self.chunk)
 
 
 class GeoTiffPushdownReader(GeoTiffReader):
@@ -516,12 +525,12 @@ class GeoTiffPushdownReader(GeoTiffReader):
             a = getattr(f, "attribute", None)
             v = getattr(f, "value", None)
             if a and len(a) == 1 and a[0] in cols and isinstance(v, (int, float)) and not isinstance(v, bool):
-                lo, hi = self.bounds.setdefault(a[0], [None, None])
+                lo, hi = self.filter.bounds.setdefault(a[0], [None, None])
                 if isinstance(f, (GreaterThan, GreaterThanOrEqual, EqualTo)):
                     lo = v if lo is None else max(lo, v)
                 if isinstance(f, (LessThan, LessThanOrEqual, EqualTo)):
                     hi = v if hi is None else min(hi, v)
-                self.bounds[a[0]] = [lo, hi]
+                self.filter.bounds[a[0]] = [lo, hi]
         return list(filters)
 
 
@@ -558,6 +567,15 @@ def _expand(path: str) -> list[str]:
     return out
 
 
+def is_folder(path: str) -> bool:
+    """Whether a path names one folder."""
+    from pyarrow import fs
+    if "," in path:
+        return False
+    f, q = fs.FileSystem.from_uri(path) if "://" in path else (fs.LocalFileSystem(), path)
+    return f.get_file_info(q).type == fs.FileType.Directory
+
+
 class GeoTiffDataSource(DataSource):
     @classmethod
     def name(cls) -> str:
@@ -602,10 +620,13 @@ def read_geotiff(spark, path: str, name: str | None = None, chunk: int | None =
                  max_tile: int | None = None, form: str = "cells", band: int = 0):
     """GeoTIFF as a ``Layer`` (cells) or a windows DataFrame.
 
-    The driver reads the headers of all files (georeference, size, segment
-    offsets) to place them; cell data is read by the executors.
+    The driver reads the file's header (georeference, size, segment offsets);
+    cell data is read by the executors. Folders are planned there altogether.
     """
     from ..layer import Georef, Layer
+    if is_folder(path):
+        from .mosaic import read_mosaic
+        return read_mosaic(spark, path, name, chunk, max_tile, form, band)
     register(spark)
     r = (spark.read.format("geotiff").option("form", form).option("pushdown", _pushdown(spark))
          .option("band", str(band))
@@ -626,6 +647,9 @@ def read_geotiff_tiles(spark, path: str, tile_size: int, name: str | None = None
     reads its aligned windows and pads edge tiles, so no shuffle is needed.
     Returns (tile layer, layer metadata from the header: cols, rows)."""
     from ..layer import Georef, LayerMeta, TileLayer
+    if is_folder(path):
+        from .mosaic import read_mosaic
+        return read_mosaic(spark, path, name, form="tiles", band=band, tile_size=tile_size)
     register(spark)
     df = (spark.read.format("geotiff").option("form", "tiles").option("tile_size", str(tile_size))
           .option("pushdown", _pushdown(spark)).option("band", str(band))

@@ -6,52 +6,9 @@ import zlib
 import numpy as np
 
 
-def lzw_encode(data: bytes) -> bytes:
-    """TIFF LZW encoder (test fixtures only): Clear first, code width grows
-    when the next free code passes 511/1023/2047, Clear again before 4094."""
-    out, acc, nacc = bytearray(), 0, 0
-
-    def put(code, width):
-        nonlocal acc, nacc
-        acc = (acc << width) | code
-        nacc += width
-        while nacc >= 8:
-            nacc -= 8
-            out.append((acc >> nacc) & 0xFF)
-
-    table = {bytes((i,)): i for i in range(256)}
-    nxt, width = 258, 9
-    put(256, width)
-    w = b""
-    for c in data:
-        wc = w + bytes((c,))
-        if wc in table:
-            w = wc
-            continue
-        put(table[w], width)
-        table[wc] = nxt
-        nxt += 1
-        if nxt > (1 << width) - 1 and width < 12:
-            width += 1
-        if nxt == 4094:
-            put(256, width)
-            table = {bytes((i,)): i for i in range(256)}
-            nxt, width = 258, 9
-        w = bytes((c,))
-    if w:
-        put(table[w], width)
-        nxt += 1
-        if nxt > (1 << width) - 1 and width < 12:
-            width += 1
-    put(257, width)
-    if nacc:
-        out.append((acc << (8 - nacc)) & 0xFF)
-    return bytes(out)
-
-
 def write_tiff(path, a, *, tile=None, rows_per_strip=None, deflate=False, predictor=1,
                nodata=None, georef=None, epsg=None, big_endian=False, compression=None, bigtiff=False,
-               pixel_is_point=False, transform=None, sparse=(), lzw=False):
+               pixel_is_point=False, transform=None, sparse=()):
     a = np.asarray(a)
     planes = [a] if a.ndim == 2 else list(a)  # (bands, h, w) -> band-separate file
     a = planes[0]
@@ -71,9 +28,9 @@ def write_tiff(path, a, *, tile=None, rows_per_strip=None, deflate=False, predic
         if predictor == 2:
             s = np.diff(s, axis=1, prepend=np.zeros((s.shape[0], 1), dtype=s.dtype)).astype(s.dtype)
         b = s.tobytes()
-        blobs.append(zlib.compress(b) if deflate else (lzw_encode(b) if lzw else b))
+        blobs.append(zlib.compress(b) if deflate else b)
     nb = len(planes)
-    tags = {256: (4, [w]), 257: (4, [h]), 258: (3, [bits] * nb), 259: (3, [compression or (8 if deflate else (5 if lzw else 1))]),
+    tags = {256: (4, [w]), 257: (4, [h]), 258: (3, [bits] * nb), 259: (3, [compression or (8 if deflate else 1)]),
             262: (3, [1]), 277: (3, [nb]), 284: (3, [2 if nb > 1 else 1]), 317: (3, [predictor]),
             339: (3, [kind] * nb)}
     if tile:
