@@ -2,7 +2,7 @@
 
 Filters over 2, 3 and 4 bytes, the maximum of each filter over a window of
 ``WINDOW`` bytes, and a softmax. Training takes a bounded sample: up to
-``PER_LANGUAGE`` documents of each of at most ``LANGUAGES`` languages, chosen by
+``PER_LANGUAGE`` documents of each language (``SAMPLE_DOCUMENTS`` in all), chosen by
 a hash of their ids, with up to ``SAMPLE_WINDOWS`` windows of each. Prediction
 reads every window of every whole text, in batches; a text's language is the
 one with the highest mean log probability over its windows, weighted by bytes.
@@ -19,7 +19,8 @@ WINDOW = 256
 WIDTHS = (2, 3, 4)
 FILTERS = 8
 PER_LANGUAGE = 400
-LANGUAGES = 200
+#: Documents learnt from in all; languages beyond it give one each.
+SAMPLE_DOCUMENTS = 80_000
 SAMPLE_WINDOWS = 4
 EPOCHS = 6
 BATCH = 64
@@ -144,24 +145,31 @@ def predict(texts: list[str | None], languages: list[str], scorer: Scorer | None
 
 # ---------------------------------------------------------------- on tables
 
-def sample(docs: DataFrame, per_language: int = PER_LANGUAGE, languages: int = LANGUAGES) -> list[tuple[str, str]]:
-    """``(lang, window)`` rows to learn from: at most ``per_language`` documents of each
-    of the ``languages`` most frequent languages, by the smallest hash of their ids."""
+def sample(docs: DataFrame, per_language: int = PER_LANGUAGE, rows: int = SAMPLE_DOCUMENTS) -> list[tuple[str, str]]:
+    """``(lang, window)`` rows to learn from: at most ``per_language`` documents of every
+    language, fewer where all languages together would pass ``rows`` documents.
+
+    Rows are drawn one by one, by a hash of the row and its place, so that equal ids
+    or texts don't come and go together: what is collected follows the bound
+    however the rows repeat.
+    """
     known = docs.filter("lang IS NOT NULL AND text IS NOT NULL AND length(text) > 0 AND doc_id IS NOT NULL")
-    sizes = known.groupBy("lang").count().orderBy(F.desc("count"), "lang").limit(languages).collect()
+    sizes = known.groupBy("lang").count().collect()  # the classes of the model
     if not sizes:
         return []
-    # Twice the wanted share by hash, then the smallest hashes: what is collected follows the bound, not the input.
-    share = F.create_map(*[F.lit(v) for r in sizes for v in (r["lang"], min(1.0, 2.0 * per_language / r["count"]))])
-    draw = F.pmod(F.xxhash64("doc_id"), F.lit(1 << 40))
+    per_language = max(1, min(per_language, rows // len(sizes)))
+    # Twice the wanted share by hash, then the smallest hashes.
+    shares = [(r["lang"], min(1 << 40, int((1 << 40) * 2.0 * per_language / r["count"]) if r["count"] > 8 * per_language else 1 << 40)) for r in sizes]
+    share = F.broadcast(docs.sparkSession.createDataFrame(shares, "lang string, share long"))
+    draw = F.pmod(F.xxhash64("doc_id", "text", F.monotonically_increasing_id()), F.lit(1 << 40))
     cuts = F.array_distinct(F.transform(
         F.sequence(F.lit(0), F.lit(SAMPLE_WINDOWS - 1)),
         lambda k: F.substring("text", F.floor(F.length("text") * k / SAMPLE_WINDOWS).cast("int") + 1, F.lit(WINDOW))))
-    rows = known.withColumn("draw", draw).filter(F.col("draw") < share[F.col("lang")] * (1 << 40)).select("lang", "draw", "doc_id", cuts.alias("cuts")).collect()
-    rows.sort(key=lambda r: (r.lang, r.draw, r.doc_id, r.cuts))
+    drawn = known.withColumn("draw", draw).join(share, "lang").filter("draw < share").select("lang", "draw", "doc_id", cuts.alias("cuts")).collect()
+    drawn.sort(key=lambda r: (r.lang, r.draw, r.doc_id, r.cuts))
     taken: dict[str, int] = {}
     out = []
-    for r in rows:
+    for r in drawn:
         taken[r.lang] = taken.get(r.lang, 0) + 1
         if taken[r.lang] <= per_language:
             out += [(r.lang, c) for c in r.cuts if c]

@@ -70,3 +70,18 @@ def test_fast_scores_equal_the_network():
     logit = np.tanh(np.concatenate(pooled, 1)) @ net["out"] + net["bias"]
     want = logit - np.log(np.exp(logit).sum(1, keepdims=True))
     assert np.allclose(langid.Scorer(net)(x), want, atol=1e-4)
+
+
+def test_rows_of_one_id_and_many_languages(spark, rows):
+    """A language with all its rows on one id, equal rows by the thousand, 300 languages."""
+    from collections import Counter
+
+    from helpers_llm import TEXT
+    free = next(i for i in range(1000, 1100) if not held_out(i))
+    more = [(free, f"ñandú {k} señor año", "es", "s", 1) for k in range(6000)] + [(free + 4, "один и тот же", "ru", "s", 1)] * 6000
+    more += [(i, f"{chr(0x4E00 + i % 300)} rare {i}", f"x{i % 300}", "s", 1) for i in range(2000, 2600)]
+    got = Counter(lang for lang, _ in langid.sample(spark.createDataFrame([*rows, *more], TEXT).repartition(5)))
+    assert {"es", "ru", "en", *(f"x{k}" for k in range(300))} <= set(got)
+    assert got["es"] > 0 and max(got.values()) <= langid.PER_LANGUAGE * langid.SAMPLE_WINDOWS
+    drawn = langid.sample(spark.createDataFrame(more, TEXT).repartition(5), per_language=50)
+    assert 45 <= sum(c == "один и тот же"[:langid.WINDOW] for _, c in drawn) <= 50
