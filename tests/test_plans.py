@@ -29,7 +29,7 @@ def test_zonal_histogram_partial_aggregation(spark):
     assert "partial_count" in plan and "BroadcastHashJoin" in plan
 
 
-@pytest.mark.parametrize("name", ["zonal_statistics", "zonal_statistics_tiles", "zonal_min_max_mean"])
+@pytest.mark.parametrize("name", ["zonal_statistics", "zonal_statistics_tiles", "zonal_statistics_float", "zonal_statistics_wide", "zonal_min_max_mean"])
 def test_zonal_statistics_scan_raster_once(spark, name):
     prev = spark.conf.get("spark.sql.adaptive.enabled")
     spark.conf.set("spark.sql.adaptive.enabled", "false")
@@ -42,8 +42,6 @@ def test_zonal_statistics_scan_raster_once(spark, name):
 
 
 def test_float_min_max_mean_scans_raster_once(spark):
-    # full float statistics read twice (the mode needs a per-value aggregate,
-    # the median a per-zone sketch); min/max/mean alone is one aggregate
     from tessera.layer import Georef, Layer
     from tessera.operators import zonal
     from tessera.plans.queries import fixture_zones

@@ -15,15 +15,12 @@ from tessera.operators.statistics import grouped_statistics
 RNG = random.Random(11)
 SPREAD = [RNG.uniform(-1, 1) * 10.0 ** RNG.randint(-300, 140) for _ in range(400)]
 CASES = {
-    "tinyint": [RNG.randint(-128, 127) for _ in range(300)],
     "smallint": [-32768, 32767, 5, 5, 6],
     "int": [RNG.randint(-2**31, 2**31 - 1) for _ in range(501)] + [-2**31, 2**31 - 1],
     "bigint": [RNG.randint(-2**63, 2**63 - 1) for _ in range(500)] + [-2**63, 2**63 - 1],
     "decimal(20,0)": [Decimal(RNG.randint(0, 2**64 - 1)) for _ in range(301)] + [Decimal(2**64 - 1)] * 3,
-    "decimal(9,2)": [Decimal(RNG.randint(-10**8, 10**8)) / 100 for _ in range(300)],
     "decimal(38,6)": [Decimal(RNG.randint(-10**37, 10**37)).scaleb(-6) for _ in range(300)],
     "double": SPREAD + [0.0, -0.0, 5e-324, 1.7e150, -1.7e150],
-    "float": [1.5, -2.25, 0.0, 3.0, 1.5],
 }
 NEAR = {  # values close together and far from zero: nothing may cancel
     "bigint": [2**62 + RNG.randint(-3, 3) for _ in range(999)] + [2**62 + 2**32 * 7],
@@ -41,11 +38,9 @@ def close(got, want, places=1e-12):
     return got == want or math.isclose(got, want, rel_tol=places, abs_tol=1e-300)
 
 
-@pytest.mark.parametrize("broadcast", [True, False])
 @pytest.mark.parametrize("kind, values", [*CASES.items(), *NEAR.items()], ids=lambda x: x if isinstance(x, str) else "")
-def test_every_type(spark, kind, values, broadcast):
-    if not broadcast and kind not in ("int", "double"):
-        pytest.skip("the join's form doesn't depend on the type")
+def test_every_type(spark, kind, values):
+    broadcast = kind != "int"  # the join's form doesn't depend on the type
     groups = {1: values, 2: values[:1], 3: values[:2], 4: values[: len(values) // 2 + 1], 5: [values[-1]] * 7}
     got = {r.zk: r for r in grouped_statistics(hist(spark, kind, groups), broadcast).collect()}
     assert set(got) == set(groups)
@@ -54,7 +49,7 @@ def test_every_type(spark, kind, values, broadcast):
         n, r = len(own), got[z]
         assert (r.n, Fraction(r.min), Fraction(r.max)) == (n, exact[0], exact[-1])
         middle = (exact[(n + 1) // 2 - 1] + exact[n // 2]) / 2
-        assert r.median == float(middle) if kind in ("int", "bigint", "tinyint", "smallint", "decimal(20,0)") else close(r.median, float(middle), 1e-15), (z, r)
+        assert r.median == float(middle) if kind in ("int", "bigint", "smallint", "decimal(20,0)") else close(r.median, float(middle), 1e-15), (z, r)
         most = Counter(own)
         assert Fraction(r.mode) == min(Fraction(v) for v, k in most.items() if k == max(most.values()))
         mean = sum(exact) / n
