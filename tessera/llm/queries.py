@@ -73,6 +73,9 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
 
 _TEMPLATES = ", ".join(f"('{name}', '{text}')" for name, text in licenses.TEMPLATES)
 
+_PEM = (r"-----BEGIN [A-Z ]{0,40}PRIVATE KEY-----(?:[\x20\t\r\n]*Proc-Type:[^\n]*\n[\x20\t\r\n]*DEK-Info:[^\n]*\n)?"
+        r"(?:[^-]*-----END [A-Z ]{0,40}PRIVATE KEY-----|(?:[\x20\t\r\n]+[A-Za-z0-9+/]{40,}={0,2})*(?:[\x20\t\r\n]+[A-Za-z0-9+/]+={1,2})?)")
+
 SQL: dict[str, str] = {
     # Brute force: every template's shingles against every document's.
     "op1_licenses": rf"""
@@ -106,7 +109,7 @@ rules(k, kind, rx, g, least) AS (VALUES
   (1, 'access', '(AKIA[A-Z0-9]+)', 1, 20),
   (2, 'hex', '([0-9a-f]+)', 1, 24),
   (3, 'github', '(gh[pousr]_[A-Za-z0-9]{36,})', 1, 1),
-  (4, 'pem', '(-----BEGIN [A-Z ]{0,40}PRIVATE KEY-----)', 1, 1)),
+  (4, 'pem', '(@PEM@)', 1, 1)),
 m AS (
   SELECT r, 0 AS k, regexp_extract_all(t, '((?i:password|passwd|secret|token|api_?key))["'']?\x20*[:=]\x20*["'']?([A-Za-z0-9+/_.=-]+)', 0) AS m,
     regexp_extract_all(t, '((?i:password|passwd|secret|token|api_?key))["'']?\x20*[:=]\x20*["'']?([A-Za-z0-9+/_.=-]+)', 2) AS v,
@@ -114,7 +117,7 @@ m AS (
   UNION ALL SELECT r, 1, regexp_extract_all(t, 'AKIA[A-Z0-9]+'), regexp_extract_all(t, 'AKIA[A-Z0-9]+'), string_split_regex(t, 'AKIA[A-Z0-9]+') FROM d
   UNION ALL SELECT r, 2, regexp_extract_all(t, '[0-9a-f]+'), regexp_extract_all(t, '[0-9a-f]+'), string_split_regex(t, '[0-9a-f]+') FROM d
   UNION ALL SELECT r, 3, regexp_extract_all(t, 'gh[pousr]_[A-Za-z0-9]{36,}'), regexp_extract_all(t, 'gh[pousr]_[A-Za-z0-9]{36,}'), string_split_regex(t, 'gh[pousr]_[A-Za-z0-9]{36,}') FROM d
-  UNION ALL SELECT r, 4, regexp_extract_all(t, '-----BEGIN [A-Z ]{0,40}PRIVATE KEY-----'), regexp_extract_all(t, '-----BEGIN [A-Z ]{0,40}PRIVATE KEY-----'), string_split_regex(t, '-----BEGIN [A-Z ]{0,40}PRIVATE KEY-----') FROM d),
+  UNION ALL SELECT r, 4, regexp_extract_all(t, '@PEM@'), regexp_extract_all(t, '@PEM@'), string_split_regex(t, '@PEM@') FROM d),
 e AS (SELECT r, k, unnest(range(1, len(m) + 1)) AS j, m, v, p FROM m WHERE len(m) > 0),
 x AS (SELECT r, k, j, length(m[j]) AS n, length(v[j]) AS nv, length(p[j]) AS gap FROM e),
 s AS (SELECT r, k, nv, n, sum(gap + n) OVER (PARTITION BY r, k ORDER BY j) AS stop FROM x),
@@ -124,7 +127,7 @@ g AS (SELECT r, count(*) FILTER (k = 0) AS n_assign, count(*) FILTER (k = 1) AS
   string_agg(kind || ':' || a || ':' || b, ',' ORDER BY a, k) AS spans FROM f GROUP BY r)
 SELECT doc_id, coalesce(n_assign, 0) AS n_assign, coalesce(n_access, 0) AS n_access, coalesce(n_hex, 0) AS n_hex,
   sha256(coalesce(base, '')) AS base_sha256, coalesce(spans, '') AS spans
-FROM d LEFT JOIN g USING (r)""",
+FROM d LEFT JOIN g USING (r)""".replace("@PEM@", _PEM),
     # Rebuilt conversations as lists of turns; a node is a list, its subtree all lists that begin with it.
     "op11_conversation_trie": """
 WITH t AS (

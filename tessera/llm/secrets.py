@@ -7,6 +7,9 @@ they are intersected by a grouped set per row key, the queries are evaluated
 on the set, and only candidate rows are verified with the rule's expression.
 Rules without a mandatory trigram scan every text. All of it is DataFrame
 expressions; spans come from the lengths of matches and the pieces between.
+Running places along a text's matches are found in two levels (blocks of about
+the root of their number), so a text with very many matches costs little more
+than its length.
 """
 
 from __future__ import annotations
@@ -43,10 +46,12 @@ BASE = (
     Rule("access", r"AKIA[A-Z0-9]{16,}"),
     Rule("hex", r"[0-9a-f]{24,}"),
 )
-#: Kinds that the library adds.
+#: Kinds that the library adds. A private key runs to its END line; where that is
+#: missing, over the lines of base64 digits below the header.
 ADDED = (
     Rule("github", r"gh[pousr]_[A-Za-z0-9]{36,}"),
-    Rule("pem", r"-----BEGIN [A-Z ]{0,40}PRIVATE KEY-----"),
+    Rule("pem", r"-----BEGIN [A-Z ]{0,40}PRIVATE KEY-----(?:[\x20\t\r\n]*Proc-Type:[^\n]*\n[\x20\t\r\n]*DEK-Info:[^\n]*\n)?"
+                r"(?:[^-]*+-----END [A-Z ]{0,40}PRIVATE KEY-----|(?:[\x20\t\r\n]++[A-Za-z0-9+/]{40,}+={0,2})*+(?:[\x20\t\r\n]+[A-Za-z0-9+/]+={1,2})?)"),
 )
 MARK = "[SECRET]"
 
@@ -183,14 +188,36 @@ def candidates(docs: DataFrame, rules: tuple[Rule, ...]) -> DataFrame:
 
 # ---------------------------------------------------------------- spans
 
+SPANS = "array<struct<start:int,order:int,kind:string,end:int>>"
+
+
+def _let(value: Column, body) -> Column:
+    """``body(value)`` with the value computed once, however often the body names it."""
+    return F.transform(F.array(value), body)[0]
+
+
+def _blocks(items: Column) -> Column:
+    """A non-empty array cut into about as many blocks as a block has items (picked by
+    index: a slice would copy the whole array for each block)."""
+    size, last = F.ceil(F.sqrt(F.size(items))).cast("int"), F.size(items) - 1
+    return F.transform(F.sequence(F.lit(0), last, size), lambda k: F.transform(
+        F.sequence(k, F.least(k + size - 1, last)), lambda i: F.get(items, i)))
+
+
+def _carried(blocks: Column, first: Column, after) -> Column:
+    """The running value before each block, and after the last: ``after(value, block)``
+    is the value that a block leaves."""
+    return F.aggregate(blocks, F.array(first), lambda acc, b: F.concat(acc, F.array(after(F.element_at(acc, -1), b))))
+
+
 def _spans(rule: Rule, order: int, text: Column) -> Column:
     """array<struct<start, order, kind, end>> of a rule's matches, in code points."""
     regex = F.lit(rule.regex)
     pieces, found = F.split(text, rule.regex, -1), F.regexp_extract_all(text, regex, F.lit(0))
-    tested = F.regexp_extract_all(text, regex, F.lit(rule.group))
+    tested = F.regexp_extract_all(text, regex, F.lit(rule.group)) if rule.group else found
     rows = F.arrays_zip(F.transform(pieces, F.length).alias("gap"), F.transform(found, F.length).alias("size"),
                         F.transform(tested, F.length).alias("tested"))
-    empty = F.array().cast("array<struct<start:int,order:int,kind:string,end:int>>")
+    none = F.array().cast(SPANS)
 
     def step(acc, x):
         start = acc["at"] + x["gap"]
@@ -198,10 +225,14 @@ def _spans(rule: Rule, order: int, text: Column) -> Column:
         return F.struct((start + F.coalesce(x["size"], F.lit(0))).alias("at"),
                         F.when(x["tested"] >= rule.least, F.concat(acc["spans"], F.array(span))).otherwise(acc["spans"]).alias("spans"))
 
-    return F.aggregate(rows, F.struct(F.lit(0).alias("at"), empty.alias("spans")), step, lambda a: a["spans"])
+    def of_block(block, at):
+        return F.aggregate(block, F.struct(at.alias("at"), none.alias("spans")), step, lambda a: a["spans"])
 
+    def ends(at, block):
+        return F.aggregate(block, at, lambda n, x: n + x["gap"] + F.coalesce(x["size"], F.lit(0)))
 
-SPANS = "array<struct<start:int,order:int,kind:string,end:int>>"
+    return _let(rows, lambda r: _let(_blocks(r), lambda b: F.flatten(F.zip_with(
+        b, F.slice(_carried(b, F.lit(0), ends), F.lit(1), F.size(b)), of_block))))
 
 
 def _scanned(docs: DataFrame, rules: tuple[Rule, ...]) -> DataFrame:
@@ -248,13 +279,28 @@ def redacted(docs: DataFrame) -> DataFrame:
     """``docs``, all columns, with every span (overlapping ones as one) replaced by
     ``MARK``; ``n_chars``, if there, follows where the text changed."""
     text = F.col("row.text")
-    start = F.struct(F.lit(0).alias("at"), F.lit("").alias("out"))
 
-    def step(acc, s):
-        gap = F.when(s["start"] >= acc["at"], F.concat(F.substring(text, acc["at"] + 1, s["start"] - acc["at"]), F.lit(MARK))).otherwise("")
-        return F.struct(F.greatest(acc["at"], s["end"]).alias("at"), F.concat(acc["out"], gap).alias("out"))
+    def of_block(block, reach):
+        """The text from where the spans before the block end to where its own do."""
+        first, last = reach["first"], reach["last"]
+
+        def cut(own):
+            def step(acc, s):
+                gap = F.concat(acc["out"], F.substring(own, acc["at"] - first + 1, s["start"] - acc["at"]), F.lit(MARK))
+                return F.struct(F.greatest(acc["at"], s["end"]).alias("at"), F.when(s["start"] >= acc["at"], gap).otherwise(acc["out"]).alias("out"))
+
+            return F.aggregate(block, F.struct(first.alias("at"), F.lit("").alias("out")), step, lambda a: a["out"])
+
+        return _let(F.substring(text, first + 1, last - first), cut)
+
+    def after(at, block):
+        return F.greatest(at, F.array_max(F.transform(block, lambda s: s["end"])))
+
+    def hidden(blocks, reached):
+        reach = F.arrays_zip(F.slice(reached, F.lit(1), F.size(blocks)).alias("first"), F.slice(reached, F.lit(2), F.size(blocks)).alias("last"))
+        return F.concat(F.array_join(F.zip_with(blocks, reach, of_block), ""), F.substring(text, F.element_at(reached, -1) + 1, F.length(text)))
 
-    done = F.aggregate("spans", start, step, lambda a: F.concat(a["out"], F.substring(text, a["at"] + 1, F.length(text))))
+    done = _let(_blocks(F.col("spans")), lambda b: _let(_carried(b, F.lit(0), after), lambda reached: hidden(b, reached)))
     changed = F.size("spans") > 0
     rows = _scanned(docs, BASE + ADDED).select("row", "spans", F.when(changed, done).otherwise(text).alias("new_text"))
     columns = []
