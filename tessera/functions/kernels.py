@@ -61,6 +61,58 @@ def assembled_tiles(n: int):
     return run
 
 
+def summed_tiles(layers: int, cells: int):
+    """mapInArrow function: tiles (tc, tr, raster, t) sorted by key and raster -> (tc, tr, t),
+    the cell-wise sums of the keys that all ``layers`` rasters have. Holds one running
+    sum (and one batch) at a time. A cell that is NULL anywhere is NULL in the sum,
+    integers that overflow raise, and so does a raster's second tile of such a key."""
+
+    def run(batches):
+        import pyarrow as pa
+        import pyarrow.compute as pc
+
+        def values_of(column, j):
+            """One tile's cells; decimals widened, so that sums of many fit."""
+            values = column[j].values
+            if values is None:
+                return pa.nulls(cells, kind.value_type)
+            return values.cast(pa.decimal256(60, values.type.scale)) if pa.types.is_decimal(values.type) else values
+
+        def plus(a, b):
+            total = pc.add(a, b) if pa.types.is_floating(a.type) else pc.add_checked(a, b)
+            return total.cast(a.type)
+
+        def tile(key, total):
+            t = pa.ListArray.from_arrays(pa.array([0, len(total)], pa.int32()), total.cast(kind.value_type))
+            return pa.RecordBatch.from_arrays([*(pa.array([k], pa.int32()) for k in key), t], names=["tc", "tr", "t"])
+
+        def whole():
+            if met == layers and twice:
+                raise ValueError("a tile appears more than once in a raster")
+            return met == layers
+
+        key, total, met, last, twice = None, None, 0, -1, False
+        for b in batches:
+            tc, tr, raster = (b.column(k).to_numpy() for k in range(3))
+            kind = b.column(3).type
+            for j in range(b.num_rows):
+                if key != (tc[j], tr[j]):
+                    if whole():
+                        yield tile(key, total)
+                    key, total, met, last, twice = (tc[j], tr[j]), None, 0, -1, False
+                if raster[j] == last:
+                    twice = True
+                    continue
+                last, met = raster[j], met + 1
+                if met == raster[j] + 1:  # no raster missing so far
+                    values = values_of(b.column(3), j)
+                    total = values if total is None else plus(total, values)
+        if key and whole():
+            yield tile(key, total)
+
+    return run
+
+
 def box_sums(vals: np.ndarray, valid: np.ndarray, r: int):
     """Sum and count of valid cells in the (2r+1)^2 square, per tile only
     (cells beyond the tile border are not seen). Integer sums stay exact."""

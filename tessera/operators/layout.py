@@ -19,10 +19,11 @@ from ..layer import Georef, Layer, TileLayer
 from ..session import default_parallelism
 
 
-def layer_metadata(layer: Layer, tile_size: int) -> DataFrame:
-    """Metadata of a layer from its data: bounds, size, layout, map extent."""
+def layer_metadata(layer: Layer, tile_size: int, facts: DataFrame | None = None) -> DataFrame:
+    """Metadata of a layer from its data: bounds, size, layout, map extent. ``facts``
+    of a stored layer (``footers.stored_metadata``) spare the scan."""
     g = layer.georef
-    m = layer.metadata()
+    m = layer.metadata() if facts is None else facts
     cols = F.col("xmax") + 1
     rows = F.col("ymax") + 1
     return m.select(

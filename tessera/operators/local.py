@@ -13,6 +13,7 @@ from functools import reduce
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..functions import kernels
 from ..functions import tiles as tf
 from ..layer import Layer, LayerMeta, TileLayer, cell_offset, intersection
 
@@ -195,18 +196,15 @@ def _covered(out: TileLayer, layers: list[TileLayer]) -> TileLayer:
 
 
 def add_n_tiles(layers: list[TileLayer]) -> TileLayer:
-    """Tile-wise sum of n rasters in one shuffle: union, group by tile key,
-    fold the arrays element-wise. Tiles missing from any raster are dropped."""
+    """Tile-wise sum of n rasters in one shuffle: union, exchange by tile key, and the
+    sorted tiles of a key added up as they stream by, so a task holds a running sum
+    and never the n tiles of a key. Tiles missing from any raster are dropped."""
     if not layers:
         raise ValueError("add_n_tiles needs at least one layer")
-    k = len(layers)
     vt = _tile_sum_type(layers)
-    u = reduce(DataFrame.unionByName, [_shifted_tiles(layers[0], l).select("tc", "tr", F.struct(F.lit(i).alias("raster"), F.col("t").cast(vt).alias("t")).alias("e"))
+    u = reduce(DataFrame.unionByName, [_shifted_tiles(layers[0], l).select("tc", "tr", F.lit(i).alias("raster"), F.col("t").cast(vt).alias("t"))
                                        for i, l in enumerate(layers)])
-    g = u.groupBy("tc", "tr").agg(F.collect_list("e").alias("ts"))
-    g = g.where(F.size(F.array_distinct("ts.raster")) == k)
-    g = g.where(F.when(F.size("ts") == k, F.lit(True)).otherwise(
-        F.raise_error(F.lit("a tile appears more than once in a raster")).cast("boolean")))
-    ts = F.array_sort("ts")["t"]
-    summed = F.aggregate(F.slice(ts, 2, k), ts[0], lambda acc, t: tf.tile_add(acc, t))
-    return _covered(layers[0].with_df(g.select("tc", "tr", summed.alias("t"))), layers)
+    cells = layers[0].tile_size ** 2
+    by_key = u.repartition("tc", "tr").sortWithinPartitions("tc", "tr", "raster")
+    summed = by_key.mapInArrow(kernels.summed_tiles(len(layers), cells), f"tc int, tr int, t {vt}")
+    return _covered(layers[0].with_df(summed), layers)

@@ -45,6 +45,8 @@ SQL["scan_cells"] = with_grids("SELECT x, y, v FROM a", "A")
 SQL["layer_metadata"] = with_grids(
     "\nUNION ALL\n".join(_metadata(n) for n in ("A", "B", "C")), "A", "B", "C")
 
+SQL["layer_metadata_stored"] = SQL["layer_metadata"]
+
 SQL["tile_layout"] = with_grids(f"""SELECT tc, tr, CAST({N * N} AS BIGINT) AS tile_cells,
   count(v) AS data_cells,
   CAST(coalesce(sum(((y % {N}) * {N} + x % {N} + 1) * CAST(v AS BIGINT)), 0) AS BIGINT) AS checksum

@@ -8,14 +8,18 @@ collects. ``tessera.plans.oracle`` holds the matching DuckDB SQL.
 from __future__ import annotations
 
 import os
+import uuid
 from collections.abc import Callable
 from dataclasses import replace
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from .. import sinks
 from ..layer import Georef, Layer
 from ..operators import focal, layout, local, sweep, zonal
+from ..session import ensure_checkpoint_dir
+from ..sources.footers import stored_metadata
 from ..sources.geojson import ZoneSet, read_zones
 from ..sources.grids import GEOREF_A, grid_a, grid_b, grid_c, grid_unsigned, grid_wide
 
@@ -69,6 +73,18 @@ def layer_metadata(spark, sf):
                     "ext_xmin", "ext_ymin", "ext_xmax", "ext_ymax")
 
 
+@query("layer_metadata_stored")
+def layer_metadata_stored(spark, sf):
+    """The grids stored as cell tables in the shared folder, told from their footers."""
+    folder = f"{ensure_checkpoint_dir(spark)}/cells-{uuid.uuid4().hex}"
+    found = []
+    for g in (grid_a, grid_b, grid_c):
+        layer = g(spark, sf)
+        sinks.save_cells(layer, f"{folder}/{layer.name}")
+        found.append(layout.layer_metadata(layer, TILE, stored_metadata(spark, f"{folder}/{layer.name}")))
+    return _rounded(_union(found), "ext_xmin", "ext_ymin", "ext_xmax", "ext_ymax")
+
+
 @query("tile_layout")
 def tile_layout(spark, sf):
     return layout.tile_layout(grid_a(spark, sf).to_tiles(TILE))

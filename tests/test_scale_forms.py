@@ -16,6 +16,7 @@ from tessera.functions import kernels
 from tessera.layer import Georef, Layer
 from tessera.operators import focal, local, zonal
 from tessera.plans import queries
+from tessera.sources import footers
 from tessera.sources.geojson import read_zones
 
 
@@ -191,3 +192,58 @@ def test_box_sums_of_tiles(kind, r):
     for k, y, x in [(0, 0, 0), (1, 5, 6), (2, 11, 11), (0, 11, 3)]:
         own = slice(max(0, y - r), y + r + 1), slice(max(0, x - r), x + r + 1)
         assert c[k, y, x] == ok[k][own].sum() and s[k, y, x] == pytest.approx((v[k] * ok[k])[own].sum(), abs=1e-12)
+
+
+# ---------------------------------------------------------------- sums of many tiles
+
+def test_fifty_tile_layers_are_summed_as_a_stream(spark):
+    base = raster(spark, 20, 11)
+    plus = [base.with_df(base.df.select("x", "y", (F.col("v") + i).alias("v"))) for i in range(50)]
+    got = rows(local.add_n_tiles([l.to_tiles(8) for l in plus]).to_cells().df)
+    assert got == rows(base.df.select("x", "y", (F.col("v").cast("long") * 50 + sum(range(50)))))
+
+
+@pytest.mark.parametrize("kind, big", [("decimal(20,0)", 10**18), ("double", 0.5), ("bigint", 2**61)])
+def test_tile_sums_of_every_type(spark, kind, big):
+    layer = raster(spark, 9, 5).with_df(raster(spark, 9, 5).df.select("x", "y", (F.col("v") + F.lit(big)).cast(kind).alias("v")))
+    got = {(x, y): v for x, y, v in local.add_n_tiles([layer.to_tiles(4)] * 3).to_cells().df.collect()}
+    assert got == {(x, y): None if v is None else v * 3 for x, y, v in layer.df.collect()}
+
+
+def test_tiles_that_a_raster_lacks_and_repeated_ones(spark):
+    tiles = raster(spark, 12, 8).to_tiles(4)
+    some = tiles.with_df(tiles.df.where("tc <> 1"))
+    twice = tiles.with_df(tiles.df.unionByName(tiles.df))
+    assert {r.tc for r in local.add_n_tiles([tiles, some, tiles]).df.collect()} == {0, 2}
+    assert local.add_n_tiles([some.with_df(some.df.where("tc = 9")), tiles, twice]).df.collect() == []
+    with pytest.raises(Exception, match="more than once"):
+        local.add_n_tiles([tiles, twice, some]).df.collect()
+
+
+def test_sums_beyond_64_bits_raise(spark):
+    big = raster(spark, 4, 4, lambda x, y: 2**62, "bigint").to_tiles(4)
+    with pytest.raises(Exception, match="overflow"):
+        local.add_n_tiles([big, big, big]).df.collect()
+
+
+# ---------------------------------------------------------------- facts from footers
+
+def test_stored_metadata_reads_no_data_pages(spark, tmp_path):
+    layer = raster(spark, 30, 17, lambda x, y: None if x % 4 == 0 else y)
+    sinks.save_cells(layer, str(tmp_path / "cells"), 5)
+    facts = footers.file_facts(spark, str(tmp_path / "cells")).collect()
+    assert len(facts) > 1 and all(f.groups_read == 0 for f in facts)
+    assert footers.stored_metadata(spark, str(tmp_path / "cells")).collect() == layer.metadata().collect()
+
+
+def test_stored_metadata_without_statistics(spark, tmp_path):
+    import pyarrow as pa
+    import pyarrow.parquet as pq
+    cells = pa.table({"x": pa.array([3, 4, 9], pa.int32()), "y": pa.array([7, 1, 2], pa.int32()), "v": [1.5, float("nan"), None]})
+    for name, kept in (("a", True), ("b", False)):
+        (tmp_path / name).mkdir()
+        pq.write_table(cells, tmp_path / name / "p.parquet", write_statistics=kept, row_group_size=2)
+        pq.write_table(cells.slice(0, 0), tmp_path / name / "none.parquet")
+        facts = {f.path.rsplit("/", 1)[1]: f for f in footers.file_facts(spark, str(tmp_path / name)).collect()}
+        assert facts["p.parquet"].groups_read == 2 and facts["none.parquet"].xmin is None
+        assert [tuple(r) for r in footers.stored_metadata(spark, str(tmp_path / name)).collect()] == [(3, 9, 1, 7, 3, 1)]
