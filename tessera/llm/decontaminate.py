@@ -9,9 +9,10 @@ bands of one row a window like that is missed with a probability below 2e-6.
 Candidates are verified by exact containment of the item's shingles (as
 strings) in the whole document.
 
-The items are the stated query set. They are taken in blocks of at most
-``BLOCK_CHARS`` characters; each block's sketches go to the tasks with the
-function, and the documents are scanned once per block, never shuffled.
+The items are the stated query set. Equal rows are counted and taken once; the
+distinct ones go in blocks of about ``BLOCK_CHARS`` characters (``ITEM_CHARS`` more
+for each item). Each block's sketches go to the tasks with the function, and the
+documents are scanned once per block, never shuffled.
 """
 
 from __future__ import annotations
@@ -29,6 +30,8 @@ SHINGLE = 5
 CONTAINMENT = 0.8
 HASHES = 32
 BLOCK_CHARS = 16_000_000
+#: What an item costs beside its text, in characters: its sketch and its id.
+ITEM_CHARS = 64
 #: Shingles of a task's documents that are sketched at once.
 SLICE = 1 << 20
 _WORD = re.compile(r"\w+")
@@ -74,19 +77,20 @@ def permutations(n: int = HASHES) -> np.ndarray:
 
 
 class Index:
-    """Sketches of a block of items by size class."""
+    """Sketches of a block of items by size class; ``copies`` tells how often each
+    stands in the table (once, if not given)."""
 
-    def __init__(self, items: list[tuple[int | None, str | None]]):
+    def __init__(self, items: list[tuple[int | None, str | None]], copies: list[int] | None = None):
         ids, c = _WordIds(), permutations()
         self.items, by_class = [], {}
-        for item_id, text in items:
+        for (item_id, text), n in zip(items, copies or [1] * len(items)):
             w = words(text)
             s = shingles(w)
             if s:
                 u = 1 << max(1, (len(s) - 1).bit_length())
                 keys = (np.unique(hashes(w, ids))[None, :] ^ c[:, None]).min(1)
                 by_class.setdefault(u, []).append((keys, len(self.items)))
-                self.items.append((item_id, s))
+                self.items.append((item_id, s, n))
         self.classes = {}
         for u, rows in sorted(by_class.items()):
             keys = np.concatenate([k for k, _ in rows])
@@ -128,19 +132,19 @@ class Index:
         return found
 
     def matches(self, texts: list[str | None], containment: float = CONTAINMENT):
-        """Yields (document, item_id, shared, size) for verified pairs."""
+        """Yields (document, item_id, shared, size, copies) for verified pairs."""
         ids, todo, size = _WordIds(), [], 0
 
         def run():
             sets = {}
             for d, i in sorted(self.candidates([h for _, h in todo])):
-                item_id, s = self.items[i]
+                item_id, s, copies = self.items[i]
                 at = todo[d][0]
                 if at not in sets:
                     sets = {at: shingles(words(texts[at]))}
                 shared = len(s & sets[at])
                 if shared >= containment * len(s) - 1e-9:
-                    yield at, item_id, shared, len(s)
+                    yield at, item_id, shared, len(s), copies
 
         for at, t in enumerate(texts):
             h = hashes(words(t), ids)
@@ -158,12 +162,14 @@ def _ranks(count: np.ndarray) -> np.ndarray:
 
 
 def _blocks(benchmark: DataFrame, block_chars: int):
-    items = benchmark.select(F.col("item_id").cast("long").alias("item_id"), "text")
-    chars = items.agg(F.sum(F.length("text")).alias("n")).first().n or 0
+    items = benchmark.select(F.col("item_id").cast("long").alias("item_id"), "text").filter(F.length("text") > 0)
+    items = items.groupBy("item_id", "text").agg(F.count(F.lit(1)).alias("copies"))
+    chars = items.agg(F.sum(F.length("text") + ITEM_CHARS).alias("n")).first().n or 0
     blocks = 1 + int(chars) // block_chars
     for k in range(blocks):
         rows = items.filter(F.pmod(F.xxhash64("item_id", "text"), F.lit(blocks)) == k).collect()
-        yield Index(sorted(((r.item_id, r.text) for r in rows), key=lambda r: (r[0] is None, r[0] or 0, r[1] or "")))
+        rows.sort(key=lambda r: (r.item_id is None, r.item_id or 0, r.text))
+        yield Index([(r.item_id, r.text) for r in rows], [r.copies for r in rows])
 
 
 def contained(docs: DataFrame, benchmark: DataFrame, containment: float = CONTAINMENT,
@@ -182,15 +188,16 @@ def contained(docs: DataFrame, benchmark: DataFrame, containment: float = CONTAI
         def kernel(batches, index=index):
             for b in batches:
                 got = list(index.matches(b.column(1).to_pylist(), containment))
-                at, item, shared, size = zip(*got) if got else ((),) * 4
+                at, item, shared, size, copies = zip(*got) if got else ((),) * 5
                 yield pa.RecordBatch.from_arrays(
                     [b.column(0).take(pa.array(at, pa.int64())), pa.array(item, pa.int64()), pa.array(shared, pa.int64()),
-                     pa.array(size, pa.int64()), pa.array([x / y for x, y in zip(shared, size)], pa.float64())],
-                    names=["doc_id", "item_id", "n_shared", "n_item", "containment"])
+                     pa.array(size, pa.int64()), pa.array([x / y for x, y in zip(shared, size)], pa.float64()), pa.array(copies, pa.int64())],
+                    names=["doc_id", "item_id", "n_shared", "n_item", "containment", "copies"])
 
-        part = docs.mapInArrow(releasing(kernel), "doc_id long, item_id long, n_shared long, n_item long, containment double")
+        part = docs.mapInArrow(releasing(kernel), "doc_id long, item_id long, n_shared long, n_item long, containment double, copies long")
         out = part if out is None else out.union(part)
-    return out
+    # a repeated item's pairs, once for each of its rows
+    return out.select("*", F.explode(F.sequence(F.lit(1), "copies")).alias("copy")).drop("copies", "copy")
 
 
 def decontaminated(docs: DataFrame, benchmark: DataFrame, containment: float = CONTAINMENT,

@@ -50,6 +50,20 @@ def test_equals_brute_force(spark, planted, block_chars):
     assert sorted((tuple(r) for r in got.collect()), key=str) == want
 
 
+def test_a_third_of_the_items_alike(spark, planted):
+    """Repeated items are collected once, and blocks keep near their size."""
+    docs, items = planted
+    from helpers_llm import TEXT
+    many = items + [items[0]] * 3000 + [(None, None)] * 3000 + [(k, "") for k in range(3000)]
+    bench = spark.createDataFrame(many, ITEMS).repartition(5)
+    blocks = [index.items for index in dc._blocks(bench, 6000)]
+    taken = [i for b in blocks for i in b]
+    assert len(blocks) > 3 and len(taken) == len({(k, frozenset(s)) for k, s, _ in taken}) < len(items)
+    assert max(c for _, _, c in taken) == 3001
+    got = dc.contained(spark.createDataFrame(docs[-31:], TEXT), bench, block_chars=6000)
+    assert sorted((tuple(r) for r in got.collect()), key=str) == slow(docs[-31:], many)
+
+
 def test_filter_keeps_clean_rows_and_columns(spark, planted, clashing, empty):
     docs, items = planted
     from helpers_llm import TEXT
