@@ -1,3 +1,7 @@
+import random
+import re
+import time
+
 import public_tokenizers
 import pytest
 import tiktoken
@@ -79,6 +83,74 @@ def test_tree_uses_neighbours_and_links():
     assert "\n\n" in ht.main_text(a, ht.tree_of())
     assert ht.main_text(f"<body>{a}{links}{links}</body>", ht.tree_of()).count("word") == 90
 
+T = " ".join(["word"] * 40)
+LINK = "<a href=/x>link link</a>"
+
+
+@pytest.mark.parametrize("page, want", [
+    (f"<p><a name='top'>Lead word</p><p>{T}</p><p>word</p>", 42),
+    (f"<body><p>{T} <a href=/b>word</p><p>{T}</p><p>word</p><p>{T}</p></body>", 122),
+    (f"<body><a href=/x><div><p>{LINK}</p></div></a><p>{T}</p></body>", 40),
+    ("<p>Short word.</p>", 1),
+    (f"<div><h1>A word</h1></div><div>{T}</div><div>Hi word.</div><div>{T}</div><div>word</div>", 83),
+    (f'<article><img alt="x <i>leak</i> word"><p>{T}</p></article>', 40),
+    ('<article data-x="a <b> c > d"><p>word</p></article>', 1),
+    ("<article><p title='a=\"b > c'>word</p><p title=\"never closed>word</p><p class='y'>word</p></article>", 3),
+    (f"<body><ul><li class=ad>{T}<li>{T}</ul><table><tr><td class=sidebar>{T}<td>{T}</table></body>", 80),
+    (f"<body><p class='ad'>{T}<p>{T}<p hidden>{T}</p><div style='display:none'>{T}</div></body>", 40),
+    (f"<article><p>{T}</p><noscript><p>{T}</p><svg></article>", 80),
+])
+def test_scanner(page, want):
+    assert ht.main_text(page, ht.tree_of()).replace(".", "").split().count("word") == want
+
+
+@pytest.mark.parametrize("hint", ["class=topbar", "class=alert", "class=paywall", "class=discussion", "class='user-reviews'", "class='comment-body'", "id=disqus_thread",
+                                  "class='ad-slot-container'", "id='ad-slot-12'", "role=complementary", "role=contentinfo", "role=alert", "role=search", "class='cookie-content'"])
+def test_furniture_names(hint):
+    page = f"<body><div {hint}><p>{T}</p></div><div class='article-body'><p>{T}</p></div></body>"
+    assert ht.main_text(page, ht.tree_of()).split().count("word") == 40
+
+
+def used(tree):
+    return set() if isinstance(tree, bool) else {ht.FEATURES[tree[0]]} | used(tree[2]) | used(tree[3])
+
+
+def held_out():
+    """Pages of plain div and p elements that are not in the labelled table: blocks, labels."""
+    rng, out = random.Random(11), []
+    for _ in range(200):
+        blocks = [f"-{n}/{n}" for n in (rng.randint(1, 3) for _ in range(rng.randint(2, 8)))]
+        blocks += [f"+{rng.randint(3, 12)}h"] * rng.randint(0, 1) + [f"+{rng.randint(26, 120)}"]
+        for _ in range(rng.randint(1, 8)):
+            n = rng.choice([rng.randint(1, 10), rng.randint(20, 140)])
+            blocks.append(f"+{n}/{rng.randint(0, n // 8)}")
+        blocks.append(f"+{rng.randint(26, 90)}")
+        blocks += [f"-{rng.randint(1, 4)}h"] * rng.randint(0, 1) + [f"-{n}/{n}" for n in (rng.randint(2, 12) for _ in range(rng.randint(2, 6)))]
+        out.append(ht.labelled_blocks(" ".join(blocks)))
+    return out
+
+
+def test_neighbours_decide():
+    tree = ht.tree_of()
+    assert {"words", "links", "words after", "links before", "links after"} <= used(tree)
+    blind = ht.tree_of([re.sub(r"[bf]", "", page) for page in ht.LABELLED if not re.search("[bf]", page)])  # never saw a place
+    pages = held_out()
+    for t, least in ((tree, 0.97), (blind, 0.95)):
+        right = [ht.decide(t, x) == label for blocks, labels in pages for x, label in zip(ht.features(blocks), labels)]
+        assert sum(right) / len(right) >= least
+    # whole pages: from markup to text
+    page = f"<body><div>{LINK}</div><div>{LINK}</div><h2>A word</h2><p>{T}</p><p>word</p><p>{T}</p><h3>More</h3><div>{LINK}</div><div>{LINK}</div><div>Made by us</div></body>"
+    assert ht.main_text(page, tree) == f"A word\n\n{T}\n\nword\n\n{T}"
+    assert ht.main_text(page, blind) == f"A word\n\n{T}\n\nword\n\n{T}"
+
+
+def test_unmatched_tags_take_linear_time():
+    start = time.time()
+    for page in ("<div>" * 20_000 + "</section>" * 20_000, "<a x=\"" * 20_000, "<a x=\">" * 20_000, "<noscript>x" * 20_000, "<button>" * 20_000,
+                 "<a href=x>" * 20_000, "<li>x" * 20_000, "<a " + "= " * 50_000, "<td " + "x='" * 50_000):
+        ht.main_text(page, ht.tree_of())
+    assert time.time() - start < 20
+
 
 def slow_sections(text, encoding):
     """Each token's first byte decides; spans in code points."""
