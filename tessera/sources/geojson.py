@@ -1,7 +1,8 @@
 """GeoJSON zone scan (Polygon and MultiPolygon features).
 
-``read_zones`` reads a FeatureCollection (``multiLine``) or newline-delimited
-features (one Feature per line, splittable) with a fixed schema. The
+``read_zones`` reads a FeatureCollection (``multiLine``, or by byte ranges where
+files are large, see ``features.py``) or newline-delimited features (one Feature
+per line, splittable) with a fixed schema. The
 ``coordinates`` field is declared as a string, which keeps its raw JSON for
 both nesting depths; ``from_json`` then parses it per geometry type. All
 geometries end up in MultiPolygon form ``array<polygon>``, polygon =
@@ -17,6 +18,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..session import default_parallelism
+from . import features
 
 # Fixed feature properties of the zone files: NAME (string) and ID (int).
 PROPERTIES = T.StructType([
@@ -39,7 +41,7 @@ COLLECTION = T.StructType([
     T.StructField("features", T.ArrayType(FEATURE)),
 ])
 
-# FeatureCollection files above this size get their features spread over tasks.
+# FeatureCollection files above this size (all together) are read by byte ranges.
 SPREAD_BYTES = 64 << 20
 
 POLYGON = "array<array<array<double>>>"
@@ -126,21 +128,22 @@ def read_zones(spark: SparkSession, path: str, zone_set: str = "zones", srid: in
     Input that does not parse (a cut-off file, a broken line, an ID that is no
     int, unreadable coordinates) raises; nothing is skipped.
 
-    Large vector sets are best stored one Feature per line (``lines=True``):
-    those files split across tasks, while a FeatureCollection file is parsed
-    whole by one task.
+    Small FeatureCollection files are parsed whole, one task a file. Beyond
+    ``SPREAD_BYTES`` they are read by byte ranges, in two passes; features one per
+    line (``lines=True``) need only one.
 
     ``validate`` runs one small job over the zone table: feature ids must be
     present and unique (a duplicate raises).
     """
     if lines:
         feats = spark.read.schema(FEATURE).option("mode", "FAILFAST").json(path)
+    elif (large := _total_bytes(path) > SPREAD_BYTES) and _reachable(path) and features.splittable(spark, path):
+        feature = F.from_json("text", FEATURE, {"mode": "FAILFAST"})
+        feats = features.feature_texts(spark, path).select(feature.alias("f")).select("f.*")
     else:
         coll = spark.read.schema(COLLECTION).option("multiLine", True).option("mode", "FAILFAST").json(path)
         feats = coll.select(F.explode("features").alias("f")).select("f.*")
-        # a FeatureCollection file is parsed by one task; when it is large,
-        # spread its features so edge and crossing generation run in parallel
-        if _total_bytes(path) > SPREAD_BYTES:
+        if large:  # parsed by one task a file: spread for edge and crossing generation
             feats = feats.repartition(max(1, default_parallelism(spark)))
     zones = ZoneSet(features_to_zones(feats, zone_set), zone_set, srid)
     if validate:
@@ -192,6 +195,16 @@ def _total_bytes(path: str) -> int:
         return SPREAD_BYTES + 1
 
 
+def _reachable(path: str) -> bool:
+    """Whether pyarrow's file systems reach the path."""
+    try:
+        from pyarrow import fs
+        f, p = fs.FileSystem.from_uri(path) if "://" in path else (fs.LocalFileSystem(), path)
+        return f.get_file_info(p).type != fs.FileType.NotFound
+    except Exception:
+        return False
+
+
 def check_ids(zones: DataFrame) -> int:
     """Feature ids must be present and unique, and their hash keys distinct.
     One small job; returns the zone count."""
