@@ -17,6 +17,9 @@ from ..functions import kernels
 from ..functions import tiles as tf
 from ..layer import Layer, LayerMeta, TileLayer, cell_offset, intersection
 
+# Cells of a row segment that add packs before its exchange.
+SEGMENT = 1024
+
 
 # ---------------------------------------------------------------- cell form
 
@@ -55,14 +58,60 @@ def add(a: Layer, b: Layer, name: str | None = None) -> Layer:
     whole cells to a's grid; grids that do not line up raise. The sum has the
     wider of both types, and integer sums one size more (int + int is bigint),
     so it cannot overflow where the inputs are ints. Both sides grow with the
-    rasters, so neither is broadcast. A repeated cell of either raster raises
+    rasters, so neither is broadcast: cells are packed into row segments before
+    the exchange and the segments joined. A repeated cell of either raster raises
     where the other has the cell.
     """
     vt = _sum_type([a, b])
-    l = a.df.select("x", "y", F.col("v").cast(vt).alias("va"))
-    r = _shifted(a, b).select("x", "y", F.col("v").cast(vt).alias("vb"))
-    j = _met_once(l.join(r.hint("merge"), ["x", "y"], "inner"), ["x", "y"], "a cell (x, y)")
-    return a.with_df(j.select("x", "y", (F.col("va") + F.col("vb")).alias("v")), name)
+    j = _segments(a.df, "a").join(_segments(_shifted(a, b), "b").hint("merge"), ["y", "seg"])
+    met = j.select("y", "seg", F.explode(F.when(F.col("dense_a") & F.col("dense_b"), _met_by_place(vt)).otherwise(_met_by_order(vt))).alias("e"))
+    return a.with_df(met.select((F.col("seg") * SEGMENT + F.col("e.s")).cast("int").alias("x"), "y", F.col("e.v").alias("v")), name)
+
+
+def _segments(cells: DataFrame, side: str) -> DataFrame:
+    """``(y, seg, s, m, v, dense)``, all but the key named by ``side``: cells by row segment
+    as three arrays in the same order (place in the segment, whether NoData, value), and
+    whether they are a gapless run of places in ascending order. Arrays of plain values are
+    collected before the exchange, so a cell travels in 3 bytes and its value."""
+    s, m, v = (f"{c}_{side}" for c in "smv")
+    zero = F.lit(0).cast(cells.schema["v"].dataType)
+    packed = cells.groupBy("y", F.floor(F.col("x") / SEGMENT).cast("int").alias("seg")).agg(
+        F.collect_list(F.pmod(F.col("x"), F.lit(SEGMENT)).cast("short")).alias(s), F.collect_list(F.col("v").isNull()).alias(m),
+        F.collect_list(F.coalesce("v", zero)).alias(v))
+    first = F.get(s, F.lit(0)).cast("int")
+    return packed.withColumn(f"dense_{side}", F.col(s).cast("array<int>") == F.sequence(first, first + F.size(s) - 1))
+
+
+def _met_by_place(vt: str):
+    """``(s, v)`` of the cells of two gapless segments: both values are found by place."""
+    a, b = (F.get(f"s_{side}", F.lit(0)).cast("int") for side in "ab")
+    low, high = F.greatest(a, b), F.least(a + F.size("s_a"), b + F.size("s_b")) - 1
+
+    def cell(k):
+        both = ~F.get("m_a", k - a) & ~F.get("m_b", k - b)
+        return F.struct(k.alias("s"), F.when(both, F.get("v_a", k - a).cast(vt) + F.get("v_b", k - b).cast(vt)).alias("v"))
+
+    return F.when(low <= high, F.transform(F.sequence(low, high), cell))
+
+
+def _met_by_order(vt: str):
+    """``(s, v)`` of the cells of any two segments: both sides sorted together by place,
+    where a cell of a comes right before b's. Others there are repeated cells."""
+    def side(k):
+        return F.transform(F.sequence(F.lit(0), F.size(f"s_{k}") - 1), lambda i: F.struct(
+            F.get(f"s_{k}", i).cast("int").alias("s"), F.lit(k).alias("side"), F.when(~F.get(f"m_{k}", i), F.get(f"v_{k}", i).cast(vt)).alias("v")))
+
+    def pairs(cells):
+        def cell(e, i):
+            after = F.get(cells, i + 1)
+            again = F.coalesce(F.get(cells, i - 1)["s"] == e["s"], F.lit(False)) | F.coalesce(F.get(cells, i + 2)["s"] == e["s"], F.lit(False))
+            met = F.coalesce((e["side"] == "a") & (after["side"] == "b") & (after["s"] == e["s"]), F.lit(False))
+            once = F.when(met & again, F.raise_error(F.lit("a cell (x, y) appears more than once in a raster")).cast("boolean")).otherwise(met)
+            return F.when(once, F.struct(e["s"].alias("s"), (e["v"] + after["v"]).alias("v")))
+
+        return F.array_compact(F.transform(cells, cell))
+
+    return F.flatten(F.transform(F.array(F.array_sort(F.concat(side("a"), side("b")))), pairs))  # a lambda, so that cells are sorted once
 
 
 def _met_once(joined: DataFrame, key: list[str], what: str) -> DataFrame:
