@@ -18,6 +18,7 @@ documents are scanned once per block, never shuffled.
 from __future__ import annotations
 
 import re
+from collections.abc import Iterable
 
 import numpy as np
 import pyarrow as pa
@@ -32,8 +33,9 @@ HASHES = 32
 BLOCK_CHARS = 16_000_000
 #: What an item costs beside its text, in characters: its sketch and its id.
 ITEM_CHARS = 64
-#: Shingles of a task's documents that are sketched at once.
-SLICE = 1 << 20
+#: Shingles of a task's documents that are sketched at once, and words whose hashes are kept.
+SLICE = 1 << 17
+KEPT_WORDS = 50_000
 _WORD = re.compile(r"\w+")
 _ODD = np.array([0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0xD6E8FEB86659FD93, 0xFF51AFD7ED558CCD], np.uint64)
 
@@ -52,7 +54,7 @@ class _WordIds(dict):
     def __missing__(self, word):
         import xxhash
 
-        if len(self) > 400_000:
+        if len(self) > KEPT_WORDS:
             self.clear()
         self[word] = x = xxhash.xxh64_intdigest(word.encode("utf-8", "surrogatepass"))
         return x
@@ -111,44 +113,49 @@ class Index:
         count = -(-n // width)
         start = np.cumsum(n) - n
         at = np.repeat(start, count) + width * _ranks(count)
-        low = np.stack([np.minimum.reduceat(all_h ^ c, at) for c in permutations()])
-        found = set()
+        levels = []  # per class: each half's neighbour and document, and the halves merged for the next class
         for u in (1 << k for k in range(min(self.classes).bit_length() - 1, max(self.classes).bit_length())):
             first = np.cumsum(count) - count
-            last = np.repeat(first + count - 1, count)
-            here = np.arange(len(last))
-            if u in self.classes:
-                keys, which, bitmap = self.classes[u]
-                win = np.minimum(low, low[:, np.minimum(here + 1, last)])
-                hit = np.nonzero(bitmap[(win & np.uint64((1 << 20) - 1)).astype(np.int64)])
-                value, doc = win[hit], np.repeat(owner, count)[hit[1]]
-                a, b = np.searchsorted(keys, value, "left"), np.searchsorted(keys, value, "right")
-                for d, x, y in zip(doc[b > a].tolist(), a[b > a].tolist(), b[b > a].tolist()):
-                    found.update((d, i) for i in which[x:y].tolist())
-            half = -(-count // 2)  # merge pairs of halves for the next class
+            last = first + count - 1
+            beside = np.minimum(np.arange(count.sum()) + 1, np.repeat(last, count))
+            half = -(-count // 2)
             left = np.repeat(first, half) + 2 * _ranks(half)
-            low = np.minimum(low[:, left], low[:, np.minimum(left + 1, np.repeat(first + count - 1, half))])
+            levels.append((u, beside, np.repeat(owner, count), left))
             count = half
+        found = set()
+        for c in permutations():  # one at a time: memory is that of the hashes, not HASHES times as much
+            low = np.minimum.reduceat(all_h ^ c, at)
+            for u, beside, doc, left in levels:
+                win = np.minimum(low, low[beside])
+                if u in self.classes:
+                    keys, which, bitmap = self.classes[u]
+                    hit = np.flatnonzero(bitmap[(win & np.uint64((1 << 20) - 1)).astype(np.int64)])
+                    value = win[hit]
+                    a, b = np.searchsorted(keys, value, "left"), np.searchsorted(keys, value, "right")
+                    for d, x, y in zip(doc[hit[b > a]].tolist(), a[b > a].tolist(), b[b > a].tolist()):
+                        found.update((d, i) for i in which[x:y].tolist())
+                low = win[left]
         return found
 
-    def matches(self, texts: list[str | None], containment: float = CONTAINMENT):
-        """Yields (document, item_id, shared, size, copies) for verified pairs."""
+    def matches(self, texts: Iterable[str | None], containment: float = CONTAINMENT):
+        """Yields (document, item_id, shared, size, copies) for verified pairs. Of the
+        texts, only those of a slice are held."""
         ids, todo, size = _WordIds(), [], 0
 
         def run():
             sets = {}
-            for d, i in sorted(self.candidates([h for _, h in todo])):
+            for d, i in sorted(self.candidates([h for _, _, h in todo])):
                 item_id, s, copies = self.items[i]
-                at = todo[d][0]
+                at, text, _ = todo[d]
                 if at not in sets:
-                    sets = {at: shingles(words(texts[at]))}
+                    sets = {at: shingles(words(text))}
                 shared = len(s & sets[at])
                 if shared >= containment * len(s) - 1e-9:
                     yield at, item_id, shared, len(s), copies
 
         for at, t in enumerate(texts):
             h = hashes(words(t), ids)
-            todo.append((at, h))
+            todo.append((at, t, h))
             size += len(h)
             if size >= SLICE:
                 yield from run()
@@ -161,6 +168,11 @@ def _ranks(count: np.ndarray) -> np.ndarray:
     return np.arange(count.sum()) - np.repeat(np.cumsum(count) - count, count)
 
 
+def _texts(b: pa.RecordBatch):
+    """The batch's texts, one by one."""
+    return (t.as_py() for t in b.column(b.schema.get_field_index("text")))
+
+
 def _blocks(benchmark: DataFrame, block_chars: int):
     items = benchmark.select(F.col("item_id").cast("long").alias("item_id"), "text").filter(F.length("text") > 0)
     items = items.groupBy("item_id", "text").agg(F.count(F.lit(1)).alias("copies"))
@@ -187,7 +199,7 @@ def contained(docs: DataFrame, benchmark: DataFrame, containment: float = CONTAI
 
         def kernel(batches, index=index):
             for b in batches:
-                got = list(index.matches(b.column(1).to_pylist(), containment))
+                got = list(index.matches(_texts(b), containment))
                 at, item, shared, size, copies = zip(*got) if got else ((),) * 5
                 yield pa.RecordBatch.from_arrays(
                     [b.column(0).take(pa.array(at, pa.int64())), pa.array(item, pa.int64()), pa.array(shared, pa.int64()),
@@ -208,7 +220,7 @@ def decontaminated(docs: DataFrame, benchmark: DataFrame, containment: float = C
 
         def kernel(batches, index=index):
             for b in batches:
-                bad = {m[0] for m in index.matches(b.column(b.schema.get_field_index("text")).to_pylist(), containment)}
+                bad = {m[0] for m in index.matches(_texts(b), containment)}
                 yield b.filter(pa.array([i not in bad for i in range(b.num_rows)], pa.bool_()))
 
         docs = docs.mapInArrow(releasing(kernel), docs.schema)

@@ -89,3 +89,20 @@ def test_size_classes_retrieve():
             doc = [f"x{x}" for x in rng.integers(0, 10**9, 500)]
             doc[offset + 100:offset + 100] = words[:cut]
             assert index.candidates([dc.hashes(doc, dc._WordIds())]) == {(0, 0)}
+
+
+def test_memory_is_that_of_a_slice():
+    """A batch's texts are taken and sketched by slices, one permutation at a time."""
+    import tracemalloc
+
+    rng = np.random.default_rng(4)
+    items = [(i, " ".join(f"w{x}" for x in rng.integers(0, 10**9, 4 + i))) for i in range(1, 9)]
+    index = dc.Index(items)
+    filler = [f"v{x}" for x in rng.integers(0, 10**6, 4000)]
+    texts = [" ".join([*filler[k:], items[k % 8][1] if k % 50 == 0 else "", *filler[:k]]) for k in range(300)]
+    tracemalloc.start()
+    found = [(at, item) for at, item, *_ in index.matches(texts)]
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert found == [(k, k % 8 + 1) for k in range(0, 300, 50)]
+    assert peak < 60e6
