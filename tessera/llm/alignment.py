@@ -41,6 +41,21 @@ RESULT = "doc_id long, n_a long, n_b long, n_groups long, n_links long"
 
 # ---------------------------------------------------------------- alignment
 
+def _flat(tokens: list[bytes]):
+    """Sizes of tokens, their bytes in a row, and where each begins there."""
+    size = np.array([len(x) for x in tokens], np.int64)
+    return size, np.frombuffer(b"".join(tokens), np.uint8), np.cumsum(size) - size
+
+
+def _spells(ids: np.ndarray, size: np.ndarray, flat: np.ndarray, at: np.ndarray, raw: np.ndarray) -> bool:
+    """Are the bytes of the tokens ``ids``, joined, ``raw``?"""
+    n = size[ids]
+    end = np.cumsum(n)
+    if not len(ids) or end[-1] != len(raw):
+        return not len(ids) and not len(raw)
+    return bool((flat[np.arange(len(raw)) + np.repeat(at[ids] - end + n, n)] == raw).all())
+
+
 class Aligner:
     """Both tokenizers, and the links of a text."""
 
@@ -54,8 +69,8 @@ class Aligner:
                         for i, p in enumerate(map(m.id_to_piece, range(m.get_piece_size())))]
         if any(" " in p.lstrip(b" ").decode("utf-8", "replace") for i, p in enumerate(self.b_bytes) if not m.is_byte(i)):
             raise ValueError("pieces with a space mark inside are not supported")
-        self.a_size = np.array([len(x) for x in self.a_bytes], np.int64)
-        self.b_size = np.array([len(x) for x in self.b_bytes], np.int64)
+        self.a_size, self.a_flat, self.a_at = _flat(self.a_bytes)
+        self.b_size, self.b_flat, self.b_at = _flat(self.b_bytes)
         self.n_a, self.n_b = len(self.a_bytes), len(self.b_bytes)
         # Ids as text: an A id inside and at the end of its group's part, then the same of B.
         self.text = np.array([f"{i}{c}" for n, ends in ((self.n_a, ",|"), (self.n_b, ",;")) for c in ends for i in range(n)], object)
@@ -67,22 +82,28 @@ class Aligner:
             own = s if k else " " + s  # later slices begin with their space
             a = self.a.ids(own, plain=True).astype(np.int64)
             b = np.array(self.b.encode(own[1:]), np.int64)  # adds the space
-            raw = own.encode()
-            whole = (b"".join(map(self.a_bytes.__getitem__, a.tolist())) == raw
-                     and b"".join(map(self.b_bytes.__getitem__, b.tolist())) == raw)
+            raw = np.frombuffer(own.encode(), np.uint8)
+            whole = _spells(a, self.a_size, self.a_flat, self.a_at, raw) and _spells(b, self.b_size, self.b_flat, self.b_at, raw)
             yield (a, b) if whole else None
 
     def links(self, a: np.ndarray, b: np.ndarray):
         """Per segment its pair (A id * B ids + B id), the number of groups, and the groups as text."""
         end_a, end_b = np.cumsum(self.a_size[a]), np.cumsum(self.b_size[b])
-        ends = np.union1d(end_a, end_b)
-        pair = a[np.searchsorted(end_a, ends)] * self.n_b + b[np.searchsorted(end_b, ends)]
-        common = np.intersect1d(end_a, end_b, assume_unique=True)
-        group_a, group_b = np.searchsorted(common, end_a), np.searchsorted(common, end_b)
-        last_a, last_b = common[group_a] == end_a, common[group_b] == end_b
-        order = np.argsort(np.concatenate((2 * group_a, 2 * group_b + 1)), kind="stable")
-        token = np.concatenate((a + last_a * self.n_a, 2 * self.n_a + b + last_b * self.n_b))
-        return pair, len(common), "".join(self.text[token[order]].tolist())
+        n = int(end_a[-1]) + 1
+        at_a, at_b = np.zeros(n, bool), np.zeros(n, bool)
+        at_a[end_a], at_b[end_b] = True, True
+        ends, common = np.flatnonzero(at_a | at_b), at_a & at_b
+        in_a, in_b = at_a[ends], at_b[ends]
+        # Tokens that end before a segment's end: the token it lies in.
+        pair = a[np.cumsum(in_a) - in_a] * self.n_b + b[np.cumsum(in_b) - in_b]
+        last_a, last_b = common[end_a], common[end_b]
+        # A group's A tokens stand before its B tokens: the tokens of the other side before each.
+        stop_a, stop_b = np.flatnonzero(last_a) + 1, np.flatnonzero(last_b) + 1
+        size_a, size_b = np.diff(stop_a, prepend=0), np.diff(stop_b, prepend=0)
+        token = np.empty(len(a) + len(b), np.int64)
+        token[np.arange(len(a)) + np.repeat(stop_b - size_b, size_a)] = a + last_a * self.n_a
+        token[np.arange(len(b)) + np.repeat(stop_a, size_b)] = 2 * self.n_a + b + last_b * self.n_b
+        return pair, len(stop_a), "".join(self.text[token].tolist())
 
     def aligned(self, text: str | None):
         """``(n_a, n_b, n_groups, n_links, digest, pairs, times)`` of one text: sizes, the
@@ -100,7 +121,9 @@ class Aligner:
             digest.update(before + spelled[:-1].encode())
             before = b";"
             n_a, n_b, n_groups, n_links = n_a + len(ids[0]), n_b + len(ids[1]), n_groups + groups, n_links + len(pair)
-            own, n = np.unique(pair, return_counts=True)
+            pair.sort()
+            first = np.flatnonzero(np.concatenate(([True], pair[1:] != pair[:-1])))
+            own, n = pair[first], np.diff(first, append=len(pair))
             if len(pairs):
                 own, at = np.unique(np.concatenate((pairs, own)), return_inverse=True)
                 n = np.bincount(at, weights=np.concatenate((times, n)), minlength=len(own)).astype(np.int64)
@@ -133,7 +156,7 @@ def postings(pair: np.ndarray, doc: np.ndarray, times: np.ndarray, n_docs: int):
     ``planes``: per plane its number of documents (four bytes) and its bitmap.
     The documents are the popcount of the OR of the planes: every times has a bit.
     """
-    order = np.lexsort((doc, pair))
+    order = np.argsort(pair << 16 | doc)  # a pair has 47 bits at most, a place 16
     pair, doc, times = pair[order], doc[order], times[order]
     first = np.flatnonzero(np.concatenate((pair[:1] == pair[:1], pair[1:] != pair[:-1])))
     for at, to in zip(first.tolist(), [*first[1:].tolist(), len(pair)]):

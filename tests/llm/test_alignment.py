@@ -119,3 +119,36 @@ def test_empty_table_and_clashing_columns(spark, empty):
     df = spark.createDataFrame([(1, "one two")], "doc_id long, text string")
     more = df.select("*", *[F.lit("x").alias(c) for c in ("block", "pair", "place", "n_a", "count", "planes")])
     assert rows_of(al.aligned(more, A, PATTERN, B)) == rows_of(al.aligned(df, A, PATTERN, B))
+
+
+def test_tokens_that_spell_a_text():
+    """Byte by byte, without joining the tokens: other bytes of the same length differ."""
+    tokens = [b"a", b"bc", b"", b"\xc3\xa9", b"cb", b" d"]
+    flat = al._flat(tokens)
+    rng = np.random.default_rng(3)
+    for n in [0, 1, 2, 5, 40] * 20:
+        ids = rng.integers(0, len(tokens), n)
+        joined = b"".join(tokens[i] for i in ids)
+        other = bytes(rng.permutation(list(joined)).tolist())
+        for raw in (joined, other, joined + b"a", joined[1:]):
+            assert al._spells(ids, *flat, np.frombuffer(raw, np.uint8)) == (raw == joined)
+
+
+def test_links_by_places():
+    """Segments, groups and their text as by comparing every pair of spans."""
+    one = al.Aligner(A, PATTERN, B)
+    rng = np.random.default_rng(5)
+    for _ in range(60):
+        a, b = rng.integers(300, 900, rng.integers(1, 9)), rng.integers(400, 900, 400)
+        end_a = np.cumsum(one.a_size[a])
+        b = b[:np.searchsorted(np.cumsum(one.b_size[b]), end_a[-1])]
+        b = np.append(b, [3 + ord("x")] * int(end_a[-1] - one.b_size[b].sum()))  # bytes up to the same end
+        ends = [[0, *np.cumsum(s).tolist()] for s in (one.a_size[a], one.b_size[b])]
+        spans = [list(zip(e, e[1:], ids.tolist())) for e, ids in zip(ends, (a, b))]
+        want = [x * one.n_b + y for s, e, x in spans[0] for s2, e2, y in spans[1] if s < e2 and s2 < e]
+        groups, before = [], 0
+        for cut in sorted(set(ends[0][1:]) & set(ends[1][1:])):
+            groups.append("|".join(",".join(str(i) for _, e, i in side if before < e <= cut) for side in spans))
+            before = cut
+        pair, n, spelled = one.links(a, b)
+        assert pair.tolist() == want and n == len(groups) and spelled[:-1] == ";".join(groups)
