@@ -52,6 +52,15 @@ def zone_edges(zones: DataFrame, col_of, row_of, keys=ZONE_KEYS) -> DataFrame:
                        col_of(F.col("s.X2")).alias("x2"), row_of(F.col("s.Y2")).alias("y2"))
 
 
+def edge_rows(rows: tuple[int, int] | None = None) -> tuple[Column, Column]:
+    """First and last row whose centre an edge may cross, of ``rows`` where given."""
+    lo = F.ceil(F.least("y1", "y2") - HALF)
+    hi = F.ceil(F.greatest("y1", "y2") - HALF) - 1
+    if rows is not None:
+        lo, hi = F.greatest(lo, F.lit(rows[0])), F.least(hi, F.lit(rows[1]))
+    return lo, hi
+
+
 def crossings(edges: DataFrame, rows: tuple[int, int] | None = None, keys=ZONE_KEYS) -> DataFrame:
     """(zone, part, y, xc): where each non-horizontal edge crosses row centre y+.5.
 
@@ -59,10 +68,7 @@ def crossings(edges: DataFrame, rows: tuple[int, int] | None = None, keys=ZONE_K
     the expansion is bounded by the raster, not by the polygon.
     """
     e = edges.where(F.col("y1") != F.col("y2"))
-    lo = F.ceil(F.least("y1", "y2") - HALF)
-    hi = F.ceil(F.greatest("y1", "y2") - HALF) - 1
-    if rows is not None:
-        lo, hi = F.greatest(lo, F.lit(rows[0])), F.least(hi, F.lit(rows[1]))
+    lo, hi = edge_rows(rows)
     e = e.select("*", lo.cast("int").alias("ylo"), hi.cast("int").alias("yhi")).where(F.col("ylo") <= F.col("yhi"))
     keys = [*keys, "part"]
     c = e.select(*keys, "x1", "y1", "x2", "y2", F.explode(F.sequence("ylo", "yhi")).alias("y"))

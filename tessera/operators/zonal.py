@@ -56,6 +56,24 @@ def _runs(g: Georef, bounds, zones: ZoneSet) -> DataFrame:
     return geo.runs(cross, tuple(bounds[:2]), KEY)
 
 
+def _run_bound(g: Georef, bounds, zones: ZoneSet):
+    """``(most, box)`` from the zones' edges alone, without an exchange: at least as many
+    as there are runs, and a box (x0, y0, x1, y1) in the raster that holds them all."""
+    _check_srid(g.srid, zones)
+    xmin, xmax, ymin, ymax = bounds
+    e = geo.zone_edges(zones.df, g.col_of, g.row_of, KEY).where(F.col("y1") != F.col("y2"))
+    ylo, yhi = (c.cast("int") for c in geo.edge_rows((ymin, ymax)))
+    e = e.select("x1", "x2", ylo.alias("ylo"), yhi.alias("yhi")).where("ylo <= yhi")
+    r = e.agg(F.sum(F.col("yhi").cast("bigint") - F.col("ylo") + 1).alias("crossings"), F.min("ylo").alias("y0"), F.max("yhi").alias("y1"),
+              F.min(F.least("x1", "x2")).alias("x0"), F.max(F.greatest("x1", "x2")).alias("x1"),
+              F.count(F.when(F.col("x1").isNull() | F.col("x2").isNull(), 1)).alias("unknown")).first()
+    most = (r.crossings or 0) // 2  # two crossings to a run
+    if not most or r.unknown or r.x0 is None:
+        return most, (xmin, r.y0, xmax, r.y1)
+    # a cell more on either side: crossings are rounded
+    return most, (int(max(xmin, min(r.x0 - 2, xmax))), r.y0, int(min(xmax, max(r.x1 + 2, xmin))), r.y1)
+
+
 def zone_runs(layer: Layer, zones: ZoneSet) -> DataFrame:
     """Inclusive cell runs ``(zone_set, zone_id, y, xa, xb)`` of every zone."""
     return _with_names(_runs(layer.georef, layer.bounds, zones), zones)
@@ -114,10 +132,17 @@ def _zone_cells_keyed(layer: Layer, zones: ZoneSet, bin_width: int = BIN_WIDTH,
     Runs are binned by their length (see ``_width_of``), so that a cell is compared
     with at most twice as many runs as it lies in, however many short runs share
     a row; a cell looks into one bin per width in use. Beyond the broadcast bound,
-    cells are packed into row segments instead (see ``_segment_cells``).
+    cells are packed into row segments instead (see ``_segment_cells``); where the
+    edges already may give more runs than that, the runs are made once and not counted.
     """
     widths = _widths(bin_width)
     r = _runs(layer.georef, layer.bounds, zones)
+    most, (x0, y0, x1, y1) = _run_bound(layer.georef, layer.bounds, zones)
+    if not most:
+        return None
+    if most > broadcast_max_runs:
+        cells = layer.df.where(F.col("y").between(y0, y1) & F.col("x").between(x0, x1))
+        return _segment_cells(cells, r, min(bin_width, SEGMENT))
     n_runs, (x0, y0, x1, y1), used = _size_and_bounds(r, "y", "xa", "xb", widths)
     if n_runs == 0:
         return None

@@ -247,3 +247,17 @@ def test_stored_metadata_without_statistics(spark, tmp_path):
         facts = {f.path.rsplit("/", 1)[1]: f for f in footers.file_facts(spark, str(tmp_path / name)).collect()}
         assert facts["p.parquet"].groups_read == 2 and facts["none.parquet"].xmin is None
         assert [tuple(r) for r in footers.stored_metadata(spark, str(tmp_path / name)).collect()] == [(3, 9, 1, 7, 3, 1)]
+
+
+def test_many_runs_are_made_once(spark, tmp_path, monkeypatch):
+    """Where the edges give more runs than may be broadcast, the runs are not counted
+    first; the bound and the box from the edges hold all runs."""
+    rng = random.Random(6)
+    z = zones(spark, tmp_path, [(rng.uniform(-3, 30), rng.uniform(-2, 8), rng.choice([0.7, 3, 9, 40]), rng.choice([0.6, 2, 7])) for _ in range(40)])
+    layer = raster(spark, 50, 9)
+    want, runs = rows(zonal.histogram(layer, z)), zonal.zone_runs(layer, z).collect()
+    most, (x0, y0, x1, y1) = zonal._run_bound(layer.georef, layer.bounds, z)
+    assert most >= len(runs) > 40
+    assert all(x0 <= r.xa and r.xb <= x1 and y0 <= r.y <= y1 for r in runs)
+    monkeypatch.setattr(zonal, "_size_and_bounds", None)
+    assert rows(zonal.histogram(layer, z, broadcast_max_runs=len(runs) - 1)) == want
